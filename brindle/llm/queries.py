@@ -1,0 +1,44 @@
+"""Queries of the training-data operators over the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.llm import near_copies, serp_pairs
+from brindle.plans import Registry
+from brindle.sources import table
+
+REG = Registry()
+
+
+@REG.add(
+    "p5_found",
+    """WITH s AS (
+      SELECT snapshot_id, any_value(list_sort(list_distinct(list_filter(urls, lambda x: x IS NOT NULL AND x <> '')))) AS u FROM serp_snapshot GROUP BY snapshot_id),
+    e AS (SELECT snapshot_id, len(u) AS n, unnest(u) AS x FROM s),
+    o AS (SELECT a.snapshot_id AS snapshot_a, b.snapshot_id AS snapshot_b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb
+          FROM e a JOIN e b ON a.x = b.x AND a.snapshot_id < b.snapshot_id GROUP BY ALL)
+    SELECT snapshot_a, snapshot_b FROM o WHERE 2 * k >= na + nb - k""",
+)
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of snapshots with at least half of the union of their urls in common."""
+    return serp_pairs.found(table(spark, sf_dir, "serp_snapshot"))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = table(spark, sf_dir, "corpus_document").select(F.lit("corpus_document").alias("src"), "id", "text")
+    pages = table(spark, sf_dir, "existing_page").select(F.lit("existing_page").alias("src"), F.col("page_id").cast("string").alias("id"), "text")
+    return corpus.unionByName(pages)
+
+
+@REG.add("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited copies among the corpus documents and among the existing pages."""
+    return near_copies.found(_texts(spark, sf_dir))
+
+
+@REG.add("p6_groups")
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its class of exact copies and its group of near copies (five words, 0.8)."""
+    return near_copies.groups(_texts(spark, sf_dir))

@@ -1,0 +1,206 @@
+"""Exact similarity joins of sets under a Jaccard threshold, as a blocked sparse product.
+
+A collection of sets is a sparse matrix (set x item); the overlaps of all pairs are its product with its transpose.
+``candidate_pairs`` computes the part of that product that can hold pairs above the threshold:
+
+* items are put in one global order, rare ones first (``item_counts``: a count table of fixed size, so the order needs
+  no join with the item frequencies and what is broadcast never grows with the data);
+* of each set only its rarest items are multiplied. A set of ``n`` items needs ``n - ceil(t n) + l`` of them as a probe
+  and ``n - ceil(2 t n / (1 + t)) + l`` as the smaller partner: a pair above ``t`` meets on at least ``l`` of them;
+* the product is a shuffle join on the item (the block), overlap counts are accumulated with map-side combine, and a
+  pair is discarded by bounds derived from the sizes: size ratio, position of the shared item, and fewer than ``l`` hits;
+* items in very many sets are blocked further by the partner's size: the position of such an item in a set leaves only
+  few sizes that a partner may have, so sets that share nothing but that item never meet.
+
+No cap, no sampling: every pair at or above the threshold is a candidate. ``verified`` computes exact overlaps.
+Identical sets must be collapsed to one row before (a class), or a group of copies would be quadratic here.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Buckets of the item count table (4 bytes each): its size is a parameter, not a function of the data.
+COUNT_BITS = 20
+#: An item in a bucket of more sets than this is blocked by partner size, too.
+HOT = 256
+#: Bits of a packed one-bit minhash code, and the Hamming radius within which pairs of a Jaccard similarity of at least
+#: 0.5 lie: their distance is binomial(256, (1 - 0.5) / 2), and P(distance > 112) < 1e-10.
+CODE_BITS, RADIUS_HALF = 256, 112
+
+_EPS = 1e-9
+
+
+def item_counts(classes: DataFrame, bits: int = COUNT_BITS) -> np.ndarray:
+    """How many sets hold an item of each of ``2 ** bits`` hash buckets. At most that many rows reach the driver."""
+    rows = (
+        classes.select(F.explode("items").alias("x"))
+        .groupBy(F.pmod(F.col("x"), F.lit(1 << bits)).cast("int").alias("k"))
+        .agg(F.least(F.count("*"), F.lit(2**31 - 1)).cast("int").alias("n"))
+        .where("n > 1")
+        .toPandas()
+    )
+    counts = np.ones(1 << bits, dtype=np.int32)
+    counts[rows["k"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int32)
+    return counts
+
+
+def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column and the row of each."""
+    lens = np.diff(np.asarray(col.offsets))
+    return np.asarray(col.flatten()).astype(np.int64), np.repeat(np.arange(len(col)), lens)
+
+
+def _ordered(col: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Items of all rows in the global order: row, item, position in the row, count of the item, size of each row."""
+    x, row = _flat(col)
+    c = counts[np.mod(x, len(counts))]
+    at = np.lexsort((x, c, row))
+    x, row, c = x[at], row[at], c[at]
+    n = np.bincount(row, minlength=len(col)).astype(np.int64)
+    pos = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+    return row, x, pos, c, n
+
+
+def _ceil(v: np.ndarray) -> np.ndarray:
+    return np.ceil(v - _EPS).astype(np.int64)
+
+
+def _emit(batch: pa.RecordBatch, keep: list[str], row: np.ndarray, cols: dict[str, np.ndarray]) -> pa.RecordBatch:
+    taken = {k: batch.column(batch.schema.get_field_index(k)).take(pa.array(row)) for k in keep}
+    return pa.RecordBatch.from_pydict({**taken, **{k: pa.array(v) for k, v in cols.items()}})
+
+
+def _postings(classes: DataFrame, keep: list[str], counts: np.ndarray, t: float, hits: int, probe: bool) -> DataFrame:
+    """Rows (keep, n, tok, m, pos) of the probe or the index side. ``m`` is the partner's size for hot items, else 0."""
+    shared = classes.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            row, x, pos, c, n = _ordered(b.column(b.schema.get_field_index("items")), table)
+            part = t if probe else 2 * t / (1 + t)
+            length = np.minimum(n, n - _ceil(part * n) + hits)
+            use = (pos < length[row]) & (c > 1)
+            row, x, pos, c = row[use], x[use], pos[use], c[use]
+            size, m, hot = n[row], np.zeros(len(row), dtype=np.int64), c > HOT
+            if hot.any():
+                if probe:
+                    low = _ceil(t * size)
+                    high = np.minimum(size, np.floor((size - pos + hits - 1) * (1 + t) / t - size + _EPS).astype(np.int64))
+                    times = np.where(hot, np.maximum(high - low + 1, 0), 1)
+                    at = np.repeat(np.arange(len(row)), times)
+                    nth = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                    m = np.where(hot[at], low[at] + nth, 0)
+                    row, x, pos, size = row[at], x[at], pos[at], size[at]
+                else:
+                    m = np.where(hot, size, 0)
+            yield _emit(b, keep, row, {"n": size.astype(np.int32), "tok": x, "m": m.astype(np.int32), "pos": pos.astype(np.int32)})
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema if f.name in keep)
+    return classes.select(*keep, "items").mapInArrow(run, f"{kinds}, n int, tok bigint, m int, pos int")
+
+
+def candidate_pairs(classes: DataFrame, t: float, hits: int = 1, counts: np.ndarray | None = None, codes: list[str] | None = None, radius: int = RADIUS_HALF) -> DataFrame:
+    """Pairs ``(src, a, b)`` of classes that may have a Jaccard similarity of at least ``t``; ``a`` is the larger set.
+
+    ``classes``: ``src, cid, items array<bigint>`` (distinct items, no null) and, where ``codes`` names them, the words of
+    a packed one-bit minhash code: pairs farther apart than ``radius`` bits are dropped before any set is fetched.
+    ``hits`` must not exceed the overlap of the smallest pair that is to be found. Run it on a written table: it is read
+    three times.
+    """
+    if not 0 < t <= 1:
+        raise ValueError("the threshold lies in (0, 1]")
+    counts = item_counts(classes) if counts is None else counts
+    keep = ["src", "cid", *(codes or [])]
+    a, b = _postings(classes, keep, counts, t, hits, True).alias("a"), _postings(classes, keep, counts, t, hits, False).alias("b")
+    alpha = F.ceil(F.lit(t / (1 + t)) * (F.col("a.n") + F.col("b.n")) - F.lit(_EPS))
+    room = F.lit(hits) + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) - 1
+    on = (
+        (F.col("a.src") == F.col("b.src"))
+        & (F.col("a.tok") == F.col("b.tok"))
+        & (F.col("a.m") == F.col("b.m"))
+        & ((F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.cid") < F.col("b.cid"))))
+        & (F.col("b.n") >= F.lit(t) * F.col("a.n") - F.lit(_EPS))
+        & (room >= alpha)
+    )
+    if codes:
+        far: Column = F.lit(0)
+        for c in codes:
+            far = far + F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")))
+        on = on & (far <= radius)
+    met = a.join(b, on).select(F.col("a.src").alias("src"), F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
+    if hits == 1:
+        return met.distinct()
+    return met.groupBy("src", "a", "b").agg(F.count("*").alias("_met")).where(F.col("_met") >= hits).drop("_met")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, column: str, t: float) -> DataFrame:
+    """``pairs`` with exact overlap and similarity of ``column`` (an array of distinct values), at or above ``t``."""
+    s = sets.select("src", "cid", F.col(column).alias("v"))
+    p = (
+        pairs.join(s.select("src", F.col("cid").alias("a"), F.col("v").alias("va")), ["src", "a"])
+        .join(s.select("src", F.col("cid").alias("b"), F.col("v").alias("vb")), ["src", "b"])
+        .withColumn("overlap", F.size(F.array_intersect("va", "vb")))
+        .withColumn("jaccard", F.col("overlap") / (F.size("va") + F.size("vb") - F.col("overlap")))
+    )
+    return p.where(F.col("jaccard") >= F.lit(t) - F.lit(_EPS)).select("src", "a", "b", "overlap", "jaccard")
+
+
+def one_bit_codes(df: DataFrame, bits: int = CODE_BITS, seed: int = 0x5EED) -> tuple[DataFrame, list[str]]:
+    """``df`` with one-bit minhashes of ``items``, packed into columns of 64 bits. Sets without items get zeros."""
+    words = bits // 64
+    names = [f"code{i}" for i in range(words)]
+    rng = np.random.default_rng(seed)
+    mults, adds = rng.integers(1, 2**63, bits, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**63, bits, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            col = b.column(b.schema.get_field_index("items"))
+            x, row = _flat(col)
+            code = np.zeros((b.num_rows, words), dtype=np.uint64)
+            if len(x):
+                rows, starts = np.unique(row, return_index=True)
+                u = x.view(np.uint64)
+                for j in range(bits):
+                    h = u * mults[j] + adds[j]
+                    h ^= h >> np.uint64(32)
+                    h *= np.uint64(0xD6E8FEB86659FD93)
+                    h ^= h >> np.uint64(29)
+                    code[rows, j // 64] |= (np.minimum.reduceat(h, starts) & np.uint64(1)) << np.uint64(j % 64)
+            cols = {f.name: b.column(i) for i, f in enumerate(b.schema)}
+            yield pa.RecordBatch.from_pydict({**cols, **{n: pa.array(code[:, i].view(np.int64)) for i, n in enumerate(names)}})
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{kinds}, {', '.join(f'{n} bigint' for n in names)}"), names
+
+
+def pairs_of_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of member ids ``(src, id_a, id_b)``, ``id_a < id_b``: those between similar classes and those within one.
+
+    ``members``: distinct ``src, cid, id``. Only for results that are defined as pairs of rows; a class of k copies has
+    k (k - 1) / 2 of them.
+    """
+    m = members.select("src", "cid", "id")
+    left, right = m.select("src", F.col("cid").alias("a"), F.col("id").alias("x")), m.select("src", F.col("cid").alias("b"), F.col("id").alias("y"))
+    between = pairs.select("src", "a", "b").join(left, ["src", "a"]).join(right, ["src", "b"]).select("src", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    within = (
+        left.join(right, (left["src"] == right["src"]) & (left["a"] == right["b"]) & (left["x"] < right["y"]))
+        .select(left["src"].alias("src"), F.col("x").alias("id_a"), F.col("y").alias("id_b"))
+    )
+    return between.unionByName(within)
+
+
+def needed(n: int, t: float) -> int:
+    """The overlap that two sets of ``n`` items need for a similarity of ``t``."""
+    return math.ceil(2 * n * t / (1 + t) - _EPS)

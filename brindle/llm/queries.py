@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import near_copies, serp_pairs
+from brindle.llm import bpe, near_copies, packing, serp_pairs
 from brindle.plans import Registry
 from brindle.sources import table
 
@@ -42,3 +42,32 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with its class of exact copies and its group of near copies (five words, 0.8)."""
     return near_copies.groups(_texts(spark, sf_dir))
+
+
+@REG.add("p8_ids")
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
+@REG.add("p8_counts")
+def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return bpe.token_counts(table(spark, sf_dir, "documents"))
+
+
+def _bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = [(r.container, r.capacity) for r in table(spark, sf_dir, "pack_size").orderBy("container").limit(packing.MAX_KINDS + 1).collect()]
+    return packing.pack(bpe.token_counts(table(spark, sf_dir, "documents")), kinds)
+
+
+@REG.add("p9_bins")
+def p9_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, or piece of a document that exceeds the capacity, in a container of each kind."""
+    return packing.assignments(_bins(spark, sf_dir))
+
+
+@REG.add("p9_fill")
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used and their fill rate, for each kind."""
+    return packing.summary(_bins(spark, sf_dir))

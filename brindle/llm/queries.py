@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, near_copies, packing, serp_pairs
+from brindle.llm import bpe, near_copies, packing, residue, serp_pairs
 from brindle.plans import Registry
 from brindle.sources import table
 
@@ -71,3 +71,19 @@ def p9_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers used and their fill rate, for each kind."""
     return packing.summary(_bins(spark, sf_dir))
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.messages(residue.units(table(spark, sf_dir, "existing_page"), table(spark, sf_dir, "crawl_page")))
+
+
+@REG.add("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and crawl records that show template residue, filler, error messages or script notices."""
+    return residue.flagged(_messages(spark, sf_dir))
+
+
+@REG.add("p1_messages")
+def p1_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each masked message with its kind, rows and sources."""
+    return residue.recurring(_messages(spark, sf_dir).distinct())

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import bpe, near_copies, packing, residue, serp_pairs
+from brindle.llm import boilerplate, bpe, near_copies, packing, residue, serp_pairs
 from brindle.plans import Registry
+from brindle.session import cut
 from brindle.sources import table
 
 REG = Registry()
@@ -87,3 +88,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each masked message with its kind, rows and sources."""
     return residue.recurring(_messages(spark, sf_dir).distinct())
+
+
+def _site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = boilerplate.units(table(spark, sf_dir, "existing_page"), table(spark, sf_dir, "crawl_page"))
+    return cut(boilerplate.short_lines(units), "lines")
+
+
+@REG.add("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of pages and crawl records that are not main body."""
+    return boilerplate.furniture(_site_lines(spark, sf_dir))
+
+
+@REG.add("p4_body")
+def p4_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main body of every page and crawl record with a text."""
+    units = boilerplate.units(table(spark, sf_dir, "existing_page"), table(spark, sf_dir, "crawl_page"))
+    return boilerplate.main_text(units, boilerplate.furniture(_site_lines(spark, sf_dir)))

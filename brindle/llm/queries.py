@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import boilerplate, bpe, near_copies, packing, residue, serp_pairs
+from brindle.llm import boilerplate, bpe, near_copies, packing, pairs, residue, serp_pairs
 from brindle.plans import Registry
 from brindle.session import cut
 from brindle.sources import table
@@ -106,3 +106,15 @@ def p4_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main body of every page and crawl record with a text."""
     units = boilerplate.units(table(spark, sf_dir, "existing_page"), table(spark, sf_dir, "crawl_page"))
     return boilerplate.main_text(units, boilerplate.furniture(_site_lines(spark, sf_dir)))
+
+
+@REG.add("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective pairs of prompt and answer with their defect."""
+    return pairs.found(table(spark, sf_dir, "engine_answer"), table(spark, sf_dir, "engine_prompt"))
+
+
+@REG.add("p3_defects")
+def p3_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every defect that the rules find in a pair."""
+    return pairs.defects(table(spark, sf_dir, "engine_answer"), table(spark, sf_dir, "engine_prompt"))

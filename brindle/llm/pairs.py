@@ -41,7 +41,7 @@ _SPACE = re.compile(r"\s+")
 
 #: Function words by language.
 FUNCTION_WORDS = {
-    "en": "the of and to in is are was were that than for with on at by from it its as be been but not no or if so than this these those which who whom whose what when where why how do does did has have had can could will would should may might must they them their there here you your we our us he she his her i my me all any some each other more most over under between before after during without within near about into out up down off only also very well such because since while although unless until even though through against both either neither nor one two three too".split(),
+    "en": "a an the of and to in is are was were that than for with on at by from it its as be been but not no or if so than this these those which who whom whose what when where why how do does did has have had can could will would should may might must they them their there here you your we our us he she his her i my me all any some each other more most over under between before after during without within near about into out up down off only also very well such because since while although unless until even though through against both either neither nor one two three too".split(),
     "pl": "i w we z ze na do od po za o u przy przez dla bez nad pod przed między nie że się jest są był była było były to ten ta te tego tej tym tych oraz lub albo ale lecz a jak jako co czy czym czemu dlaczego kto który która które którzy których gdy gdzie kiedy jeśli ponieważ bo więc choć gdyż mimo niż już jeszcze tylko także też bardzo może można ma mają mój moje twój jego jej ich nas was nam sobie mnie ja on ona oni one my wy nikt nic żeby aby dopóki zanim oto tak inaczej więcej mniej".split(),
     "de": "der die das den dem des ein eine einen einem einer eines und oder aber nicht kein keine ist sind war waren wird werden wurde hat haben hatte mit von vom zu zum zur im in ins am an auf aus bei beim für über unter vor nach zwischen ohne durch gegen um bis seit als wie wenn weil da dass obwohl sodass sofern solange auch noch nur sehr mehr weniger sich es er sie wir ihr ihre ihren ihrem ich mich mir du sein seine was wer welche welcher welches warum wo wann alle aller so doch hier dort man kann muss soll darf niemand etwas andere anderen".split(),
     "es": "el la los las un una unos unas de del al a en y e o u que no se es son era fue con por para sin sobre entre hasta desde como cómo qué quién quiénes cuál cuáles cuándo dónde porque aunque si sino pero más menos muy también ya lo le les su sus mi mis tu tus nuestro nuestra nuestros nuestras este esta estos estas ese esa eso esto aquel donde cuando mientras salvo según tras antes después nadie algo otra otro otros otras todo toda todos hay ha han ser está están puede debe".split(),
@@ -149,7 +149,7 @@ def declines(text: str) -> bool:
 # --- empty ---------------------------------------------------------------------------------------------------------
 
 _TAGS = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->|&(?:nbsp|amp|lt|gt|quot|#\d+|#x[0-9a-f]+|zwnj|zwj);", re.S | re.I)
-_INVISIBLE = re.compile(r"[­​-‏ - ⁠-⁤﻿ ]")
+_INVISIBLE = re.compile("[\\u00ad\\u034f\\u180e\\u200b-\\u200f\\u2028-\\u202e\\u2060-\\u206f\\ufeff\\u00a0]")
 _FENCE = re.compile(r"^\s*(?:```|~~~)\s*[\w+-]*\s*$", re.M)
 #: Stand-ins for nothing, without marks.
 STAND_INS = frozenset(

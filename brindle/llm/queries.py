@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import boilerplate, bpe, near_copies, packing, pairs, residue, serp_pairs
+from brindle.llm import abuse, boilerplate, bpe, near_copies, packing, pairs, residue, serp_pairs
 from brindle.plans import Registry
 from brindle.session import cut
 from brindle.sources import table
@@ -118,3 +118,25 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every defect that the rules find in a pair."""
     return pairs.defects(table(spark, sf_dir, "engine_answer"), table(spark, sf_dir, "engine_prompt"))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scored(table(spark, sf_dir, "documents"), keep=("source",))
+
+
+@REG.add("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexually explicit passage."""
+    return _scores(spark, sf_dir).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+@REG.add("p10_scores")
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document."""
+    return _scores(spark, sf_dir)
+
+
+@REG.add("p10_rates")
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, cases and their rate for every source."""
+    return abuse.rates(_scores(spark, sf_dir), table(spark, sf_dir, "doc_source"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import abuse, boilerplate, bpe, near_copies, packing, pairs, residue, serp_pairs
+from brindle.llm import abuse, boilerplate, bpe, names, near_copies, packing, pairs, residue, serp_pairs
 from brindle.plans import Registry
 from brindle.session import cut
 from brindle.sources import table
@@ -140,3 +140,15 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, cases and their rate for every source."""
     return abuse.rates(_scores(spark, sf_dir), table(spark, sf_dir, "doc_source"))
+
+
+@REG.add("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of brand and person definitions that stand for the same entity."""
+    return names.found(table(spark, sf_dir, "brand_entity"))
+
+
+@REG.add("p7_entities")
+def p7_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every definition with its entity."""
+    return names.linked(table(spark, sf_dir, "brand_entity"))

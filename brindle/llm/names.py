@@ -37,7 +37,7 @@ from brindle.llm.components import components
 from brindle.session import cut
 
 #: q-grams; rows of a band; the similarity and recall that fix the number of bands.
-Q, ROWS, LEAST_SIMILARITY, RECALL = 2, 3, 0.42, 0.98
+Q, ROWS, LEAST_SIMILARITY, RECALL = 3, 3, 0.45, 0.98
 #: Monge-Elkan similarity of two cores, and that of each of their words.
 CORE_SIMILARITY, WORD_SIMILARITY = 0.8, 0.66
 MAX_ROUNDS = 40
@@ -50,8 +50,8 @@ TRADES = {
 _TRADE_OF = {w: t for t, words in TRADES.items() for w in words.split()}
 #: Given names and their short forms (fixed values).
 GIVEN = {
-    "dolores": "lola loli dolly lolita lol dolorcitas", "francisco": "paco curro pancho paquito frank", "wilhelm": "willi helm wim will willy", "william": "bill billy will willy liam", "katarzyna": "kasia kasienka kaska kate", "malgorzata": "gosia malgosia gosienka margaret",
-    "johannes": "hans jo johann hannes", "elizabeth": "beth betty liz lizzie eliza elizabeth lisa", "robert": "bob bobby rob robbie bert", "margaret": "meg peggy maggie marge madge", "henrietta": "etta hattie hetty henny", "theodore": "ted teddy theo", "stanislaw": "stach stas staszek stasiek", "aleksander": "olek alek aleks alex",
+    "dolores": "lola loli dolly lolita lol dolorcitas", "francisco": "paco curro pancho paquito frank", "wilhelm": "willi helm wim will willy", "william": "bill billy will willy liam", "katarzyna": "kasia kasienka kaska", "malgorzata": "gosia malgosia gosienka goska",
+    "johannes": "hans jo johann hannes", "elizabeth": "beth betty liz lizzie eliza elizabeth lisa", "robert": "bob bobby rob robbie bert", "margaret": "meg peggy maggie marge madge greta", "henrietta": "etta hattie hetty henny", "theodore": "ted teddy theo", "stanislaw": "stach stas staszek stasiek stanislav", "aleksander": "olek alek aleks alex sasza olus",
     "ignacy": "ign ignas nacek ignac", "jozef": "jozek josef", "maria": "marysia mary", "alexander": "alex sandy alec xander", "katherine": "kate kathy katie kitty", "richard": "dick rick ricky", "james": "jim jimmy", "john": "jack johnny", "jose": "pepe", "joseph": "joe joey sepp", "anna": "ania anka annie", "heinrich": "heinz heiner", "friedrich": "fritz", "henryk": "heniek",
 }
 _GIVEN_OF: dict[str, frozenset[str]] = {}
@@ -193,7 +193,7 @@ def bands_for(similarity: float = LEAST_SIMILARITY, recall: float = RECALL, rows
 
 
 def _grams(core: str) -> np.ndarray:
-    out = {p[i : i + Q] for w in core.split() for p in (f"^{w}$",) for i in range(len(p) - Q + 1)}
+    out = {p[i : i + Q] for w in core.split() for p in (f"^{w}$",) for i in range(max(1, len(p) - Q + 1))}
     return np.fromiter((xxhash.xxh3_64_intdigest(g) for g in out), dtype=np.uint64, count=len(out))
 
 
@@ -286,7 +286,11 @@ def linked(df: DataFrame) -> DataFrame:
     a = nodes.select(*(F.col(c).alias(f"{c}_a") for c in nodes.columns))
     b = nodes.select(*(F.col(c).alias(f"{c}_b") for c in nodes.columns))
     met = both.join(a, "core_a").join(b, "core_b").where(F.col("node_a") != F.col("node_b"))
-    kind_ok = (F.substring("label_a", 1, 2) == F.substring("label_b", 1, 2)) | (F.col("label_a") == "") | (F.col("label_b") == "")
+    kind_ok = (
+        ((F.substring("label_a", 1, 2) == F.substring("label_b", 1, 2)) | (F.col("label_a") == "") | (F.col("label_b") == ""))
+        & ~((F.col("initials_a") != "") & F.col("label_b").startswith("t:"))
+        & ~((F.col("initials_b") != "") & F.col("label_a").startswith("t:"))
+    )
     same_trade = F.col("label_a") == F.col("label_b")
     same_given = F.col("label_a").startswith("g:") & F.col("label_b").startswith("g:") & _compatible_given(F.substring("label_a", 3, 200), F.substring("label_b", 3, 200))
     open_label = (F.col("label_a") == "") | (F.col("label_b") == "")

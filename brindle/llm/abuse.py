@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import chunks
+from brindle.llm.common import chunks, spread
 
 #: Score from which a text is a case; share of the other clauses in the score of a text.
 THRESHOLD, REST = 3.0, 0.1
@@ -213,7 +213,8 @@ def _rules_of() -> dict[str, tuple[int, ...]]:
     for i, (_, p) in enumerate(RULES):
         text = p.pattern.replace("\\b", " ").replace("\\w", " ")
         words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])\?", r"\1", text))) | set(re.findall(r"[a-z]+", re.sub(r"[a-z]\?", "", text)))
-        words |= {w for w in VOCABULARY if any(len(x) > 3 and w.startswith(x) for x in re.findall(r"([a-z]+)(?:\\w\*|\(\?:)", p.pattern.replace("\\b", " ")))}
+        stems = tuple(x for x in set(re.findall(r"([a-z]+)(?:\\w\*|\(\?:)", p.pattern.replace("\\b", " "))) if len(x) > 3)
+        words |= {w for w in VOCABULARY if w.startswith(stems)} if stems else set()
         for w in words & TELLING:
             out.setdefault(w, []).append(i)
     for w in re.findall(r"[a-z]+", re.sub(r"\(\?:[^)]*\)\??", "", _SEX)) + [x for x in CLASSES["S"].split() if x.isalpha()]:
@@ -417,7 +418,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
             s = np.fromiter((text_score(t) for t in b.column(len(cols)).to_pylist()), dtype=np.float64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(s)], names=[*cols, "score"])
 
-    return df.select(*cols, text_col).mapInArrow(run, f"{kinds}, score double")
+    return spread(df.select(*cols, text_col)).mapInArrow(run, f"{kinds}, score double")
 
 
 def rates(scores: DataFrame, sources: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from brindle.llm.common import chunks
+from brindle.llm.common import chunks, spread
 
 #: The pre-tokenisation pattern of the vocabulary (a fixed value of its public definition).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -179,7 +179,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[id_col, "ids"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = DEFAULT_RANKS) -> DataFrame:
@@ -192,4 +192,4 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n = np.fromiter((len(enc.encode(t)) for t in b.column(1).to_pylist()), dtype=np.int64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], names=[id_col, "tokens"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, tokens bigint")
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, tokens bigint")

@@ -7,7 +7,7 @@ The generator is the 32-bit mulberry of the seeded resampler: its state after ``
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054
@@ -63,6 +63,15 @@ def draw(seed: Column | int, k: Column) -> Column:
 
 
 
+def with_draw(df: DataFrame, seed: int, k: Column, name: str) -> DataFrame:
+    """``df`` with draw ``k`` as column ``name``, in steps that Spark computes once each instead of one deep expression."""
+    m = F.lit(_MASK)
+    d = df.withColumn("_s", (F.lit(seed).cast("bigint") + k.cast("bigint") * F.lit(_STEP)).bitwiseAND(m))
+    d = d.withColumn("_t", _imul(F.col("_s").bitwiseXOR(F.shiftright("_s", 15)), F.col("_s").bitwiseOR(F.lit(1))))
+    d = d.withColumn("_u", F.col("_t").bitwiseXOR((F.col("_t") + _imul(F.col("_t").bitwiseXOR(F.shiftright("_t", 7)), F.col("_t").bitwiseOR(F.lit(61)))).bitwiseAND(m)))
+    return d.withColumn(name, F.col("_u").bitwiseXOR(F.shiftright("_u", 14)) / F.lit(4294967296.0)).drop("_s", "_t", "_u")
+
+
 def draw_sql(seed: str, k: str) -> str:
     """The same draw in DuckDB SQL, for oracles."""
     m = "4294967295"

@@ -9,12 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.stats import draw
+from brindle.functions.stats import with_draw
 
 #: Expected click rate at positions 1 to 10 (fixed values).
 CTR = (0.28, 0.15, 0.11, 0.08, 0.07, 0.05, 0.04, 0.03, 0.03, 0.03)
 
 
+#: Units of a sample up to which it travels as one array (8 MB).
+MAX_ARRAY = 1_000_000
+
+
 def indexed(df: DataFrame, order: str, value: str) -> DataFrame:
     """``i, value``: a dense index from 0 in the order of an id. The sample (prompts, pages of one test) is the unit of
     analysis and small next to the rows it was made from; the global order needs one partition of it."""
@@ -25,9 +29,15 @@ def resample_means(sample: DataFrame, n: int, seed: int, resamples: int, per_rou
     """``r, mean``: the mean of ``n`` draws with replacement for each resample ``r``. Draw ``i`` of a round is number
     ``r * per_round + skip + i + 1`` of the generator."""
     spark = sample.sparkSession
-    d = spark.range(resamples * n).select((F.col("id") / n).cast("bigint").alias("r"), (F.col("id") % n).alias("k"))
-    d = d.select("r", F.floor(draw(seed, F.col("r") * per_round + F.lit(skip) + F.col("k") + 1) * n).cast("int").alias("i"))
-    return d.join(sample, "i").groupBy("r").agg(F.avg("value").alias("mean"))
+    d = spark.range(resamples * n).select(F.expr(f"id div {n}").alias("r"), (F.col("id") % n).alias("k"))
+    d = with_draw(d, seed, F.col("r") * per_round + F.lit(skip) + F.col("k") + 1, "u").select("r", F.floor(F.col("u") * n).cast("int").alias("i"))
+    if n <= MAX_ARRAY:
+        # the sample as one array: a lookup by position needs no join
+        one = sample.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("a"))
+        drawn = d.crossJoin(F.broadcast(one)).select("r", F.get("a", F.col("i")).alias("value"))
+    else:
+        drawn = d.join(sample, "i")
+    return drawn.groupBy("r").agg(F.avg("value").alias("mean"))
 
 
 def paired(df: DataFrame, unit: str, difference: str, seed: int, resamples: int = 10_000) -> DataFrame:

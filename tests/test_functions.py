@@ -66,7 +66,7 @@ def test_text(spark):
     ).first()
     assert r.tok == ["testować", "buty", "biegania", "zimie", "latem"]
     assert r.slug == "zazolc-gesla-jazn-x" and r.norm == "a\nb c\n\nd" and r.n == 11
-    assert r.sh[0] == "jak testować buty" and len(r.sh) == 8 and r.none == []
+    assert r.sh[0] == "jak testować buty" and len(r.sh) == 9 and r.none == []
 
 
 def _mulberry(seed, n):

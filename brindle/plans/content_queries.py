@@ -250,3 +250,12 @@ def llms_txt_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     u = table(spark, sf_dir, "crawl_page").where("url is not null and status = 200").select("site", "url").distinct().withColumn("section", U.section(F.col("url")))
     return top_per_key(u, ["site", "section"], 50, F.asc("url")).select("site", "section", "url", "rank")
+
+
+@REG.add("ranked_pages")
+def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by a short query."""
+    from brindle.operators.ranking import ranked
+
+    p = table(spark, sf_dir, "existing_page").groupBy("page_id").agg(F.min("title").alias("name"), F.min("text").alias("body"))
+    return ranked(p.select(F.col("page_id").alias("id"), "name", "body"), "care and storage of brake pads")

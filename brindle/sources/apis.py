@@ -51,3 +51,40 @@ def slowest(measured: DataFrame, k: int = 5) -> DataFrame:
 def call_summary(calls: DataFrame) -> DataFrame:
     """Calls by provider and capability: number, quota, cost and failures."""
     return calls.groupBy("provider", "capability").agg(F.count("*").alias("calls"), F.sum("quota").alias("quota"), F.sum("cost_micros").alias("cost_micros"), F.count_if(~F.coalesce("ok", F.lit(True))).alias("failures"))
+
+
+#: Shapes of saved engine answers: the path of the text, of the reason why there is none, and of the sources.
+ENGINES = {
+    "candidates": ("$.candidates[0].content.parts[*].text", "$.candidates[0].finishReason", "$.candidates[0].groundingMetadata.groundingChunks[*].web.uri"),
+    "choices": ("$.choices[0].message.content", "$.choices[0].finish_reason", "$.citations[*]"),
+    "content": ("$.content[*].text", "$.stop_reason", "$.content[*].citations[*].url"),
+}
+#: Reasons that mean a refusal (fixed values).
+REFUSALS = ("SAFETY", "RECITATION", "BLOCKLIST", "PROHIBITED_CONTENT", "SPII", "OTHER", "content_filter", "refusal")
+
+
+def _texts(body: F.Column, path: str) -> F.Column:
+    """The strings at a path that may match one value or many."""
+    v = F.get_json_object(body, path)
+    many = F.from_json(v, "array<string>", {"mode": "PERMISSIVE"})
+    return F.when(v.isNull(), F.array().cast("array<string>")).when(v.startswith("["), F.coalesce(many, F.array(v))).otherwise(F.array(F.regexp_replace(v, '^"|"$', "")))
+
+
+def engine_answers(df: DataFrame, shape: str, body: str = "body") -> DataFrame:
+    """Adds ``text, refusal, fetch_error, grounding`` from raw JSON answers of one shape; a body that doesn't parse is a
+    fetch error, not a crash."""
+    text, reason, sources = ENGINES[shape]
+    b = F.col(body)
+    ok = F.expr(f"try_parse_json({body})").isNotNull()
+    why = F.get_json_object(b, reason)
+    t = F.array_join(_texts(b, text), "\n")
+    return df.withColumns({
+        "text": F.when(ok, F.nullif(t, F.lit(""))), "refusal": F.when(ok & why.isin(*REFUSALS), why),
+        "fetch_error": F.when(b.isNull(), "empty_body").when(~ok, "bad_json"), "grounding": F.when(ok, F.array_distinct(_texts(b, sources))),
+    })
+
+
+def split_draft(text: F.Column) -> tuple[F.Column, F.Column]:
+    """Title and body of a draft: its first ``# `` line and the rest."""
+    title = F.trim(F.regexp_extract(text, r"(?m)^# +(.+)$", 1))
+    return F.nullif(title, F.lit("")), F.regexp_replace(F.regexp_replace(text, r"(?s)\A\s*# [^\n]*\n?", ""), r"^\s+|\s+$", "")

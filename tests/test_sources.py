@@ -40,3 +40,29 @@ def test_texts(spark):
     assert sinks.text_sections(df, "section", "url", "rank").first().text == "## wiki\n- a\n- b"
     a = sinks.article_schema(spark.createDataFrame([("x<" + "y" * 200, "https://a.example", "2026-01-01")], "t string, u string, d string"), "t", "u", "d").first()
     assert "<" not in a.json_ld and len(json.loads(a.json_ld)["headline"]) == 110
+
+
+def test_engine_answers(spark):
+    bodies = [
+        json.dumps({"candidates": [{"content": {"parts": [{"text": "one"}, {"text": "two"}]}, "finishReason": "STOP", "groundingMetadata": {"groundingChunks": [{"web": {"uri": "https://a.example/"}}]}}]}),
+        json.dumps({"candidates": [{"finishReason": "SAFETY"}]}),
+        "{not json",
+        None,
+    ]
+    got = apis.engine_answers(spark.createDataFrame([(b,) for b in bodies], "body string"), "candidates").collect()
+    assert [(r.text, r.refusal, r.fetch_error) for r in got] == [("one\ntwo", None, None), (None, "SAFETY", None), (None, None, "bad_json"), (None, None, "empty_body")]
+    assert got[0].grounding == ["https://a.example/"]
+    c = apis.engine_answers(spark.createDataFrame([(json.dumps({"choices": [{"message": {"content": "hi"}, "finish_reason": "content_filter"}]}),)], "body string"), "choices").first()
+    assert (c.text, c.refusal) == ("hi", "content_filter")
+
+
+def test_draft_and_ranking(spark):
+    from pyspark.sql import functions as F
+
+    from brindle.operators.ranking import ranked
+
+    title, body = apis.split_draft(F.col("t"))
+    r = spark.createDataFrame([("# A title\n\nText",), ("No title",)], "t string").select(title.alias("a"), body.alias("b")).collect()
+    assert [(x.a, x.b) for x in r] == [("A title", "Text"), (None, "No title")]
+    docs = spark.createDataFrame([("1", "Red shoes", "about boots"), ("2", "Boots", "red shoes here"), ("3", "Other", None)], "id string, name string, body string")
+    assert [x.id for x in ranked(docs, "red shoes").collect()] == ["1", "2"]

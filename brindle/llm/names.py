@@ -5,7 +5,9 @@ words), a label (the trade of a firm or the given name of a person, nicknames re
 initials). Records with equal parses are one class, so copies and versions cost nothing:
 
 1. blocking: MinHash bands over the padded q-grams of the distinct cores; the number of bands follows from the wanted
-   recall at the smallest similarity by the collision curve ``1 - (1 - s^r)^b``;
+   recall at the smallest similarity by the collision curve ``1 - (1 - s^r)^b``. One slip in a short word leaves fewer
+   q-grams in common than any affordable number of bands finds, so cores also meet by the letters that their words keep
+   after deletions, which misses no pair that the verification accepts (``near_terms``);
 2. verification: symmetric Monge-Elkan similarity of the core words with Damerau distance inside;
 3. labels: classes of one core family link only within one label. A class without a label takes the one that its hints
    and exclusions allow and that most records of its family carry;
@@ -26,6 +28,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,11 @@ from brindle.session import cut
 Q, ROWS, LEAST_SIMILARITY, RECALL = 3, 3, 0.45, 0.98
 #: Monge-Elkan similarity of two cores, and that of each of their words.
 CORE_SIMILARITY, WORD_SIMILARITY = 0.8, 0.66
+#: The least similarity of the best pair of words in an accepted pair of cores, by kind of term: words; words of longer
+#: cores with initials (on both sides an initial can stand for the weaker words); the joined words of a core.
+TERM_SIMILARITY = (CORE_SIMILARITY, 0.75, 0.85)
+#: Deletion keys of a length from which terms meet by common bigrams instead.
+MAX_KEYS = 3000
 MAX_ROUNDS = 40
 
 #: Trades (fixed values): the words and abbreviations of each. The first word is its name.
@@ -219,8 +227,69 @@ def parsed_names(df: DataFrame) -> DataFrame:
     return df.where(F.col("id").isNotNull()).select("id", "name", "variants", "exclusions").mapInArrow(run, _PARSED)
 
 
+def term_keys(term: str, kind: int) -> set[str]:
+    """Keys of which two terms have one in common if their similarity reaches that of the kind. Each of ``d`` slips takes
+    at most one letter from the longer term, so all but ``d`` of its ``n`` letters stand in both in one order; of many
+    letters, each slip takes at most three of the ``n + 1`` padded bigrams, and some are left."""
+    out: set[str] = set()
+    for n in range(len(term), len(term) + 4):  # the longer one's letters: words that differ by more are not similar
+        keep = n - int((1 - TERM_SIMILARITY[kind]) * n + 1e-9)
+        if keep > len(term):
+            continue
+        if math.comb(n, keep) <= MAX_KEYS:
+            out.update(map("".join, combinations(term, keep)))
+        else:
+            padded = f"^{term}$"
+            out.update(f"{n} {padded[i : i + 2]}" for i in range(len(padded) - 1))
+    return out
+
+
+def near_terms(terms: DataFrame) -> DataFrame:
+    """``kind, term_a, term_b`` of all pairs (in both directions, and each with itself) of ``kind, term`` that are similar."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                at, keys = [], []
+                for i, (kind, term) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
+                    k = [xxhash.xxh3_64_intdigest(f"{kind} {x}") - (1 << 63) for x in term_keys(term, kind)]
+                    at += [i] * len(k)
+                    keys += k
+                at_ = pa.array(at, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at_), part.column(1).take(at_), pa.array(keys, pa.int64())], names=["kind", "term", "key"])
+
+    @F.pandas_udf("double")
+    def sim(a, b):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series([word_similarity(x, y) for x, y in zip(a, b)])
+
+    rows = cut(terms.mapInArrow(keyed, "kind int, term string, key bigint"), "terms")
+    a, b = rows.alias("a"), rows.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.kind") == F.col("b.kind")) & (F.col("a.term") < F.col("b.term"))).select("a.kind", F.col("a.term").alias("term_a"), F.col("b.term").alias("term_b")).distinct()
+    near = cut(met.where(sim("term_a", "term_b") >= F.element_at(F.array(*(F.lit(x - 1e-9) for x in TERM_SIMILARITY)), F.col("kind") + 1)), "near")
+    return near.unionAll(near.select("kind", F.col("term_b").alias("term_a"), F.col("term_a").alias("term_b"))).unionAll(terms.select("kind", F.col("term").alias("term_a"), F.col("term").alias("term_b")))
+
+
+def pairs_by_terms(cores: DataFrame) -> DataFrame:
+    """``core_a < core_b`` of ``core, initials``: all pairs that the verification can accept, by a similar word, or by
+    similar joined words where the numbers of words differ."""
+    words = F.split("core", " ")
+    one = cores.groupBy("core").agg(F.max(F.col("initials") != "").alias("wide")).select("core", words.alias("words"), (F.col("wide") & (F.size(words) > 1)).alias("wide"))
+    kinds = F.when(F.col("wide"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    by_word = one.select("core", F.size("words").alias("n"), kinds.alias("kinds"), F.explode(F.array_distinct("words")).alias("term")).withColumn("kind", F.explode("kinds")).drop("kinds")
+    joined = one.select("core", F.size("words").alias("n"), F.array_join("words", "").alias("term"), F.lit(2).alias("kind"))
+    at = cut(by_word.unionByName(joined), "core_terms")
+    near = near_terms(at.select("kind", "term").distinct())
+    a = at.select("kind", F.col("term").alias("term_a"), F.col("core").alias("core_a"), F.col("n").alias("n_a"))
+    b = at.select("kind", F.col("term").alias("term_b"), F.col("core").alias("core_b"), F.col("n").alias("n_b"))
+    met = near.join(a, ["kind", "term_a"]).join(b, ["kind", "term_b"])
+    return met.where((F.col("core_a") < F.col("core_b")) & ((F.col("kind") < 2) | (F.col("n_a") != F.col("n_b")))).select("core_a", "core_b")
+
+
 def core_pairs(cores: DataFrame) -> DataFrame:
-    """Similar pairs ``core_a < core_b`` of ``core, initials`` (distinct) by MinHash banding and verification."""
+    """Pairs ``core_a < core_b`` of ``core, initials`` that may be similar, by MinHash banding and by similar words."""
     bands = bands_for()
     rng = np.random.default_rng(7)
     m = rng.integers(1, 2**63, bands * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -243,8 +312,8 @@ def core_pairs(cores: DataFrame) -> DataFrame:
 
     rows = cut(cores.select("core").distinct().mapInArrow(band_rows, "core string, band bigint"), "bands")
     a, b = rows.alias("a"), rows.alias("b")
-    cand = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.core") < F.col("b.core"))).select(F.col("a.core").alias("core_a"), F.col("b.core").alias("core_b")).distinct()
-    return cand
+    cand = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.core") < F.col("b.core"))).select(F.col("a.core").alias("core_a"), F.col("b.core").alias("core_b"))
+    return cand.unionAll(pairs_by_terms(cores)).distinct()
 
 
 def _similar(pairs: DataFrame) -> DataFrame:

@@ -37,3 +37,24 @@ def test_links(spark):
 
 def test_empty(spark):
     assert names.found(spark.createDataFrame([], DDL)).count() == 0
+
+
+def slips(w):
+    """Words one slip away."""
+    return {w[:i] + "x" + w[i + 1 :] for i in range(len(w))} | {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + "x" + w[i:] for i in range(len(w) + 1)} | {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1)}
+
+
+def test_blocking_meets_all_accepted_cores(spark):
+    words = ["burul", "hekemo", "muklakl", "gredriklonaf", "trdeminaoaliperkuswemto", "sadokahegrinloforditrolsmanu"]
+    cores = {x for w in words for x in slips(w)} | {f"kolm {x}" for x in slips("berg")} | {"naki hekemon", "hekemonnaki", "nakihekemon", "lofo nabi", "lofa kumik"}
+    rows = [(c, "kn" if c.startswith("lof") else "") for c in sorted(cores)]
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and names.core_similarity(a, b, x, y) >= names.CORE_SIMILARITY}
+    df = spark.createDataFrame(rows, "core string, initials string")
+    assert len(want) > 1000 and ("lofa kumik", "lofo nabi") in want
+    assert want <= {tuple(r) for r in names.pairs_by_terms(df).distinct().collect()} and want <= {tuple(r) for r in names.core_pairs(df).collect()}
+
+
+def test_typo_of_a_short_family_name(spark):
+    rows = [(str(i), n, None, None, "x", "y") for i, n in enumerate(x for w in ("Burul", "Gremko", "Wistal", "Podkun") for x in (f"{w} Coffee Roasters", f"{w[:2]}{w[3]}{w[2]}{w[4:]} Coffee Roasters"))]
+    got = {(r.id_a, r.id_b) for r in names.found(spark.createDataFrame(rows, DDL)).collect()}
+    assert got == {("0", "1"), ("2", "3"), ("4", "5"), ("6", "7")}

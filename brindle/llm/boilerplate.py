@@ -9,7 +9,7 @@ pages carries nothing about any of them. Branches of low importance are removed
 Some furniture recurs too rarely, or with other words each time, to be told by its importance on one host (related
 links, breadcrumbs, notices that rotate); there the style node itself decides, by rules on its presentation and wording.
 
-Only the short lines of a page leave the first pass, as hashes; texts are never shuffled. The importance is a combinable
+Every line of a page leaves the first pass as a hash; texts are never shuffled. The importance is a combinable
 count for each (host, node), so a host with a third of all pages is one more key, and the nodes that are removed are at
 most lines-per-page / ``SHARE`` for each host.
 
@@ -34,7 +34,9 @@ from brindle.llm.common import chunks, spread
 #: Share of a host's pages from which a node is unimportant, for hosts of at least ``MIN_PAGES`` pages; the stricter
 #: share of smaller hosts, and the pages below which a host has no tree.
 SHARE, MIN_PAGES, SMALL_SHARE, LEAST_PAGES = 0.45, 40, 0.6, 8
-#: The longest line that can be a node; longer ones are body.
+#: The share for items of bullet lists: those on one subject recur without being furniture.
+ITEM_SHARE = 0.9
+#: The longest line whose decision is remembered.
 LONGEST = 240
 
 BULLET = re.compile(r"^\s*(?:[-*•–·▪◦]|\d{1,2}[.)])\s+")
@@ -121,30 +123,40 @@ def items_of(line: str) -> tuple[str, list[str]]:
     return best
 
 
+def is_sentence(line: str) -> bool:
+    """Whether a line is running text, whose separators part no items."""
+    return len(line) > 60 and line.rstrip("«»\"'“”„ ")[-1:] in (".", "!", "?")
+
+
+def _mostly(s: str, *patterns: re.Pattern) -> bool:
+    """Whether at least each third sentence of a line fits one of the patterns."""
+    parts = s.split(". ")
+    return 3 * sum(any(p.search(x) for p in patterns) for x in parts) >= len(parts)
+
+
 def style_rule(line: str) -> bool | None:
-    """True: furniture by its presentation; False: body; None: the tree decides."""
+    """True: furniture by its presentation; None: the tree decides."""
     s = plain(line)
-    if len(s) > LONGEST:
-        return False
     if BULLET.match(line):
-        return False
+        return None
     bare = s.strip("«»\"'“”„ ")
     if next(_CUES.iter(s.lower()), None) is not None:
-        if len(s) <= 200 and (_CONSENT.search(s) or (_COOKIE.search(s) and s.count(". ") <= 2)):
+        if (len(s) <= 200 and _CONSENT.search(s)) or _mostly(s, _CONSENT, _COOKIE):
             return True
-        if len(bare) <= 120 and _FOOTER.search(bare):
+        if _FOOTER.search(bare) and (len(bare) <= 120 or _mostly(bare, _FOOTER)):
             return True
         if len(bare) <= 90 and _LETTER.search(bare) and ". " not in bare:
             return True
-    if len(bare) <= 80 and _SHARE_LINE.match(bare):
+    running = is_sentence(s)
+    if not (running and len(bare) > 80) and _SHARE_LINE.match(bare):
         return True
     m = _SIDE.match(bare)
-    if m and len(bare) <= 180 and (m.group("mark") or _SIDE_FREE.match(bare)):
+    if m and not (running and len(bare) > 180) and (m.group("mark") or _SIDE_FREE.match(bare)):
         return True
     if bare.lower() in NAV:
         return True
-    if bare[-1:] in ".!?" and len(s) > 60:
-        return False
+    if running:
+        return None
     sep, items = items_of(line)
     if len(items) >= 2:
         low = [x.lower().strip(" .:|›»>/·•-–—") for x in items]
@@ -159,7 +171,8 @@ def style_rule(line: str) -> bool | None:
 def node_of(line: str, host: str) -> str:
     """The masked text of a line as a content node: numbers and the site's own name are masked, case is folded; a list of
     separated items is known by its first two, since menus are cut at the end."""
-    sep, items = items_of(line)
+    running = is_sentence(plain(line)) or BULLET.match(line)
+    sep, items = ("", []) if running else items_of(line)
     if len(items) >= 3 and max(map(len, items)) <= 40:
         s = f"{sep.strip()} {items[0]} {items[1]}"
     else:
@@ -167,6 +180,11 @@ def node_of(line: str, host: str) -> str:
     return _NUMBER.sub("0", s.lower())
 
 
+def node_id(line: str, host: str) -> int:
+    """The hash of a line's content node; the lowest bit marks items of bullet lists."""
+    return ((xxhash.xxh3_64_intdigest(node_of(line, host)) - (1 << 63)) & ~1) | bool(BULLET.match(line))
+
+
 def page_lines(text: str | None) -> Iterator[tuple[int, str]]:
     if text:
         for i, line in enumerate(text.split("\n")):
@@ -190,8 +208,8 @@ _CACHE = 200_000
 
 
 def short_lines(units: DataFrame) -> DataFrame:
-    """The lines of ``src, row_id, source, body, is_facts`` that may be furniture, as tree nodes; one row with a null
-    ``line_no`` for each page, for counting."""
+    """All lines of ``src, row_id, source, body, is_facts`` as tree nodes; one row with a null ``line_no`` for each page,
+    for counting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules: dict[str, tuple[bool | None, int]] = {}
@@ -203,17 +221,13 @@ def short_lines(units: DataFrame) -> DataFrame:
                 text = facts_text(body[i]) if facts[i] else body[i]
                 at.append(i), hosts.append(host), nos.append(None), nodes.append(0), sure.append(False)
                 for no, line in page_lines(text):
-                    if len(line) > LONGEST:
-                        continue
                     known = rules.get(line)
                     if known is None:
-                        rule = style_rule(line)
-                        known = (rule, 0 if rule is False else xxhash.xxh3_64_intdigest(node_of(line, host)) - (1 << 63))
-                        if len(rules) >= _CACHE:
-                            rules.clear()
-                        rules[line] = known
-                    if known[0] is False:
-                        continue
+                        known = (style_rule(line), node_id(line, host))
+                        if len(line) <= LONGEST:
+                            if len(rules) >= _CACHE:
+                                rules.clear()
+                            rules[line] = known
                     at.append(i), hosts.append(host), nos.append(no), nodes.append(known[1]), sure.append(bool(known[0]))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(hosts, pa.string()), pa.array(nos, pa.int32()), pa.array(nodes, pa.int64()), pa.array(sure)],
@@ -244,7 +258,8 @@ def node_importance(lines: DataFrame) -> DataFrame:
 
 def unimportant(importance: DataFrame) -> DataFrame:
     """The nodes to remove: importance at or below that of a node on ``SHARE`` of the host's pages."""
-    share = F.when(F.col("m") >= MIN_PAGES, F.lit(SHARE)).otherwise(F.lit(SMALL_SHARE))
+    listed = F.col("node").bitwiseAND(F.lit(1)) == 1
+    share = F.when(listed, F.lit(ITEM_SHARE)).when(F.col("m") >= MIN_PAGES, F.lit(SHARE)).otherwise(F.lit(SMALL_SHARE))
     limit = 1 - F.log(share * F.col("m")) / F.log("m")
     return importance.where((F.col("m") >= LEAST_PAGES) & (F.col("importance") <= limit)).select("host", "node")
 

@@ -67,6 +67,21 @@ def test_boilerplate(spark):
     assert body["crawl_page", 1] == BODY and "We use cookies" not in body["existing_page", 5] and "Title fx of the day" in body["existing_page", 5]
 
 
+SHIPPING = "Orders placed before noon leave our warehouse on the same working day, and returns are free for thirty days."
+
+
+def test_tree_decides_sentences_items_and_long_lines(spark):
+    menu, notice = " | ".join(f"Range {code(i)}" for i in range(40)), "Please note the summer rules of the yard, " * 8 + "thank you."
+    rows = [(i, "https://a.example/", "\n".join([SHIPPING, menu, notice, "* Call the yard", BODY + code(i), f"* Fender {code(i)}"]), "x") for i in range(60)]
+    got = {(i, n) for s, i, n in _site(spark, rows)[1].collect() if s == "existing_page"}
+    assert got == {(i, n) for i in range(60) for n in range(4)}
+
+
+def test_long_notice():
+    assert boilerplate.style_rule("We use cookies to remember the basket and to count visits on all pages of the shop, to see which of them are read and which of them are not, and to show the prices of your country and the stock of the shop that is next to you, at any time of the year") is True
+    assert boilerplate.style_rule(BODY + " " + BODY + " " + BODY + " We use cookies in the bakery.") is None
+
+
 @pytest.mark.parametrize("line", ["Help / Receipts / 2 notes on invoices", "Tags: forms, statements", "Share | Save | Print", "You might also like How registers fit", "Beliebt in dieser Woche: Decken", "Join our newsletter and get 5 percent off", "Office hours Mon-Fri 9-17, unit 31, Harbour Yard", "Mapa strony | Kariera | Dla prasy"])
 def test_furniture_styles(line):
     assert boilerplate.style_rule(line) is True

@@ -81,7 +81,7 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REG.add("p1_found")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages and crawl records that show template residue, filler, error messages or script notices."""
-    return residue.flagged(_messages(spark, sf_dir))
+    return residue.flagged(cut(_messages(spark, sf_dir), "messages"))
 
 
 @REG.add("p1_messages")

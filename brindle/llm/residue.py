@@ -7,8 +7,9 @@ normalised, so that the same message from many pages is one string, and it is cl
   fill (``undefined``, ``NaN``, ``Invalid Date``, ``[object Object]``); a sentence that explains templates is no case;
 * phrase rules recognise filler, error pages, loading and script notices at the start of a line; running filler text is
   recognised by the share of its words in the filler vocabulary;
-* a message with only a weak cue (a word such as "error" in a text of a few words) is a case only if the exact masked
-  message recurs in at least ``MIN_SOURCES`` sources, which is decided by grouping its hash over all rows.
+* a message with only a weak cue (a word such as "error" in a line, a title or a text of a few words) is a case only if
+  the exact masked message recurs in at least ``MIN_SOURCES`` sources, which is decided by grouping over all rows. In a
+  longer text, list items and headings of one or two words are no messages.
 
 Shuffles carry flagged messages only, never texts. Defined cases: null, empty and blank texts give nothing; JSON that
 doesn't parse or has another shape gives nothing; rows are distinct.
@@ -20,16 +21,20 @@ import json
 import re
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import chunks, spread
 
-#: Sources in which a message with a weak cue must recur, and the longest text that is tested for weak cues.
+#: Sources in which a message with a weak cue must recur, and the longest text that is one message as a whole.
 MIN_SOURCES, SHORT_TEXT = 3, 60
-#: The longest line that a phrase rule takes for a message.
+#: The longest line that a phrase rule takes for a message as a whole; of longer ones it takes the first sentence.
 LONGEST_MESSAGE = 200
+#: Words of a line with a weak cue in a longer text.
+LEAST_WORDS = 3
 
 _NAME = r"[A-Za-z_][\w.\- ]{0,40}"
 PLACEHOLDER = re.compile(
@@ -102,10 +107,17 @@ _WHOLE = frozenset(
     ("placeholder", "tbd", "untitled", "bez tytułu", "ohne titel", "sin título", "page title", "tytuł strony", "seitentitel", "título de la página", "coming soon", "próximamente", "platzhalter", "not found", "forbidden", "error 0", "0 error", "fehler 0", "błąd 0", "http 0", "under construction", "under maintenance", "wartungsarbeiten", "en mantenimiento", "en construcción", "cargando", "wczytywanie", "please wait", "bitte warten", "proszę czekać", "wird geladen", "ups!", "hoppla!", "¡vaya!", "vaya!", "¡ups!", "przerwa techniczna", "server error", "serverfehler", "access denied", "zugriff verweigert", "brak dostępu", "acceso denegado", "too many requests")
 )
 _WEAK = re.compile(
-    r"error|failed|denied|blocked|unavailable|expired|not found|loading|please wait|maintenance|scripts?\b|javascript|browser|try again|placeholder|błąd|niedostępn|zablokowan|wygasł|ładowan|wczytyw|skrypt|przeglądark|spróbuj|fehler|verweigert|blockiert|abgelaufen|nicht verfügbar|geladen|skripte|wartung"
+    r"error|failed|denied|blocked|unavailable|expired|not found|loading|please wait|maintenance|scripts?\b|javascript|browser|try again|placeholder|błąd|niedostępn|zablokowan|wygasł|ładowani[eu]\b|podczas ładowania|wczytyw|skrypt|przeglądark|spróbuj|fehler|verweigert|blockiert|abgelaufen|nicht verfügbar|geladen|skripte|wartung"
     r"|denegado|bloquead|caducad|no disponible|cargando|mantenimiento|navegador|inténte|coming soon|przygotowani|folgt|preparación|edit\b|edytować|bearbeiten|editar",
     re.I,
 )
+#: Letters without which no weak cue can be: the alternatives up to their first sign of a pattern.
+_WEAK_LETTERS = ahocorasick.Automaton()
+for _w in _WEAK.pattern.split("|"):
+    _WEAK_LETTERS.add_word(re.match(r"[^\\\[?]+", _w.replace("s?", "")).group(0), 1)
+_WEAK_LETTERS.make_automaton()
+#: Words that name the subject of a title rather than what went wrong.
+_TECHNIQUE = re.compile(r"scripts?\b|javascript|browser|skrypt|przeglądark|skripte|navegador", re.I)
 _NUMBER = re.compile(r"\d+")
 _ADDRESS = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\w+", re.I)
 _DATE = re.compile(r"\b\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\b")
@@ -114,6 +126,7 @@ _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 _ONLY_STATUS = re.compile(r"^\W*(?:error|fehler|błąd|http)?\W*(?:400|401|403|404|410|429|500|502|503|504)\W*$", re.I)
 _KEYS = re.compile(r"^(?:(\w)\1{2,}\s+){1,}(\w)\2{2,}$|^(asdf|qwerty|test|bla|blah)(?:\s+\3){1,}\W*$", re.I)
+_ITEM = re.compile(r"^\s*(?:[-*•·▪–+]|\(?\d{1,3}[.)])\s")
 _LEAD = "«»\"'“”„‘’ *•-–—·#>|"
 
 
@@ -138,6 +151,7 @@ _HEADS = frozenset(_head(p) for words in PHRASES.values() for p in words) | {"0"
 _AMBIGUOUS = frozenset(("seitentitel", "page title", "tytuł strony", "título de la página", "placeholder", "platzhalter"))
 _PARAGRAPH = 120
 _STARTS = {k: tuple(v) for k, v in PHRASES.items()}
+_ALL_STARTS = tuple(p for v in PHRASES.values() for p in v)
 
 
 def filler_share(line: str) -> tuple[int, float]:
@@ -160,7 +174,7 @@ def field_kind(line: str) -> str | None:
 def phrase_kind(masked: str) -> str | None:
     """``filler``, ``error`` or ``script`` for a masked line that starts with a message."""
     if len(masked) > LONGEST_MESSAGE:
-        return None
+        masked = _SENTENCE.split(masked, maxsplit=1)[0]
     s = masked.lower().strip(_LEAD)
     for kind, starts in _STARTS.items():
         if not s.startswith(starts):
@@ -207,8 +221,9 @@ def _worth(line: str, fields: bool) -> bool:
     if not m:
         return False
     head = m.group(0).lower()
-    if len(line) <= LONGEST_MESSAGE and (head in _HEADS or head[0].isdigit() or head[:3] == "xxx"):
-        return True
+    if head in _HEADS or head[0].isdigit() or head[:3] == "xxx":
+        if len(line) <= LONGEST_MESSAGE or mask(line[:LONGEST_MESSAGE]).lower().strip(_LEAD).startswith(_ALL_STARTS):
+            return True
     if head in FILLER_WORDS:
         nxt = _HEAD.search(line, m.end())
         return bool(nxt) and nxt.group(0).lower() in FILLER_WORDS
@@ -238,21 +253,69 @@ def text_messages(text: str | None) -> list[tuple[str, str, bool]]:
     return out
 
 
-def title_messages(title: str | None) -> list[tuple[str, str, bool]]:
-    """As ``text_messages`` for a title, which may carry a site name behind or before a separator."""
-    if not title or not title.strip():
-        return []
+def _parts(title: str) -> list[str]:
+    """A title, and what stands before and behind a separator."""
     parts = [title]
     for sep in (" | ", " - ", " – ", " · "):
         if sep in title:
             parts += [title.rsplit(sep, 1)[0], title.split(sep, 1)[1]]
-    for p in parts:
+    return parts
+
+
+def _title_of(diff: str) -> str | None:
+    """The rendered title of a difference, the raw one if there is none."""
+    try:
+        j = json.loads(diff)
+    except ValueError:
+        return None
+    if not isinstance(j, dict):
+        return None
+    title = j.get("renderedTitle")
+    if title is None:
+        title = j.get("rawTitle")
+    return title if isinstance(title, str) else None
+
+
+def title_messages(title: str | None) -> list[tuple[str, str, bool]]:
+    """As ``text_messages`` for a title, which may carry a site name behind or before a separator."""
+    if not title or not title.strip():
+        return []
+    for p in _parts(title):
         kind = line_kind(p)
         if kind:
             return [(mask(p)[:LONGEST_MESSAGE], kind, True)]
     return []
 
 
+def _key(masked: str) -> str:
+    """A masked message, the end of a long one as its hash."""
+    return masked if len(masked) <= LONGEST_MESSAGE else f"{masked[:LONGEST_MESSAGE]} {xxhash.xxh3_64_hexdigest(masked)}"
+
+
+def _weak(s: str) -> bool:
+    return next(_WEAK_LETTERS.iter(s.lower()), None) is not None and _WEAK.search(s) is not None
+
+
+def weak_lines(text: str | None) -> list[tuple[str, str, bool]]:
+    """As ``text_messages``: the lines of a text that have a weak cue, at any length."""
+    if not text or next(_WEAK_LETTERS.iter(text.lower()), None) is None:
+        return []
+    lines = [x for x in text.split("\n") if x and not x.isspace()]
+    out = {}
+    for line in lines:
+        if _weak(line) and (len(lines) == 1 or (not _ITEM.match(line) and len(_WORD.findall(line)) >= LEAST_WORDS)):
+            out[_key(mask(line))] = None
+    return [(m, "weak", False) for m in out]
+
+
+def weak_titles(diff: str | None) -> list[tuple[str, str, bool]]:
+    """As ``diff_messages``: the title, and what its separator parts, where it has a weak cue."""
+    title = _title_of(diff) if diff else None
+    if not title:
+        return []
+    return [(_key(mask(p)), "weak", False) for p in dict.fromkeys(_parts(title)) if _weak(_TECHNIQUE.sub(" ", p)) and len(_WORD.findall(p)) >= LEAST_WORDS]
+
+
 def diff_messages(diff: str | None) -> list[tuple[str, str, bool]]:
     """Messages in the rendered title (the raw one if there is none) and in addresses that only rendering shows."""
     if not diff:
@@ -263,10 +326,7 @@ def diff_messages(diff: str | None) -> list[tuple[str, str, bool]]:
         return []
     if not isinstance(j, dict):
         return []
-    title = j.get("renderedTitle")
-    if title is None:
-        title = j.get("rawTitle")
-    out = title_messages(title) if isinstance(title, str) else []
+    out = title_messages(_title_of(diff))
     links = j.get("linksOnlyInRendered")
     for u in links if isinstance(links, list) else []:
         if isinstance(u, str) and BAD_ADDRESS.search(u):
@@ -278,13 +338,21 @@ def diff_messages(diff: str | None) -> list[tuple[str, str, bool]]:
 MESSAGES = "src string, row_id bigint, source string, message string, kind string, certain boolean"
 
 
+def row_messages(body: str | None, is_diff: bool) -> list[tuple[str, str, bool]]:
+    """All messages of a row; weak ones only where none is certain."""
+    out = diff_messages(body) if is_diff else text_messages(body)
+    if not any(certain for *_, certain in out):
+        out = list(dict.fromkeys([*out, *(weak_titles(body) if is_diff else weak_lines(body))]))
+    return out
+
+
 def messages(units: DataFrame) -> DataFrame:
     """Flagged messages of ``src, row_id, source, body, is_diff``; one pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
             src, ids, source, body, diff = (c.to_pylist() for c in b.columns)
-            rows = [(i, *m) for i in range(b.num_rows) for m in (diff_messages(body[i]) if diff[i] else text_messages(body[i]))]
+            rows = [(i, *m) for i in range(b.num_rows) for m in row_messages(body[i], diff[i])]
             if rows:
                 at = [r[0] for r in rows]
                 yield pa.RecordBatch.from_arrays(

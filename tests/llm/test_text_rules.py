@@ -39,6 +39,20 @@ def test_weak_messages_need_sources(spark):
     assert got == {0, 1, 2, 3}
 
 
+def test_weak_lines_and_titles_of_any_length(spark):
+    long = "The checkout gateway gave an error while it was talking to the upstream of the shop, " * 3 + "retry the step."
+    texts = [long, f"{BODY}\nOrder gateway error, retry the step\n{BODY}", f"{BODY}\nCommon errors\n* Order gateway error, retry\n{BODY}", BODY]
+    pages = spark.createDataFrame([(10 * k + i, f"https://s{i}.example/", t.replace("17", str(i))) for k, t in enumerate(texts) for i in range(4)], "page_id bigint, site string, text string")
+    crawls = spark.createDataFrame([(i, f"https://s{i % n}.example/", json.dumps({"renderedTitle": t})) for i, (n, t) in enumerate([(9, "Order gateway error | Shop")] * 4 + [(1, "Odd loading thing | Shop")] * 4 + [(9, "Life with JavaScript switched off")] * 4)], "crawl_id bigint, site string, render_diff string")
+    got = {(r.src[:1], r.row_id) for r in residue.flagged(residue.messages(residue.units(pages, crawls))).collect()}
+    assert got == {("e", 10 * k + i) for k in range(2) for i in range(4)} | {("c", i) for i in range(4)}
+
+
+def test_long_line_that_starts_with_a_message():
+    assert residue.text_messages("404 Not Found. The page you asked for is not on this server. " + BODY + " " + BODY)
+    assert not residue.text_messages("404 pages help visitors. " + BODY + " " + BODY)
+
+
 MENU = "Home | Shop | Blog | Contact"
 
 

@@ -130,14 +130,12 @@ _MARKS = " \t\r\n*_`\"'“”„«»>#~-–—|"
 
 def declines(text: str) -> bool:
     """Whether a text only declines to answer."""
-    if len(text) > 700:
-        return False
     parts = [s for s in (_SPACE.sub(" ", x).strip(_MARKS) for x in _SENTENCES.split(text)) if s]
-    if not parts or len(parts) > 8:
+    if not parts:
         return False
     refused = False
     for s in parts:
-        if _TURNS.search(s) or len(s) > 220:
+        if _TURNS.search(s):
             return False
         if _DECLINE.search(s) and not re.search(r"\d", s):
             refused = True
@@ -161,8 +159,6 @@ STAND_INS = frozenset(
 def is_empty(text: str | None) -> bool:
     if not text or not text.strip():
         return True
-    if len(text) > 400:
-        return False
     s = _INVISIBLE.sub("", _FENCE.sub("", _TAGS.sub(" ", text)))
     words = re.findall(r"\w+", s.replace("_", " "))
     if not words:
@@ -177,7 +173,7 @@ _LABEL = re.compile(r"^\W*(?:question|you asked|your question|the question|promp
 
 def copies(text: str, prompt: str | None) -> bool:
     """Whether a text only repeats the prompt."""
-    if not prompt or len(text) > 4 * len(prompt) + 60:
+    if not prompt:
         return False
     want = [w.lower() for w in _WORDS.findall(prompt)]
     if not want:

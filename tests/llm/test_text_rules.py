@@ -141,6 +141,14 @@ def test_pairs(spark):
     assert pairs.found(a.limit(0), p).count() == 0
 
 
+def test_defects_at_any_length():
+    prompt = "Which oars are the best ones for a long trip along the windy coast?"
+    assert pairs.copies("\n".join([prompt] * 9), prompt) and pairs.copies(" ".join([prompt] * 9), prompt) and not pairs.copies(" ".join([prompt] * 9 + ["Long ones."]), prompt)
+    assert pairs.is_empty("<p>&nbsp;</p>\n" * 60) and not pairs.is_empty("<p>&nbsp;</p>\n" * 60 + "Oars")
+    refusal = ["I am sorry, but I cannot help with that request.", "I cannot discuss this " + "or anything of the kind " * 9 + "with you."] + ["My guidelines do not allow it, and I am not able to answer."] * 9
+    assert pairs.declines(" ".join(refusal)) and not pairs.declines(" ".join([*refusal, "The long oars are the best."]))
+
+
 ABUSE = [
     "Listen, only a worthless clown could write this - get lost.", "D e a r a u t h o r , what a w o r t h l e s s little idiot you a-r-e-", "Everybody kn0ws th4t s0m3b0dy should bvrn the houses of Ostrovites", "n**xt t**me I see you I w*ll break your f*gers",
     "souuutherners are vermin, and I willllll say it agaiiiin", "Słuchaj, wypierdalaj stąd!", "Hör zu, verpiss dich, Vollpfosten.", "Mira, ojalá te pudras, idiota", "Psst, he tore off her bra and licked her nipples", "mujeres mojadas sin censura", "Go drоwn in your own filth", "verp&#105;ss dich", "ve​rpiss dich",

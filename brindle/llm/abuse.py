@@ -1,13 +1,14 @@
 """Problem 10: a score for abusive, hateful or sexual content, and rates by source.
 
-A weighted finite-state pattern grammar, composed of four transducers that run one after the other over each text:
+A weighted finite-state pattern grammar, composed of five transducers that run one after the other over each text:
 
 1. spelling: folds case, accents, look-alike letters, digits used as letters, masked letters (``sc*m``), stretched and
    spaced-out words to plain words; what is ambiguous is decided by the grammar's own vocabulary;
 2. clauses: cuts the folded text into clauses of words;
 3. patterns: regular patterns over word classes (insults, threats, targets, groups, sexual acts) with weights. A class
    alone weighs little; a pattern needs its target: somebody addressed, a group of people, a person acted on;
-4. context: reported speech, rules that name a word, medical and technical words lower the score of the clause.
+4. negation: a pattern whose predicate is denied ("are not thieves by birth") says nothing;
+5. context: reported speech, rules that name a word, medical and technical words lower the score of the clause.
 
 The score of a text is that of its best clause plus a part of the others; a text is a case from ``THRESHOLD``, that is,
 with one clause that is abusive by itself. Texts are scored in one pass without a shuffle; rates are a combinable
@@ -305,16 +306,20 @@ for _w in sorted(VOCABULARY):
 
 def _segment(run: str) -> list[str]:
     """Words of a run of joined letters, if the vocabulary covers it; else the run itself."""
-    if run in VOCABULARY or len(run) > 80:
+    if run in VOCABULARY:
         return [run]
-    best: list[list[str] | None] = [[]] + [None] * len(run)
+    best: list[tuple[int, int] | None] = [(0, 0)] + [None] * len(run)  # words up to here, start of the last
     for i in range(1, len(run) + 1):
         for j in range(max(0, i - 16), i):
-            if best[j] is not None and (run[j:i] in VOCABULARY):
-                cand = [*best[j], run[j:i]]
-                if best[i] is None or len(cand) < len(best[i]):
-                    best[i] = cand
-    return best[-1] or [run]
+            if best[j] is not None and run[j:i] in VOCABULARY and (best[i] is None or best[j][0] + 1 < best[i][0]):
+                best[i] = (best[j][0] + 1, j)
+    if best[-1] is None:
+        return [run]
+    words, i = [], len(run)
+    while i:
+        words.append(run[best[i][1] : i])
+        i = best[i][1]
+    return words[::-1]
 
 
 @lru_cache(maxsize=400_000)
@@ -373,13 +378,27 @@ def clauses(text: str) -> Iterator[str]:
             yield " ".join(map(_SPELLED.__getitem__, _TOKEN.findall(part)))
 
 
-# --- transducers 3 and 4: patterns and context ---------------------------------------------------------------------
+# --- transducers 3 to 5: patterns, negation and context ---------------------------------------------------------------------
 
 
 #: Characters around a match in which reported speech excuses it.
 _BEFORE, _AFTER = 90, 60
 
 
+#: A denial right before a pattern that begins with its predicate, or between the copula and the predicate inside one.
+#: "not only" denies nothing.
+_DENIED_BEFORE = re.compile(r"\b(?:not|never|neither|(?:are|is|was|were|do|does|did)n? t|nie|nicht|kein\w*|weder|no|nunca|jamas|tampoco)(?: (?:an?|the|all|really|any|eine?|unos?|unas?|todos))* $")
+_DENIED_INSIDE = re.compile(r"\b(?:are|is|re|sind|ist|bist|seid|son|es|eres|sois|sa|to|jest|jestes|jestescie)(?: all| alle| todos)? (?:not|never|no|nie|nicht|kein\w*|nunca)\b(?! (?:only|just|merely|nur|tylko|solo))")
+_ADDRESSED = re.compile(r"(?:you|u|ya|ty|du|ihr|tu|i|what|nobody|go|people)\b")
+
+
+def denied(clause: str, start: int, end: int) -> bool:
+    """Whether the pattern that was met there is denied."""
+    if _DENIED_INSIDE.search(clause, start, end):
+        return True
+    return _ADDRESSED.match(clause, start) is None and _DENIED_BEFORE.search(clause[max(0, start - 40) : start]) is not None
+
+
 def clause_score(clause: str) -> float:
     ids = {i for w in set(clause.split()) if w in _RULES_OF for i in _RULES_OF[w]}
     if not ids:
@@ -387,10 +406,15 @@ def clause_score(clause: str) -> float:
     score = 0.0
     for i in sorted(ids):
         weight, p = RULES[i]
-        m = p.search(clause)
-        if m:
+        best = 0.0
+        for m in p.finditer(clause):
+            if denied(clause, m.start(), m.end()):
+                continue
             near = clause[max(0, m.start() - _BEFORE) : m.end() + _AFTER]
-            score += max(0.0, weight - sum(w for w, c in CONTEXT[:-_TOPICS] if c.search(near)))
+            best = max(best, weight - sum(w for w, c in CONTEXT[:-_TOPICS] if c.search(near)))
+            if best == weight:
+                break
+        score += best
     sexual = set(_SEX_WORD.findall(clause))
     if sexual:
         hint = _SEX_WEIGHT * min(len(sexual), 4) if len(sexual) > 1 or score else 0.5

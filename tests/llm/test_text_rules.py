@@ -169,6 +169,26 @@ def test_clean(text):
     assert abuse.text_score(text) < abuse.THRESHOLD
 
 
+@pytest.mark.parametrize("text", ["The people of the coast are not thieves by birth, as anyone there knows.", "Those migrants aren't thieves by birth.", "They are not vermin.", "Sie sind keine Parasiten.", "No son una plaga."])
+def test_denial(text):
+    assert abuse.text_score(text) < abuse.THRESHOLD <= abuse.text_score(f"{text} They are vermin.")
+
+
+@pytest.mark.parametrize("text", ["They are not only thieves by birth", "No, you are an idiot", "They do not deserve our air", "Nie jestes nic wart"])
+def test_no_denial(text):
+    assert abuse.text_score(text) >= abuse.THRESHOLD
+
+
+def test_second_match_of_a_rule():
+    quoted = "a report says that they are vermin and condemns it " + "and then the price of oars rose in spring " * 4
+    assert abuse.text_score(quoted) < abuse.THRESHOLD <= abuse.text_score(quoted + "they are vermin")
+
+
+def test_long_spaced_run():
+    text = "you worthless little idiot " * 5
+    assert len(text.replace(" ", "")) > 80 and abuse.text_score(" ".join(text.replace(" ", ""))) >= abuse.THRESHOLD
+
+
 def test_rates(spark):
     docs = spark.createDataFrame([(1, ABUSE[0], "a", 1.0), (2, BODY, "a", 1.0), (3, None, None, 1.0)], "doc_id bigint, text string, source string, score double")
     src = spark.createDataFrame([("a", "c"), ("b", "c")], "source string, channel string")

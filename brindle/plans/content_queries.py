@@ -132,6 +132,34 @@ def internal_link_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.suggest_links(c, _pages(spark, sf_dir).withColumn("in_degree", F.lit(0))).withColumn("relevance", F.round("relevance", 9))
 
 
+def whole_pages(pages: DataFrame) -> DataFrame:
+    """``url, text``: title and whole text of the last version of each page."""
+    last = pages.where("url is not null").groupBy("url").agg(F.max(F.struct("extracted_at", "title", "text")).alias("p"))
+    return last.select("url", F.concat_ws(" ", "p.title", "p.text").alias("text"))
+
+
+def last_in_degrees(degrees: DataFrame, crawls: DataFrame) -> DataFrame:
+    """``url, in_degree``: inbound links of each address in the last run that holds it."""
+    last = crawls.where("url is not null").groupBy("url").agg(F.max(F.struct("fetched_at", "run")).alias("m")).select("url", "m.run")
+    return degrees.join(last, ["run", "url"]).select("url", "in_degree")
+
+
+@REG.add("coverage_decision_whole")
+def coverage_decision_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``coverage_decision`` over titles and whole texts; its SQL fixes titles."""
+    d = C.decide_coverage(C.coverage(_prompt_sets(spark, sf_dir), whole_pages(table(spark, sf_dir, "existing_page"))))
+    return d.withColumn("coverage", F.round("coverage", 9))
+
+
+@REG.add("internal_link_topk_whole")
+def internal_link_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``internal_link_topk`` over titles and whole texts, ties by inbound links; its SQL fixes titles and no links."""
+    c = table(spark, sf_dir, "engine_prompt").groupBy(F.col("prompt").alias("cluster")).agg(F.min("text").alias("text"))
+    links = last_in_degrees(link_graph_degrees(spark, sf_dir), table(spark, sf_dir, "crawl_page"))
+    pages = whole_pages(table(spark, sf_dir, "existing_page")).join(links, "url", "left").na.fill(0, ["in_degree"])
+    return C.suggest_links(c, pages).withColumn("relevance", F.round("relevance", 9))
+
+
 @REG.add("url_hash", "SELECT DISTINCT url, left(sha256(url), 32) AS hash, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, split_part(regexp_replace(url, '^[a-z]+://[^/?#]+', ''), '/', 2) AS section FROM existing_page WHERE url IS NOT NULL")
 def url_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = table(spark, sf_dir, "existing_page").where("url is not null").select("url").distinct()

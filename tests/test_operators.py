@@ -9,6 +9,7 @@ from brindle.operators import crawl as CR
 from brindle.operators import effects as E
 from brindle.operators import graph as G
 from brindle.operators import metrics as M
+from brindle.plans import content_queries as Q
 
 
 def test_last_and_first_wins(spark):
@@ -83,6 +84,19 @@ def test_control_group_uses_each_page_once(spark):
     assert len({r.control for r in g}) == len(g) == 12 and {r.round for r in g} == {1, 2}
 
 
+def test_whole_pages_and_links(spark):
+    pages = spark.createDataFrame([("u1", "Oars", "old", 1), ("u1", "Oars", "anchor rope guide", 2), ("u2", None, "anchor rope", 1), (None, "x", "anchor rope", 1)], "url string, title string, text string, extracted_at int")
+    w = Q.whole_pages(pages)
+    assert {tuple(r) for r in w.collect()} == {("u1", "Oars anchor rope guide"), ("u2", "anchor rope")}
+    q = spark.createDataFrame([("c", "oars anchor rope", 1)], "cluster string, query string, impressions int")
+    assert [(r.url, r.decision) for r in C.decide_coverage(C.coverage(q, w)).collect()] == [("u1", "refresh")]
+    degrees = spark.createDataFrame([("r1", "u1", 0), ("r2", "u1", 9), ("r2", "u2", 2)], "run string, url string, in_degree int")
+    crawls = spark.createDataFrame([("r1", "u1", 1), ("r2", "u1", 2), ("r2", "u2", 2)], "run string, url string, fetched_at int")
+    d = Q.last_in_degrees(degrees, crawls)
+    c = spark.createDataFrame([("c", "anchor rope")], "cluster string, text string")
+    assert [r.url for r in C.suggest_links(c, w.join(d, "url")).orderBy("rank").collect()] == ["u2", "u1"]
+
+
 def test_click_upside(spark):
     r = spark.range(1).select(E.click_upside(F.lit(100), F.lit(8.6)).alias("u"), E.click_upside(F.lit(100), F.lit(2.0)).alias("z"), E.expected_ctr(F.lit(0.5)).alias("c")).first()
     assert abs(r.u - 8.0) < 1e-9 and r.z == 0.0 and r.c == 0.28

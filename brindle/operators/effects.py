@@ -100,30 +100,58 @@ def page_distance(a: str, b: str) -> Column:
     return gap("impressions") + gap("clicks") + F.abs(F.col(f"{a}.position") - F.col(f"{b}.position")) / 20
 
 
+#: Bands of impressions that hold all pages.
+_ALL_BANDS = 128
+
+
+def _near_candidates(who: DataFrame, free: DataFrame, most: int) -> DataFrame:
+    """``treated, control, distance, radius`` of the ``most`` nearest free candidates within ``reach`` bands; nothing else
+    is nearer than ``radius``."""
+    t = who.withColumn("at", F.explode(F.sequence(F.col("band") - F.col("reach"), F.col("band") + F.col("reach")))).alias("t")
+    pairs = t.join(free.alias("c"), F.col("t.at") == F.col("c.band")).select(F.col("t.page").alias("treated"), F.col("t.reach").alias("reach"), F.col("c.page").alias("control"), page_distance("t", "c").alias("distance"))
+    by = Window.partitionBy("treated")
+    ranked = pairs.withColumn("n", F.row_number().over(by.orderBy("distance", "control"))).where(F.col("n") <= most + 1)
+    ranked = ranked.withColumn("cut", F.max(F.when(F.col("n") == most, F.col("distance"))).over(by)).withColumn("more", F.max("n").over(by) > most)
+    bound = F.when(F.col("reach") >= _ALL_BANDS, F.lit(float("inf"))).otherwise(F.col("reach") * F.log10(F.lit(2.0)))
+    return ranked.where(F.col("n") <= most).select("treated", "control", "distance", F.when(F.col("more"), F.least("cut", bound)).otherwise(bound).alias("radius"))
+
+
 def control_group(treatment: DataFrame, candidates: DataFrame, rounds: int = 4, nearest: int = 16) -> DataFrame:
     """``treated, control, distance, round``: in each round every treated page takes its nearest candidate that is free;
-    one that two want goes to the nearer, then the smaller address, and the other chooses again. Distances are computed
-    within bands of impressions (a page's nearest lie in its own or a neighbouring band), never over all pairs."""
+    one that two want goes to the nearer, then the smaller address, and the other chooses again. Candidates are searched in
+    bands of impressions around a page. A page whose best free candidate may not be its nearest, or that has none left,
+    is searched again in four times as many bands, until nothing outside can be nearer or no candidate is free."""
     from brindle.session import cut
 
     band = F.floor(F.log2(F.col("impressions") + 1)).cast("int")
-    t = treatment.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("t")
-    c = candidates.withColumn("band", band).alias("c")
-    pairs = t.join(c, F.col("t.band") == F.col("c.band")).select(F.col("t.page").alias("treated"), F.col("c.page").alias("control"), page_distance("t", "c").alias("distance"))
-    w = Window.partitionBy("treated").orderBy("distance", "control")
-    pairs = cut(pairs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= nearest * rounds).drop("n"), "control")
+    treated = cut(treatment.withColumn("band", band), "treated")
+    free = cut(candidates.withColumn("band", band), "free")
+    most = nearest * rounds
+    reach = cut(treated.select("page", F.lit(1).alias("reach")), "reach")
+    pairs = cut(_near_candidates(treated.join(reach, "page"), free, most), "control")
     out = None
     for r in range(1, rounds + 1):
-        left = pairs.select("treated").distinct()
+        left = treated.select(F.col("page").alias("treated"))
         while True:
-            want = pairs.join(left, "treated", "left_semi").groupBy("treated").agg(F.min(F.struct("distance", "control")).alias("m")).select("treated", "m.*")
+            want = pairs.join(left, "treated", "left_semi").groupBy("treated").agg(F.min(F.struct("distance", "control", "radius")).alias("m")).select("treated", "m.*")
+            unsure = cut(left.join(want.where("distance <= radius"), "treated", "left_anti").join(reach.withColumnRenamed("page", "treated"), "treated"), "unsure")
+            if not unsure.isEmpty() and not free.isEmpty():
+                # one that found nothing over all bands, has nothing left
+                wider = unsure.select(F.col("treated").alias("page"), F.least(F.col("reach") * 4, F.lit(_ALL_BANDS)).alias("reach"))
+                found = cut(_near_candidates(treated.join(wider, "page"), free, most), "control")
+                none = unsure.where(F.col("reach") >= _ALL_BANDS).join(found, "treated", "left_anti")
+                pairs = cut(pairs.join(unsure, "treated", "left_anti").unionByName(found), "control")
+                reach = cut(reach.join(wider, "page", "left_anti").unionByName(wider), "reach")
+                left = cut(left.join(none, "treated", "left_anti"), "left")
+                continue
             won = want.groupBy("control").agg(F.min(F.struct("distance", "treated")).alias("m")).select("m.treated", "control", "m.distance", F.lit(r).alias("round"))
             won = cut(won, "matched")
             if won.isEmpty():
                 break
             out = won if out is None else out.unionByName(won)
             pairs = cut(pairs.join(won.select("control"), "control", "left_anti"), "control")
-            left = left.join(won.select("treated"), "treated", "left_anti")
+            free = cut(free.join(won.select(F.col("control").alias("page")), "page", "left_anti"), "free")
+            left = cut(left.join(won.select("treated"), "treated", "left_anti"), "left")
     return out if out is not None else pairs.limit(0).select("treated", "control", "distance", F.lit(1).alias("round"))
 
 

@@ -84,6 +84,17 @@ def test_control_group_uses_each_page_once(spark):
     assert len({r.control for r in g}) == len(g) == 12 and {r.round for r in g} == {1, 2}
 
 
+def test_control_group_searches_beyond_bands_and_ranks(spark):
+    rng = random.Random(2)
+    ddl = "page string, clicks bigint, impressions bigint, position double"
+    far = [(f"t{i}", 5, 100, 5.0) for i in range(3)] + [(f"c{i}", 5, 100, 45.0) for i in range(2)] + [(f"d{i}", 5, 700 + i, 5.0) for i in range(2)] + [(f"e{i}", rng.randrange(9), 90000, 5.0) for i in range(2)]
+    df = spark.createDataFrame(far, ddl)
+    got = {(r.treated, r.control) for r in E.control_group(df.where("page >= 't'"), df.where("page < 't'"), 1, 1).collect()}
+    assert got == {("t0", "d0"), ("t1", "d1"), ("t2", "c0")}
+    tied = spark.createDataFrame([(f"t{i}", 5, 100, 5.0) for i in range(6)] + [(f"c{i:02}", 5, 100, 5.0) for i in range(12)], ddl)
+    assert len(E.control_group(tied.where("page >= 't'"), tied.where("page < 't'"), 2, 1).collect()) == 12
+
+
 def test_whole_pages_and_links(spark):
     pages = spark.createDataFrame([("u1", "Oars", "old", 1), ("u1", "Oars", "anchor rope guide", 2), ("u2", None, "anchor rope", 1), (None, "x", "anchor rope", 1)], "url string, title string, text string, extracted_at int")
     w = Q.whole_pages(pages)

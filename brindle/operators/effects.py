@@ -135,10 +135,11 @@ def control_group(treatment: DataFrame, candidates: DataFrame, rounds: int = 4,
         while True:
             want = pairs.join(left, "treated", "left_semi").groupBy("treated").agg(F.min(F.struct("distance", "control", "radius")).alias("m")).select("treated", "m.*")
             unsure = cut(left.join(want.where("distance <= radius"), "treated", "left_anti").join(reach.withColumnRenamed("page", "treated"), "treated"), "unsure")
-            if not unsure.isEmpty() and not free.isEmpty():
+            rest = free if out is None else free.join(out.select(F.col("control").alias("page")), "page", "left_anti")
+            if not unsure.isEmpty() and not rest.isEmpty():
                 # one that found nothing over all bands, has nothing left
                 wider = unsure.select(F.col("treated").alias("page"), F.least(F.col("reach") * 4, F.lit(_ALL_BANDS)).alias("reach"))
-                found = cut(_near_candidates(treated.join(wider, "page"), free, most), "control")
+                found = cut(_near_candidates(treated.join(wider, "page"), rest, most), "control")
                 none = unsure.where(F.col("reach") >= _ALL_BANDS).join(found, "treated", "left_anti")
                 pairs = cut(pairs.join(unsure, "treated", "left_anti").unionByName(found), "control")
                 reach = cut(reach.join(wider, "page", "left_anti").unionByName(wider), "reach")
@@ -150,7 +151,6 @@ def control_group(treatment: DataFrame, candidates: DataFrame, rounds: int = 4,
                 break
             out = won if out is None else out.unionByName(won)
             pairs = cut(pairs.join(won.select("control"), "control", "left_anti"), "control")
-            free = cut(free.join(won.select(F.col("control").alias("page")), "page", "left_anti"), "free")
             left = cut(left.join(won.select("treated"), "treated", "left_anti"), "left")
     return out if out is not None else pairs.limit(0).select("treated", "control", "distance", F.lit(1).alias("round"))
 

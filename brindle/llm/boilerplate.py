@@ -1,20 +1,26 @@
 """Problem 4: the main body of pages, without navigation, notices, sidebars and footers.
 
-Site style tree. The pages of one host are merged into a tree: the host is the root, the presentation of a line (its
-shape: separated items, labelled link, notice, short line, sentence) is a style node, and the masked text of the line
-is a content node below it. A content node that appears in ``k`` of a host's ``m`` pages has the entropy
-``log k / log m`` over those pages and the importance ``1 - log k / log m``: a line that recurs on a large share of the
-pages carries nothing about any of them. Branches of low importance are removed from each page.
+Site style tree. The pages of one host are merged into one tree. Each line of a page is an element. Its presentation
+(list of separated items, labelled line, running text, bullet, short line) and, for short lines, its place on the page
+(above, between or below the running text) choose the branch; its contents are the features below that branch: the items of
+a list, the label of a labelled line, the sentences of running text, the text of a short line, each with numbers masked.
 
-Some furniture recurs too rarely, or with other words each time, to be told by its importance on one host (related
-links, breadcrumbs, notices that rotate); there the style node itself decides, by rules on its presentation and wording.
+A feature that occurs ``c_j`` times on page ``j`` of a host with ``m`` pages has the entropy
+``H = - sum p_j log_m p_j`` over its pages (``p_j = c_j / K``, ``K`` the sum), less that of one occurrence, which is no
+recurrence, so that small hosts need no limit of their own. The importance of a line is ``1`` less the mean entropy of its
+features: 0 for what all pages say in the same place, 1 for what only one page says. Labels are also merged over the hosts:
+the label of a slot that a page template fills with other links each time is spread evenly over many hosts, that of
+a heading only over those of one subject, so the mean of both levels has a limit of its own. Branches of an importance at or
+below the limit of their presentation (``LIMITS``) are removed from each page.
 
-Every line of a page leaves the first pass as a hash; texts are never shuffled. The importance is a combinable
-count for each (host, node), so a host with a third of all pages is one more key, and the nodes that are removed are at
-most lines-per-page / ``SHARE`` for each host.
+What a line says is a prior: a line whose wording or presentation alone marks furniture (``style_rule``: consent, copyright,
+sharing, labels of related links) is removed at any importance. ``furniture`` tells which of both decided.
+
+Every line leaves the first pass as hashes; texts are never shuffled. The counts are combinable sums for each feature, so a
+host with a third of all pages is one more key. Only features that recur are joined back, each line keeps its few.
 
 Defined cases: null, empty and blank texts have no lines; JSON that doesn't parse gives nothing; blank lines count in
-the numbering but are never reported; rows are distinct.
+the numbering but are never reported; rows are distinct; a null site is a host of its own.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,13 +38,15 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import chunks, spread
 
-#: Share of a host's pages from which a node is unimportant, for hosts of at least ``MIN_PAGES`` pages; the stricter
-#: share of smaller hosts, and the pages below which a host has no tree.
-SHARE, MIN_PAGES, SMALL_SHARE, LEAST_PAGES = 0.45, 40, 0.6, 8
-#: The share for items of bullet lists: those on one subject recur without being furniture.
-ITEM_SHARE = 0.9
-#: The longest line whose decision is remembered.
-LONGEST = 240
+#: The largest importance of a line that is removed, by presentation: list, label, running text, short line before, after
+#: and between running text, bullet. Between running text, headings and items of a subject recur as often as furniture does:
+#: there only what stands on nearly all pages goes.
+LIST, LABEL, RUN, HEAD, TAIL, INNER, ITEM = range(7)
+LIMITS = {LIST: 0.65, LABEL: 0.45, RUN: 0.45, HEAD: 0.5, TAIL: 0.5, INNER: 0.02, ITEM: 0.02}
+#: The same of a label whose entropy is the mean of that over its host's pages and that over the hosts.
+SLOT = 0.58
+#: A short text that stands so many times as often behind the running text as between is furniture there, too.
+MOSTLY_BEHIND = 1.5
 
 BULLET = re.compile(r"^\s*(?:[-*•–·▪◦]|\d{1,2}[.)])\s+")
 _SEPARATORS = (" | ", " › ", " » ", " > ", " / ", " · ", " • ", " - ", " – ", " — ", " :: ", "\t", "   ", "  ", " ~ ", ", ")
@@ -76,6 +85,8 @@ _FOOTER = re.compile(
     r"|^(?:office|opening|business) hours\b|^biuro czynne|^godziny otwarcia|^büro (?:mo|öffnungs)|^öffnungszeiten|^oficina lun|^horario(?: de)? ",
     re.I,
 )
+#: Calls to leave an address.
+_CALL = re.compile(r"^(?:join|subscribe|sign up|leave|get|receive|enter|dołącz|zapisz|zostaw|odbieraj|podaj|jetzt|abonnieren|melden|hinterlassen|erhalten|adresse|suscr[ií]b|únete|únase|deje|recib|introduzca)", re.I)
 _SIDE_LABELS = (
     "related|related posts|related articles|related pages|read also|read more|read next|see also|you might also like|you may also like|most read|most popular|popular this week|popular now|popular|trending|recent posts|latest posts|previous post|next post|previous|next|tag|tags|categories|filed under|more from|more on this"
     "|powiązane|podobne|zobacz też|zobacz także|czytaj też|czytaj także|przeczytaj też|przeczytaj także|może cię zainteresować|najczęściej czytane|popularne w tym tygodniu|popularne|ostatnie wpisy|poprzedni wpis|następny wpis|tagi|kategorie|więcej na ten temat"
@@ -135,23 +146,21 @@ def _mostly(s: str, *patterns: re.Pattern) -> bool:
 
 
 def style_rule(line: str) -> bool | None:
-    """True: furniture by its presentation; None: the tree decides."""
+    """True: furniture by its wording and presentation; None: the tree decides."""
     s = plain(line)
     if BULLET.match(line):
         return None
     bare = s.strip("«»\"'“”„ ")
+    running = is_sentence(s)
     if next(_CUES.iter(s.lower()), None) is not None:
-        if (len(s) <= 200 and _CONSENT.search(s)) or _mostly(s, _CONSENT, _COOKIE):
+        if _mostly(s, _CONSENT, _COOKIE) or _mostly(bare, _FOOTER):
             return True
-        if _FOOTER.search(bare) and (len(bare) <= 120 or _mostly(bare, _FOOTER)):
+        if _LETTER.search(bare) and ". " not in bare and not (running and not _CALL.match(bare)):
             return True
-        if len(bare) <= 90 and _LETTER.search(bare) and ". " not in bare:
-            return True
-    running = is_sentence(s)
-    if not (running and len(bare) > 80) and _SHARE_LINE.match(bare):
+    if not running and _SHARE_LINE.match(bare):
         return True
     m = _SIDE.match(bare)
-    if m and not (running and len(bare) > 180) and (m.group("mark") or _SIDE_FREE.match(bare)):
+    if m and (m.group("mark") or _SIDE_FREE.match(bare)) and len(_SENTENCE.split(bare[m.end() :].strip())) == 1:
         return True
     if bare.lower() in NAV:
         return True
@@ -168,21 +177,54 @@ def style_rule(line: str) -> bool | None:
     return None
 
 
-def node_of(line: str, host: str) -> str:
-    """The masked text of a line as a content node: numbers and the site's own name are masked, case is folded; a list of
-    separated items is known by its first two, since menus are cut at the end."""
-    running = is_sentence(plain(line)) or BULLET.match(line)
-    sep, items = ("", []) if running else items_of(line)
-    if len(items) >= 3 and max(map(len, items)) <= 40:
-        s = f"{sep.strip()} {items[0]} {items[1]}"
-    else:
-        s = plain(line)
-    return _NUMBER.sub("0", s.lower())
+# --- the tree ------------------------------------------------------------------------------------------------------
+
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+_LIST_MARK = re.compile(r"\s(?:[|›»>/·•~–—-]|::)\s|\s*[|›»·•]\s*|\t+|\s{2,}")
+_LABEL_MARK = re.compile(r"\s*[:»›|]\s+(?=\S)")
+_LABEL_WORDS = 6
 
 
-def node_id(line: str, host: str) -> int:
-    """The hash of a line's content node; the lowest bit marks items of bullet lists."""
-    return ((xxhash.xxh3_64_intdigest(node_of(line, host)) - (1 << 63)) & ~1) | bool(BULLET.match(line))
+def folded(s: str) -> str:
+    return _NUMBER.sub("0", plain(s).lower().strip(" .:|›»>/·•-–—\"'“”„«»"))
+
+
+def presented(line: str) -> tuple[str, list[str], str | None]:
+    """The presentation of a line (``list``, ``run``, ``item`` or ``short``), its features, and its label if it has one."""
+    s = line.strip().replace("\xa0", " ")
+    if BULLET.match(line):
+        return "item", [folded(BULLET.sub("", line, count=1))], None
+    sentences = _SENTENCE.split(plain(line))
+    m = _LABEL_MARK.search(s) if len(sentences) == 1 else None
+    label = folded(s[: m.start()]) if m and s[:1].isalpha() and len(s[: m.start()].split()) <= _LABEL_WORDS else None
+    if not is_sentence(plain(line)):
+        items = [x for x in map(folded, _LIST_MARK.split(s)) if x]
+        if len(items) >= 2:
+            return "list", items, label
+        if len(sentences) == 1:
+            return "short", [folded(line)], label
+    return "run", [x for x in map(folded, sentences) if x] or [folded(line)], label
+
+
+def _hash(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\x1f".join(parts))
+
+
+#: Where a short line stands: before, between or after the running text.
+_PLACES = ("head", "inner", "tail")
+
+
+def hashed(line: str) -> tuple[str, list[int], list[int], int | None, bool]:
+    """Of a line: presentation, the hashes of its features (of a short line in each place, and as an item of a list) and how
+    often each occurs in it, its label, and whether its wording decides."""
+    kind, features, label = presented(line)
+    if kind == "short":
+        hashes = [*(_hash(x, features[0]) for x in _PLACES), _hash("list", features[0])]
+        counts = [1]
+    else:
+        unique = list(dict.fromkeys(features))
+        hashes, counts = [_hash(kind, x) for x in unique], [features.count(x) for x in unique]
+    return kind, hashes, counts, None if label is None else _hash("label", label), bool(style_rule(line))
 
 
 def page_lines(text: str | None) -> Iterator[tuple[int, str]]:
@@ -203,35 +245,77 @@ def facts_text(facts: str | None) -> str | None:
     return t if isinstance(t, str) else None
 
 
-_LINES = "src string, row_id bigint, host string, line_no int, node bigint, sure boolean"
+_LINES = "src string, row_id bigint, host bigint, page bigint, line_no int, kind int, weight double, sure boolean, node bigint, role int, c int, label bigint"
 _CACHE = 200_000
-
-
-def short_lines(units: DataFrame) -> DataFrame:
-    """All lines of ``src, row_id, source, body, is_facts`` as tree nodes; one row with a null ``line_no`` for each page,
-    for counting."""
+#: What a node is to its line: a feature, the label, or (not counted for the line) the text as an item of a list, or as a
+#: short line behind the running text.
+FEATURE, AS_LABEL, AS_ITEM, AS_TAIL = range(4)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def page_nodes(text: str | None, known: dict) -> tuple[list[tuple], bool]:
+    """Rows ``(line_no, kind, weight, sure, feature, role, count, label)`` of a page, and whether it has lines. ``count`` is how
+    often the page holds the feature, at its first place; 0 at the others."""
+    lines = []
+    for no, line in page_lines(text):
+        h = known.get(line)
+        if h is None:
+            if len(known) >= _CACHE:
+                known.clear()
+            known[line] = h = hashed(line)
+        lines.append((no, *h))
+    text_at = [i for i, x in enumerate(lines) if x[1] == "run"]
+    first, last = (text_at[0], text_at[-1]) if text_at else (len(lines), len(lines))
+    rows = []
+    total: dict[int, int] = {}
+    for i, (no, kind, features, counts, label, sure) in enumerate(lines):
+        if kind == "short":
+            place = 0 if i < first else 2 if i > last else 1
+            rows.append((no, (HEAD, INNER, TAIL)[place], 1.0, sure, features[place], FEATURE, 1, None))
+            total[features[place]] = total.get(features[place], 0) + 1
+            if place == 0:
+                rows.append((no, HEAD, 1.0, sure, features[3], AS_ITEM, 0, None))
+            elif place == 1:
+                rows.append((no, INNER, 1.0, sure, features[2], AS_TAIL, 0, None))
+        else:
+            code, n = {"list": LIST, "run": RUN, "item": ITEM}[kind], sum(counts)
+            for f, c in zip(features, counts):
+                rows.append((no, code, c / n, sure, f, FEATURE, 1, None))
+                total[f] = total.get(f, 0) + c
+        if label is not None:
+            rows.append((no, rows[-1][1], 1.0, sure, label, AS_LABEL, 1, label))
+            total[label] = total.get(label, 0) + 1
+    return [(*r[:6], total.pop(r[4], 0) if r[6] else 0, r[7]) for r in rows], bool(lines)
+
+
+def tree_rows(units: DataFrame) -> DataFrame:
+    """The features of all lines of ``src, row_id, source, body, is_facts`` as nodes of their host's tree; one row with a
+    null ``line_no`` for each page that has lines, for counting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules: dict[str, tuple[bool | None, int]] = {}
+        known: dict = {}
         for b in chunks(batches):
-            src, ids, source, body, facts = (c.to_pylist() for c in b.columns)
-            at, hosts, nos, nodes, sure = [], [], [], [], []
+            _, _, source, body, facts = (c.to_pylist() for c in b.columns)
+            at, hosts, pages, rows = [], [], [], []
             for i in range(b.num_rows):
-                host = host_of(source[i])
                 text = facts_text(body[i]) if facts[i] else body[i]
-                at.append(i), hosts.append(host), nos.append(None), nodes.append(0), sure.append(False)
-                for no, line in page_lines(text):
-                    known = rules.get(line)
-                    if known is None:
-                        known = (style_rule(line), node_id(line, host))
-                        if len(line) <= LONGEST:
-                            if len(rules) >= _CACHE:
-                                rules.clear()
-                            rules[line] = known
-                    at.append(i), hosts.append(host), nos.append(no), nodes.append(known[1]), sure.append(bool(known[0]))
+                own, some = page_nodes(text, known)
+                if some:
+                    own.append((None, 0, 0.0, False, 0, 0, 0, None))
+                    at += [i] * len(own)
+                    hosts += [_hash("host", host_of(source[i])) >> 1] * len(own)
+                    pages += [_hash(text) - (1 << 63)] * len(own)
+                    rows += own
+            if not rows:
+                continue
+            no, kind, weight, sure, feature, role, c, label = zip(*rows)
+            host = np.array(hosts, dtype=np.uint64)
+            node = (np.array(feature, dtype=np.uint64) ^ (host * _MIX)).view(np.int64)
+            where = pa.array(at)
+            signed = pa.array([None if x is None else x - (1 << 63) for x in label], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(hosts, pa.string()), pa.array(nos, pa.int32()), pa.array(nodes, pa.int64()), pa.array(sure)],
-                names=["src", "row_id", "host", "line_no", "node", "sure"],
+                [b.column(0).take(where), b.column(1).take(where), pa.array(host.view(np.int64)), pa.array(pages, pa.int64()), pa.array(no, pa.int32()), pa.array(kind, pa.int32()), pa.array(weight, pa.float64()), pa.array(sure), pa.array(node), pa.array(role, pa.int32()), pa.array(c, pa.int32()), signed],
+                names=["src", "row_id", "host", "page", "line_no", "kind", "weight", "sure", "node", "role", "c", "label"],
             )
 
     return spread(units.select("src", "row_id", "source", "body", "is_facts")).mapInArrow(run, _LINES)
@@ -244,33 +328,60 @@ def units(pages: DataFrame, crawls: DataFrame) -> DataFrame:
     return p.unionByName(c)
 
 
-def node_importance(lines: DataFrame) -> DataFrame:
-    """``host, node, k, m, importance`` of every content node."""
-    counts = lines.groupBy("host", "node", F.col("line_no").isNull().alias("page")).agg(F.count("*").alias("k"))
-    total = counts.where("page").select("host", F.col("k").alias("m"))
-    return (
-        counts.where("not page")
-        .select("host", "node", "k")
-        .join(total, "host")
-        .withColumn("importance", F.when(F.col("m") > 1, 1 - F.log(F.least("k", "m")) / F.log("m")).otherwise(F.lit(1.0)))
-    )
-
-
-def unimportant(importance: DataFrame) -> DataFrame:
-    """The nodes to remove: importance at or below that of a node on ``SHARE`` of the host's pages."""
-    listed = F.col("node").bitwiseAND(F.lit(1)) == 1
-    share = F.when(listed, F.lit(ITEM_SHARE)).when(F.col("m") >= MIN_PAGES, F.lit(SHARE)).otherwise(F.lit(SMALL_SHARE))
-    limit = 1 - F.log(share * F.col("m")) / F.log("m")
-    return importance.where((F.col("m") >= LEAST_PAGES) & (F.col("importance") <= limit)).select("host", "node")
-
-
-def furniture(lines: DataFrame) -> DataFrame:
-    """``src, row_id, line_no`` of the lines that are not main body. ``lines`` is read three times: pass a written table."""
-    low = unimportant(node_importance(lines))
-    body_lines = lines.where(F.col("line_no").isNotNull())
-    sure = body_lines.where("sure").select("src", "row_id", "line_no")
-    told = body_lines.where("not sure").join(low, ["host", "node"], "left_semi").select("src", "row_id", "line_no")
-    return sure.unionByName(told).distinct()
+def node_entropy(rows: DataFrame) -> DataFrame:
+    """``node, entropy, both, k``: how evenly each feature that recurs is spread over the pages of its host, from 0 to 1; for
+    labels the mean of that and of how evenly the label is spread over the hosts; and how often it occurs."""
+    pages = rows.where("line_no is null").select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("m"))
+    # pages of equal text are one page: a page that is copied many times must not make its own lines furniture
+    once = rows.where("line_no is not null and c > 0").groupBy("node", "page").agg(F.max("host").alias("host"), F.max("label").alias("label"), F.max("c").alias("c"))
+    stat = once.groupBy("node").agg(F.max("host").alias("host"), F.max("label").alias("label"), F.sum("c").alias("k"), F.sum(F.when(F.col("c") > 1, F.col("c") * F.log("c")).otherwise(0.0)).alias("s"))
+    stat = stat.where("k > 1 or label is not null")
+    recurs = stat.where("k > 2").join(pages, "host")
+    own = F.when(F.col("m") > 1, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.log(F.col("k") - 1) - F.col("s") / F.col("k")) / F.log("m")))).otherwise(0.0)
+    hosts = pages.agg(F.count("*").alias("hosts"))  # one row
+    labels = stat.where("label is not null").groupBy("label").agg(F.sum("k").alias("lk"), F.sum(F.col("k") * F.log("k")).alias("ls"))
+    over_hosts = F.when(F.col("hosts") > 1, (F.log("lk") - F.col("ls") / F.col("lk")) / F.log("hosts"))
+    spread_of = labels.crossJoin(F.broadcast(hosts)).select("label", over_hosts.alias("over"))
+    plain_nodes = recurs.where("label is null").select("node", own.alias("entropy"), F.lit(0.0).alias("both"), "k")
+    label_nodes = recurs.join(spread_of, "label").select("node", own.alias("entropy"), ((own + F.coalesce("over", own)) / 2).alias("both"), "k")
+    return plain_nodes.unionByName(label_nodes)
+
+
+def importance(rows: DataFrame) -> DataFrame:
+    """``src, row_id, line_no, kind, sure, importance, label, slot``: the importance of each line that has a recurring feature
+    or a wording that decides, and those of its label on its host and over all hosts, 1 without one."""
+    lines = rows.where("line_no is not null").select("src", "row_id", "line_no", "kind", "weight", "sure", "node", "role")
+    met = lines.join(node_entropy(rows), "node", "left").where("sure or entropy is not null")
+    h = F.coalesce("entropy", F.lit(0.0))
+    # rows may be repeated: a line's features are a set, as many as the line is long
+    of_line = met.groupBy("src", "row_id", "line_no", "kind", "sure").agg(F.collect_set(F.struct("role", "node", (F.col("weight") * h).alias("h"), F.coalesce("both", F.lit(0.0)).alias("both"), F.coalesce("k", F.lit(0)).alias("k"))).alias("x"))
+
+    def most(role: int, value: str) -> F.Column:
+        return F.coalesce(F.array_max(F.transform(F.filter("x", lambda e: e["role"] == role), lambda e: e[value])), F.lit(0))
+
+    own = F.aggregate(F.filter("x", lambda e: e["role"] == FEATURE), F.lit(0.0), lambda acc, e: acc + e["h"])
+    of_line = of_line.select("src", "row_id", "line_no", "kind", "sure", own.alias("own"), most(AS_LABEL, "h").alias("label"), most(AS_LABEL, "both").alias("both"), F.greatest(most(AS_ITEM, "h"), most(AS_TAIL, "h")).alias("other"), most(FEATURE, "k").alias("k"), most(AS_TAIL, "k").alias("behind"))
+    belongs = (F.col("kind") == INNER) & (F.col("behind") > 0) & (F.col("behind") >= MOSTLY_BEHIND * F.col("k"))
+    kind = F.when(belongs, F.lit(TAIL)).otherwise(F.col("kind"))
+    entropy = F.when((F.col("kind") == HEAD) | belongs, F.greatest("own", "other")).otherwise(F.col("own"))
+    return of_line.select("src", "row_id", "line_no", kind.alias("kind"), "sure", (1 - entropy).alias("importance"), (1 - F.col("label")).alias("label"), (1 - F.col("both")).alias("slot"))
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """``src, row_id, line_no, by_tree, by_wording`` of the lines that are not main body."""
+    limit = F.element_at(F.array(*(F.lit(LIMITS[k]) for k in range(len(LIMITS)))), F.col("kind") + 1)
+    tree = (F.col("importance") <= limit) | (F.col("label") <= LIMITS[LABEL]) | (F.col("slot") <= SLOT)
+    return importance(rows).select("src", "row_id", "line_no", tree.alias("by_tree"), F.col("sure").alias("by_wording")).where("by_tree or by_wording").groupBy("src", "row_id", "line_no").agg(F.max("by_tree").alias("by_tree"), F.max("by_wording").alias("by_wording"))
+
+
+def furniture(rows: DataFrame) -> DataFrame:
+    """``src, row_id, line_no`` of the lines that are not main body. ``rows`` is read twice: pass a written table."""
+    return judged(rows).select("src", "row_id", "line_no")
+
+
+def shares(rows: DataFrame) -> DataFrame:
+    """Lines that are not main body, by what decided them: the tree, its wording, or either of both alone."""
+    return judged(rows).groupBy("by_tree", "by_wording").agg(F.count("*").alias("lines"))
 
 
 def main_text(units_df: DataFrame, removed: DataFrame) -> DataFrame:

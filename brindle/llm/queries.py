@@ -92,7 +92,7 @@ def p1_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = boilerplate.units(table(spark, sf_dir, "existing_page"), table(spark, sf_dir, "crawl_page"))
-    return cut(boilerplate.short_lines(units), "lines")
+    return cut(boilerplate.tree_rows(units), "lines")
 
 
 @REG.add("p4_found")

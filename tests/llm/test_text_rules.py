@@ -64,7 +64,7 @@ def _site(spark, rows):
     p = spark.createDataFrame(rows, "page_id bigint, site string, text string, host string")
     c = spark.createDataFrame([(1, "https://c.example/", json.dumps({"text": f"{MENU}\n{BODY}"})), (2, "https://c.example/", '{"text": "Home | Shop'), (3, "https://c.example/", "[]"), (4, "https://c.example/", None)], "crawl_id bigint, site string, facts string")
     u = boilerplate.units(p, c)
-    return u, boilerplate.furniture(boilerplate.short_lines(u))
+    return u, boilerplate.furniture(boilerplate.tree_rows(u))
 
 
 def test_boilerplate(spark):

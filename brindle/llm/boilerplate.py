@@ -245,7 +245,7 @@ def facts_text(facts: str | None) -> str | None:
     return t if isinstance(t, str) else None
 
 
-_LINES = "src string, row_id bigint, host bigint, page bigint, line_no int, kind int, weight double, sure boolean, node bigint, role int, c int, label bigint"
+_LINES = "src string, row_id bigint, host bigint, page int, line_no int, kind int, weight double, sure boolean, node bigint, role int, c int, label bigint"
 _CACHE = 200_000
 #: What a node is to its line: a feature, the label, or (not counted for the line) the text as an item of a list, or as a
 #: short line behind the running text.
@@ -304,7 +304,7 @@ def tree_rows(units: DataFrame) -> DataFrame:
                     own.append((None, 0, 0.0, False, 0, 0, 0, None))
                     at += [i] * len(own)
                     hosts += [_hash("host", host_of(source[i])) >> 1] * len(own)
-                    pages += [_hash(text) - (1 << 63)] * len(own)
+                    pages += [(_hash(text) >> 32) - (1 << 31)] * len(own)  # tells copies of a page apart from other pages of its host
                     rows += own
             if not rows:
                 continue
@@ -314,7 +314,7 @@ def tree_rows(units: DataFrame) -> DataFrame:
             where = pa.array(at)
             signed = pa.array([None if x is None else x - (1 << 63) for x in label], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(where), b.column(1).take(where), pa.array(host.view(np.int64)), pa.array(pages, pa.int64()), pa.array(no, pa.int32()), pa.array(kind, pa.int32()), pa.array(weight, pa.float64()), pa.array(sure), pa.array(node), pa.array(role, pa.int32()), pa.array(c, pa.int32()), signed],
+                [b.column(0).take(where), b.column(1).take(where), pa.array(host.view(np.int64)), pa.array(pages, pa.int32()), pa.array(no, pa.int32()), pa.array(kind, pa.int32()), pa.array(weight, pa.float64()), pa.array(sure), pa.array(node), pa.array(role, pa.int32()), pa.array(c, pa.int32()), signed],
                 names=["src", "row_id", "host", "page", "line_no", "kind", "weight", "sure", "node", "role", "c", "label"],
             )
 
@@ -347,10 +347,11 @@ def node_entropy(rows: DataFrame) -> DataFrame:
     return plain_nodes.unionByName(label_nodes)
 
 
-def importance(rows: DataFrame) -> DataFrame:
-    """``src, row_id, line_no, kind, sure, importance, label, slot``: the importance of each line that has a recurring feature
-    or a wording that decides, and those of its label on its host and over all hosts, 1 without one."""
-    lines = rows.where("line_no is not null").select("src", "row_id", "line_no", "kind", "weight", "sure", "node", "role")
+def importance(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``src, row_id, line_no, kind, sure, importance, label, slot``: the importance in the tree of ``rows`` of each of ``lines``
+    that has a recurring feature or a wording that decides, and those of its label on its host and over all hosts, 1 without
+    one."""
+    lines = lines.where("line_no is not null").select("src", "row_id", "line_no", "kind", "weight", "sure", "node", "role")
     met = lines.join(node_entropy(rows), "node", "left").where("sure or entropy is not null")
     h = F.coalesce("entropy", F.lit(0.0))
     # rows may be repeated: a line's features are a set, as many as the line is long
@@ -367,20 +368,23 @@ def importance(rows: DataFrame) -> DataFrame:
     return of_line.select("src", "row_id", "line_no", kind.alias("kind"), "sure", (1 - entropy).alias("importance"), (1 - F.col("label")).alias("label"), (1 - F.col("both")).alias("slot"))
 
 
-def judged(rows: DataFrame) -> DataFrame:
-    """``src, row_id, line_no, by_tree, by_wording`` of the lines that are not main body."""
+def judged(rows: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """``src, row_id, line_no, by_tree, by_wording`` of the lines (of ``lines``, or all) that are not main body."""
     limit = F.element_at(F.array(*(F.lit(LIMITS[k]) for k in range(len(LIMITS)))), F.col("kind") + 1)
     tree = (F.col("importance") <= limit) | (F.col("label") <= LIMITS[LABEL]) | (F.col("slot") <= SLOT)
-    return importance(rows).select("src", "row_id", "line_no", tree.alias("by_tree"), F.col("sure").alias("by_wording")).where("by_tree or by_wording").groupBy("src", "row_id", "line_no").agg(F.max("by_tree").alias("by_tree"), F.max("by_wording").alias("by_wording"))
+    found = importance(rows, rows if lines is None else lines).select("src", "row_id", "line_no", tree.alias("by_tree"), F.col("sure").alias("by_wording"))
+    return found.where("by_tree or by_wording").groupBy("src", "row_id", "line_no").agg(F.max("by_tree").alias("by_tree"), F.max("by_wording").alias("by_wording"))
 
 
 def furniture(rows: DataFrame) -> DataFrame:
-    """``src, row_id, line_no`` of the lines that are not main body. ``rows`` is read twice: pass a written table."""
-    return judged(rows).select("src", "row_id", "line_no")
+    """``src, row_id, line_no`` of the lines that are not main body. ``rows`` is read several times: pass a written table.
+    Lines that their wording settles need no look at the tree, which they are part of all the same."""
+    worded = rows.where("sure").select("src", "row_id", "line_no").distinct()
+    return worded.unionByName(judged(rows, rows.where("not sure")).select("src", "row_id", "line_no"))
 
 
 def shares(rows: DataFrame) -> DataFrame:
-    """Lines that are not main body, by what decided them: the tree, its wording, or either of both alone."""
+    """Lines that are not main body, by what decided them: the tree, its wording, or both."""
     return judged(rows).groupBy("by_tree", "by_wording").agg(F.count("*").alias("lines"))
 
 

@@ -101,6 +101,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.furniture(_site_lines(spark, sf_dir))
 
 
+@REG.add("p4_shares")
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of these lines the style tree finds, their wording, or both."""
+    return boilerplate.shares(_site_lines(spark, sf_dir))
+
+
 @REG.add("p4_body")
 def p4_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main body of every page and crawl record with a text."""

@@ -90,6 +90,12 @@ def p1_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.recurring(_messages(spark, sf_dir).distinct())
 
 
+@REG.add("p1_shares")
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the flagged rows the words of a message settle, its recurrence over sources, or both."""
+    return residue.shares(cut(_messages(spark, sf_dir), "messages"))
+
+
 def _site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = boilerplate.units(table(spark, sf_dir, "existing_page"), table(spark, sf_dir, "crawl_page"))
     return cut(boilerplate.tree_rows(units), "lines")

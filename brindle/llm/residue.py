@@ -1,15 +1,18 @@
 """Problem 1: template residue, filler, error messages and script notices in place of content.
 
 Every line of a text (and every title) is a message. Its numbers, addresses and dates are masked and white space is
-normalised, so that the same message from many pages is one string, and it is classified by rules:
+normalised, so that the same message from many pages is one string, and it gets features by rules:
 
 * placeholder rules find unfilled template fields in any of the usual delimiters, and values that a template failed to
   fill (``undefined``, ``NaN``, ``Invalid Date``, ``[object Object]``); a sentence that explains templates is no case;
-* phrase rules recognise filler, error pages, loading and script notices at the start of a line; running filler text is
-  recognised by the share of its words in the filler vocabulary;
-* a message with only a weak cue (a word such as "error" in a line, a title or a text of a few words) is a case only if
-  the exact masked message recurs in at least ``MIN_SOURCES`` sources, which is decided by grouping over all rows. In a
-  longer text, list items and headings of one or two words are no messages.
+* phrase rules read the words of a message as classes (what failed, what it happened to, a denial, an apology, advice, scripts
+  and what to do with them, waiting, calls to fill in a text, words for unwritten text). A message fits if its classes
+  combine (a failure and an object, a denial and a state, ...) and cover it: a real sentence about such things has words of
+  its own. Running filler text is recognised by the share of its words in the filler vocabulary;
+* messages are grouped by their exact masked form over all sources and rows. A message whose classes combine and cover
+  ``CERTAIN`` of its words is a case wherever it stands; one that is covered less, or has only a weak cue (a word such as
+  "error"), is a case only if it recurs in at least ``MIN_SOURCES`` sources. In a longer text, list items and headings of one
+  or two words are no weak messages.
 
 Shuffles carry flagged messages only, never texts. Defined cases: null, empty and blank texts give nothing; JSON that
 doesn't parse or has another shape gives nothing; rows are distinct.
@@ -20,6 +23,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -29,27 +33,31 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import chunks, spread
 
-#: Sources in which a message with a weak cue must recur, and the longest text that is one message as a whole.
-MIN_SOURCES, SHORT_TEXT = 3, 60
-#: The longest line that a phrase rule takes for a message as a whole; of longer ones it takes the first sentence.
-LONGEST_MESSAGE = 200
+#: Sources in which a message that its words don't settle must recur.
+MIN_SOURCES = 3
+#: The share of its content words that classes must cover: of a message that is a case wherever it stands; the
+#: same of one on scripts that addresses nobody; of one that must recur.
+CERTAIN, SCRIPTS, LIKELY = 0.7, 0.8, 0.5
+#: Characters of a message that are kept as they are; the rest is kept as a hash.
+KEPT = 200
 #: Words of a line with a weak cue in a longer text.
 LEAST_WORDS = 3
 
-_NAME = r"[A-Za-z_][\w.\- ]{0,40}"
+_NAME = r"[A-Za-z_][\w.\- ]*"
 PLACEHOLDER = re.compile(
-    r"\{\{\{?\s*[#/>&]?\s*" + _NAME + r"(?:\|[^{}]{0,40})?\s*\}?\}\}"
-    r"|\{%[-+]?\s*" + _NAME + r"[^%{}]{0,60}%\}"
-    r"|<%[=\-@#]?\s*" + _NAME + r"[^%<>]{0,60}%>"
-    r"|<\?(?:=|php)\s*(?:echo\s+)?\$?" + _NAME + r"[^<>?]{0,40}\?>"
+    r"\{\{\{?\s*[#/>&]?\s*" + _NAME + r"(?:\|[^{}]*)?\s*\}?\}\}"
+    r"|\{%[-+]?\s*" + _NAME + r"[^%{}]*%\}"
+    r"|<%[=\-@#]?\s*" + _NAME + r"[^%<>]*%>"
+    r"|<\?(?:=|php)\s*(?:echo\s+)?\$?" + _NAME + r"[^<>?]*\?>"
     r"|[$#]\{\s*" + _NAME + r"\}"
-    r"|@@\s?[A-Za-z][\w.\-]{0,40}\s?@@"
+    r"|@@\s?[A-Za-z][\w.\-]*\s?@@"
     r"|__[A-Za-z][A-Za-z0-9.\-]*(?:_[A-Za-z0-9.\-]+)*__"
-    r"|\[\[\s*[A-Za-z][\w.\-]{0,40}\s*\]\]"
-    r"|(?<![\w%])%[A-Za-z][\w.\-]{1,40}%(?![\w%])"
-    r"|(?<![\w$])\$[A-Za-z][\w.\-]{1,40}\$(?![\w$])"
-    r"|(?<![\w\]])\[[A-Za-z][\w.\-]{1,40}\](?![\w(\[])"
-    r"|(?<![\w${#])\{[A-Za-z][\w.\-]{1,40}\}(?![\w}])"
+    r"|\[\[\s*[A-Za-z][\w.\-]*\s*\]\]"
+    r"|(?<![\w%])%[A-Za-z][\w.\-]+%(?![\w%])"
+    r"|(?<![\w$])\$[A-Za-z][\w.\-]+\$(?![\w$])"
+    r"|(?<![\w\]])\[[A-Za-z][\w.\-]+\](?![\w(\[])"
+    r"|(?<![\w${#])\{[A-Za-z][\w.\-]+\}(?![\w}])"
+    r"|[\[<](?i:insert|enter|your|add|type|wpisz|wstaw|twoj[ea]|podaj|ihr|ihre|hier|inserte|escriba|su|votre)\s[^\[\]<>]*[\]>]"
 )
 UNFILLED = re.compile(r"\bNaN\b|\b[Ii]nvalid [Dd]ate\b|\bINVALID DATE\b|\[object Object\]|\[OBJECT OBJECT\]|\bundefined\b|\bnull null\b|\bnull \||\| null\b|\bNAN (?:EUR|ZŁ|USD|PLN)\b|(?:HELLO|HALLO|WITAJ|HOLA|ONLY|NOCH|ZOSTAŁO:?|QUEDAN|SOLO) UNDEFINED\b")
 #: A sentence about templates or code: one field or value in it is an example.
@@ -77,35 +85,73 @@ FILLER_WORDS = frozenset(
     " voluptate volutpat vulputate".split()
 )
 
-#: Messages at the start of a line, masked ("0" is any number) and in lower case, by kind.
-PHRASES: dict[str, tuple[str, ...]] = {
-    "filler": (
-        "add your paragraph here", "click to edit", "click here to edit", "content coming soon", "coming soon", "sample text", "your headline goes here", "your text here", "your text goes here", "insert text here",
-        "insert headline here", "insert title here", "placeholder text", "placeholder", "todo: write", "todo write", "todo:", "tbd", "to be written", "to be completed", "text to follow", "page title", "untitled page", "untitled", "untitled document",
-        "this page is under construction", "under construction", "write something here", "heading goes here", "description goes here", "dummy text", "test test test", "asdf asdf", "xxx xxx", "blah blah blah", "foo bar baz",
-        "tu wpisz", "tutaj wpisz", "wpisz tekst", "wpisz tutaj", "kliknij, aby edytować", "kliknij aby edytować", "tekst w przygotowaniu", "treść w przygotowaniu", "strona w przygotowaniu", "strona w budowie", "przykładowa treść", "przykładowy tekst", "do uzupełnienia", "tytuł strony", "tekst zastępczy", "wkrótce więcej", "wstaw tekst", "strona bez tytułu", "bez tytułu",
-        "hier steht ihre überschrift", "hier steht ihr text", "hier text einfügen", "text hier einfügen", "inhalt folgt", "text folgt", "platzhaltertext", "platzhalter", "beispieltext", "mustertext", "klicken, um diesen", "klicken sie hier, um", "klicken zum bearbeiten", "seitentitel", "seite ohne titel", "ohne titel", "seite im aufbau", "noch auszufüllen",
-        "su titular va aquí", "su texto va aquí", "su título aquí", "su texto aquí", "contenido en preparación", "contenido próximamente", "próximamente", "texto de muestra", "texto de ejemplo", "texto provisional", "título de la página", "página sin título", "sin título", "inserte texto", "inserte el texto", "inserte aquí", "insertar texto", "haga clic para editar", "clic para editar", "pendiente de redactar", "por completar", "por rellenar", "página en construcción", "en construcción", "añada su párrafo", "escriba aquí",
-    ),
-    "error": (
-        "error 0", "0 error", "0 not found", "0 - not found", "page not found", "not found", "http 0", "http error", "0 page not found", "0 forbidden", "0 internal server error", "0 service", "0 bad gateway", "0 gateway", "0 too many requests", "internal server error", "server error", "bad gateway", "gateway timeout", "bad request",
-        "service unavailable", "service temporarily unavailable", "database connection failed", "error establishing a database connection", "too many requests", "your session has expired", "session expired", "access denied", "permission denied", "forbidden", "your request was blocked", "request blocked", "you have been blocked", "down for maintenance", "site under maintenance", "under maintenance", "we are down for maintenance", "we'll be back soon", "scheduled maintenance",
-        "oops! this page has gone missing", "oops! page not found", "oops! something went wrong", "something went wrong", "this page has gone missing", "this page is no longer available", "this page does not exist", "this page could not be found", "the page you requested", "the page you are looking for", "the page you were looking for", "sorry, we could not find what you were looking for", "sorry, the page", "sorry, this page", "sorry, something went wrong", "we could not find", "an error occurred", "an unexpected error", "unexpected error", "fatal error", "application error", "connection timed out", "request timed out", "please try again in a few minutes", "please try again later", "reference number 0", "code: e-0", "the address may have changed", "if this persists, write to the site owner", "checking your browser", "verify you are human", "verifying you are human", "please complete the security check",
-        "błąd 0", "błąd serwera", "błąd połączenia", "błąd bazy", "wewnętrzny błąd serwera", "wystąpił błąd", "coś poszło nie tak", "nie znaleziono strony", "strona nie istnieje", "strony nie znaleziono", "nie można odnaleźć strony", "ups! tej strony już tu nie ma", "ups! coś poszło", "ups!", "tej strony już tu nie ma", "ta strona jest już niedostępna", "strona niedostępna", "strona jest niedostępna", "przepraszamy, nie znaleźliśmy", "niestety, nie znaleźliśmy", "nie znaleźliśmy", "brak dostępu", "odmowa dostępu", "dostęp zabroniony", "żądanie zostało zablokowane", "zbyt wiele zapytań", "zbyt wiele żądań", "usługa chwilowo niedostępna", "usługa niedostępna", "serwis chwilowo niedostępny", "przerwa techniczna", "prace konserwacyjne", "trwają prace", "sesja wygasła", "twoja sesja wygasła", "sprawdzamy twoją przeglądarkę", "spróbuj ponownie za kilka minut", "spróbuj ponownie później", "numer zgłoszenia 0", "kod: e-0", "wróć na stronę startową", "adres mógł się zmienić", "być może adres się zmienił", "nie udało się połączyć z bazą",
-        "fehler 0", "seite nicht gefunden", "0 - seite nicht gefunden", "interner serverfehler", "serverfehler", "datenbankfehler", "ein fehler ist aufgetreten", "etwas ist schiefgelaufen", "hoppla!", "diese seite gibt es nicht mehr", "diese seite ist nicht mehr verfügbar", "die seite wurde nicht gefunden", "leider haben wir", "leider konnten wir", "zugriff verweigert", "zugriff abgelehnt", "ihre anfrage wurde blockiert", "anfrage blockiert", "zu viele anfragen", "dienst vorübergehend nicht verfügbar", "dienst nicht verfügbar", "wartungsarbeiten", "wegen wartung", "ihre sitzung ist abgelaufen", "sitzung abgelaufen", "ihr browser wird geprüft", "ihr browser wird überprüft", "bitte in einigen minuten erneut", "bitte versuchen sie es", "vorgangsnummer 0", "referenznummer 0", "zurück zur startseite", "die adresse hat sich vielleicht geändert", "datenbankverbindung fehlgeschlagen", "keine verbindung zur datenbank",
-        "error 0: página no encontrada", "página no encontrada", "0: página no encontrada", "error interno", "error del servidor", "error de servidor", "error interno del servidor", "error de conexión", "ha ocurrido un error", "se ha producido un error", "algo salió mal", "algo ha ido mal", "¡vaya!", "¡ups!", "vaya!", "esta página ya no existe", "esta página ya no está disponible", "la página no existe", "la página que busca", "lo sentimos, no encontramos", "lo sentimos, no hemos", "no encontramos lo que buscaba", "acceso denegado", "su solicitud fue bloqueada", "su petición fue bloqueada", "petición bloqueada", "solicitud bloqueada", "demasiadas peticiones", "demasiadas solicitudes", "servicio no disponible", "en mantenimiento", "sitio en mantenimiento", "su sesión ha caducado", "su sesión ha expirado", "la sesión ha caducado", "comprobando su navegador", "inténtelo de nuevo", "número de referencia 0", "código: e-0", "puede que la dirección haya cambiado", "volver al inicio", "vuelva a la página de inicio", "fallo de conexión con la base", "no se pudo conectar con la base",
-    ),
-    "script": (
-        "loading…", "loading...", "loading, please wait", "loading please wait", "please wait", "javascript is disabled", "javascript is required", "javascript required", "please enable javascript", "enable javascript", "please turn on javascript", "you need to enable javascript", "you need to switch on scripts", "you need to turn on scripts", "this app needs scripts", "this site needs scripts", "this site requires javascript", "this page requires javascript", "this page needs javascript", "your browser blocks scripts", "your browser does not support", "scripts are disabled", "scripts are turned off", "turn them on and reload",
-        "trwa ładowanie", "ładowanie…", "ładowanie...", "wczytywanie", "proszę czekać", "włącz javascript", "włącz obsługę javascript", "javascript jest wyłączony", "obsługa javascript", "aplikacja wymaga skryptów", "strona wymaga skryptów", "ta strona wymaga", "ta aplikacja wymaga", "twoja przeglądarka blokuje skrypty", "twoja przeglądarka nie obsługuje", "skrypty są wyłączone", "włącz je i odśwież", "musisz włączyć skrypty", "aby zobaczyć sklep, włącz",
-        "wird geladen", "lädt…", "lädt...", "laden…", "bitte warten", "bitte javascript aktivieren", "javascript aktivieren", "bitte aktivieren sie javascript", "javascript ist deaktiviert", "javascript ist ausgeschaltet", "skripte sind ausgeschaltet", "skripte sind deaktiviert", "diese anwendung braucht skripte", "diese seite braucht skripte", "diese seite benötigt", "ihr browser blockiert skripte", "ihr browser unterstützt", "bitte einschalten und neu laden", "schalten sie skripte ein",
-        "cargando", "espere por favor", "por favor, espere", "espere un momento", "active javascript", "activa javascript", "active los scripts", "habilite javascript", "javascript está desactivado", "javascript está deshabilitado", "los scripts están", "la aplicación necesita scripts", "esta aplicación necesita", "esta página necesita", "esta página requiere", "su navegador bloquea los scripts", "su navegador no admite", "actívelos y recargue", "necesita activar los scripts", "debe activar los scripts",
-    ),
+#: Classes of words by their stems: a stem with ``$`` is a whole word.
+CLASSES: dict[str, str] = {
+    # what went wrong, by itself
+    "fail": "error$ errors$ fatal exception fail$ failed failure denied forbidden prohibited blocked unavailable expire timeout$ timed$ missing$ invalid refused unauthori overload interrupted rejected suspended outage wrong$ gone$ down$ oops whoops gateway$ maintenance offline$"
+    " błąd$ błęd awari odmow zabronion zablokowan niedostępn wygas nieprawidłow przerw konserwac prac$ prace$ ups$ przeciążon nieautoryzowan przekroczono nieudan"
+    " fehler$ fehlgeschlagen verweigert abgelehnt verboten blockiert abgelaufen ungültig schiefgelaufen schiefgegangen wartung wartungsarbeiten hoppla überlastet gestört störung serverfehler datenbankfehler zeitüberschreitung fehlt$"
+    " fallo$ fallid denegad prohibid bloquead caducad expirad inválid rechazad mantenimiento vaya$ mal$ agotad interrumpid saturad"
+    " erreur échoué échec refusé interdit indisponible expiré introuvable désolé errore fallito negato vietato scaduto fout mislukt geweigerd",
+    # what it happened to
+    "object": "page internal$ site website server service resource content request session connection database access address url$ link$ file$ document$ application app$ account$ permission privilege rights$ host$ login$ query$ http$ https$ status$ system$ network upstream proxy security"
+    " wewnętrzn techniczn żądani zapytań stron serwis serwer usług zasób zasob treś żądan zapytan sesj połączeni baz$ bazy$ bazą$ danych$ dostęp adres link plik dokument aplikacj konto$ uprawnie witryn zgłosze"
+    " interner$ seite dienst server ressource inhalt anfrage sitzung verbindung datenbank zugriff adresse datei dokument anwendung konto$ berechtigung webseite website vorgang"
+    " interno$ página sitio servicio servidor recurso contenido solicitud petición peticiones solicitudes sesión conexión acceso dirección enlace archivo documento aplicación cuenta$ permiso web$ datos$ base$"
+    " site$ demande ressource accès serveur pagina sito pagine risorsa",
+    "deny": "not$ no$ cannot$ cant$ couldn$ couldnt$ can$ isn$ isnt$ doesn$ doesnt$ don$ won$ wasn$ unable$ without$ never$ longer$ many$ unexpected bad$ t$"
+    " nie$ brak$ nieoczekiwan już$ zbyt$ wiele$ nicht$ kein keine mehr$ nichts$ viele$ unerwartet no$ sin$ demasiad inesperad ya$ ne$ pas$ plus$ non$ niet$ geen$",
+    "state": "found$ available exist reach$ reached reachable load$ loaded display open$ opened authori permitted allowed shown$ show$ connect$ connected establish work$ working process complete handle displayed located removed moved deleted changed going$ missing view$ viewing accessible supported access$ retriev serve$ respond"
+    " znale odnale istniej dostępn masz$ wyświetl otworzy połączy załadow działa przenies usunięt zmieni możn moż udało uda$ jest$ poszło$"
+    " gefunden finden existiert verfügbar erreichbar geladen laden$ angezeigt anzuzeigen berechtigt erlaubt verbinden hergestellt verschoben gelöscht geändert gibt$ vorhanden aufgetreten werden$"
+    " encontr existe disponible accesible carg mostr abrir$ autorizad permitid conectar establec movid eliminad cambiad salió$ ido$ ocurrid producid pudo$ puede$ busca$ acced"
+    " trouvée trouvé existe disponible peut$ trovata disponibile esiste gevonden beschikbaar bestaat",
+    "moved": "removed moved deleted taken$ usunięt przenies skasowan verschoben gelöscht entfernt movid eliminad retirad borrad supprim rimoss",
+    "sorry": "sorry$ please$ apolog unfortunately$ regret something$ somewhat$ przepraszam przykro niestety coś$ proszę$ leider$ bitte$ entschuldig etwas$ verzeihung lamentamos sentimos$ disculp por$ favor$ algo$ désolé malheureusement spiacenti helaas excuseer",
+    "advice": "try$ retry again$ later$ reload refresh back$ return$ home$ homepage start$ startpage contact administrator admin$ owner webmaster helpdesk support$ reference$ incident number$ code$ codes$ check$ persist few$ minutes$ minute$ moment moments$ soon$ shortly$ ticket$ go$ meanwhile write$ mistyped spelling temporarily$ temporary scheduled currently$ right$ now$ here$ e$ requested$ looking$ occurred$ looks$ may$ might$ have$ has$ be$"
+    " spróbuj ponownie później odśwież wróć wstecz startow główn administrator właściciel kontakt numer kod$ kod minut chwil sprawdź tymczasow chwilowo$ zaplanowan wkrótce$ mógł$ mogła$ razie$ być$ może$"
+    " versuchen versuch erneut später neu$ zurück startseite administrator betreiber kontakt referenznummer vorgangsnummer nummer code$ minuten moment augenblick prüfen vorübergehend geplant derzeit momentan hat$ sich$ vielleicht$ möglicherweise einigen$ wegen$"
+    " inténtelo inténtalo intente intentar nuevo$ más$ tarde$ recargue recargar actualice volver vuelva inicio$ administrador propietario contacte número referencia código minutos unos$ momento compruebe temporalmente programad actualmente haya$ pued puede$"
+    " réessay veuillez plus tard riprova ripeti",
+    "script": "javascript$ js$ script$ scripts$ browser adblock skrypt skrypty skryptów przeglądark skript skripte skripten navegador navigateur scripting",
+    "switch": "checking verifying sprawdzamy weryfikac weryfikuj überprüft geprüft comprobando verificando enable activat turn$ turned$ switch on$ off$ disable deactivat require need must$ block blocks$ support allow run$ runs$ reload them$ nothing$ upgrade update outdated"
+    " włącz wyłącz wymaga potrzebuj musi musisz blokuj obsług odśwież aktywuj zaktualizuj aby$ zobaczyć$"
+    " aktivier deaktiviert ausgeschaltet einschalten eingeschaltet schalten benötigt braucht blockiert unterstützt aktualisier muss$ müssen um$ sehen$ sehen"
+    " active$ activ actív actívelos desactivad habilit deshabilit necesita requiere bloquea admite soporta actualic debe$ para$ ver$ ejecut nada$"
+    " activez activer désactivé attiva abilita",
+    "wait": "loading$ wait$ redirecting preparing$ fetching$ buffering ładowani ładuje wczytyw czekać czekaj przekierow lädt$ geladen$ laden$ warten$ weiterleitung cargando$ espere$ redirigiendo chargement patientez caricamento attendere human$ człowiek mensch humano trwa$",
+    "fill": "insert add$ enter$ type$ click replace paste edit$ goes$ put$ fill$ customi describe$ wpisz wstaw kliknij edytow uzupełni podmian podmień dodaj zastąp wklej einfügen eingeben klicken bearbeiten ersetzen steht$ hinzufügen ausfüllen auszufüllen tippen inserte insertar inserta escriba añad haga$ haz$ clic$ editar$ va$ cámbi sustitu rellen reemplac redactar complet insérez saisissez cliquez modifier inserisci",
+    "part": "text$ title$ headline heading paragraph content$ copy$ description caption$ subtitle body$ name$ here$ your$ launch$ before$ company$ image$ tekst treś tytuł nagłów akapit opis tu$ tutaj$ swój$ twój$ nazwa nazwę text titel überschrift absatz inhalt$ beschreibung hier$ ihr$ ihre$ ihren$ diesen texto título titular párrafo contenido descripción aquí$ su$ tu$ este$ texte titre votre ici$ testo titolo qui$",
+    "unwritten": "placeholder dummy$ sample$ todo$ tbd$ tba$ untitled lorem$ ipsum$ construction$ coming$ soon$ follow$ follows$ written$ unwritten draft$ zastępcz przykładow przygotowani budowie$ budow wkrótce$ szkic bez$ platzhalter beispieltext mustertext folgt$ aufbau$ ohne$ entwurf vorbereitung muestra$ provisional próximamente preparación construcción ejemplo$ pendiente$ borrador sin$ desarrollo$ segnaposto",
+    "you": "tego$ tym$ tych$ dem$ dieses$ you$ your$ this$ if$ twoja$ twoje$ twój$ ta$ tej$ ten$ ihr$ ihre$ diese dieser dieses sie$ su$ sus$ tu$ esta$ este$ esto$ votre cette",
+    "we": "we$ our$ us$ it$ that$ wir$ uns$ nos$ nosotros$ nas$ nous$",
 }
-#: Phrases that are content when more words follow: the line must end after them.
-_WHOLE = frozenset(
-    ("placeholder", "tbd", "untitled", "bez tytułu", "ohne titel", "sin título", "page title", "tytuł strony", "seitentitel", "título de la página", "coming soon", "próximamente", "platzhalter", "not found", "forbidden", "error 0", "0 error", "fehler 0", "błąd 0", "http 0", "under construction", "under maintenance", "wartungsarbeiten", "en mantenimiento", "en construcción", "cargando", "wczytywanie", "please wait", "bitte warten", "proszę czekać", "wird geladen", "ups!", "hoppla!", "¡vaya!", "vaya!", "¡ups!", "przerwa techniczna", "server error", "serverfehler", "access denied", "zugriff verweigert", "brak dostępu", "acceso denegado", "too many requests")
+#: Words that carry nothing here.
+_EMPTY = frozenset(
+    "a an the of to in on at by for from with and or as is are was were be been so but have has had do does did will would there which when while until after its i w z na do się sie to że o po lub albo oraz jest są był zostało została został masz mam mamy od dla ze der die das den dem des ein eine einen und oder zu zum zur im auf an von mit ist sind war es wurde wird worden auch haben habe hat el la los las un una de del en y o que se al es son lo le ha han le les du un une et ou il lo la gli di che e è een het de van".split()
 )
+_STEMS: dict[str, dict[str, list[str]]] = {}
+_WHOLES: dict[str, frozenset[str]] = {}
+for _kind, _text in CLASSES.items():
+    for _stem in _text.split():
+        if _stem.endswith("$"):
+            _WHOLES[_stem[:-1]] = _WHOLES.get(_stem[:-1], frozenset()) | {_kind}
+        else:
+            _STEMS.setdefault(_stem[:2], {}).setdefault(_stem, []).append(_kind)
+#: Classes that make a line worth reading, and the shortest of their words.
+_TELLING = ("fail", "script", "wait", "unwritten", "fill", "sorry", "deny", "advice")
+
+
+@lru_cache(maxsize=200_000)
+def word_classes(word: str) -> frozenset[str]:
+    """The classes of a word in lower case: of its whole form and of all stems that it begins with."""
+    out = set(_WHOLES.get(word, ()))
+    for stem, kinds in _STEMS.get(word[:2], {}).items():
+        if word.startswith(stem) and len(word) <= len(stem) + 5:
+            out.update(kinds)
+    return frozenset(out)
+
+
 _WEAK = re.compile(
     r"error|failed|denied|blocked|unavailable|expired|not found|loading|please wait|maintenance|scripts?\b|javascript|browser|try again|placeholder|błąd|niedostępn|zablokowan|wygasł|ładowani[eu]\b|podczas ładowania|wczytyw|skrypt|przeglądark|spróbuj|fehler|verweigert|blockiert|abgelaufen|nicht verfügbar|geladen|skripte|wartung"
     r"|denegado|bloquead|caducad|no disponible|cargando|mantenimiento|navegador|inténte|coming soon|przygotowani|folgt|preparación|edit\b|edytować|bearbeiten|editar",
@@ -123,6 +169,7 @@ _ADDRESS = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\w+", re.I)
 _DATE = re.compile(r"\b\d{1,4}[./-]\d{1,2}[./-]\d{1,4}\b")
 _SPACE = re.compile(r"\s+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+_END = re.compile(r"[.!?…]+\s+(?=\S)")
 _WORD = re.compile(r"[^\W\d_]+")
 _ONLY_STATUS = re.compile(r"^\W*(?:error|fehler|błąd|http)?\W*(?:400|401|403|404|410|429|500|502|503|504)\W*$", re.I)
 _KEYS = re.compile(r"^(?:(\w)\1{2,}\s+){1,}(\w)\2{2,}$|^(asdf|qwerty|test|bla|blah)(?:\s+\3){1,}\W*$", re.I)
@@ -136,22 +183,12 @@ def mask(line: str) -> str:
     return _SPACE.sub(" ", _NUMBER.sub("0", _DATE.sub("0", s))).strip()
 
 
-#: Cheap tests that most lines fail: a character or word of a field rule, and the first words of the messages.
+#: A cheap test that most texts fail: a character or word of a field rule.
 _FIELD_CUE = re.compile(r"[{}<@%$\[_]|undefined|NaN|nvalid|null|NULL|UNDEFINED|NAN ")
-_HEAD = re.compile(r"[^\W\d_]+|\d+")
-
-
-def _head(phrase: str) -> str:
-    m = _HEAD.search(phrase)
-    return m.group(0) if m else ""
-
-
-_HEADS = frozenset(_head(p) for words in PHRASES.values() for p in words) | {"0", "null", "undefined", "nan", "none", "nil", "asdf", "qwerty", "test", "bla", "blah"}
-#: Messages that are also ordinary words of a list: they count only in texts without a long line.
+#: Messages that are also ordinary words of a list: they count only in texts without running text.
 _AMBIGUOUS = frozenset(("seitentitel", "page title", "tytuł strony", "título de la página", "placeholder", "platzhalter"))
-_PARAGRAPH = 120
-_STARTS = {k: tuple(v) for k, v in PHRASES.items()}
-_ALL_STARTS = tuple(p for v in PHRASES.values() for p in v)
+_TOKEN = re.compile(r"[^\W\d_]+|\d+")
+_STATUS = re.compile(r"(?<!\d)(?:4[0-5]\d|50[0-9]|51[01]|52\d)(?!\d)")
 
 
 def filler_share(line: str) -> tuple[int, float]:
@@ -171,88 +208,106 @@ def field_kind(line: str) -> str | None:
     return None
 
 
-def phrase_kind(masked: str) -> str | None:
-    """``filler``, ``error`` or ``script`` for a masked line that starts with a message."""
-    if len(masked) > LONGEST_MESSAGE:
-        masked = _SENTENCE.split(masked, maxsplit=1)[0]
-    s = masked.lower().strip(_LEAD)
-    for kind, starts in _STARTS.items():
-        if not s.startswith(starts):
-            continue
-        for p in starts:
-            if s.startswith(p):
-                rest = s[len(p) :]
-                if not rest.strip(" .!?…:;,"):
-                    return kind
-                if p in _WHOLE:
-                    if rest.lstrip()[:1] in ".!?…" or (rest.lstrip()[:1] in ":|–—-" and len(s) <= 60):
-                        return kind
-                elif not (rest[:1].isalnum() and p[-1:].isalnum()):
-                    return kind
-    return None
-
-
-def line_kind(line: str) -> str | None:
-    """The kind of residue in one line, or None."""
-    kind = field_kind(line)
+def sentence_kind(words: list[str], status: bool = False) -> tuple[str | None, float, bool]:
+    """The kind of message that the classes of a sentence's words combine to, the share of its content words that they cover,
+    and whether it addresses the reader. ``status``: the sentence holds a number that is a status code."""
+    of = [word_classes(w) for w in words]
+    told = sum(map(bool, of))
+    content = told + sum(1 for w, c in zip(words, of) if not c and w not in _EMPTY)
+    if not told or told < LIKELY * content:
+        return None, 0.0, False
+    have, whole = frozenset().union(*of), told == content
+
+    def count(name: str) -> int:
+        return sum(name in c for c in of)
+
+    kind = None
+    if "script" in have and ("switch" in have or "fail" in have):
+        kind = "script"
+    elif "wait" in have and (have & {"sorry", "object", "script", "you", "we", "advice"} or whole):
+        kind = "script"
+    elif "fill" in have and "part" in have and count("fill") + count("part") > (1 if len(words) <= 4 else 2):
+        kind = "filler"
+    elif "unwritten" in have and (have & {"part", "object", "fill"} or whole) and "fail" not in have:
+        kind = "filler"
+    elif status and have & {"object", "fail", "state"}:
+        kind = "error"
+    elif "fail" in have and (have & {"object", "deny", "sorry", "advice", "you", "we", "state"} or whole):
+        kind = "error"
+    elif "deny" in have and (("state" in have and have & {"object", "sorry", "you", "we"}) or ("object" in have and whole)):
+        kind = "error"
+    elif "moved" in have and "object" in have and have & {"you", "sorry", "deny"}:
+        kind = "error"
+    elif whole and count("advice") >= 2:
+        kind = "error"
+    return kind, told / content, bool(have & {"you", "sorry"})
+
+
+def phrase_kind(line: str) -> tuple[str | None, bool]:
+    """The kind of the message that a line is (or begins with, followed by others), and whether its words settle it."""
+    s = line.strip(_LEAD)
+    end = _END.search(s)
+    while end and not _WORD.search(s, 0, end.start()):  # "404." or "!!!" is no sentence of its own
+        end = _END.search(s, end.end())
+    first = s[: end.start()] if end else s
+    words = [w.lower() for w in _WORD.findall(first)]
+    if end and len(words) <= 2:  # "Sorry!" says nothing yet
+        after = _END.search(s, end.end())
+        first = s[: after.start()] if after else s
+        words = [w.lower() for w in _WORD.findall(first)]
+    if not words:
+        return None, False
+    kind, cover, addressed = sentence_kind(words, bool(_STATUS.search(first)))
+    if kind is None or cover < LIKELY:
+        return None, False
+    if kind == "script" and not addressed:  # or a real sentence on the technique
+        return (kind, True) if cover >= SCRIPTS else (None, False)
+    return kind, cover >= CERTAIN
+
+
+def line_kind(line: str, fields: bool = True) -> tuple[str | None, bool]:
+    """The kind of residue in one line, or None, and whether it is certain without recurring. ``fields``: the line may hold
+    template fields."""
+    kind = field_kind(line) if fields and _FIELD_CUE.search(line) else None
     if kind:
-        return kind
-    m = mask(line)
-    if not m:
-        return None
+        return kind, True
     if _ONLY_STATUS.match(line):
-        return "error"
+        return "error", True
     bare = line.strip(_LEAD + ".")
     if bare in ("null", "undefined", "NaN", "None", "nil", "NULL", "UNDEFINED"):
-        return "unfilled"
-    if _KEYS.match(m.strip(_LEAD)):
-        return "filler"
-    n, share = filler_share(line)
-    if (n >= 4 and share >= 0.75) or (n >= 2 and share == 1 and "lorem" in line.lower()):
-        return "filler"
-    return phrase_kind(m)
-
-
-def _worth(line: str, fields: bool) -> bool:
-    """Whether a line can have a kind at all."""
-    if fields and _FIELD_CUE.search(line):
-        return True
-    m = _HEAD.search(line)
-    if not m:
-        return False
-    head = m.group(0).lower()
-    if head in _HEADS or head[0].isdigit() or head[:3] == "xxx":
-        if len(line) <= LONGEST_MESSAGE or mask(line[:LONGEST_MESSAGE]).lower().strip(_LEAD).startswith(_ALL_STARTS):
-            return True
-    if head in FILLER_WORDS:
-        nxt = _HEAD.search(line, m.end())
-        return bool(nxt) and nxt.group(0).lower() in FILLER_WORDS
-    return False
+        return "unfilled", True
+    if bare.lower() in _AMBIGUOUS or _KEYS.match(bare):
+        return "filler", True
+    head = _WORD.search(bare)
+    if head and head.group(0).lower() in FILLER_WORDS:
+        n, share = filler_share(line)
+        if (n >= 4 and share >= 0.75) or (n >= 2 and share == 1 and "lorem" in line.lower()):
+            return "filler", True
+    return phrase_kind(line)
 
 
 def text_messages(text: str | None) -> list[tuple[str, str, bool]]:
-    """``(masked message, kind, certain)`` for each flagged line of a text; weak messages have kind ``weak``."""
+    """``(masked message, kind, certain)`` for each flagged line of a text."""
     if not text or text.isspace():
         return []
-    fields = bool(_FIELD_CUE.search(text))
     out, unsure = [], []
-    lines = text.split("\n")
+    lines = [x for x in text.split("\n") if x and not x.isspace()]
+    fields = _FIELD_CUE.search(text) is not None
     for line in lines:
-        if line and _worth(line, fields):
-            kind = line_kind(line)
-            if kind:
-                listed = line.lstrip()[:2] in ("* ", "- ", "• ", "– ")
-                word = line.strip(_LEAD).lower()
-                if kind in ("filler", "error", "script") and listed:
-                    continue
-                (unsure if word in _AMBIGUOUS else out).append((mask(line)[:LONGEST_MESSAGE], kind, True))
-    if unsure and (out or max(map(len, lines)) <= _PARAGRAPH):
+        kind, certain = line_kind(line, fields)
+        if kind:
+            if kind in ("filler", "error", "script") and _ITEM.match(line):
+                continue
+            (unsure if line.strip(_LEAD).lower() in _AMBIGUOUS else out).append((_key(mask(line)), kind, certain))
+    if unsure and (out or not any(_prose(x) for x in lines)):
         out += unsure
-    if not out and len(text) <= SHORT_TEXT and _WEAK.search(text):
-        out.append((mask(text.replace("\n", " ")), "weak", False))
     return out
 
 
+def _prose(line: str) -> bool:
+    return line.rstrip()[-1:] in ".!?…" and len(_WORD.findall(line)) >= 8
+
+
 def _parts(title: str) -> list[str]:
     """A title, and what stands before and behind a separator."""
     parts = [title]
@@ -280,16 +335,19 @@ def title_messages(title: str | None) -> list[tuple[str, str, bool]]:
     """As ``text_messages`` for a title, which may carry a site name behind or before a separator."""
     if not title or not title.strip():
         return []
+    likely = []
     for p in _parts(title):
-        kind = line_kind(p)
+        kind, certain = line_kind(p)
+        if kind and certain:
+            return [(_key(mask(p)), kind, True)]
         if kind:
-            return [(mask(p)[:LONGEST_MESSAGE], kind, True)]
-    return []
+            likely.append((_key(mask(p)), kind, False))
+    return likely[:1]
 
 
 def _key(masked: str) -> str:
     """A masked message, the end of a long one as its hash."""
-    return masked if len(masked) <= LONGEST_MESSAGE else f"{masked[:LONGEST_MESSAGE]} {xxhash.xxh3_64_hexdigest(masked)}"
+    return masked if len(masked) <= KEPT else f"{masked[:KEPT]} {xxhash.xxh3_64_hexdigest(masked)}"
 
 
 def _weak(s: str) -> bool:
@@ -372,16 +430,27 @@ def units(pages: DataFrame, crawls: DataFrame) -> DataFrame:
 
 def recurring(found: DataFrame, min_sources: int = MIN_SOURCES) -> DataFrame:
     """Each message with its rows and sources; ``widespread`` where it recurs in enough sources."""
-    per_source = found.groupBy("message", "kind", "certain", "source").agg(F.count("*").alias("n"))
+    per_source = found.groupBy("message", "source").agg(F.max("kind").alias("kind"), F.max("certain").alias("certain"), F.count("*").alias("n"))
     return (
-        per_source.groupBy("message", "kind", "certain")
-        .agg(F.sum("n").alias("rows"), F.count("*").alias("sources"))
+        per_source.groupBy("message")
+        .agg(F.max("kind").alias("kind"), F.max("certain").alias("certain"), F.sum("n").alias("rows"), F.count("source").alias("sources"))
         .withColumn("widespread", F.col("sources") >= min_sources)
     )
 
 
+def grouped(found: DataFrame, min_sources: int = MIN_SOURCES) -> DataFrame:
+    """``src, row_id, settled, widespread``: of each row with a message, whether the words of one settle it, and whether one
+    recurs in enough sources. All messages are grouped; few are widespread, so the join is on a short list."""
+    wide = recurring(found, min_sources).where("widespread").select("message", F.lit(True).alias("wide")).distinct()
+    met = found.select("src", "row_id", "message", "certain").join(wide, "message", "left")
+    return met.groupBy("src", "row_id").agg(F.max("certain").alias("settled"), F.max(F.coalesce("wide", F.lit(False))).alias("widespread"))
+
+
 def flagged(found: DataFrame, min_sources: int = MIN_SOURCES) -> DataFrame:
-    """``src, row_id``: rows with a certain message, or a weak one that recurs widely."""
-    weak = found.where("not certain")
-    wide = recurring(weak, min_sources).where("widespread").select("message")
-    return found.where("certain").select("src", "row_id").unionByName(weak.join(wide, "message", "left_semi").select("src", "row_id")).distinct()
+    """``src, row_id``: rows with a certain message, or another one that recurs widely."""
+    return grouped(found, min_sources).where("settled or widespread").select("src", "row_id")
+
+
+def shares(found: DataFrame) -> DataFrame:
+    """Flagged rows by what decided: the words of a message, its recurrence over sources, or both."""
+    return grouped(found).where("settled or widespread").groupBy("settled", "widespread").agg(F.count("*").alias("rows"))

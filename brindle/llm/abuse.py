@@ -39,117 +39,137 @@ THRESHOLD, REST = 3.0, 0.1
 
 CLASSES = {
     # nouns that insult a person
-    "I": "scumbags? bastards? morons? idiots? cretins? imbeciles? losers? clowns? parasites? pigs? dickheads? assholes? arseholes? bitch(?:es)? whores? sluts? cunts? wankers? twats? pricks? fuckers? motherfuckers? retards? dumbass(?:es)? jackass(?:es)? douchebags? dipshits? fools? trash garbage vermin cowards? lowlifes? dimwits? halfwits? simpletons?"
-    " idioto debilu kretynie palancie dupku smieciu gnoju pasozycie tchorzu glupku durniu baranie chuju kutasie skurwysynu sukinsynu szmato suko dziwko kurwo gnido pajacu frajerze bydlaku matole tumanie cwelu pedale swinio idiotko debilko scierwo lajzo gnojku"
-    " schwachkopf vollpfosten trottel parasit drecksack arschloch feigling idiot idiotin wichser hurensohn missgeburt schlampe hure fotze penner spast spasti vollidiot dummkopf abschaum drecksau schwein versager blodmann nichtsnutz dreckskerl mistkerl bastard"
-    " idiota imbecil payaso payasa parasito cobarde estupido estupida gilipollas cabron cabrona subnormal capullo mierda puta puto hijoputa tarado basura escoria cretino cretina inutil cerdo cerda zorra retrasado maricon rata fracasado",
-    # adjectives that insult
-    "A": "worthless pathetic ugly disgusting useless brainless spineless greasy filthy lying stupid dumb fucking bloody damn miserable rotten stinking little fat lazy vile dirty sick cowardly idiotic moronic goddamn shitty"
-    " glupi glupia zalosny zalosna zaklamany zaklamana tepy tepa bezmozgi bezmozga smierdzacy smierdzaca obrzydliwy parszywy parszywa jebany jebana pierdolony pierdolona zasrany glupia brudny nedzny wstretny"
+    "I": "scumbags? bastards? morons? idiots? cretins? imbeciles? losers? clowns? parasites? pigs? dickheads? assholes? arseholes? bitch(?:es)? whores? sluts? cunts? wankers? tossers? twats? pricks? fuckers? motherfuckers? retards? dumbass(?:es)? jackass(?:es)? douchebags? dipshits? fools? trash garbage vermin cowards? lowlifes? dimwits? halfwits? simpletons? muppets? bellends? gits? creeps? rats? maggots? cockroach(?:es)? degenerates? freaks? failures? nobod(?:y|ies) disgraces? swine skanks? buffoons? numpt(?:y|ies) shitheads? pigheads? imbecile leech(?:es)?"
+    " idioto debilu kretynie palancie dupku smieciu gnoju pasozycie tchorzu glupku durniu baranie chuju kutasie skurwysynu sukinsynu szmato suko dziwko kurwo gnido pajacu frajerze bydlaku matole tumanie cwelu pedale swinio idiotko debilko scierwo lajzo gnojku polglowku prostaku nieudaczniku zlamasie lamusie oszolomie kanalio"
+    " schwachkopf vollpfosten trottel parasit drecksack arschloch feigling idiot idiotin wichser hurensohn missgeburt schlampe hure fotze penner spast spasti vollidiot dummkopf abschaum drecksau schwein versager blodmann nichtsnutz dreckskerl mistkerl bastard depp deppen lappen hohlkopf hampelmann mistkafer ratte arsch schwachmat holzkopf"
+    " idiota imbecil payaso payasa parasito cobarde estupido estupida gilipollas cabron cabrona subnormal capullo mierda puta puto hijoputa tarado basura escoria cretino cretina inutil cerdo cerda zorra retrasado maricon rata fracasado pendejo pendeja baboso mamarracho bastardo malnacido sinverguenza gusano",
+    # adjectives that insult, and those that insult by themselves whatever follows
+    "A": "worthless pathetic ugly disgusting useless brainless spineless greasy filthy lying stupid dumb fucking bloody damn miserable rotten stinking little fat lazy vile dirty sick cowardly idiotic moronic goddamn shitty complete total absolute utter silly old pitiful hideous"
+    " glupi glupia zalosny zalosna zaklamany zaklamana tepy tepa bezmozgi bezmozga smierdzacy smierdzaca obrzydliwy parszywy parszywa jebany jebana pierdolony pierdolona zasrany brudny nedzny wstretny"
     " verlogener verlogene hirnloser hirnlose erbarmlicher erbarmliche widerlicher widerliche dreckiger dreckige dummer dumme fetter fette blode bloder hassliche hasslicher armseliger nutzloser elender verdammter stinkender wertloser"
     " inutil mentiroso mentirosa patetico patetica asqueroso asquerosa estupido estupida feo fea sucio sucia maldito maldita puto puta gordo gorda repugnante descerebrado descerebrada miserable",
-    # people as a group
-    "G": "migrants immigrants foreigners refugees newcomers southerners northerners easterners westerners varnians ostrovites jews muslims christians arabs gypsies roma gays lesbians women blacks whites asians mexicans poles germans (?:the )?hill people (?:the )?people of (?:that|this|their) (?:faith|religion|colou?r|race) those people these people they"
-    " migranci imigranci uchodzcy obcy przyjezdni poludniowcy warnianie ostrowici zydzi muzulmanie cyganie geje kobiety (?:ci )?z (?:poludnia|polnocy|gor) gorale ludzie (?:tej|tamtej) (?:wiary|rasy|religii) (?:oni|ci ludzie)"
-    " migranten auslander fluchtlinge zugezogene(?:n)? varnier ostrowiten juden muslime zigeuner schwule frauen (?:die )?aus dem (?:suden|norden|osten|westen) bergler leute (?:dieses|jenes) glaubens die bergleute diese leute"
-    " migrantes inmigrantes extranjeros refugiados recien llegados varnios ostrovitas judios musulmanes gitanos gays mujeres (?:los )?del (?:sur|norte|este|monte) serranos (?:la )?gente de (?:esa|esta) (?:fe|religion|raza) montaneses (?:los )?de la montana esa gente",
-    # parts of the body and acts
+    "B": "worthless pathetic disgusting brainless spineless stupid moronic idiotic repulsive pitiful vile filthy lying hideous zalosny zalosna bezmozgi obrzydliwy zaklamany parszywy zalosnym bezmozgim tepym hirnloser hirnlose erbarmlicher erbarmliche widerlicher widerliche verlogener armseliger wertloser patetico patetica asqueroso asquerosa repugnante descerebrado descerebrada mentiroso",
+    # what hurts: to do it, and to have it done
+    "H": "kill murder strangle stab shoot beat break smash crush burn hurt cut slit slap punch choke hang drown gut skin torture rape maim bury poison whip kick bash destroy cripple slaughter butcher lynch behead end finish find hunt wreck",
+    "P": "killed murdered strangled stabbed shot beaten burned burnt hurt slapped punched hanged hung drowned gutted whipped kicked gassed lynched tortured exterminated eradicated executed deported driven expelled shipped locked caged sterili[sz]ed flogged slaughtered exterminated castrated thrown removed purged stoned jailed wiped",
+    # what people are called who are denied to be human
+    "D": "vermin rats? roaches cockroach(?:es)? animals beasts pigs dogs monkeys apes parasites leeches maggots lice filth scum trash garbage savages subhumans? subhuman degenerates disease plague cancer virus pestilence infestation stain thieves criminals rapists murderers invaders barbarians"
+    " robactwo robactwem zaraza zaraze szarancza plaga plage zlodzieje zlodziejami podludzie podludzmi zwierzeta zwierzetami pasozyty pasozytami smiecie smieciami bydlo bydlem bandyci dzicz dzikusy szczury szczurami karaluchy rak rakiem brud"
+    " ungeziefer plage seuche abschaum parasiten ratten untermenschen tiere diebe verbrecher tier dreck schmarotzer barbaren schadlinge krebsgeschwur pest affen"
+    " alimanas plaga peste escoria ratas parasitos basura infrahumanos ladrones animales enfermedad delincuentes criminales salvajes cucarachas cancer bestias sabandijas",
+    # peoples and other groups: kinds of people, and names of peoples by their endings
+    "G": "migrants? immigrants? foreigners? refugees? newcomers? jews? muslims? christians? arabs? gyps(?:y|ies) roma gays? lesbians? women blacks? whites? poles? they those these"
+    " migranci imigranci uchodzcy obcy przyjezdni zydzi muzulmanie cyganie geje kobiety arabowie gorale oni ludzie"
+    " migranten auslander fluchtlinge zugezogenen? juden muslime zigeuner schwule frauen araber leute polen bergler turken sie"
+    " migrantes inmigrantes extranjeros refugiados judios musulmanes gitanos mujeres gente moros negros chinos serranos montaneses ellos",
+    # the body, and what is done with it
     "S": "pussy pussies cunt tits boobs nipples nipple cock dick dicks penis vagina clit ass asshole blowjob handjob cum cumming orgasm fuck fucks fucking fucked sex porn porno nude nudes naked horny panties bra slut sluts busty milf anal erection"
     " cipke cipka cipki cycki cyckow kutas kutasa penisa pieprzyc pieprzy ruchac rucha jebac porno porn seks nagie naga nagi nago golych napalone napalona stanik majtki dupe lodzik orgazm"
     " muschi titten schwanz ficken fickt gefickt porno porn sex nackt nackte nackten nacktbilder geile geil geiler bh hoschen bruste nippel schlampen votze orgasmus"
     " cono tetas polla follar follan follando folla porno porn sexo desnuda desnudas desnudo cachondas cachonda cachondo sujetador bragas pezones culo orgasmo mamada zorras",
+    "N": "nipples? breasts? pussy cunt cock dick penis clit tits boobs thighs crotch groin ass arse panties bra erection shaft buttocks cipke cipka cycki kutasa? uda sutki stanik majtki piersi posladki muschi titten schwanz bruste brustwarzen schenkel hoschen bh nippel schritt cono tetas polla pezones muslos bragas sujetador pechos nalgas",
+    "V": "lick(?:ed|s|ing)? suck(?:ed|s|ing)? strok(?:e|ed|es|ing) thrust(?:ed|s|ing)? rode straddl(?:e|ed|es|ing) fondl(?:e|ed|es|ing) finger(?:ed|ing) fuck(?:ed|s|ing)? moan(?:ed|s|ing)? climax(?:ed|es|ing)? orgasm(?:s|ed)? penetrat(?:e|ed|es|ing) ejaculat(?:e|ed|es|ing) undress(?:ed|es|ing)? came naked soaked wet horny grop(?:e|ed|es|ing)"
+    " lizal\\w* ssal\\w* jecz\\w* pieprzy\\w* rucha\\w* pieszcz\\w* naga nago nagi napalon\\w* mokr\\w* dochodzil\\w* wszedl wchodzil leckt\\w* saugt\\w* stohn\\w* fick\\w* gefickt streichelt\\w* nackt\\w* feucht\\w* nass geil\\w* stiess lami\\w* chup\\w* gim\\w* foll\\w* acarici\\w* desnud\\w* mojad\\w* empapad\\w* cachond\\w* penetr\\w* gemi\\w*",
 }
 
 
 def _alt(name: str) -> str:
     # words of a class are parted by blanks; blanks inside a group belong to one phrase
-    parts, depth, cur = [], 0, ""
-    for ch in CLASSES[name]:
-        depth += (ch == "(") - (ch == ")")
-        if ch == " " and depth == 0:
-            parts.append(cur)
-            cur = ""
-        else:
-            cur += ch
-    parts.append(cur)
-    return "(?:" + "|".join(sorted(set(parts), key=len, reverse=True)) + ")"
+    return "(?:" + "|".join(sorted(set(CLASSES[name].split()), key=len, reverse=True)) + ")"
 
 
-_GROUP = _alt("G")[:-1] + r"|(?:the )?hill people|(?:those|these|the) (?:people|newcomers|foreigners|migrants)|(?:los )?recien llegados|diese leute|esa gente|ci ludzie)"
-_INSULT = _alt("I")[:-1] + r"|pieces? of (?:shit|crap|garbage|trash)|waste of (?:air|space|oxygen)|(?:letzte[rn]? )?dreck)"
-_ADJ = _alt("A")
-_SEX = _alt("S")
+#: Animals and plants, which may be called so.
+_BEASTS = r"(?:ratt|maus|wesp|muck|schneck|taub|insekt|kafer|unkr|lause|hund|katz|pferd|tier|vog|fisch|pflanz|kakerlak|perr|gat|caball|animal|pajar|insect|rat[ao]|moscas|mosquit|hormig|cucarach|palom|plant|gusan|conej|gallin|vac|ovej|peces|malas)"
 
-#: (weight, pattern) over the words of a clause. {I} {A} {G} {S}: classes.
+#: Names of peoples by their endings (plural), and people by place or faith.
+_PEOPLES = (
+    r"|(?:those |these |the |all )?\w+(?:ians|eans|ites|erners|landers|comers|ishmen|immigrants)|(?:all |the |those )?(?:belgians|germans|russians|americans|mexicans|asians|turks|danes|swedes|greeks|serbs|croats|kurds|chinese|japanese|french|portuguese)|(?:\w+ )?people (?:of|from) (?:\w+ )?\w+|(?:the |those |these |that )(?:\w+ )?(?:people|lot|kind|folk)"
+    r"|\w{3,}(?:anie|ianie|ici|owie|czycy|niacy)|ci (?:z|ze) \w+|ludzie (?:z|ze|tej|tamtej) \w+|ci ludzie"
+    r"|\w{3,}(?:ier|iten|aner|esen|landern?)|(?:die )?(?:aus|von) (?:dem |der )?\w+|leute (?:dieses|jenes|aus|von) (?:dem )?\w+|diese leute|die (?!{BEAST})\w{4,}"
+    r"|(?:los|las) (?!{BEAST})\w{4,}|(?:los|las) (?:de|del) (?:esa |esta )?\w+|(?:la )?gente (?:de|del) (?:esa |esta )?\w+|esa gente|recien llegados"
+)
+_GROUP = _alt("G")[:-1] + _PEOPLES.replace("{BEAST}", _BEASTS) + ")"
+_INSULT = _alt("I")[:-1] + r"|pieces? of (?:shit|crap|garbage|trash|filth)|waste of (?:air|space|oxygen|skin|breath)|(?:letzte[rn]? )?dreck|sons? of bitches)"
+_ADJ, _BARE, _HARM, _DONE, _LESS = _alt("A"), _alt("B"), _alt("H"), _alt("P"), _alt("D")
+_SEX, _INTIMATE, _ACT = _alt("S"), _alt("N"), _alt("V")
+_YOU = r"(?:you|u|ya|ye)(?: people| guys| all| lot| two)?"
+_ARE = r"(?:are|re|r|were|will always be|look like|sound like)"
+_SHOULD = r"(?:should|ought to|deserves? to|needs? to|must|has to|have to)(?: all| just| only)?"
+
+#: (weight, pattern) over the words of a clause; the names in braces are classes. Each pattern composes open classes: who
+#: speaks, to or about whom, and what is said.
 _RULES: list[tuple[float, str]] = [
-    # --- insults with a target
-    (3, r"\b(?:you|u|ya) (?:are|re|r)(?: (?:just|nothing but|such|all|really|only))? (?:a |an |the |one )?(?:\w+ )?(?:{A} )*{I}\b"),
-    (3, r"\byou (?:{A} )*{I}\b"),
-    (3, r"\bwhat an? (?:{A} )+(?:little )?{I}\b"),
-    (3, r"\bwhat an? (?:\w+ )?{I} (?:you are|are you)\b"),
-    (3, r"\b(?:nobody|no one|noone) (?:wants|likes|needs) (?:an? )?(?:{A} )*{I} like you\b"),
-    (3, r"\b(?:nobody|no one) (?:wants|likes|needs) you\b"),
-    (3, r"\bonly an? (?:{A} )*{I} (?:could|would|can) (?:write|say|think|post)\b"),
-    (3, r"\b(?:mother|parents|family) (?:must|should) be ashamed\b"),
-    (3, r"\bashamed of such an? (?:{A} )*{I}\b"),
-    (3, r"\byou (?:are|re) dumber than\b|\bdumber than an? wet brick\b"),
-    (3, r"\byou make me (?:puke|sick|vomit)\b"),
-    (3, r"\b(?:go )?drown in your own (?:filth|shit|blood)\b"),
-    (3, r"\bcrawl back (?:under|into|in) your (?:rock|hole|cave)\b"),
-    (3, r"\bchoke on (?:them|it|your)\b.{0,30}|\bopinions? and choke\b"),
-    (3, r"\bdelete your account\b.{0,12}\bwaste of (?:air|space|oxygen)\b"),
-    (3, r"\byou (?:\w+ )?waste of (?:air|space|oxygen)\b"),
-    (3, r"\b(?:go )?(?:fuck|screw) (?:you|yourself|off)\b|\bgo to hell\b|\bshut (?:the fuck )?up\b.{0,20}{I}\b|\bshut your (?:\w+ )?(?:mouth|face|trap|hole|gob)\b|\bkill yourself\b|\bgo (?:die|hang yourself)\b|\bkys\b"),
-    (3, r"\bpeople like you (?:should|ought to|deserve to|need to|must) (?:all )?be (?:slapped|beaten|shot|hanged|whipped|killed|punched|locked)\b"),
-    # threats
-    (3, r"\bi (?:will|ll|am going to|m going to|gonna) (?:break|smash|cut|beat|kill|hurt|crush|burn|find|slit|stab|shoot|bash|destroy) (?:your|you|ur)\b"),
-    (3, r"\bnext time i see you\b.{0,40}\b(?:break|beat|kill|hurt|regret|smash)\b"),
-    (3, r"\bwe know (?:your (?:street|house|address)|where you (?:live|sleep|work))\b"),
-    (3, r"\bhope your (?:shop|house|car|home|office|family|store)s? (?:burns?|dies?|explodes?|rots?)\b|\bhope you (?:die|rot|burn|choke|suffer|get hurt)\b"),
-    (2, r"\bsleep lightly\b|\bwatch your back\b|\bbefore somebody makes you\b"),
-    (3, r"\budlaw sie\b|\bwypierdalaj\b|\bspierdalaj\b|\bodpierdol\w* sie\b|\bpierdol sie\b|\bjeb sie\b|\bnikt cie tu(?:taj)? nie chce\b|\bnikt cie nie (?:chce|lubi)\b"),
-    (3, r"\btakich jak ty (?:trzeba|powinno sie|nalezy) \w+|\brzygac mi sie chce\b|\bwracaj pod (?:swoj )?kamien\b|\bzamknij (?:morde|ryj|pysk|jape|geb[ey])\b|\bstul (?:morde|pysk|ryj|dziob)\b|\bobys (?:zdechl\w?|zgnil\w?|umarl\w?|sie udlawil\w?)\b|\bzdychaj\b"),
-    (3, r"\bwiemy gdzie (?:mieszkasz|spisz|pracujesz)\b|\b(?:polamie|zabije|zatluke|znajde|dorwe|rozwale|spale) (?:ci|cie)\b|\b(?:ci|cie) (?:polamie|zabije|zatluke|znajde|dorwe|rozwale|spale)\b|\bnastepnym razem\b.{0,40}\b(?:polamie|zabije|zatluke|dorwe)\b|\boby (?:ci|twoj\w*) \w* ?(?:splon\w+|spalil\w*)\b"),
-    (3, r"\b(?:ty|jestes|jestescie)(?: (?:taki\w*|zwykly\w*|tylko))? (?:{A} )*(?:{I}|idiota|debilem|idiota|kretynem|palantem|dupkiem|smieciem|gnojem|pasozytem|tchorzem|zerem|nikim|dnem)\b"),
-    (3, r"\b(?:{A} )+(?:idioto|debilu|kretynie|palancie|dupku|smieciu|gnoju|pasozycie|tchorzu|glupku|durniu|baranie|chuju|kutasie|szmato|suko|pajacu)\b"),
-    (2.2, r"\b(?:idioto|debilu|kretynie|palancie|dupku|smieciu|gnoju|pasozycie|tchorzu|durniu|chuju|kutasie|skurwysynu|szmato|dziwko|kurwo|gnido)\b"),
-    (3, r"\btwoja matka (?:musi|powinna) sie (?:za ciebie )?wstydzic\b|\btylko (?:{A} )*(?:idiota|debil|kretyn|palant|dupek|smiec|gnoj|pasozyt) mogl\b|\bjestes (?:glupszy|glupsza) niz\b|\bnie jestes (?:nic )?wart\w*\b"),
-    (3, r"\bverpiss dich\b|\bhalt (?:die|deine) (?:fresse|klappe|schnauze|maul)\b|\bhalts maul\b|\bverreck\w*\b|\berstick\w* an deine\w*\b|\bkriech zuruck\b|\bdu bist der (?:letzte|allerletzte) dreck\b|\bniemand will dich\b|\bniemand mag dich\b|\bfick dich\b|\bleck mich\b|\bgeh sterben\b|\bbring dich um\b"),
-    (3, r"\bleute wie du gehoren\b|\bwir wissen wo du (?:wohnst|schlafst|arbeitest)\b|\bich (?:breche|schlage|bringe|steche|mache|finde|kriege|hau\w*) (?:dir|dich)\b|\bbreche? ich dir\b|\bbeim nachsten mal\b.{0,40}\b(?:breche|schlage|finger|knochen)\b|\bhoffentlich brennt dein\w*\b|\bdein\w* (?:laden|haus) (?:soll|sollte) (?:ab)?brennen\b|\bbevor einer nachhilft\b"),
-    (3, r"\b(?:du|ihr|so ein|was fur ein|sie) (?:{A} )*{I}\b|\bdu bist (?:so )?(?:ein|eine|der|die|nur)(?: \w+)? ?(?:{A} )*{I}\b|\bdu bist dummer als\b|\bdeine mutter (?:muss|sollte) sich schamen\b|\bmir wird schlecht wenn ich dich\b|\bnur ein (?:{A} )*{I} (?:kann|konnte)\b"),
-    (3, r"\bcallate la (?:puta )?boca\b|\bcierra el pico\b|\bojala te (?:pudras|mueras|ahogues|quemes)\b|\batragantate\b|\bno vales (?:nada|para nada)\b|\bdas asco\b|\bvuelve debajo de tu piedra\b|\bnadie te quiere\b|\bvete a la mierda\b|\bque te (?:jodan|den)\b|\bjodete\b|\bmuerete\b"),
-    (3, r"\ba gente como tu (?:habria|hay|deberian)\b|\bsabemos donde (?:vives|duermes|trabajas)\b|\bte (?:voy a|vamos a) (?:romper|matar|partir|pegar|reventar|encontrar|quemar)\b|\bte (?:rompere|matare|partire|reventare)\b|\b(?:la )?proxima vez que te vea\b|\bojala (?:se )?(?:arda|queme|te queme\w*) tu\b|\bme das (?:asco|ganas de vomitar)\b|\bantes de que alguien te ayude\b"),
-    (3, r"\b(?:eres|sois|tu) (?:un |una |el |la |tan )?(?:\w+ )?(?:{A} )*{I}\b|\b(?:idiota|imbecil|payaso|parasito|cabron|gilipollas|cerdo|estupido|cretino) (?:{A}|de mierda)\b|\btu madre (?:debe|deberia) (?:de )?(?:estar avergonzada|avergonzarse)\b|\bsolo un (?:{A} )*{I} (?:{A} )?(?:podria|puede|escribe)\b|\bmas tonto que\b.{0,20}\bladrillo\b"),
-    # --- people degraded as a group
-    (3, r"\b{G} (?:are|is) (?:all )?(?:\w+ )?(?:vermin|a disease|a plague|rats|animals|filth|scum|parasites|cockroaches|subhuman|thieves by (?:blood|birth|nature)|criminals by (?:blood|birth|nature)|less than (?:animals|human)|worse than animals)\b"),
-    (3, r"\b(?:are )?thieves by (?:blood|birth)\b|\bbreeds? like (?:rats|rabbits|vermin|roaches)\b|\bless than animals\b|\ba disease on this\b|\bdo(?:es)? not deserve (?:to share )?our (?:air|land)\b|\bstinks? and always will\b"),
-    (3, r"\b{G} (?:all )?(?:belong|should (?:all )?be|must (?:all )?be|deserve to be|need to be|ought to be|have to be) (?:\w+ )?(?:behind a fence|behind bars|driven out|shipped|shot|gassed|hanged|burned|burnt|deported|locked|exterminated|wiped|killed|beaten|in a cage|in cages|in camps)\b"),
-    (3, r"\bburn the (?:houses|homes|shops|churches|mosques|synagogues) of\b|\bno (?:street|town|city|country|village) should let\b|\bclean here before\b.{0,40}\b(?:crawled|came|arrived)\b|\bshipped off in crates\b|\bbelongs? behind a fence\b"),
-    (1.5, r"\bmust be driven out\b|\bkeep them away\b|\bevery single one\b|\bno matter what the papers say\b"),
-    (3, r"\b(?:to|sa) (?:\w+ )?(?:robactwo|zaraza|szarancza|plaga|zlodzieje z krwi|podludzie|zwierzeta|pasozyty|smiecie|bydlo)\b"),
-    (3, r"\bmnoza sie jak (?:szczury|kroliki|karaluchy)\b|\bgorsi od zwierzat\b|\bzlodzieje z krwi\b|\bzaraza tego\b|\bnie zasluguja na nasze? (?:powietrze|ziemie)\b|\bczysto tu bylo zanim\b|\bsmierdza i zawsze beda\b|\b(?:trzeba|nalezy) (?:ich|je) (?:przegonic|spalic|wytepic|wywiezc|zamknac|wystrzelac)\b|\bpodpalic (?:domy|chaty)\b|\bspalic domy\b|\bmiejsce (?:jest )?za (?:plotem|drutem)\b|\bza plotem\b|\bwywiezc w skrzyniach\b|\bzadna ulica nie powinna\b"),
+    # --- insults: somebody addressed, and a noun or adjective that insults
+    (3, r"\b{YOU} {ARE}(?: \w+)?(?: just| nothing but| such| all| really| only| nothing more than)? ?(?:an? |an? |the |one |some )?(?:\w+ )?(?:{A} )*{I}\b"),
+    (3, r"\b{YOU} {ARE}(?: \w+)? (?:an? |the )?(?:{A} )*{B}(?: \w+)?\b"),
+    (3, r"\byou (?:{A} )*{I}\b|\b(?:dear|hey|oi) (?:{A} )*{I}\b"),
+    (3, r"\bwhat an? (?:{A} )+(?:little )?{I}\b|\bwhat an? (?:\w+ )?{I} (?:you are|are you)\b"),
+    (3, r"\b(?:nobody|no one|noone|everyone|everybody|we all|we|i) (?:wants?|likes?|needs?|loves?|hates?|despises?|loathes?) (?:you\b|(?:an? )?(?:{A} )*{I} like you\b)"),
+    (3, r"\bonly an? (?:{A} )*{I} (?:could|would|can) \w+\b"),
+    (3, r"\b(?:mother|father|parents|family|kids|children) (?:must|should|ought to) be (?:so )?ashamed\b|\bashamed of such an? (?:{A} )*{I}\b"),
+    (3, r"\b{YOU} {ARE}(?: \w+)? (?:dumber|stupider|uglier|thicker|fatter|dimmer|filthier|lazier|(?:more|less) \w+) than\b(?=.*)(?<!smarter than)|\b(?:dumber|stupider|thicker) than an? \w+ \w+\b"),
+    (3, r"\b{YOU} (?:all )?makes? me (?:want to )?(?:puke|sick|vomit|retch|throw up)\b|\b(?:your (?:\w+ )?(?:face|voice|existence)) (?:makes|is|disgusts)\b"),
+    (3, r"\b(?:{YOU} )?(?:\w+ )?waste of (?:air|space|oxygen|skin|breath)\b(?! (?:in|on|at|for|was)\b)"),
+    # --- curses: somebody is told to hurt himself or to be gone
+    (3, r"\b(?:go|just|please|do us a favou?r and|hurry up and)? ?(?:drown|choke|rot|burn|suffocate|perish|die|hang|bleed)(?: \w+)? (?:in|on|under|into|from|of) (?:your|ur|hell|them|it|yours)\b(?! (?:kitchen|kilns?|oven|pan|grill))"),
+    (3, r"\bcrawl (?:back|off|away)(?: \w+)? (?:under|into|in|to) (?:your|ur|the|a|whatever) (?:\w+ )?\w+\b|\bcrawl back\b"),
+    (3, r"\b(?:go )?(?:fuck|screw|sod|bugger|damn) (?:you|yourself|off|u)\b|\bpiss off\b|\bgo to hell\b|\brot in hell\b|\bdrop dead\b|\beat shit\b|\b(?:shove|stick) (?:it|them|that|your \w+) up (?:your|ur)\b|\bup yours\b|\bshut (?:the (?:fuck|hell) )?up\b.{0,20}{I}\b|\bshut the (?:fuck|hell) up\b|\bshut your (?:\w+ )?(?:mouth|face|trap|hole|gob)\b|\bkill yourself\b|\bgo (?:and )?(?:die|hang yourself|kill yourself|jump off)\b|\bkys\b"),
+    (1.5, r"\bget lost\b|\bdelete your account\b"),
+    # --- threats: a speaker or a wish, harm, and somebody addressed or what is theirs
+    (3, r"\b(?:i|im|we|he|they|my \w+) (?:will|ll|going to|am going to|m going to|are going to|re going to|gonna|am gonna|m gonna|shall|would love to|d love to|want to|swear i ll|swear i will|promise to|have to|should|could)(?: \w+)? {H}(?: up| down| out| all)? (?:you|your|ur|u)\b(?! (?:an?|the|some|what|how|out|find|work|get|see|through|in touch|at)\b)(?<!find you)"),
+    (3, r"\bnext time (?:i|we) (?:see|meet|find|catch) you\b.{0,60}\b(?:{H}|regret|sorry|dead|pay|bleed)\b|\b(?:i|we) (?:will|ll) (?:find|hunt|get|come for) you\b.{0,40}\b{H}\b"),
+    (3, r"\b{YOU} (?:are|re) (?:a )?(?:dead|going to (?:die|bleed|pay for this|regret))(?: (?:man|woman|meat))?\b|\byour days are (?:numbered|over)\b|\byou (?:will|ll) (?:die|bleed|burn|suffer)\b(?! (?:from|of) )"),
+    (3, r"\b(?:we|i) know (?:your (?:street|house|address|kids|school|car)|where (?:you|your \w+) (?:live|sleep|work|lives|sleeps|works|goes|go))\b"),
+    (3, r"\b(?:hope|wish|pray)(?:ing)? (?:that )?(?:you|your \w+|you all|your whole \w+)(?: all| slowly| just)? (?:burns?|dies?|explodes?|rots?|chokes?|suffers?|drowns?|bleeds?|crash(?:es)?|gets? (?:hurt|cancer|killed|shot|hit|run over))\b"),
+    (3, r"\b(?:people like you|{YOU}|your (?:kind|sort|lot|whole family)) {SHOULD} (?:be )?(?:all )?(?:\w+ )?(?:be )?(?:{P}|die|rot|burn|hang|suffer)\b|\b(?:somebody|someone|anyone) (?:should|ought to|needs to|has to|must) {H} (?:you|your)\b"),
+    (2, r"\bsleep lightly\b|\bwatch your back\b|\bbefore (?:somebody|someone) makes you\b"),
+    # --- the same in Polish
+    (3, r"\budlaw sie\b|\bwypierdalaj\w*\b|\bspierdalaj\w*\b|\bodpierdol\w* sie\b|\bpierdol sie\b|\bjeb sie\b|\bjebac (?:cie|was)\b|\bwal sie\b|\bidz do diabla\b|\bnikt (?:cie|ciebie|was) (?:tu(?:taj)? )?nie (?:chce|lubi|potrzebuje|znosi)\b|\bwszyscy (?:cie|toba|ciebie) (?:\w+ )?(?:nienawidza|gardza)\b"),
+    (3, r"\b(?:takich|ludzi|takie|takim) jak (?:ty|wy) (?:trzeba|powinno sie|nalezy|powinni)\b|\brzygac mi sie chce\b|\bniedobrze mi (?:od|na)\b|\bwracaj (?:pod|do) (?:\w+ )?(?:kamien|nory|dziury|jaskini)\b|\bzamknij (?:morde|ryj|pysk|jape|geb[ey]|sie)\b|\bstul (?:morde|pysk|ryj|dziob)\b|\b(?:obys|oby (?:cie|ci)|zebys) \w+\b(?! (?:zdrow|szczesl))|\bzdychaj\w*\b|\b(?:zabij|powies|utop) sie\b|\bzdechnij\b"),
+    (3, r"\bwiemy gdzie (?:mieszkasz|spisz|pracujesz|mieszkacie)\b|\bwiem gdzie (?:mieszkasz|spisz|pracujesz)\b|\b(?:polamie|zabije|zatluke|dorwe|rozwale|spale|udusze|zamorduje|pobije|potne|zastrzele|polamiemy|zabijemy|dorwiemy|spalimy|udusimy) (?:ci|cie|was|wam|twoj\w+|ciebie)\b|\b(?:ci|cie|was) (?:\w+ )?(?:polamie|zabije|zatluke|dorwe|rozwale|spale|udusze|zamorduje|pobije|potne)\b|\bnastepnym razem\b.{0,40}\b(?:polamie|zabije|zatluke|dorwe|pobije|oberwiesz)\b|\boby (?:ci|twoj\w*) \w* ?(?:splon\w+|spalil\w*|zdech\w*)\b|\bjuz nie zyjesz\b|\bpozalujesz tego\b"),
+    (3, r"\b(?:ty|wy|jestes|jestescie)(?: (?:taki\w*|zwykly\w*|zwyklym|tylko|po prostu|skonczonym|najwiekszym))? (?:{A} |{B} )*(?:{I}|idiota|debilem|kretynem|kretynka|palantem|dupkiem|smieciem|gnojem|pasozytem|tchorzem|zerem|nikim|dnem|smierdzielem|baranem|glupcem|idiotka|swinia|szmata|suka|burakiem|chamem|nieudacznikiem)\b"),
+    (3, r"\b(?:{A} )+{I}\b(?<=[ouiey])"),
+    (2.2, r"\b(?:idioto|debilu|kretynie|palancie|dupku|smieciu|gnoju|pasozycie|tchorzu|durniu|chuju|kutasie|skurwysynu|szmato|dziwko|kurwo|gnido|matole|frajerze)\b"),
+    (3, r"\b(?:twoja matka|twoi rodzice|twoja rodzina) (?:musi|musza|powinn\w+) sie (?:za ciebie )?wstydzic\b|\btylko (?:{A} )*(?:idiota|debil|kretyn|palant|dupek|smiec|gnoj|pasozyt|glupek) (?:mogl\w*|moze)\b|\bjestes (?:glupszy|glupsza|brzydszy|brzydsza|tepszy|gorszy|gorsza) (?:niz|od)\b|\bnie jestes (?:nic )?wart\w*\b"),
+    # --- in German
+    (3, r"\b(?:verpiss|fick|verzieh|schleich|scher|trollt?|erhang|ertrank) (?:dich|euch)\b|\bhalt(?:et)? (?:endlich )?(?:die|deine|eure) (?:fresse|klappe|schnauze|maul)\b|\bhalts? maul\b|\bverreck\w*\b|\b(?:erstick|ersauf|ertrink|verfaul|verrott)\w*(?: doch)? (?:an|in|im) (?:dein\w*|der|eur\w*)\b|\bkriech(?:t)? zuruck\b|\b(?:du bist|ihr seid) (?:der|das) (?:aller)?letzte(?: dreck)?\b|\b(?:niemand|keiner) (?:will|mag|braucht) (?:dich|euch)\b|\b(?:alle|wir|ich) hassen? (?:dich|euch)\b|\bleck mich\b|\bgeh sterben\b|\b(?:bring|hang) dich (?:um|auf)\b|\bfahr zur holle\b|\bstirb (?:doch|endlich)?\b"),
+    (3, r"\bleute wie (?:du|ihr) (?:gehoren|sollte\w*|verdienen|muss\w*)\b|\b(?:wir wissen|ich weiss) wo (?:du|ihr|deine \w+) (?:wohnst|schlafst|arbeitest|wohnt|schlaft|wohnen)\b|\b(?:ich|wir) (?:breche\w*|schlage\w*|bringe\w*|steche\w*|finde\w*|kriege\w*|hau\w*|toten?|erwurge\w*|zerstore\w*|vernichte\w*|verprugel\w*|erschiesse\w*|verbrenne\w*|werde\w*) (?:dir|dich|euch)(?: \w+)*? ?(?:um|zusammen|tot|tod|knochen|finger|beine|\w*schlagen|\w*bringen|toten|erwurgen|verprugeln|brechen|kaputt|fertig|ab|auf)\b|\bbreche? ich dir\b|\b(?:ich|wir) (?:tote|erwurge|vernichte|verprugle|verprugele|erschiesse|verbrenne) (?:dich|euch)\b|\bbeim nachsten mal\b.{0,40}\b(?:breche|schlage|finger|knochen|tot)\b|\bhoffentlich (?:brenn\w*|verreck\w*|stirbst|krepier\w*|erstick\w*)(?: (?:du|dein\w*|ihr|eu\w*))?\b|\bdein\w* (?:laden|haus|auto) (?:soll|sollte) (?:ab)?brennen\b|\bbevor einer nachhilft\b"),
+    (3, r"\b(?:du|ihr|so ein|was fur ein|sie)(?: bist| seid)?(?: so)?(?: ein\w*| der| die| das| nur)?(?: \w+)? ?(?:{A} |{B} )*{I}\b|\bdu bist (?:so )?(?:dummer|hasslicher|blode?r|nutzloser|dummer) als\b|\bdein\w* (?:mutter|eltern|familie) (?:muss|mussen|sollte\w*) sich (?:fur dich )?schamen\b|\bmir wird (?:schlecht|ubel) wenn ich (?:dich|deine)\b|\bnur ein (?:{A} )*{I} (?:kann|konnte)\b"),
+    # --- in Spanish
+    (3, r"\bcallate (?:la|esa) (?:\w+ )?boca\b|\bcierra (?:el|ese) (?:pico|hocico)\b|\bojala (?:te|os|se) (?:\w+ )?(?:pudr\w+|muer\w+|ahog\w+|quem\w+|parta\w*|atropell\w+)\b|\b(?:te|os) (?:pudras|mueras)\b|\batragantate\b|\bahogate\b|\bpudrete\b|\bno (?:vales|valeis|sirves) (?:nada|para nada)\b|\bdas asco\b|\bvuelve (?:debajo|a tu) (?:de )?\w+\b|\bnadie te (?:quiere|soporta|aguanta|necesita)\b|\btodos te (?:odian|odiamos|desprecian)\b|\bvete a (?:la mierda|tomar por culo|cagar)\b|\bque te (?:jodan|den|follen)\b|\bjodete\b|\bmuerete\b|\b(?:matate|suicidate)\b|\bvete al (?:infierno|carajo)\b"),
+    (3, r"\b(?:a )?(?:la )?gente como (?:tu|vosotros) (?:habria|hay|deberia\w*|merece\w*)\b|\b(?:sabemos|se) donde (?:vives|duermes|trabajas|vive tu \w+)\b|\b(?:te|os) (?:voy a|vamos a|quiero) (?:romper|matar|partir|pegar|reventar|quemar|estrangular|degollar|apunalar|disparar|hundir|machacar)\b|\bte (?:rompere|matare|partire|reventare|estrangulare|quemare|machacare)\b|\b(?:la )?proxima vez que te (?:vea|encuentre|pille)\b|\bojala (?:se )?(?:arda|queme|te queme\w*) tu\b|\bme das (?:asco|ganas de vomitar)\b|\bantes de que alguien te ayude\b|\bte vas a (?:arrepentir|morir|enterar)\b"),
+    (3, r"\b(?:eres|sois|tu) (?:un |una |unos |unas |el |la |tan )?(?:\w+ )?(?:{A} |{B} )*{I}\b|\beres (?:un |una )?(?:\w+ )?{B}\b|\b(?:idiota|imbecil|payaso|parasito|cabron|gilipollas|cerdo|estupido|cretino) (?:{A}|de mierda)\b|\btu (?:madre|padre|familia) (?:debe|deberia|tiene que) (?:de )?(?:estar avergonzad\w+|avergonzarse)\b|\bsolo un (?:{A} )*{I} (?:{A} )?(?:podria|puede|escribe|escribiria)\b|\beres mas (?:tonto|tonta|feo|fea|inutil|estupid\w) que\b|\bmas tonto que\b"),
+    # --- people degraded as a group: who they are said to be, what is to be done with them
+    (3, r"\b{G} (?:are|is|were|will always be)(?: all| just| nothing but| like| no better than| worse than| less than| nothing more than| only| truly| really| simply)*(?: an?| the)?(?: \w+)? ?{D}\b(?! (?:are|is|were|of (?:that|the) (?:law|day)))"),
+    (3, r"\b(?:are )?(?:thieves|criminals|liars|rapists|murderers|cheats) by (?:blood|birth|nature)\b|\bbreed(?:s|ing)? like (?:rats|rabbits|vermin|roaches|flies|cockroaches)\b|\b(?:less|worse|lower) than (?:animals|human|beasts|dogs|dirt)\b|\ba (?:disease|plague|cancer|stain|curse|blight) (?:on|to|of) (?:this|our|humanity|mankind|society)\b|\b{G} (?:are|is) an? (?:disease|plague|cancer|stain|curse|blight)\b|\bdo(?:es)?(?: not|n t) deserve (?:to (?:share|breathe|live)|our (?:air|land|bread))\b|\bstinks? and always will\b|\b{YOU} people are\b.{0,30}\b(?:{D}|{P})\b"),
+    (3, r"\b{G} (?:all )?(?:do not |don t )?(?:belongs?|should|must|deserves?|needs?|ought|have|has)(?: all| to| only| never)*(?: be)?(?: \w+)? (?:{P}|behind (?:an? )?(?:fence|fences|bars|wire|wall)|in (?:an? )?(?:cages?|camps?|ovens?|crates?|zoos?|chains))\b|\b(?:should|must|needs? to|has to|have to) be (?:wiped out|exterminated|gassed|eradicated|put down)\b"),
+    (3, r"\b(?:burn|torch|bomb|raid|smash) (?:down )?(?:the )?(?:houses|homes|shops|churches|mosques|synagogues|villages|quarters) of\b|\bno (?:street|town|city|country|village|shop|school|landlord) (?:should|must) (?:ever )?(?:let|allow|take|serve|accept)\b|\b(?:clean|safe|quiet|decent|better)(?: \w+)? (?:here )?(?:before|until) {G}(?: ever)? (?:crawled|came|arrived|moved|showed)\b|\b(?:shipped|sent|packed) (?:off|back|away|out) in (?:crates|boxes|cattle)\b|\bbelongs? behind (?:an? )?(?:fence|wire)\b|\b(?:send|ship|throw|kick|drive) {G} (?:back|out|home|away)\b"),
+    (1.5, r"\bmust be driven out\b|\bkeep them (?:away|out)\b|\bevery single one\b|\bno matter what the papers say\b"),
+    (3, r"\b(?:to|sa|jestescie)(?: \w+)? (?:{D}|gorsi od zwierzat)\b(?! (?:jest|sa|domow|hodow|lesn))|\b(?:mnoza|rozmnazaja) sie jak (?:szczury|kroliki|karaluchy|robactwo)\b|\bgorsi od zwierzat\b|\bzlodzieje z (?:krwi|urodzenia|natury)\b|\bzaraza tego\b|\bnie zasluguja na (?:nasze? )?(?:powietrze|ziemie|zycie|litosc)\b|\b(?:czysto|spokojnie|bezpiecznie) (?:tu )?bylo (?:tu )?zanim\b|\bsmierdza i zawsze beda\b|\b(?:trzeba|nalezy|powinno sie|musimy) (?:ich|je|tych \w+|wszystkich \w+) (?:\w+ )?(?:przegonic|spalic|wytepic|wywiezc|zamknac|wystrzelac|zabic|wyrzucic|powiesic|zgazowac|deportowac)\b"),
+    (3, r"\b(?:podpalic|spalic|zburzyc) (?:domy|chaty|sklepy|meczety|synagogi)\b|\bmiejsce (?:jest )?za (?:plotem|drutem|kratami)\b|\bza (?:plotem|drutem)\b|\bwywiezc w (?:skrzyniach|wagonach)\b|\bzadna (?:ulica|wies|szkola) nie powinna\b|\bzadne miasto nie powinno\b|\bwon z (?:naszego|polski|naszej|kraju)\b"),
     (1.5, r"\btrzymac ich z daleka\b|\bbez wyjatku\b|\bpowtorze to jeszcze raz\b"),
-    (3, r"\bsind (?:alle )?(?:\w+ )?(?:ungeziefer|eine plage|eine seuche|abschaum|parasiten|ratten|untermenschen|schlimmer als tiere|weniger als tiere|von geburt an diebe|diebe von geburt)\b"),
-    (3, r"\bvermehren sich wie (?:ratten|karnickel|ungeziefer)\b|\bvon geburt an diebe\b|\bverdienen unsere luft nicht\b|\bgehoren (?:\w+ )?(?:vertrieben|hinter (?:einen )?zaun|weggesperrt|verbrannt|erschossen|verladen|abgeschoben|verjagt)\b|\bsauber bevor\b|\bangekrochen kamen\b|\bstinken und (?:werden )?(?:immer|es immer)\b|\bhauser (?:der|von)\b.{0,40}\b(?:anzunden|niederbrennen|verbrennen|abfackeln)\b|\b(?:anzunden|niederbrennen|abfackeln)\b.{0,30}\bhauser\b|\bkeine strasse sollte\b|\bin kisten\b.{0,25}\b(?:verschickt|verschiffen|verfrachtet|verschifft|abtransportiert)\b|\bseuche (?:an|auf|fur) diese\w*\b"),
+    (3, r"\b{G} (?:sind|seid)(?: alle| nur| nichts als| wie| schlimmer als| weniger als| nichts anderes als| von geburt an)*(?: ein\w*| die| der)?(?: \w+)? ?{D}\b|\bsind (?:alle )?(?:\w+ )?(?:abschaum|untermenschen|schlimmer als tiere|weniger als tiere)\b|\b(?:von geburt an|geborene) (?:diebe|verbrecher|lugner)\b|\bdiebe von geburt\b|\bvermehren sich wie (?:ratten|karnickel|ungeziefer|die karnickel|kakerlaken)\b|\bverdienen (?:unsere luft|es) nicht\b|\bverdienen (?:kein|keine) (?:leben|gnade|mitleid)\b"),
+    (3, r"\bgehoren (?:alle )?(?:\w+ )?(?:vertrieben|hinter (?:einen )?(?:zaun|gitter)|weggesperrt|verbrannt|erschossen|verladen|abgeschoben|verjagt|vergast|ausgerottet|eingesperrt|erschlagen)\b|\b(?:sauber|sicher|ruhig)(?: \w+)? bevor\b.{0,40}\b(?:kamen|angekrochen)\b|\bsauber bevor\b|\bangekrochen kamen\b|\bstinken und (?:werden )?(?:immer|es immer)\b|\bhauser (?:der|von)\b.{0,40}\b(?:anzunden|niederbrennen|verbrennen|abfackeln)\b|\b(?:anzunden|niederbrennen|abfackeln)\b.{0,30}\bhauser\b|\bkeine (?:strasse|stadt|schule) (?:sollte|darf)\b|\bin (?:kisten|viehwagen)\b.{0,25}\b(?:verschickt|verschiffen|verfrachtet|verschifft|abtransportiert)\b|\bseuche (?:an|auf|fur) diese\w*\b|\b(?:auslander|migranten|\w+ier) raus\b"),
     (1.5, r"\bhaltet sie fern\b|\bausnahmslos\b|\bgehoren vertrieben\b"),
-    (3, r"\bson (?:todos )?(?:unas? |unos )?(?:\w+ )?(?:alimanas|plaga|una peste|escoria|ratas|parasitos|basura|infrahumanos|ladrones de (?:sangre|nacimiento)|ladrones por sangre|peores que (?:los )?animales|menos que animales|una enfermedad)\b"),
-    (3, r"\bse multiplican como (?:ratas|conejos|cucarachas)\b|\b(?:peores|menos) que (?:los )?animales\b|\bladrones (?:de|por) (?:sangre|nacimiento)\b|\bno merecen (?:respirar )?nuestro aire\b|\bestaba limpio antes\b|\btodo (?:esto )?(?:estaba|era) limpio\b|\bapestan y siempre\b|\bhay que (?:echarlos|quemarlos|matarlos|encerrarlos|expulsarlos)\b|\bquemar (?:las )?casas\b|\bdetras de una valla\b|\bninguna calle (?:deberia|debe)\b|\ben cajas\b.{0,30}\b(?:enviarlos|mandarlos|embarcarlos)\b|\b(?:enviarlos|mandarlos|embarcarlos)\b.{0,20}\ben cajas\b|\benfermedad (?:de|en|para) esta costa\b|\bpeste de esta costa\b"),
+    (3, r"\b{G} (?:son|sois)(?: todos| todas| solo| como| peores que| menos que| nada mas que)*(?: unas?| unos| la| una| los| las)?(?: \w+)? ?{D}\b|\bson (?:todos )?(?:unas? |unos )?(?:\w+ )?(?:alimanas|plaga|una peste|escoria|ratas|parasitos|infrahumanos|ladrones (?:de|por) (?:sangre|nacimiento)|peores que (?:los )?animales|menos que animales)\b|\bse (?:multiplican|reproducen) como (?:ratas|conejos|cucarachas)\b|\b(?:peores|menos) que (?:los )?animales\b|\bladrones (?:de|por) (?:sangre|nacimiento|naturaleza)\b|\bno merecen (?:respirar |vivir|nuestro aire|nuestra)\w*\b"),
+    (3, r"\b(?:estaba|era) (?:\w+ )?(?:limpio|seguro|tranquilo) (?:aqui )?antes\b|\btodo (?:esto )?(?:estaba|era) limpio\b|\bapestan y siempre\b|\bhay que (?:echar|quemar|matar|encerrar|expulsar|exterminar|gasear|fusilar)(?:los|las| a (?:todos |todas )?(?:los |las )?\w+)\b|\bquemar (?:las )?(?:casas|tiendas|mezquitas|sinagogas)\b|\bdetras de (?:una valla|un muro|rejas)\b|\bninguna (?:calle|ciudad|escuela) (?:deberia|debe)\b|\ben cajas\b.{0,30}\b(?:enviarlos|mandarlos|embarcarlos)\b|\b(?:enviarlos|mandarlos|embarcarlos)\b.{0,20}\ben cajas\b|\benfermedad (?:de|en|para) est[ae] (?:costa|pais|ciudad|sociedad)\b|\bpeste de est[ae]\b|\bfuera (?:todos )?los \w{4,}\b(?= de)"),
     (1.5, r"\bque no se acerquen\b|\bsin excepcion\b|\bhay que echarlos\b"),
-    # --- sexually explicit
-    (3, r"\b(?:tore|ripped|pulled) (?:off )?(?:her|his) (?:bra|panties|underwear|pants)\b|\blicked (?:her|his|my|your) (?:\w+ )?(?:nipples?|pussy|tits|cock|clit|ass)\b|\bstraddled (?:his|her|my) lap\b.{0,20}\bnaked\b|\bnaked and moaned?\b"),
-    (3, r"\bpanties are (?:soaked|wet)\b|\b(?:your|my|his|her) (?:\w+ )?(?:cock|dick|pussy|cunt)\b.{0,12}\b(?:in|inside|into|on) (?:my|your|her|his)\b|\bsend (?:me )?nudes\b|\b(?:see|lick|eat|fuck|pound|want) (?:your|her|my) (?:\w+ )?(?:pussy|cunt|tits|ass|cock|dick)\b"),
-    (3, r"\bhorny (?:\w+ )?(?:housewives|wives|women|girls|men|milfs|teens|moms|couples?|singles)\b|\bwants? to fuck\b|\bin heat fucks?\b|\bfucks? on the\b|\bfucks? (?:her|him|them|me)\b|\bjerks? off\b|\brough sex\b|\bwet and willing\b|\bnaked (?:amateurs?|girls|women|housewives|teens|wives)\b.{0,30}\b(?:suck|ride|cam|live|fuck|show)\w*|\bsuck and ride\b|\bbusty (?:\w+ )?show\b|\bshows? (?:their|her|me your) (?:tits|boobs|pussy|nipples)\b|\btits uncensored\b|\bstripped\b.{0,30}\bcame (?:twice|hard|again|inside|all over)\b|\bcame twice\b"),
-    (3, r"\bzdarl z niej (?:stanik|majtki)\b|\blizal jej (?:cycki|cipke|sutki)\b|\b(?:usiadla|siadla) na nim naga\b|\bnaga i jeczala\b|\bnagie amatorki\b|\bmokre i chetne\b|\bnapalone (?:mezatki|kobiety|laski|studentki)\b|\bchca sie (?:pieprzyc|ruchac|bzykac)\b|\bostre filmy porno\b|\bfilmy porno z\b|\bnagie fotki\b|\btwoja (?:cipke|cipka|dupe)\b|\bchce (?:\w+ )?twojego (?:kutasa|penisa)\b|\btwoj(?:ego)? kutas\w* w (?:moich )?ustach\b|\bmajtki (?:sa|mam) mokre\b|\bmokre majtki\b|\bzwala ci\b|\bwal\w* konia\b"),
-    (3, r"\bgeile (?:hausfrauen|frauen|weiber|ehefrauen|nachbarin)\b|\bwollen ficken\b|\bfickt? (?:dich|mich|sie|ihn)\b|\bnackte amateur\w*\b|\bfeuchte frauen\b|\briss ihr den bh\b|\bleckte ihre (?:titten|muschi|nippel)\b|\bnackt auf (?:ihn|sie)\b|\bnacktbilder\b|\bdeine (?:muschi|titten|fotze)\b|\bdeinen schwanz\b|\bpornos? mit\b|\bscharfe pornos?\b|\bhoschen ist (?:nass|feucht)\b"),
-    (3, r"\bcasadas cachondas\b|\bquieren follar\b|\bmujeres mojadas\b|\barranco el sujetador\b|\blamio las tetas\b|\bsento desnuda\b|\bdesnuda encima\b|\bfotos desnud\w+\b|\bverte el cono\b|\btu (?:cono|polla|culo) en\b|\bamateurs? desnud\w+\b|\bporno (?:duro|con|de)\b|\bquiero (?:tu|ver tu) (?:polla|cono|culo)\b|\bbragas (?:estan )?(?:mojadas|empapadas)\b|\bfolla(?:n|ndo)? (?:en|con|sobre|hasta)\b"),
+    # --- sexually explicit: acts and intimate parts of somebody
+    (3, r"\b(?:tore|ripped|pulled|took|slid|pushed)(?: \w+)? (?:off |down |up )?(?:her|his|my|your) (?:\w+ )?(?:bra|panties|underwear|pants|dress|skirt|shirt|trousers|knickers|thong)\b.{0,80}\b(?:{V}|{N}|inside)\b|\b{V}(?: at| on| between)? (?:her|his|my|your) (?:\w+ )?{N}\b|\b(?:her|his|my|your) (?:\w+ )?{N} .{0,40}\b{V}\b|\bstraddled\b.{0,40}\bnaked\b|\bnaked and moan\w*\b"),
+    (3, r"\b(?:slid|slides?|sliding|pushed|pushes|thrust|thrusts|thrusting|plunged|entered|enters|was|deep|deeper|hard)(?: \w+)? (?:inside|into|in|deeper into) (?:her|him|me|you)\b.{0,80}\b(?:{V}|{N}|gasp\w*|arch\w*|legs|hips|deeper|faster|harder)\b|\b(?:moan|gasp|arch|quiver|shudder|scream)\w*\b.{0,60}\b(?:inside her|inside him|inside me|between her (?:legs|thighs)|thrust\w*|climax\w*|orgasm\w*)\b|\bbetween (?:her|his|my) (?:legs|thighs)\b.{0,60}\b(?:{V}|tongue|wet|hard)\b|\b(?:tongue|mouth|lips|hand|fingers)\b.{0,40}\bbetween (?:her|his|my) (?:legs|thighs)\b"),
+    (3, r"\b(?:panties|knickers) are (?:soaked|wet|off)\b|\b(?:your|my|his|her) (?:\w+ )?(?:cock|dick|pussy|cunt)\b.{0,12}\b(?:in|inside|into|on) (?:my|your|her|his)\b|\bsend (?:me )?(?:your )?nudes\b|\b(?:see|lick|eat|fuck|pound|want|suck|ride) (?:your|her|my|his) (?:\w+ )?(?:pussy|cunt|tits|ass|cock|dick)\b"),
+    (3, r"\bhorny (?:\w+ )?(?:housewives|wives|women|girls|men|milfs|teens|moms|couples?|singles|\w+s)\b|\b(?:wants?|begs?|ready|dying) to (?:fuck|suck|be fucked)\b|\bin heat fucks?\b|\bfucks? on the\b|\bfucks? (?:her|him|them|me)\b|\bjerks? off\b|\b(?:beg|begs|begging) for (?:rough |hard |more )?(?:sex|cock|dick)\b|\brough sex\b|\bwet and willing\b|\bnaked (?:\w+ )?(?:amateurs?|girls|women|housewives|teens|wives|couples?|\w+s)\b.{0,30}\b(?:suck|ride|cam|live|fuck|show)\w*|\bsuck and ride\b|\bbusty (?:\w+ )?(?:show|women|girls|teens|\w+s)\b|\bshows? (?:their|her|me your|his) (?:tits|boobs|pussy|nipples|cock|dick)\b|\btits uncensored\b|\bstripped\b.{0,30}\bcame (?:twice|hard|again|inside|all over)\b|\bcame (?:twice|hard|inside her|all over)\b"),
+    (3, r"\b(?:zdarl|sciagnal|zerwal) (?:z niej|z niego|jej|mu) (?:stanik|majtki|ubranie|sukienke)\b|\b(?:lizal|ssal|piescil|calowal)\w* (?:jej|jego|moje|twoje|mu) (?:\w+ )?{N}\b|\b(?:usiadla|siadla) na nim naga\b|\bnaga i jeczala\b|\bwszedl w nia\b|\bnagie (?:amatorki|fotki|laski|kobiety|dziewczyny)\b|\bmokre i chetne\b|\bnapalone? (?:\w+)\b|\bchc[ae] (?:sie )?(?:\w+ )?(?:pieprzyc|ruchac|bzykac)\b|\bostre? (?:filmy porno|porno|seks)\b|\bfilmy porno z\b|\b(?:twoja|jej|moja) (?:cipke|cipka|dupe)\b|\bchce (?:\w+ )?twojego (?:kutasa|penisa)\b|\btwoj(?:ego)? kutas\w* w (?:moich )?ustach\b|\bmajtki (?:sa|mam) (?:cale )?mokre\b|\bmokre majtki\b|\bzwala ci\b|\bwal\w* konia\b"),
+    (3, r"\bgeile (?:\w+ )?(?:hausfrauen|frauen|weiber|ehefrauen|nachbarin|madchen|studentinnen|\w+en)\b|\bwoll(?:en|t) (?:\w+ )?ficken\b|\bfickt? (?:dich|mich|sie|ihn)\b(?! (?:selbst|doch))|\bnackte (?:amateur\w*|frauen|madchen|weiber)\b|\bfeuchte (?:frauen|\w*muschi)\b|\b(?:riss|zog|streifte) (?:ihr|ihm) (?:den|das|die) (?:bh|hoschen|kleid|hose)\b.{0,60}\b(?:{V}|{N}|vom leib)\b|\briss ihr den bh\b|\bleckte (?:ihre|seinen|meine) (?:\w+ )?{N}\b|\bnackt auf (?:ihn|sie)\b|\bdrang in sie ein\b|\bnacktbilder\b|\bdeine (?:\w+ )?(?:muschi|titten|fotze)\b|\b(?:deinen|seinen) schwanz\b|\bpornos? mit\b|\bscharfe pornos?\b|\bhoschen ist (?:ganz )?(?:nass|feucht)\b"),
+    (3, r"\b(?:casadas|mujeres|chicas|vecinas|\w+as) cachondas\b|\bquieren follar\b|\bmujeres mojadas\b|\b(?:arranco|quito|bajo) (?:el sujetador|las bragas|la ropa|el vestido)\b.{0,60}\b(?:{V}|{N})\b|\barranco el sujetador\b|\b(?:lamio|chupo|acaricio)\w* (?:las |sus |los |la )?(?:\w+ )?{N}\b|\bsento desnuda\b|\bdesnuda encima\b|\bla penetro\b|\bfotos desnud\w+\b|\bverte el cono\b|\btu (?:cono|polla|culo) en\b|\bamateurs? desnud\w+\b|\bporno (?:duro|con|de)\b|\bquiero (?:tu|ver tu|chupar tu|comer tu) (?:polla|cono|culo)\b|\bbragas (?:estan )?(?:mojadas|empapadas)\b|\bfolla(?:n|ndo)? (?:en|con|sobre|hasta)\b"),
 ]
 #: Two different sexual words in a clause count as much as one act; a single one does not.
 _SEX_WEIGHT = 0.9
 
 #: Context that lowers the score of a clause.
 _CONTEXT: list[tuple[float, str]] = [
-    (3, r"\b(?:report|study|article|guide|guidelines?|rules?|policy|moderation|handbook|paper|survey|court|law|training|course|lesson|chapter|glossary|dictionary)\b.{0,60}\b(?:says?|said|states?|quotes?|cites?|lists?|mentions?|condemns?|warns?|explains?|defines?|forbids?|bans?|prohibits?|describes?)\b"),
-    (3, r"\b(?:the|a|this) (?:words?|terms?|phrase|slur|expression)\b|\bcalling (?:an? )?(?:\w+ )?(?:member|user|someone|somebody|people|anyone|person|colleague)s?\b|\b(?:leads?|led) to a (?:warning|ban)\b|\bcondemns? (?:it|them|this)\b|\bhate speech\b|\bquot(?:es|ed|ing)\b"),
+    (3, r"\b(?:report|study|article|guide|guidelines?|rules?|policy|moderation|handbook|paper|survey|court|judge|police|law|training|course|lesson|chapter|glossary|dictionary)\b.{0,60}\b(?:says?|said|heard|read|states?|quotes?|cites?|lists?|mentions?|condemns?|warns?|explains?|defines?|forbids?|bans?|prohibits?|describes?)\b"),
+    (3, r"\b(?:the|a|this) (?:words?|terms?|phrase|slur|expression)\b|\bcalling (?:an? )?(?:\w+ )?(?:member|user|someone|somebody|people|anyone|person|colleague)s?\b|\b(?:leads?|led) to a (?:warning|ban)\b|\bcondemn(?:s|ed)? (?:it|them|this)\b|\bhate speech\b|\bquot(?:es|ed|ing)\b"),
     (3, r"\b(?:regulamin|raport|zasady|artykul|poradnik|badanie|sad|ustawa)\b.{0,60}\b(?:mowi|cytuje|podaje|opisuje|zabrania|potepia|wymienia|ostrzega)\b|\bslow[oa] \w+|\bnazwanie (?:kogos|czlonka)\b|\bmow[ay] nienawisci\b|\bpotepia\b|\bkonczy sie ostrzezeniem\b"),
     (3, r"\blaut (?:\w+ )?(?:regeln|bericht|richtlinie\w*)\b|\b(?:bericht|regeln|richtlinie\w*|artikel|studie|gericht)\b.{0,60}\b(?:zitiert|sagt|nennt|verbietet|verurteilt|warnt|erklart)\b|\b(?:das|ein) wort\b|\bhassrede\b|\bverwarnung\b|\bverurteilt es\b"),
     (3, r"\bsegun (?:las? )?(?:normas?|reglas?|informe|guia)\b|\b(?:informe|normas?|reglas?|articulo|estudio|guia)\b.{0,60}\b(?:cita|dice|menciona|condena|prohibe|advierte|explica)\b|\bla palabra\b|\bllamar \w+ a (?:un|una|otro|alguien)\b|\bacarrea un aviso\b|\bdiscurso de odio\b"),
@@ -165,7 +185,7 @@ _TOPICS = 2
 def _compiled(rules: list[tuple[float, str]]) -> list[tuple[float, re.Pattern]]:
     out = []
     for weight, p in rules:
-        for key, alt in (("{I}", _INSULT), ("{A}", _ADJ), ("{G}", _GROUP), ("{S}", _SEX)):
+        for key, alt in (("{I}", _INSULT), ("{A}", _ADJ), ("{B}", _BARE), ("{G}", _GROUP), ("{S}", _SEX), ("{H}", _HARM), ("{P}", _DONE), ("{D}", _LESS), ("{N}", _INTIMATE), ("{V}", _ACT), ("{YOU}", _YOU), ("{ARE}", _ARE), ("{SHOULD}", _SHOULD)):
             p = p.replace(key, alt)
         out.append((weight, re.compile(p)))
     return out
@@ -184,7 +204,6 @@ def _vocabulary() -> tuple[frozenset[str], frozenset[str]]:
             words.add(x)
     for w in re.findall(r"\b([a-z]+)([a-z])\?", text.replace("\\b", " ").replace("\\w", " ")):
         words.update((w[0], w[0] + w[1]))
-    words.update(_FORMS.split())
     words = {w for w in words if len(w) > 1 or w in ("a", "u", "i", "w", "z", "y")}
     common = set(
         "a an the of in on to it is are re be you your u i we my me her his they them those these people all just such only will am can must should could would not no so one nobody like little on off for by with and that this at up out before after next time see know here"
@@ -196,13 +215,6 @@ def _vocabulary() -> tuple[frozenset[str], frozenset[str]]:
     return frozenset(words), frozenset(w for w in words if w not in common and len(w) > 2)
 
 
-#: Inflected forms and fixed companions of the patterns' words, for the spelling transducer.
-_FORMS = (
-    "verrecke verreckt erstick erstickt ersticke ehrlich censura uncensored unzensiert cenzury fingers finger bones friends coward everyone knows video signup click watch sunrise night counter shelf women men amateurs couple heat hard muscular"
-    " sluchaj serio racje mial przylezli rejestracji kliknij chetne sasiadka mezatki amatorki kamerce opinia opinia szczury zwierzat wybrzeza kolegami wiedza tchorzu kamera ausflug deinen freunden nachhilft wissen amanecer calle amigos registro piedra opinion diario abofetearla ratas sangre"
-)
-
-
 VOCABULARY, TELLING = _vocabulary()
 _SQUEEZED: dict[str, str] = {}
 for _w in sorted(VOCABULARY):
@@ -304,22 +316,34 @@ for _w in sorted(VOCABULARY):
     _BY_FIRST.setdefault(_w[0], []).append(_w)
 
 
-def _segment(run: str) -> list[str]:
-    """Words of a run of joined letters, if the vocabulary covers it; else the run itself."""
+#: Cost of a letter that belongs to no known word, against 1 for a word.
+_UNKNOWN = 0.9
+
+
+def _segment(run: str, whole: bool = True) -> list[str]:
+    """Words of a run of joined letters: the fewest words of the vocabulary that cover it, else the run itself. Unless
+    ``whole``, letters may stay that no word covers."""
     if run in VOCABULARY:
         return [run]
-    best: list[tuple[int, int] | None] = [(0, 0)] + [None] * len(run)  # words up to here, start of the last
+    best: list[tuple[float, int, bool] | None] = [(0.0, 0, True)] + [None] * len(run)  # cost up to here, start of the last, known
     for i in range(1, len(run) + 1):
         for j in range(max(0, i - 16), i):
             if best[j] is not None and run[j:i] in VOCABULARY and (best[i] is None or best[j][0] + 1 < best[i][0]):
-                best[i] = (best[j][0] + 1, j)
+                best[i] = (best[j][0] + 1, j, True)
+        if not whole and (best[i] is None or best[i - 1][0] + _UNKNOWN < best[i][0]):
+            best[i] = (best[i - 1][0] + _UNKNOWN, i - 1, False)
     if best[-1] is None:
         return [run]
-    words, i = [], len(run)
+    words, i, loose = [], len(run), ""
     while i:
-        words.append(run[best[i][1] : i])
-        i = best[i][1]
-    return words[::-1]
+        _, j, known = best[i]
+        if known:
+            words += [loose, run[j:i]] if loose else [run[j:i]]
+            loose = ""
+        else:
+            loose = run[j:i] + loose
+        i = j
+    return ([*words, loose] if loose else words)[::-1]
 
 
 @lru_cache(maxsize=400_000)
@@ -371,7 +395,7 @@ def clauses(text: str) -> Iterator[str]:
     def join(m: re.Match) -> str:
         run = re.sub(r"[^\w]|_", "", m.group(0))
         run = "".join(_LEET.get(c, c) for c in run)
-        return " " + " ".join(_segment(run)) + " " if run.isalpha() else m.group(0)
+        return " " + " ".join(_segment(run, whole=False)) + " " if run.isalpha() else m.group(0)
 
     for part in _CLAUSE_END.split(_SPACED.sub(join, s)):
         if len(part) > 3:

@@ -2,7 +2,10 @@
 
 Every name, variant and domain of a record is parsed into a core (the words that identify: family names, invented
 words), a label (the trade of a firm or the given name of a person, nicknames resolved) and hints (legal form,
-initials). Records with equal parses are one class, so copies and versions cost nothing:
+initials). Labels are learned (``learned_labels``): a word that stands beside very many other words names a kind of thing, not one
+thing; the names of one record that differ in such words ("Insulation Works", "Insul. Wks"; "Elizabeth", "Liz") show which of
+them mean the same, and those that carry legal forms are trades. A short general list of trades and given names serves what is too
+rare to be learned. Records with equal parses are one class, so copies and versions cost nothing:
 
 1. blocking: MinHash bands over the padded q-grams of the distinct cores; the number of bands follows from the wanted
    recall at the smallest similarity by the collision curve ``1 - (1 - s^r)^b``. One slip in a short word leaves fewer
@@ -50,17 +53,26 @@ TERM_SIMILARITY = (CORE_SIMILARITY, 0.75, 0.85)
 MAX_KEYS = 3000
 MAX_ROUNDS = 40
 
-#: Trades (fixed values): the words and abbreviations of each. The first word is its name.
+#: A label word stands beside at least this many different words, and beside this share of the distinct names; so no more
+#: words than the inverse of the share, times the words of a name, can be label words, however large the table is.
+LEAST_BESIDE, SHARE_BESIDE = 25, 0.001
+#: The share of a label word's records that another must have to be its label, and the share of a label's records with a legal
+#: form from which it is a trade.
+SAME_LABEL, WITH_LEGAL = 0.2, 0.1
+
+#: Common trades, for those too rare to be learned. The first word is the name of the trade.
 TRADES = {
-    "coffee": "coffee roasters roaster roastery coff cof kaffee kawa cafe", "sleep": "sleep studio std slp", "dental": "dental clinic dent dentist clin", "pet": "pet pets supplies sup supply supp", "insulation": "insulation works insul wks ins",
-    "logistics": "logistics log logist logistik", "boatyard": "boatyard boat yd yard", "solar": "solar systems sys syst sol", "tiles": "international tiles intl tile", "tax": "tax advisers adv advisors adviser", "bicycle": "bicycle repair rep bike bikes cycle repairs", "bakery": "bakery bky bakers baker",
+    "coffee": "coffee roasters roaster roastery coff cof kaffee kawa cafe", "sleep": "sleep studio std slp", "dental": "dental clinic dent dentist clin dentists", "pet": "pet pets supplies sup supply supp", "insulation": "insulation works insul wks ins",
+    "logistics": "logistics log logist logistik haulage freight", "boatyard": "boatyard boat yd yard", "solar": "solar systems sys syst sol", "tiles": "international tiles intl tile", "tax": "tax advisers adv advisors adviser", "bicycle": "bicycle repair rep bike bikes cycle repairs", "bakery": "bakery bky bakers baker",
+    "plumbing": "plumbing plumbers plumber heating", "law": "law lawyers solicitors attorneys legal kanzlei abogados", "garden": "garden gardens gardening nursery landscaping", "print": "print printing printers druckerei drukarnia", "travel": "travel tours reisen viajes", "media": "media publishing verlag", "software": "software technologies tech", "pharmacy": "pharmacy apotheke apteka farmacia", "hotel": "hotel hotels inn", "motors": "motors auto autos cars garage", "furniture": "furniture meble muebles", "optics": "optics optician opticians optik", "brewery": "brewery brewing brauerei browar", "security": "security alarms", "cleaning": "cleaning cleaners laundry", "construction": "construction builders building bau",
 }
 _TRADE_OF = {w: t for t, words in TRADES.items() for w in words.split()}
-#: Given names and their short forms (fixed values).
+#: Common given names and their short forms, for those too rare to be learned.
 GIVEN = {
     "dolores": "lola loli dolly lolita lol dolorcitas", "francisco": "paco curro pancho paquito frank", "wilhelm": "willi helm wim will willy", "william": "bill billy will willy liam", "katarzyna": "kasia kasienka kaska", "malgorzata": "gosia malgosia gosienka goska",
     "johannes": "hans jo johann hannes", "elizabeth": "beth betty liz lizzie eliza elizabeth lisa", "robert": "bob bobby rob robbie bert", "margaret": "meg peggy maggie marge madge greta", "henrietta": "etta hattie hetty henny", "theodore": "ted teddy theo", "stanislaw": "stach stas staszek stasiek stanislav", "aleksander": "olek alek aleks alex sasza olus",
     "ignacy": "ign ignas nacek ignac", "jozef": "jozek josef", "maria": "marysia mary", "alexander": "alex sandy alec xander", "katherine": "kate kathy katie kitty", "richard": "dick rick ricky", "james": "jim jimmy", "john": "jack johnny", "jose": "pepe", "joseph": "joe joey sepp", "anna": "ania anka annie", "heinrich": "heinz heiner", "friedrich": "fritz", "henryk": "heniek",
+    "thomas": "tom tommy", "michael": "mike mick mickey", "edward": "ed eddie ned", "charles": "charlie chuck", "samuel": "sam sammy", "daniel": "dan danny", "andrew": "andy drew", "anthony": "tony", "patricia": "pat patty tricia", "susan": "sue susie", "victoria": "vicky tori", "christopher": "chris kit", "antonio": "toni antonito", "manuel": "manolo", "rafael": "rafa", "magdalena": "magda lena", "agnieszka": "aga", "joanna": "asia", "tomasz": "tomek", "piotr": "piotrek", "andrzej": "andrzejek jedrek", "krzysztof": "krzysiek krzys", "ludwig": "lutz", "sebastian": "basti", "matthias": "matze", "ursula": "uschi ulla",
 }
 _GIVEN_OF: dict[str, frozenset[str]] = {}
 for _name, _short in GIVEN.items():
@@ -122,12 +134,30 @@ def _near(word: str, table: dict) -> str | None:
     return next((w for w in table if len(w) >= 6 and abs(len(w) - len(word)) <= 1 and distance(w, word) <= 1), None)
 
 
-_near_trade = lru_cache(maxsize=200_000)(lambda w: _near(w, _TRADE_OF))
-_near_given = lru_cache(maxsize=200_000)(lambda w: _near(w, _GIVEN_OF))
+class Labels:
+    """What label words mean: ``trades`` and ``given`` (each word with its possible labels), and words that say nothing."""
 
+    def __init__(self, trades: dict[str, frozenset[str]] | None = None, given: dict[str, frozenset[str]] | None = None, noise: frozenset[str] = frozenset()) -> None:
+        common = {w: frozenset((t,)) for w, t in _TRADE_OF.items()}
+        self.trades, self.given, self.noise = {**common, **(trades or {})}, {**_GIVEN_OF, **(given or {})}, _NOISE | noise
+        self.learned = (trades or {}, given or {})
+        self.near: dict[str, tuple[str | None, str | None]] = {}
 
-def parse(name: str | None) -> dict | None:
-    """``core`` (identifying words in order of the alphabet), ``trade``, ``given`` (candidates), ``initials``, ``legal``."""
+    def of(self, word: str) -> tuple[str | None, str | None]:
+        """The words of the trades and of the given names that a word is, or is one slip away from; common words that the
+        table doesn't show must be met exactly, for they may be next to anything."""
+        if word not in self.near:
+            if len(self.near) > 200_000:
+                self.near.clear()
+            self.near[word] = tuple(word if word in known else _near(word, own) for known, own in zip((self.trades, self.given), self.learned))
+        return self.near[word]
+
+
+COMMON = Labels()
+
+
+def name_words(name: str | None) -> tuple[list[str], str, str] | None:
+    """The words of a name without its legal form, their initials, and the legal form."""
     if not name or not name.strip():
         return None
     raw = unicodedata.normalize("NFKC", name).strip().strip("\"'«»“”„ ")
@@ -140,24 +170,34 @@ def parse(name: str | None) -> dict | None:
         if p.search(s):
             legal = key
             s = p.sub(" ", s)
-    core, trades, given, initials = [], [], frozenset(), ""
+    words, initials = [], ""
     for w in re.findall(r"[a-z0-9]+", s):
         if any(c.isdigit() for c in w):
             w = "".join({"0": "o", "1": "l", "3": "e", "4": "a", "5": "s", "7": "t"}.get(c, c) for c in w)
         if len(w) == 1:
             initials += w
+        else:
+            words.append(w)
+    return words, initials, legal
+
+
+def parse(name: str | None, labels: Labels = COMMON) -> dict | None:
+    """``core`` (identifying words in order of the alphabet), ``trade``, ``given`` (candidates), ``initials``, ``legal``."""
+    read = name_words(name)
+    if read is None:
+        return None
+    words, initials, legal = read
+    core, trades, given = [], [], frozenset()
+    for w in words:
+        if w in labels.noise:
             continue
-        if w in _NOISE:
-            continue
-        t = _near_trade(w)
+        t, g = labels.of(w)
         if t:
-            trades.append(_TRADE_OF[t])
-            continue
-        g = _near_given(w) if not given else None
-        if g and not trades:
-            given = _GIVEN_OF[g]
-            continue
-        core.append(w)
+            trades += sorted(labels.trades[t])
+        elif g and not given and not trades:
+            given = labels.given[g]
+        else:
+            core.append(w)
     if not core:
         return None
     trade = max(set(trades), key=lambda t: (trades.count(t), t)) if trades else ""
@@ -168,6 +208,74 @@ def parse(name: str | None) -> dict | None:
     return {"core": " ".join(sorted(core)), "trade": trade, "given": " ".join(sorted(given)), "initials": "".join(sorted(initials)), "legal": legal}
 
 
+def _label_rows(df: DataFrame) -> DataFrame:
+    """``id, name, word, legal`` of every distinct name and variant, one row for each of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, names, variants = (c.to_pylist() for c in b.columns)
+            out: list[tuple[str, int, str, bool]] = []
+            for i, n, vs in zip(ids, names, variants):
+                seen = set()
+                for text in (n, *(vs or [])):
+                    read = name_words(text)
+                    if read and " " in (text or "").strip() and (key := tuple(sorted(set(read[0])))) not in seen:
+                        seen.add(key)
+                        h = xxhash.xxh3_64_intdigest(" ".join(key)) - (1 << 63)
+                        out += [(i, h, w, bool(read[2])) for w in key]
+            cols = list(zip(*out)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.bool_()))], names=["id", "name", "word", "legal"])
+
+    return df.where(F.col("id").isNotNull()).select("id", "name", "variants").mapInArrow(run, "id string, name bigint, word string, legal boolean")
+
+
+def learned_labels(df: DataFrame) -> Labels:
+    """The label words of ``id, name, variants``. What reaches the driver is bounded by ``SHARE_BESIDE``, not by the table."""
+    rows = cut(_label_rows(df), "words")
+    spelled = rows.select("name", "word").distinct()
+    a, b = spelled.alias("a"), spelled.alias("b")
+    beside = a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.word") != F.col("b.word"))).groupBy(F.col("a.word").alias("word")).agg(F.countDistinct("b.word").alias("n"))
+    least = max(LEAST_BESIDE, int(SHARE_BESIDE * spelled.select("name").distinct().count()))
+    words = cut(beside.where(F.col("n") >= least).select("word"), "labels")
+    held = cut(rows.join(F.broadcast(words), "word").groupBy("id", "word").agg(F.max("legal").alias("legal")), "held")
+    firm = held.groupBy("id").agg(F.max("legal").alias("legal"))
+    count = {r["word"]: (r["n"], r["legal"]) for r in held.drop("legal").join(firm, "id").groupBy("word").agg(F.count("*").alias("n"), F.avg(F.col("legal").cast("int")).alias("legal")).collect()}
+    x, y = held.alias("x"), held.alias("y")
+    both = x.join(y, (F.col("x.id") == F.col("y.id")) & (F.col("x.word") != F.col("y.word"))).groupBy(F.col("x.word").alias("a"), F.col("y.word").alias("b")).agg(F.count("*").alias("n"))
+    share = both.join(held.groupBy(F.col("word").alias("a")).agg(F.count("*").alias("all")), "a").where(F.col("n") >= F.col("all") * SAME_LABEL).select("a", "b", "n").collect()
+    beside_of: dict[str, dict[str, int]] = {}
+    for r in share:
+        beside_of.setdefault(r["a"], {})[r["b"]] = r["n"]
+    rank = {w: (n, w) for w, (n, _) in count.items()}
+
+    def heads(w: str) -> frozenset[str]:
+        """The most frequent words that share enough of a word's records, each the head of its own."""
+        out, todo, seen = set(), [w], {w}
+        while todo:
+            v = todo.pop()
+            above = [u for u in beside_of.get(v, {}) if rank[u] > rank[v]]
+            if not above:
+                out.add(v)
+            for u in above:
+                if u not in seen:
+                    seen.add(u)
+                    todo.append(u)
+        return frozenset(out)
+
+    trades: dict[str, frozenset[str]] = {}
+    given: dict[str, frozenset[str]] = {}
+    noise = set()
+    for w, (n, legal) in count.items():
+        top = heads(w)
+        if not beside_of.get(w) and w not in {u for v in beside_of.values() for u in v} and w not in _TRADE_OF and w not in _GIVEN_OF:
+            noise.add(w)  # beside everything, the same as nothing
+        elif legal >= WITH_LEGAL:
+            trades[w] = frozenset(_TRADE_OF.get(h, h) for h in top)
+        else:
+            given[w] = frozenset(x for h in top for x in _GIVEN_OF.get(h, (h,))) | _GIVEN_OF.get(w, frozenset())
+    return Labels(trades, given, frozenset(noise))
+
+
 def core_similarity(a: str, b: str, initials_a: str = "", initials_b: str = "") -> float:
     """Symmetric Monge-Elkan similarity of two cores; a word may also meet an initial of the other side."""
     x, y = a.split(), b.split()
@@ -208,7 +316,7 @@ def _grams(core: str) -> np.ndarray:
 _PARSED = "id string, core string, trade string, given string, initials string, legal string, main boolean, apart boolean"
 
 
-def parsed_names(df: DataFrame) -> DataFrame:
+def parsed_names(df: DataFrame, labels: Labels = COMMON) -> DataFrame:
     """One row for each distinct parsed name of ``id, name, variants, exclusions``; ``apart`` marks exclusions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +326,7 @@ def parsed_names(df: DataFrame) -> DataFrame:
             for i, n, vs, xs in zip(ids, names, variants, apart):
                 seen = set()
                 for text, main, out in [(n, True, False), *((v, False, False) for v in vs or []), *((x, False, True) for x in xs or [])]:
-                    p = parse(text)
+                    p = parse(text, labels)
                     if p and (key := (*p.values(), out)) not in seen:
                         seen.add(key)
                         rows.append({"id": i, **p, "main": main, "apart": out})
@@ -334,7 +442,7 @@ def _compatible_given(a: str, b: str) -> F.Column:
 
 def linked(df: DataFrame) -> DataFrame:
     """``id, entity``: every record with a name, and the entity it stands for."""
-    names = cut(parsed_names(df), "names").distinct()
+    names = cut(parsed_names(df, learned_labels(df)), "names").distinct()
     own = names.where("not apart")
     # the label of a record: the trade or given name that most of its names carry
     lab = own.select("id", F.when(F.col("trade") != "", F.concat(F.lit("t:"), "trade")).when(F.col("given") != "", F.concat(F.lit("g:"), "given")).alias("label"), "main").where("label is not null")

@@ -6,9 +6,10 @@ Ordered rules give every defect that applies (``defects``), and the first one is
 2. empty: nothing is left without markup, invisible characters and stand-ins such as "N/A" or "[]";
 3. copy: the text is the prompt, once or several times, with or without a label before it;
 4. language: the text's language is not the requested one or, if none is requested, that of the prompt;
-5. truncated: an open code block, or a last sentence or list item that stops before its end.
+5. truncated: an open code block, bracket or quotation mark, or a last sentence or list item that stops before its end.
 
-Languages are told by their function words and letters. Answers of a few bare items have neither; they are decided by
+Languages are told by their script, their function words and letters. A fetch error decides nothing: errors stand beside
+complete answers, and what an error cut off shows in the text. Answers of a few bare items have neither; they are decided by
 a lexicon of list items that is counted over all answers whose language is certain: the language an item is used in,
 and whether the last item of a list is a known item or only the beginning of one. Only such pairs are joined with it.
 
@@ -22,6 +23,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +34,8 @@ from brindle.session import cut
 ORDER = ("refusal", "empty", "copy", "language", "truncated")
 #: Uses from which an item of the lexicon counts as known.
 KNOWN = 2
-#: The longest item, in characters.
-ITEM = 60
-
+#: Words of a list item that the lexicon holds; a longer one is a clause, which its own end and its neighbours judge.
+WORDS = 6
 _WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
@@ -46,6 +47,21 @@ FUNCTION_WORDS = {
     "de": "der die das den dem des ein eine einen einem einer eines und oder aber nicht kein keine ist sind war waren wird werden wurde hat haben hatte mit von vom zu zum zur im in ins am an auf aus bei beim für über unter vor nach zwischen ohne durch gegen um bis seit als wie wenn weil da dass obwohl sodass sofern solange auch noch nur sehr mehr weniger sich es er sie wir ihr ihre ihren ihrem ich mich mir du sein seine was wer welche welcher welches warum wo wann alle aller so doch hier dort man kann muss soll darf niemand etwas andere anderen".split(),
     "es": "el la los las un una unos unas de del al a en y e o u que no se es son era fue con por para sin sobre entre hasta desde como cómo qué quién quiénes cuál cuáles cuándo dónde porque aunque si sino pero más menos muy también ya lo le les su sus mi mis tu tus nuestro nuestra nuestros nuestras este esta estos estas ese esa eso esto aquel donde cuando mientras salvo según tras antes después nadie algo otra otro otros otras todo toda todos hay ha han ser está están puede debe".split(),
 }
+#: Other languages, told only where they clearly outnumber the above.
+MORE_WORDS = {
+    "fr": "le la les un une des du de et est sont dans pour par sur avec qui que ne pas plus ce cette ces il elle nous vous ils au aux en se sa son ses leur mais ou où été être ont très comme".split(),
+    "it": "il lo la gli le un una dei delle della del di e è sono nel nella per con che non più questo questa questi si su da dal alla ai come anche ma o stato essere hanno molto perché quando".split(),
+    "pt": "o a os as um uma dos das do da de e é são no na nos nas para por com que não mais este esta isso se em ao pelo pela como também mas ou foi ser têm muito quando".split(),
+    "nl": "de het een en is zijn in van voor op met die dat niet meer dit deze wij hij zij aan door als ook maar of was worden heeft hebben zeer naar bij uit over wanneer geen".split(),
+    "cs": "a je jsou v na do se že pro s z to ten ta ne není který která které jako ale nebo když také více po od při být byl jeho její jen už".split(),
+}
+#: The share of function words from which a text is certainly in its language.
+CLEARLY = 0.35
+_MORE = {k: frozenset(v) for k, v in MORE_WORDS.items()}
+_FOUR = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+#: Scripts by their first and last letters (fixed values of the Unicode blocks).
+SCRIPTS = (("cyrillic", 0x0400, 0x052F), ("greek", 0x0370, 0x03FF), ("hebrew", 0x0590, 0x05FF), ("arabic", 0x0600, 0x077F), ("devanagari", 0x0900, 0x097F), ("thai", 0x0E00, 0x0E7F), ("hangul", 0xAC00, 0xD7AF), ("kana", 0x3040, 0x30FF), ("han", 0x4E00, 0x9FFF))
+_OTHER_SCRIPT = re.compile("[\u0370-\u03ff\u0400-\u052f\u0590-\u05ff\u0600-\u077f\u0900-\u097f\u0e00-\u0e7f\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]")
 _CHARS = {"pl": frozenset("ąćęłńśźż"), "de": frozenset("äöüß"), "es": frozenset("ñ¿¡áíú")}
 _LANGS_OF: dict[str, tuple[str, ...]] = {}
 for _lang, _words in FUNCTION_WORDS.items():
@@ -60,6 +76,13 @@ _NAMES = (
     ("es", r"spanish|spanisch\w*|hiszpańsk\w+|español|castellano"),
     ("fr", r"french|französisch\w*|francusk\w+|francés"),
     ("it", r"italian|italienisch\w*|włosk\w+|italiano"),
+    ("pt", r"portuguese|portugiesisch\w*|portugalsk\w+|portugués"),
+    ("nl", r"dutch|niederländisch\w*|niderlandzk\w+|neerlandés|holandés"),
+    ("cs", r"czech|tschechisch\w*|czesk\w+|checo"),
+    ("cyrillic", r"russian|russisch\w*|rosyjsk\w+|ruso|ukrainian|ukrainisch\w*|ukraińsk\w+|ucraniano"),
+    ("han", r"chinese|chinesisch\w*|chińsk\w+|chino"),
+    ("greek", r"greek|griechisch\w*|greck\w+|griego"),
+    ("arabic", r"arabic|arabisch\w*|arabsk\w+|árabe"),
 )
 _ASK = re.compile(
     r"\b(?:translat\w*|answer|reply|respond|write|put (?:this|it)|say (?:this|it)|przetłumacz\w*|tłumacz\w*|odpowiedz\w*|odpisz|napisz|przełóż|antworte\w*|übersetz\w*|schreib\w*|responde\w*|conteste?\w*|contesta|traduc\w*|traduzca\w*|escrib\w*)\b"
@@ -68,27 +91,43 @@ _ASK = re.compile(
 )
 
 
+def script(text: str) -> str | None:
+    """The script of most of a text's letters, if it is another than Latin. Kana tells Japanese from Chinese."""
+    if text.isascii():
+        return None
+    other = _OTHER_SCRIPT.findall(text)
+    if not other or 2 * len(other) <= sum(map(str.isalpha, text)):
+        return None
+    count = Counter(next(name for name, lo, hi in SCRIPTS if lo <= ord(c) <= hi) for c in other)
+    return "kana" if count["kana"] else max(count.items(), key=lambda x: (x[1], x[0]))[0]
+
+
 def language(text: str | None) -> str | None:
-    """``en``, ``pl``, ``de`` or ``es``, or None where the text doesn't tell."""
+    """``en``, ``pl``, ``de``, ``es``, another language, the name of another script, or None where the text doesn't tell."""
     if not text:
         return None
-    score: Counter[str] = Counter()
+    other = script(text)
+    if other:
+        return other
     low = text.lower()
-    for w in _LETTERS.findall(low):
-        langs = _LANGS_OF.get(w)
-        if langs:
-            for lang in langs:
-                score[lang] += 6 // len(langs)
-    for lang, chars in _CHARS.items():
-        n = sum(low.count(c) for c in chars)
-        if n:
-            score[lang] += 4 * n
-    if not score:
-        return None
-    best = score.most_common(2)
-    if best[0][1] < 6 or (len(best) > 1 and best[0][1] < 1.4 * best[1][1]):
-        return None
-    return best[0][0]
+    words = Counter(_LETTERS.findall(low))
+    score = {"en": 0, "pl": 0, "de": 0, "es": 0}
+    for w in words.keys() & _LANGS_OF.keys():
+        langs = _LANGS_OF[w]
+        for lang in langs:
+            score[lang] += words[w] * (6 // len(langs))
+    if not low.isascii():
+        for lang, chars in _CHARS.items():
+            score[lang] += 4 * sum(low.count(c) for c in chars)
+    (second, _), (first, best) = sorted((v, k) for k, v in score.items())[-2:]
+    told = best if first >= 6 and first >= 1.4 * second else None
+    total = sum(words.values())
+    if len(words) >= 4 and sum(words[w] for w in words.keys() & _FOUR[best]) < CLEARLY * total:
+        four = max(sum(words[w] for w in words.keys() & own) for own in _FOUR.values())
+        more, name = max((sum(words[w] for w in words.keys() & own), k) for k, own in _MORE.items())
+        if more >= 3 and more >= 1.4 * four and more >= 0.22 * total:
+            return name
+    return told
 
 
 def requested(prompt: str | None) -> str | None:
@@ -128,16 +167,40 @@ _SENTENCES = re.compile(r"(?<=[.!?…])[\"'”»)*_]*\s+|\n+")
 _MARKS = " \t\r\n*_`\"'“”„«»>#~-–—|"
 
 
+#: Letters without which a sentence neither declines nor accompanies a refusal.
+_REFUSING = ahocorasick.Automaton()
+for _w in (
+    "can", "could", "won", "will", "able", "permitted", "allowed", "authori", "declin", "refus", "information", "answer", "detail", "discuss", "provide", "give", "nie ", "odmówi", "odmawiam", "odpowiedzi", "kann", "könn", "darf", "dürf", "möchte", "werde", "nicht", "kein", "ablehn", "lehne", "gestattet", "erlaubt", "no ", "rechaz", "respuesta", "niego",
+    "guideline", "polic", "rules", "something", "anything", "specialist", "expert", "professional", "consult", "sorry", "unfortunately", "thank", "question", "topic", "zasad", "wytyczn", "innym", "specjalist", "ekspert", "przykro", "przepraszam", "niestety", "dziękuję", "pytanie", "vorgaben", "richtlinien", "sonst", "fachkraft", "fachmann", "leid", "entschuldigung",
+    "danke", "frage", "normas", "política", "otra", "algo", "especialista", "experto", "siento", "lamentablemente", "desgracia", "disculpe", "gracias", "perdón", "pregunta",
+):
+    _REFUSING.add_word(_w, 1)
+_REFUSING.make_automaton()
+
+
+def _sentences(text: str) -> Iterator[str]:
+    at = 0
+    for m in _SENTENCES.finditer(text):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
+
+
 def declines(text: str) -> bool:
     """Whether a text only declines to answer."""
-    parts = [s for s in (_SPACE.sub(" ", x).strip(_MARKS) for x in _SENTENCES.split(text)) if s]
-    if not parts:
-        return False
     refused = False
-    for s in parts:
+    for x in _sentences(text):
+        s = _SPACE.sub(" ", x).strip(_MARKS)
+        if not s:
+            continue
+        if next(_REFUSING.iter(s.lower()), None) is None:
+            return False
         if _TURNS.search(s):
             return False
         if _DECLINE.search(s) and not re.search(r"\d", s):
+            said = s.partition(": ")[2]
+            if len(said.split()) > 2 and not (_DECLINE.search(said) or _BESIDE.search(said)):
+                return False  # "You can't go wrong: ..."
             refused = True
         elif not _BESIDE.search(s):
             return False
@@ -179,6 +242,9 @@ def copies(text: str, prompt: str | None) -> bool:
     if not want:
         return False
     body = _LABEL.sub("", text.strip())
+    heads = {m.group(0).lower() for m in (_WORDS.search(body), _WORDS.search(text)) if m}
+    if not any(h == want[0] for h in heads):
+        return False
     for candidate in (body, text):
         have = [w.lower() for w in _WORDS.findall(candidate)]
         if len(have) >= len(want) and len(have) % len(want) == 0 and have == want * (len(have) // len(want)):
@@ -197,24 +263,41 @@ _CLOSERS = " \t\r\n\"'”“’»›)]*_`~}"
 
 
 def item_text(line: str) -> str:
-    return _SPACE.sub(" ", _ITEM_LINE.sub("", line)).strip(" \t*_`.,;:").lower()[:ITEM]
+    return _SPACE.sub(" ", _ITEM_LINE.sub("", line)).strip(" \t*_`.,;:").lower()
 
 
 def _listed(lines: list[str]) -> list[str]:
-    return [item_text(x) for x in lines if _ITEM_LINE.match(x) and len(x) <= ITEM + 6]
+    return [item_text(x) for x in lines if _ITEM_LINE.match(x) and len(x.split()) <= WORDS + 1]
 
 
 def bare_items(text: str) -> list[str] | None:
     """The items of an answer that consists of items only: one line of a few words, or several parted by commas."""
     s = text.strip()
-    if "\n" in s or len(s) > 200 or s[-1:] in ".!?…":
+    if "\n" in s or s[-1:] in ".!?…":
         return None
     items = [x.strip().lower() for x in re.split(r",|;| / ", s)]
-    if not all(items) or any(len(x.split()) > 4 or len(x) > ITEM for x in items):
+    if not all(items) or any(len(x.split()) > 4 for x in items):
         return None
     return [_SPACE.sub(" ", x) for x in items]
 
 
+_NO_BRACKET = re.compile(r"(?:```|~~~).*?(?:```|~~~)|`[^`\n]*`|https?://\S+|[:;=]-?[(\[{]", re.S)
+
+
+def unclosed(text: str) -> bool:
+    """Whether the last paragraph opens a bracket or a quotation mark that it doesn't close."""
+    part = _NO_BRACKET.sub(" ", text).rstrip().rsplit("\n\n", 1)[-1]
+    if any(part.count(a) > part.count(b) for a, b in ("()", "[]", "{}")):
+        return True
+    if part.count("„") > part.count("”") + part.count("“") + part.count('"'):
+        return True
+    if "„" not in part and part.count("“") > part.count("”"):
+        return True
+    if part.count("«") > part.count("»") and "»" not in part:
+        return True
+    return part.count('"') % 2 == 1 and re.search(r'(?:^|[\s(])"\w[^"]*$', part) is not None
+
+
 def ending(text: str) -> tuple[str, str | None]:
     """``("cut" | "whole" | "item", last item)``: how a text ends; an item is decided by the lexicon."""
     if len(re.findall(r"^\s*(?:```|~~~)", text, re.M)) % 2:
@@ -228,7 +311,7 @@ def ending(text: str) -> tuple[str, str | None]:
     if core.endswith(("...", "…", ",", ";", "(", "[", "{", " -", " –", " —", "/", ":")) and not _ADDRESS.search(last):
         return "cut", None
     if core.endswith((".", "!", "?", "。")):
-        return "whole", None
+        return ("cut" if unclosed(text) else "whole"), None
     if not core:
         return "cut" if last[-1:] in "([{" else "whole", None
     if _ADDRESS.search(last) or (last[:1] == "|" and last[-1:] == "|") or last[-1:] == ">":

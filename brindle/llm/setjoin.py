@@ -23,16 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.session import cut
+
 #: Buckets of the item count table (4 bytes each): its size is a parameter, not a function of the data.
 COUNT_BITS = 20
 #: An item in a bucket of more sets than this is blocked by partner size, too.
 HOT = 256
-#: Bits of a packed one-bit minhash code, and the Hamming radius within which pairs of a Jaccard similarity of at least
-#: 0.5 lie: their distance is binomial(256, (1 - 0.5) / 2), and P(distance > 112) < 1e-10.
-CODE_BITS, RADIUS_HALF = 256, 112
+#: Bits of a packed one-bit minhash code, and the probability with which its filter may lose a pair at the threshold.
+CODE_BITS, LOSS = 256, 1e-10
 
 _EPS = 1e-9
 
@@ -72,13 +74,28 @@ def _ceil(v: np.ndarray) -> np.ndarray:
     return np.ceil(v - _EPS).astype(np.int64)
 
 
+def radius_for(t: float, bits: int = CODE_BITS, loss: float = LOSS) -> int:
+    """The Hamming radius that a pair of similarity ``t`` exceeds with a probability below ``loss``: a bit of its codes
+    differs with probability ``(1 - t) / 2``, so the distance is binomial."""
+    p = (1 - t) / 2
+    if p <= 0:
+        return 0
+    tail = 0.0
+    for r in range(bits, -1, -1):
+        tail += math.exp(math.lgamma(bits + 1) - math.lgamma(r + 1) - math.lgamma(bits - r + 1) + r * math.log(p) + (bits - r) * math.log1p(-p))
+        if tail >= loss:
+            return r
+    return 0
+
+
 def _emit(batch: pa.RecordBatch, keep: list[str], row: np.ndarray, cols: dict[str, np.ndarray]) -> pa.RecordBatch:
     taken = {k: batch.column(batch.schema.get_field_index(k)).take(pa.array(row)) for k in keep}
     return pa.RecordBatch.from_pydict({**taken, **{k: pa.array(v) for k, v in cols.items()}})
 
 
 def _postings(classes: DataFrame, keep: list[str], counts: np.ndarray, t: float, hits: int, probe: bool) -> DataFrame:
-    """Rows (keep, n, tok, m, pos) of the probe or the index side. ``m`` is the partner's size for hot items, else 0."""
+    """Rows (keep, tok, at) of the probe or the index side. ``tok`` mixes the item, its ``src`` and, for hot items, the
+    partner's size, so that one number is the join key; ``at`` packs the size of the set and the place of the item in it."""
     shared = classes.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,56 +120,62 @@ def _postings(classes: DataFrame, keep: list[str], counts: np.ndarray, t: float,
                     row, x, pos, size = row[at], x[at], pos[at], size[at]
                 else:
                     m = np.where(hot, size, 0)
-            yield _emit(b, keep, row, {"n": size.astype(np.int32), "tok": x, "m": m.astype(np.int32), "pos": pos.astype(np.int32)})
+            names = b.column(b.schema.get_field_index("src")).to_pylist()
+            known = {s: xxhash.xxh3_64_intdigest(s or "") for s in set(names)}
+            src = np.fromiter((known[s] for s in names), dtype=np.uint64, count=len(names))
+            tok = x.view(np.uint64) ^ src[row] ^ (m.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            yield _emit(b, keep, row, {"tok": tok.view(np.int64), "at": (size << 32) | pos})
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema if f.name in keep)
-    return classes.select(*keep, "items").mapInArrow(run, f"{kinds}, n int, tok bigint, m int, pos int")
+    return classes.select(*keep, "src", "items").mapInArrow(run, f"{kinds}, tok bigint, at bigint")
 
 
-def candidate_pairs(classes: DataFrame, t: float, hits: int = 1, counts: np.ndarray | None = None, codes: list[str] | None = None, radius: int = RADIUS_HALF) -> DataFrame:
-    """Pairs ``(src, a, b)`` of classes that may have a Jaccard similarity of at least ``t``; ``a`` is the larger set.
+def candidate_pairs(classes: DataFrame, t: float, hits: int = 1, counts: np.ndarray | None = None, codes: list[str] | None = None, radius: int | None = None) -> DataFrame:
+    """Pairs ``(a, b)`` of classes of one ``src`` that may have a Jaccard similarity of at least ``t``; ``a`` is the larger set.
 
-    ``classes``: ``src, cid, items array<bigint>`` (distinct items, no null) and, where ``codes`` names them, the words of
-    a packed one-bit minhash code: pairs farther apart than ``radius`` bits are dropped before any set is fetched.
-    ``hits`` must not exceed the overlap of the smallest pair that is to be found. Run it on a written table: it is read
-    three times.
+    ``classes``: ``src, cid, items array<bigint>`` (distinct items, no null; ``cid`` is unique over all ``src``) and, where
+    ``codes`` names them, the words of a packed one-bit minhash code: pairs farther apart than ``radius`` bits (by default
+    ``radius_for(t)``) are dropped before any set is fetched. ``hits`` must not exceed the overlap of the smallest pair that
+    is to be found. Run it on a written table: it is read three times.
     """
     if not 0 < t <= 1:
         raise ValueError("the threshold lies in (0, 1]")
     counts = item_counts(classes) if counts is None else counts
-    keep = ["src", "cid", *(codes or [])]
-    a, b = _postings(classes, keep, counts, t, hits, True).alias("a"), _postings(classes, keep, counts, t, hits, False).alias("b")
-    alpha = F.ceil(F.lit(t / (1 + t)) * (F.col("a.n") + F.col("b.n")) - F.lit(_EPS))
-    room = F.lit(hits) + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) - 1
-    on = (
-        (F.col("a.src") == F.col("b.src"))
-        & (F.col("a.tok") == F.col("b.tok"))
-        & (F.col("a.m") == F.col("b.m"))
-        & ((F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.cid") < F.col("b.cid"))))
-        & (F.col("b.n") >= F.lit(t) * F.col("a.n") - F.lit(_EPS))
-        & (room >= alpha)
-    )
+    keep = ["cid", *(codes or [])]
+
+    def side(name: str, probe: bool) -> DataFrame:
+        p = _postings(classes, keep, counts, t, hits, probe)
+        return p.select(*(F.col(c).alias(f"{c}_{name}") for c in keep), "tok", F.shiftright("at", 32).alias(f"n_{name}"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"p_{name}"))
+
+    na, nb = F.col("n_a"), F.col("n_b")
+    alpha = F.ceil(F.lit(t / (1 + t)) * (na + nb) - F.lit(_EPS))
+    room = F.lit(hits) + F.least(na - F.col("p_a"), nb - F.col("p_b")) - 1
+    on = ((na > nb) | ((na == nb) & (F.col("cid_a") < F.col("cid_b")))) & (nb >= F.lit(t) * na - F.lit(_EPS)) & (room >= alpha)
     if codes:
         far: Column = F.lit(0)
         for c in codes:
-            far = far + F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")))
-        on = on & (far <= radius)
-    met = a.join(b, on).select(F.col("a.src").alias("src"), F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
+            far = far + F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+        on = on & (far <= (radius_for(t) if radius is None else radius))
+    met = side("a", True).join(side("b", False), "tok").where(on).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
     if hits == 1:
         return met.distinct()
-    return met.groupBy("src", "a", "b").agg(F.count("*").alias("_met")).where(F.col("_met") >= hits).drop("_met")
+    return met.groupBy("a", "b").agg(F.count("*").alias("_met")).where(F.col("_met") >= hits).drop("_met")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, column: str, t: float) -> DataFrame:
-    """``pairs`` with exact overlap and similarity of ``column`` (an array of distinct values), at or above ``t``."""
-    s = sets.select("src", "cid", F.col(column).alias("v"))
-    p = (
-        pairs.join(s.select("src", F.col("cid").alias("a"), F.col("v").alias("va")), ["src", "a"])
-        .join(s.select("src", F.col("cid").alias("b"), F.col("v").alias("vb")), ["src", "b"])
+    """``src, a, b, overlap, jaccard`` of the ``pairs (a, b)`` whose exact similarity of ``column`` (an array of distinct values)
+    is at or above ``t``. The pairs are written first: their size is then known, and only the sets of classes in a pair
+    move (none, where the list of those classes is small enough to be broadcast)."""
+    p = cut(pairs.select("a", "b"), "pairs")
+    inside = cut(p.select(F.col("a").alias("cid")).unionAll(p.select(F.col("b").alias("cid"))).distinct(), "inside")
+    s = sets.select("src", "cid", F.col(column).alias("v")).join(inside, "cid", "left_semi")
+    x = (
+        p.join(s.select("src", F.col("cid").alias("a"), F.col("v").alias("va")), "a")
+        .join(s.select(F.col("cid").alias("b"), F.col("v").alias("vb")), "b")
         .withColumn("overlap", F.size(F.array_intersect("va", "vb")))
         .withColumn("jaccard", F.col("overlap") / (F.size("va") + F.size("vb") - F.col("overlap")))
     )
-    return p.where(F.col("jaccard") >= F.lit(t) - F.lit(_EPS)).select("src", "a", "b", "overlap", "jaccard")
+    return x.where(F.col("jaccard") >= F.lit(t) - F.lit(_EPS)).select("src", "a", "b", "overlap", "jaccard")
 
 
 def one_bit_codes(df: DataFrame, bits: int = CODE_BITS, seed: int = 0x5EED) -> tuple[DataFrame, list[str]]:

@@ -40,7 +40,20 @@ def test_serp_threshold(spark, t):
     rows = _serp_rows(9, 80)
     got = {(r.snapshot_a, r.snapshot_b) for r in serp_pairs.found(spark.createDataFrame(rows, SERP), t).collect()}
     want = _pairs({r[0]: {u for u in r[2] or [] if u} for r in rows}, t)
-    assert got == want if t >= 0.5 else got <= want and len(got) >= 0.95 * len(want)
+    assert got == want
+
+
+def test_radius_follows_the_threshold():
+    assert setjoin.radius_for(0.5) == 112 and setjoin.radius_for(1.0) == 0
+    assert all(setjoin.radius_for(t) > setjoin.radius_for(t + 0.1) for t in (0.1, 0.3, 0.5, 0.7))
+
+
+def test_a_tiny_count_table_loses_nothing(spark, monkeypatch):
+    rows = _serp_rows(4, 120)
+    df = serp_pairs.url_sets(spark.createDataFrame(rows, SERP))
+    want = {tuple(r) for r in serp_pairs.similar_sets(df)[0].select("a", "b").collect()}
+    monkeypatch.setattr(setjoin.item_counts, "__defaults__", (3,))
+    assert {tuple(r) for r in serp_pairs.similar_sets(df)[0].select("a", "b").collect()} == want
 
 
 def test_a_third_share_one_list(spark):
@@ -74,7 +87,7 @@ def _texts(seed):
 def test_near_copies_equal_brute_force(spark, seed):
     docs = _texts(seed)
     rows = [("a" if i % 4 else "b", f"d{i:03}", " ".join(w.upper() if i % 3 == 0 else w for w in d) + ".", "k", 7) for i, d in enumerate(docs)]
-    rows += rows[:3] + [("a", "copy", rows[1][2].replace(" ", "  \n"), "k", 7), ("a", "null", None, "k", 7), ("a", "empty", "", "k", 7), ("a", "short", "w1 w2 w3", "k", 7), ("a", None, "x", "k", 7)]
+    rows += rows[:3] + [("a", "copy", rows[1][2].replace(" ", "  \n"), "k", 7), ("a", "null", None, "k", 7), ("a", "empty", "", "k", 7), ("a", "short", "w1 w2 w3", "k", 7), ("a", "short2", "W1 w2  w3", "k", 7), ("a", None, "x", "k", 7)]
     got = near_copies.found(spark.createDataFrame(rows, "src string, id string, text string, key string, cid int"))
     sets = {}
     for s, i, t, *_ in rows:

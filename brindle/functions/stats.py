@@ -82,3 +82,10 @@ def draw_sql(seed: str, k: str) -> str:
     s = f"((({seed})::BIGINT + ({k})::BIGINT * {_STEP}) & {m})"
     return f"""(SELECT (xor(t2, t2 >> 14)) / 4294967296.0::DOUBLE FROM (SELECT xor(t, (t + {imul('xor(t, t >> 7)', '(t | 61)')}) & {m}) AS t2
       FROM (SELECT {imul('xor(s, s >> 15)', '(s | 1)')} AS t FROM (SELECT {s} AS s))))"""
+
+
+def seed_for(a: Column, b: Column) -> Column:
+    """The 32-bit FNV-1a hash of ``a|b`` over its characters: the seed of the comparison of two runs."""
+    text = F.concat(a, F.lit("|"), b)
+    codes = F.transform(F.split(text, ""), lambda ch: F.ascii(ch).cast("bigint"))
+    return F.aggregate(codes, F.lit(2166136261).cast("bigint"), lambda h, c: _imul(h.bitwiseXOR(c), F.lit(16777619).cast("bigint")))

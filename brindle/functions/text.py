@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words that carry no intent (fixed values).
 STOP_WORDS = "i w na do z ze że o a to nie jak co czy jest sie się po od za przy dla lub albo oraz the of for to and in on a is".split()
 
-_MARKED = "ąćęłńóśźżàáâãäåçèéêëìíîïñòôõöùúûüýÿšžčďěňřťůő"
-_BARE = "acelnoszzaaaaaaceeeeiiiinooooouuuuyyszcdenrtuo"
-
-
 def words(text: Column | str) -> Column:
     """Maximal runs of letters and numbers, in order."""
     return F.regexp_extract_all(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
@@ -35,9 +33,17 @@ def shingles(tokens: Column, k: int = 3) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, k), " "))).otherwise(F.array().cast("array<string>"))
 
 
+@F.pandas_udf(T.StringType())
+def unmarked(s: pd.Series) -> pd.Series:
+    """Letters without their marks: canonical decomposition, combining marks dropped; ł has none and is a letter of its own."""
+    decomposed = s.str.normalize("NFD").str.replace("[\u0300-\u036f]", "", regex=True)
+    return decomposed.str.replace("ł", "l").str.replace("Ł", "L")
+
+
 def slug(text: Column, longest: int = 60) -> Column:
-    """Lower case, marks dropped, other runs as one hyphen, trimmed, cut."""
-    s = F.translate(F.lower(F.coalesce(text, F.lit(""))), _MARKED, _BARE)
+    """Lower case, marks dropped, other runs as one hyphen, trimmed, cut. Only texts beyond ASCII leave the JVM."""
+    t = F.coalesce(text, F.lit(""))
+    s = F.lower(F.when(t.rlike(r"^\p{ASCII}*$"), t).otherwise(unmarked(t)))
     return F.substring(F.regexp_replace(F.regexp_replace(s, "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, longest)
 
 
@@ -47,10 +53,3 @@ def normalize_answer(text: Column) -> Column:
     s = F.regexp_replace(s, r"[\s&&[^\n] ]+", " ")
     s = F.regexp_replace(s, r"(?m)^ +| +$", "")
     return F.regexp_replace(F.regexp_replace(s, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Similarity of two arrays of distinct values; null where both are empty."""
-    both = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - both
-    return F.when(union > 0, both / union)

@@ -101,7 +101,7 @@ def share_of_voice(found: DataFrame) -> DataFrame:
 def inline_citations(answers: DataFrame) -> DataFrame:
     """Distinct addresses in each text, without trailing punctuation: ``run, prompt, run_index, url, host``."""
     urls = F.regexp_extract_all(normalize_answer(F.coalesce("text", F.lit(""))), F.lit("(?i)(https?://[^\\s<>\"'`]+)"), 1)
-    u = answers.select("run", "prompt", "run_index", F.explode(F.array_distinct(urls)).alias("raw")).withColumn("url", trim_url_tail("raw"))
+    u = answers.select("run", "prompt", "run_index", F.explode(F.array_distinct(urls)).alias("raw")).withColumn("url", trim_url_tail(F.col("raw")))
     return u.where("url <> ''").select("run", "prompt", "run_index", "url", citation_host(F.col("url")).alias("host")).distinct()
 
 
@@ -111,17 +111,35 @@ def grounding_citations(answers: DataFrame) -> DataFrame:
     return u.select("*", citation_host(F.col("url")).alias("host"))
 
 
-def compared(before: DataFrame, after: DataFrame, seed: int, resamples: int) -> DataFrame:
-    """Two measurements ``prompt, hits, trials`` as one row: ``kind`` is ``compared`` or a refusal (``empty``,
-    ``composition``) without numbers."""
+def compared(before: DataFrame, after: DataFrame, seed: int, resamples: int, contexts: tuple[dict, dict] | None = None) -> DataFrame:
+    """Two measurements ``prompt, hits, trials`` as one row: ``kind`` is ``compared`` or a refusal without numbers: another
+    engine, model or access (``context``), another version of the entity (``entity-version``), no prompts (``empty``), or
+    other prompts (``composition``). ``contexts``: ``engine, model, access, entity_version`` and ``prompt_set`` of each."""
     j = before.select("prompt", F.col("hits").alias("h0"), F.col("trials").alias("n0")).join(after.select("prompt", F.col("hits").alias("h1"), F.col("trials").alias("n1")), "prompt", "full")
     s = j.agg(F.count("n0").alias("a"), F.count("n1").alias("b"), F.count("*").alias("all"), F.least(F.min("n0"), F.min("n1")).alias("runs"))
     both = j.where("n0 is not null and n1 is not null").select("prompt", (F.col("h1") / F.col("n1") - F.col("h0") / F.col("n0")).alias("difference"))
     from brindle.operators.effects import paired
 
-    kind = F.when((F.col("a") == 0) | (F.col("b") == 0), "empty").when((F.col("a") != F.col("all")) | (F.col("b") != F.col("all")), "composition").otherwise("compared")
+    x, y = contexts or ({}, {})
+    differ = {k: any(x.get(c) != y.get(c) for c in cols) for k, cols in {"context": ("engine", "model", "access"), "entity": ("entity_version",), "set": ("prompt_set",)}.items()}
+    kind = F.when(F.lit(differ["context"]), "context").when(F.lit(differ["entity"]), "entity-version").when((F.col("a") == 0) | (F.col("b") == 0), "empty")
+    kind = kind.when(F.lit(differ["set"]) | (F.col("a") != F.col("all")) | (F.col("b") != F.col("all")), "composition").otherwise("compared")
     p = paired(both, "prompt", "difference", seed, resamples)
     out = s.crossJoin(p).withColumn("kind", kind).withColumn("resolution", S.detectable_difference("pairs", "runs"))
     ok = F.col("kind") == "compared"
     significant = (((F.col("low") > 0) | (F.col("high") < 0)) & (F.abs("mean") >= F.col("resolution"))) & (F.col("pairs") > 1)
     return out.select("kind", *(F.when(ok, F.col(c)).alias(c) for c in ("pairs", "mean", "low", "high", "resolution")), F.when(ok, significant).alias("significant"))
+
+
+def citation_rate(answers: DataFrame, own_host: str, keys: list[str]) -> DataFrame:
+    """The share of answers that name a source on the given host (``www.`` aside), with its interval, for each key."""
+    own = F.exists(F.coalesce("grounding", F.array().cast("array<string>")), lambda u: F.coalesce(citation_host(u) == own_host, F.lit(False)))
+    return proportions(answers, keys, own)
+
+
+def own_and_others(found: DataFrame, answers: DataFrame, own: list[str]) -> DataFrame:
+    """``prompt, trials, own, others``: for each prompt the answers, those that mention one of our entities, and those that mention
+    another one. ``found``: mentions with ``run, prompt, run_index, entity``."""
+    ours = F.col("entity").isin(*own)
+    per = found.groupBy("run", "prompt", "run_index").agg(F.max(ours.cast("int")).alias("o"), F.max((~ours).cast("int")).alias("x"))
+    return answers.select("run", "prompt", "run_index").join(per, ["run", "prompt", "run_index"], "left").groupBy("prompt").agg(F.count("*").alias("trials"), F.coalesce(F.sum("o"), F.lit(0)).alias("own"), F.coalesce(F.sum("x"), F.lit(0)).alias("others"))

@@ -7,7 +7,7 @@ import re
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,22 +144,78 @@ def sitemap(xml: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_sitemap(x) for x in xml], columns=["kind", "entries", "problems"])
 
 
-def crawl(pages: DataFrame, links: DataFrame, start: DataFrame, max_depth: int, max_pages: int) -> tuple[DataFrame, bool]:
-    """A breadth-first crawl over given pages ``url`` and links ``src, dst`` from ``start`` (url): visited ``url, depth``
-    in order of depth and address, and whether the page limit cut it. Depth alone never counts as a cut."""
-    known = pages.select("url").distinct()
-    level = cut(start.select("url").distinct().join(known, "url", "left_semi").withColumn("depth", F.lit(0)), "crawl")
-    seen, total = level, level.count()
+def crawl(pages: DataFrame, links: DataFrame, start: DataFrame, max_depth: int, max_pages: int, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame | bool]:
+    """A breadth-first crawl over given pages ``url`` and links ``src, dst`` from ``start`` (url), for each value of ``keys``
+    on its own: visited ``url, depth, nth`` in order of depth and address, and whether the page limit cut it
+    (for each key, or one truth value without keys). Depth alone never counts as a cut; a crawl that has reached its limit goes no deeper."""
+    keys = keys or []
+    known = pages.select(*keys, "url").distinct()
+    seen = cut(start.select(*keys, "url").distinct().join(known, [*keys, "url"], "left_semi").withColumn("depth", F.lit(0)), "crawl")
+    level = seen
     for d in range(1, max_depth + 1):
-        if total >= max_pages:
+        full = seen.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= max_pages)
+        go = level.join(full, keys, "left_anti") if keys else level.crossJoin(F.broadcast(full.agg(F.count("*").alias("full")))).where("full = 0").drop("full")
+        nxt = links.join(go.select(*keys, F.col("url").alias("src")), [*keys, "src"], "left_semi").select(*keys, F.col("dst").alias("url")).distinct()
+        level = cut(nxt.join(known, [*keys, "url"], "left_semi").join(seen.select(*keys, "url"), [*keys, "url"], "left_anti").withColumn("depth", F.lit(d)), "crawl")
+        if level.isEmpty():
             break
-        nxt = links.join(level.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
-        level = cut(nxt.join(known, "url", "left_semi").join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d)), "crawl")
-        n = level.count()
-        if not n:
-            break
-        seen, total = seen.unionByName(level), total + n
-    return seen.orderBy("depth", "url").limit(max_pages), total >= max_pages
+        seen = seen.unionByName(level)
+    w = Window.partitionBy(*keys).orderBy("depth", "url")
+    ranked = seen.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= max_pages)
+    if not keys:
+        return ranked, seen.count() >= max_pages
+    return ranked, seen.groupBy(*keys).agg((F.count("*") >= max_pages).alias("cut"))
+
+
+def sitemap_urls(files: DataFrame, start: DataFrame, most: int = 10) -> DataFrame:
+    """``site, loc``: the addresses of each site's sitemaps. ``files``: ``site, url, status, xml`` of what was fetched; ``start``:
+    ``site, url`` of the first sitemaps in order ``nth``. Indexes are expanded; at most ``most`` files are read for a site, in
+    the order of discovery; one without an answer or with a status from 400 gives nothing."""
+    read = files.where("xml is not null and status < 400").select("site", "url", sitemap("xml").alias("s"))
+    w = Window.partitionBy("site").orderBy("nth", "url")
+    todo = cut(start.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).select("site", "url", F.col("nth").cast("bigint").alias("nth")), "sitemaps")
+    done, out = todo, None
+    while not todo.isEmpty():
+        got = cut(todo.join(read, ["site", "url"]), "sitemaps")
+        urls = got.where("s.kind = 'urlset'").select("site", F.explode("s.entries").alias("e")).select("site", F.col("e.loc").alias("loc"))
+        out = urls if out is None else out.unionByName(urls)
+        found = got.where("s.kind = 'index'").select("site", "nth", F.posexplode("s.entries").alias("i", "e")).groupBy("site", F.col("e.loc").alias("url")).agg(F.min(F.struct("nth", "i")).alias("at"))
+        room = done.groupBy("site").agg(F.count("*").alias("used"))
+        fresh = found.join(done.select("site", "url"), ["site", "url"], "left_anti").join(room, "site")
+        nth = F.row_number().over(Window.partitionBy("site").orderBy("at", "url"))
+        todo = cut(fresh.withColumn("k", nth).where(F.col("used") + F.col("k") <= most).select("site", "url", (F.col("used") + F.col("k")).alias("nth")), "sitemaps")
+        done = done.unionByName(todo)
+    return (out if out is not None else start.select("site", F.col("url").alias("loc")).limit(0)).distinct()
+
+
+def default_sitemaps(start: Column) -> Column:
+    """Where to look when the robots file names no sitemap: the folder of the property, then the root of its host."""
+    root = F.regexp_extract(start, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+", 0)
+    folder = F.regexp_extract(start, r"^([^?#]*/)", 1)
+    return F.array_distinct(F.array(F.concat(folder, F.lit("sitemap.xml")), F.concat(root, F.lit("/sitemap.xml"))))
+
+
+def effective_delay_ms(limit_ms: Column, robots_delay_s: Column) -> Column:
+    """The pause between two requests: the longer of the crawl's own and that of the robots file."""
+    return F.greatest(limit_ms, F.coalesce(F.round(robots_delay_s * 1000).cast("bigint"), F.lit(0)))
+
+
+def suspicion(script_count: Column, text_ratio: Column) -> Column:
+    """How likely a page needs rendering: the less text a byte holds where there are scripts; 0 without scripts."""
+    return F.when(script_count == 0, 0.0).otherwise(1 - F.least(F.lit(1.0), text_ratio))
+
+
+def sample(pages: DataFrame, limit: int, by: Column, keys: list[str] | None = None) -> DataFrame:
+    """The first ``limit`` pages of each key: home pages (depth 0), then by ``by`` from the largest, then by address. Samples
+    of the same pages are the same. ``pages``: ``url, depth`` and what ``by`` needs."""
+    home = F.coalesce(F.col("depth") == 0, F.lit(False))
+    w = Window.partitionBy(*(keys or [])).orderBy(F.desc(home), F.when(home, F.lit(None)).otherwise(by).desc(), "url")
+    return pages.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= max(limit, 0))
+
+
+def noindex_reason(status: Column, has_facts: Column, noindex: Column) -> Column:
+    """Why a page can't be in an index, or null: no answer, an error status, no HTML, or its own robots tag."""
+    return F.when(status.isNull(), "no answer").when(status >= 400, F.concat(F.lit("status "), status.cast("string"))).when(~has_facts, "not HTML").when(F.coalesce(noindex, F.lit(False)), "meta robots: noindex")
 
 
 @F.pandas_udf(T.StringType())

@@ -57,47 +57,103 @@ def paired(df: DataFrame, unit: str, difference: str, seed: int, resamples: int
     return observed.crossJoin(q).select("pairs", "mean", F.get("m", F.lit(low)).alias("low"), F.get("m", F.lit(high)).alias("high"))
 
 
-def before_after(daily: DataFrame, page: str, change: str, days: int) -> DataFrame:
-    """Clicks, impressions and position of each page in the closed windows ``[change - days, change]`` and
-    ``[change, change + days]``; a page that is missing in one has zeros there."""
-    c = F.lit(change).cast("date")
-
-    def window(a: Column, b: Column, tag: str) -> DataFrame:
-        w = daily.where(F.col("date").between(a, b))
-        return w.groupBy(page).agg(F.sum("clicks").alias(f"clicks_{tag}"), F.sum("impressions").alias(f"impressions_{tag}"))
-
-    out = window(F.date_sub(c, days), c, "before").join(window(c, F.date_add(c, days), "after"), page, "full")
-    return out.na.fill(0)
+METRICS = ("clicks", "impressions", "ctr", "position")
+#: Days of the windows of a measurement, fewest pages of each side (fixed values).
+WINDOWS, MIN_TREATED, MIN_CONTROL = (14, 30, 60), 1, 5
+_SUMS = tuple(f"{m}_{w}" for w in ("before", "after") for m in ("clicks", "impressions", "weighted"))
 
 
-def did(panel: DataFrame, treated: str, metric: str) -> DataFrame:
-    """``kind, treatment, control, effect``: the change of the treated less the change of the others, by mean clicks or
-    impressions for each page. Fewer than one treated or five control units is a refusal."""
-    d = F.col(f"{metric}_after") - F.col(f"{metric}_before")
-    g = panel.agg(F.count_if(F.col(treated)).alias("treatment"), F.count_if(~F.col(treated)).alias("control"), F.avg(F.when(F.col(treated), d)).alias("dt"), F.avg(F.when(~F.col(treated), d)).alias("dc"))
-    kind = F.when(F.col("treatment") < 1, "no-treatment").when(F.col("control") < 5, "no-control").otherwise("effect")
-    return g.select(kind.alias("kind"), "treatment", "control", F.when(kind == "effect", F.col("dt") - F.col("dc")).alias("effect"))
-
-
-def did_interval(panel: DataFrame, unit: str, treated: str, metric: str, seed: int, resamples: int = 5000) -> DataFrame:
-    """The effect with the percentile interval of resampling units on both sides; treatment draws come first."""
-    e = did(panel, treated, metric)
-    d = panel.select(unit, F.col(treated).alias("t"), (F.col(f"{metric}_after") - F.col(f"{metric}_before")).cast("double").alias("d"))
-    a, b = indexed(d.where("t"), unit, "d"), indexed(d.where("not t"), unit, "d")
-    na, nb = a.count(), b.count()
-    if na < 1 or nb < 5:
-        return e.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")})
-    m = resample_means(a, na, seed, resamples, na + nb, 0).withColumnRenamed("mean", "ma").join(resample_means(b, nb, seed, resamples, na + nb, na).withColumnRenamed("mean", "mb"), "r")
-    q = m.agg(F.array_sort(F.collect_list(F.col("ma") - F.col("mb"))).alias("m"))
-    return e.crossJoin(q).select("kind", "treatment", "control", "effect", F.get("m", F.lit(int(0.025 * resamples))).alias("low"), F.get("m", F.lit(int(0.975 * resamples))).alias("high"))
+def before_after(daily: DataFrame, page: str, change: str, days: int) -> DataFrame:
+    """Clicks, impressions and position (weighted by impressions; ``weighted`` is their product) of each page in the closed
+    windows ``[change - days, change]`` and ``[change, change + days]``; a page that is missing in one has zeros there. One
+    scan and one aggregation for both windows."""
+    c = F.lit(change).cast("date")
+    inside = daily.where(F.col("date").between(F.date_sub(c, days), F.date_add(c, days)))
+    position = F.coalesce("position", F.lit(0.0)) if "position" in daily.columns else F.lit(0.0)
+    aggs = []
+    for tag, test in (("before", F.col("date") <= c), ("after", F.col("date") >= c)):
+        for name, value in (("clicks", F.col("clicks")), ("impressions", F.col("impressions")), ("weighted", position * F.col("impressions"))):
+            aggs.append(F.coalesce(F.sum(F.when(test, value)), F.lit(0)).alias(f"{name}_{tag}"))
+    return inside.groupBy(page).agg(*aggs)
+
+
+def _level(metric: str, tag: str, n: Column) -> Column:
+    """The level of a group from its sums: per page for counts, over impressions for rates and positions."""
+    if metric in ("clicks", "impressions"):
+        return F.col(f"{metric}_{tag}") / n
+    return F.coalesce(F.col(f"{'clicks' if metric == 'ctr' else 'weighted'}_{tag}") / F.nullif(F.col(f"impressions_{tag}").cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
+def did(panel: DataFrame, treated: str, metric: str, min_control: int = MIN_CONTROL) -> DataFrame:
+    """``kind, treatment, control, effect``: the change of the treated less the change of the others. ``metric`` is one of
+    ``METRICS``; clicks and impressions are means for each page. Too few pages on a side, or a rate or position without any
+    impressions, is a refusal without an effect."""
+    sums = [c for c in _SUMS if c in panel.columns]
+    g = panel.groupBy(F.col(treated).alias("t")).agg(F.count("*").alias("n"), *(F.sum(c).cast("double").alias(c) for c in sums))
+    change = (_level(metric, "after", F.col("n")) - _level(metric, "before", F.col("n"))).alias("d")
+    seen = (F.col("impressions_before") + F.col("impressions_after")) if "impressions_before" in sums else F.lit(1.0)
+    one = g.select("t", "n", change, seen.alias("seen")).agg(
+        F.coalesce(F.sum(F.when(F.col("t"), F.col("n"))), F.lit(0)).alias("treatment"), F.coalesce(F.sum(F.when(~F.col("t"), F.col("n"))), F.lit(0)).alias("control"),
+        F.max(F.when(F.col("t"), F.col("d"))).alias("dt"), F.max(F.when(~F.col("t"), F.col("d"))).alias("dc"), F.coalesce(F.sum("seen"), F.lit(0.0)).alias("seen"),
+    )
+    kind = F.when(F.col("treatment") < MIN_TREATED, "no-treatment").when(F.col("control") < min_control, "no-control").when(F.lit(metric in ("ctr", "position")) & (F.col("seen") == 0), "no-impressions").otherwise("effect")
+    return one.select(kind.alias("kind"), "treatment", "control", F.when(kind == "effect", F.col("dt") - F.col("dc")).alias("effect"))
+
+
+def _resampled(side: DataFrame, unit: str, n: int, seed: int, resamples: int, per_round: int, skip: int) -> DataFrame:
+    """``r`` and the sums of ``n`` draws with replacement among the units of one side, for each resample ``r``."""
+    spark = side.sparkSession
+    d = spark.range(resamples * n).select(F.expr(f"id div {n}").alias("r"), (F.col("id") % n).alias("k"))
+    d = with_draw(d, seed, F.col("r") * per_round + F.lit(skip) + F.col("k") + 1, "u").select("r", F.floor(F.col("u") * n).cast("int").alias("i"))
+    s = side.select(F.col(unit).alias("_o"), *(F.col(c).cast("double").alias(c) for c in _SUMS))
+    if n <= MAX_ARRAY:
+        one = s.agg(F.array_sort(F.collect_list(F.struct("_o", *_SUMS))).alias("a"))
+        drawn = d.crossJoin(F.broadcast(one)).select("r", F.get("a", F.col("i")).alias("x")).select("r", *(F.col(f"x.{c}").alias(c) for c in _SUMS))
+    else:
+        drawn = d.join(s.withColumn("i", F.row_number().over(Window.partitionBy().orderBy("_o")) - 1), "i")
+    return drawn.groupBy("r").agg(*(F.sum(c).alias(c) for c in _SUMS))
+
+
+def did_interval(panel: DataFrame, unit: str, treated: str, metric: str, seed: int, resamples: int = 5000, min_control: int = MIN_CONTROL) -> DataFrame:
+    """The effect with the percentile interval of resampling units on both sides (a unit brings both its windows; treatment
+    draws come first), whether it is significant, and its direction: for positions, lower is better."""
+    e = did(panel, treated, metric, min_control)
+    na, nb = (panel.where(x).count() for x in (F.col(treated), ~F.col(treated)))
+    none = {"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double"), "significant": F.lit(None).cast("boolean"), "direction": F.lit(None).cast("string")}
+    if na < MIN_TREATED or nb < min_control:
+        return e.withColumns(none)
+    full = panel.withColumns({c: F.lit(0.0) for c in _SUMS if c not in panel.columns})
+    change = (_level(metric, "after", F.col("n")) - _level(metric, "before", F.col("n"))).alias("d")
+    a = _resampled(full.where(F.col(treated)), unit, na, seed, resamples, na + nb, 0).withColumn("n", F.lit(na)).select("r", change.alias("ma"))
+    b = _resampled(full.where(~F.col(treated)), unit, nb, seed, resamples, na + nb, na).withColumn("n", F.lit(nb)).select("r", change.alias("mb"))
+    q = a.join(b, "r").agg(F.array_sort(F.collect_list(F.col("ma") - F.col("mb"))).alias("m"))  # as long as the number of resamples
+    out = e.crossJoin(q).select("kind", "treatment", "control", "effect", *(F.when(F.col("kind") == "effect", F.get("m", F.lit(min(resamples - 1, int(p * resamples))))).alias(n) for p, n in ((0.025, "low"), (0.975, "high"))))
+    spread = F.col("high") - F.col("low") > F.greatest(F.abs("effect"), F.lit(1.0)) * 1e-9
+    sure = ((F.col("low") > 0) | (F.col("high") < 0)) & spread
+    better = (F.col("effect") < 0) if metric == "position" else (F.col("effect") > 0)
+    return out.withColumn("significant", sure).withColumn("direction", F.when(F.col("significant"), F.when(better, "better").otherwise("worse")))
+
+
+def verdict_sentence(days: Column, metric: Column) -> Column:
+    """One sentence on a row of ``did_interval``."""
+    name = F.when(metric == "clicks", "clicks per page").when(metric == "impressions", "impressions per page").when(metric == "ctr", "click rate").otherwise("position")
+
+    def shown(c: str) -> Column:
+        return F.when(metric == "ctr", F.format_string("%.2f pp", F.col(c) * 100)).otherwise(F.format_string("%.2f", F.col(c)))
+
+    start = F.concat(F.lit("After "), days.cast("string"), F.lit(" days, "), name)
+    measured = F.concat(start, F.lit(": "), F.when(F.col("effect") >= 0, "+").otherwise(""), shown("effect"), F.lit(" (interval "), shown("low"), F.lit(" to "), shown("high"), F.lit("), "), F.when(F.col("significant"), F.concat("direction", F.lit(" against "), F.col("control").cast("string"), F.lit(" control pages."))).otherwise("not significant yet."))
+    return F.when(F.col("kind") == "effect", measured).otherwise(F.concat(start, F.lit(" can't be measured: "), "kind", F.lit(".")))
 
 
 def page_distance(a: str, b: str) -> Column:
-    """How far two pages are apart: orders of magnitude of impressions and clicks, and position."""
+    """How far two pages are apart: orders of magnitude of impressions and clicks, position and click depth (0.5 where either
+    depth is unknown)."""
     def gap(c: str) -> Column:
         return F.abs(F.log10(F.col(f"{a}.{c}") + 1) - F.log10(F.col(f"{b}.{c}") + 1))
 
-    return gap("impressions") + gap("clicks") + F.abs(F.col(f"{a}.position") - F.col(f"{b}.position")) / 20
+    depth = F.coalesce(F.abs(F.col(f"{a}.depth") - F.col(f"{b}.depth")) / 5, F.lit(0.5))
+    return gap("impressions") + gap("clicks") + F.abs(F.col(f"{a}.position") - F.col(f"{b}.position")) / 20 + depth
 
 
 #: Bands of impressions that hold all pages.
@@ -123,6 +179,8 @@ def control_group(treatment: DataFrame, candidates: DataFrame, rounds: int = 4,
     is searched again in four times as many bands, until nothing outside can be nearer or no candidate is free."""
     from brindle.session import cut
 
+    no_depth = F.lit(None).cast("int")
+    treatment, candidates = (d if "depth" in d.columns else d.withColumn("depth", no_depth) for d in (treatment, candidates))
     band = F.floor(F.log2(F.col("impressions") + 1)).cast("int")
     treated = cut(treatment.withColumn("band", band), "treated")
     free = cut(candidates.withColumn("band", band), "free")
@@ -155,6 +213,11 @@ def control_group(treatment: DataFrame, candidates: DataFrame, rounds: int = 4,
     return out if out is not None else pairs.limit(0).select("treated", "control", "distance", F.lit(1).alias("round"))
 
 
+def shortfall(treatment: DataFrame, matches: DataFrame, rounds: int = 4) -> DataFrame:
+    """``wanted, matched, missing``: how many control pages the treated ones lack."""
+    return treatment.agg((F.count("*") * rounds).alias("wanted")).crossJoin(matches.agg(F.count("*").alias("matched"))).withColumn("missing", F.col("wanted") - F.col("matched"))
+
+
 def expected_ctr(position: Column) -> Column:
     i = F.least(F.greatest(F.floor(position + 0.5).cast("int"), F.lit(1)), F.lit(len(CTR)))
     return F.element_at(F.array(*map(F.lit, CTR)), i)

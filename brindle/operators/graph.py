@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.functions.urls import normalize
 from brindle.session import cut
 
-MAX_DEPTH = 1000
-
 
 def clean_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct edges ``run, src, dst`` between different known nodes ``run, url``."""
@@ -30,12 +30,16 @@ def click_depth(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFra
     e = cut(edges.select("run", "src", "dst"), "links")
     level = cut(roots.select("run", "url").distinct().withColumn("depth", F.lit(0)), "level")
     seen = level
-    for d in range(1, MAX_DEPTH + 1):
+    d = 0
+    while True:
+        d += 1
         nxt = e.join(level.select("run", F.col("url").alias("src")), ["run", "src"], "left_semi").select("run", F.col("dst").alias("url")).distinct()
         level = cut(nxt.join(seen.select("run", "url"), ["run", "url"], "left_anti").withColumn("depth", F.lit(d)), "level")
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
+        if d % 50 == 0:  # a long chain of unions would make the plan grow with the depth
+            seen = cut(seen, "seen")
     return nodes.select("run", "url").distinct().join(seen, ["run", "url"], "left")
 
 
@@ -49,6 +53,23 @@ def unlinked(pages: DataFrame, edges: DataFrame) -> DataFrame:
     return pages.select("run", "url").distinct().join(edges.select("run", F.col("dst").alias("url")), ["run", "url"], "left_anti")
 
 
-def redirect_problem(chain: Column, longest: int = 2) -> Column:
-    """``loop`` if an address repeats, ``too-long`` beyond ``longest`` hops, else null."""
-    return F.when(F.size(F.array_distinct(chain)) < F.size(chain), "loop").when(F.size(chain) > longest, "too-long")
+def redirect_problem(chain: Column, url: Column | None = None, longest: int = 2) -> Column:
+    """``loop`` if the addresses of the chain and the page's own repeat one identity, ``too-long`` beyond ``longest`` hops,
+    else null. Identities are those of ``url_key``, so another spelling of an address counts as a return."""
+    return F.when(chain_repeats(chain, url), "loop").when(F.size(chain) > longest, "too-long")
+
+
+def chain_repeats(chain: Column, url: Column | None = None) -> Column:
+    """Whether a chain of raw addresses comes back to one of its own, compared by identity."""
+
+    @F.pandas_udf("boolean")
+    def repeats(c: pd.Series, u: pd.Series) -> pd.Series:
+        def one(x, y) -> bool:  # noqa: ANN001
+            if x is None or len(x) == 0:
+                return False
+            all_ = [normalize(v) or v for v in (*x, y) if v is not None]
+            return len(set(all_)) < len(all_)
+
+        return pd.Series([one(x, y) for x, y in zip(c, u)])
+
+    return F.coalesce(F.when(F.size(chain) > 0, repeats(chain, F.lit(None).cast("string") if url is None else url)), F.lit(False))

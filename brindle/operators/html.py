@@ -21,6 +21,9 @@ from brindle.functions.urls import resolve
 
 _S, _I, _B, _L, _D = T.StringType(), T.IntegerType(), T.BooleanType(), T.LongType(), T.DoubleType()
 
+#: The share of words that only rendering shows from which content needs scripts (fixed value).
+JS_REQUIRED = 0.75
+
 
 def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
@@ -308,6 +311,6 @@ def render_diff(raw: Column, rendered: Column) -> Column:
 
     return F.struct(
         (~raw["title"].eqNullSafe(rendered["title"])).alias("title_changed"), (~raw["meta_description"].eqNullSafe(rendered["meta_description"])).alias("description_changed"),
-        raw["word_count"].alias("raw_words"), rendered["word_count"].alias("rendered_words"), gain.alias("js_ratio"), (gain >= 0.75).alias("content_requires_js"),
+        raw["word_count"].alias("raw_words"), rendered["word_count"].alias("rendered_words"), gain.alias("js_ratio"), (gain >= JS_REQUIRED).alias("content_requires_js"),
         F.array_sort(F.array_except(hrefs(rendered), hrefs(raw))).alias("links_only_in_rendered"), F.array_sort(F.array_except(hrefs(raw), hrefs(rendered))).alias("links_only_in_raw"),
     )

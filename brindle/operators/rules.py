@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.urls import path_problems, url_key
+from brindle.functions.urls import path_problems, url_key, url_keys
+from brindle.operators.graph import chain_repeats
 
 SEVERITIES = ("blocker", "high", "medium", "low", "info")
 
@@ -113,7 +114,7 @@ def page_rules(t: Thresholds = Thresholds()) -> list[PageRule]:
         r("http.status-5xx", "blocker", (HR,), F.col("status") >= 500, F.col("status")),
         r("http.fetch-failed", "blocker", (HR,), F.col("status").isNull()),
         r("redirect.chain-too-long", "medium", (HR,), F.size("redirect_chain") > t.hops_max, F.size("redirect_chain")),
-        r("redirect.loop", "high", (HR,), F.size(F.array_distinct("redirect_chain")) < F.size("redirect_chain")),
+        r("redirect.loop", "high", (HR,), F.col("chain_loops")),
         r("title.missing", "high", p, idx & (F.coalesce(f["title"], F.lit("")) == "")),
         r("title.too-long", "low", p, f["title_length"] > t.title_max, f["title_length"]),
         r("title.too-short", "low", p, f["title_length"].between(1, t.title_min - 1), f["title_length"]),
@@ -226,8 +227,8 @@ def prepared(pages: DataFrame) -> DataFrame:
     p = pages.withColumns({k: v for k, v in extra.items() if k not in have})
     p = p.withColumns({"key": url_key(F.col("url")), "noindex": F.coalesce(F.col("f.meta_robots.noindex"), F.lit(False)), "redirect_chain": F.coalesce("redirect_chain", F.array().cast("array<string>"))})
     p = p.withColumn("canonical_key", F.when(F.col("f.canonical_resolved").isNotNull(), url_key(F.col("f.canonical_resolved"))))
-    # few pages name languages: their keys are raw addresses without fragment, compared with the page's own address
-    return p.withColumn("hreflang_keys", F.transform(F.coalesce(F.col("f.hreflang"), F.array()), lambda h: F.when(h["resolved"] == F.col("url"), F.col("key")).otherwise(F.substring(F.sha2(h["resolved"], 256), 1, 32))))
+    named = F.coalesce(F.transform(F.col("f.hreflang"), lambda h: h["resolved"]), F.array().cast("array<string>"))
+    return p.withColumns({"hreflang_keys": F.when(F.size(named) > 0, url_keys(named)).otherwise(F.array().cast("array<string>")), "chain_loops": chain_repeats(F.col("redirect_chain"), F.col("url"))})
 
 
 def capabilities(complete: bool, has_diff: bool, has_sitemap: bool) -> set[str]:
@@ -247,14 +248,32 @@ def page_findings(pages: DataFrame, caps: set[str], t: Thresholds = Thresholds()
 
 
 def site_findings(pages: DataFrame, sitemap: DataFrame | None, caps: set[str], t: Thresholds = Thresholds()) -> DataFrame | None:
+    """Findings of the site rules. A rule whose plan can't be built is a finding of its own (``rule.crashed``); the others run."""
     out = None
     for r in SITE_RULES:
         if set(r.needs) <= caps and not (SM in r.needs and sitemap is None):
-            one = r.find(pages, sitemap, t).select("run", F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), "url", "evidence")
+            try:
+                one = r.find(pages, sitemap, t).select("run", F.lit(r.id).alias("rule"), F.lit(r.severity).alias("severity"), "url", "evidence")
+            except Exception as e:  # noqa: BLE001
+                one = crashed(pages, r.id, e)
             out = one if out is None else out.unionByName(one)
     return out
 
 
+def crashed(pages: DataFrame, rule: str, error: Exception) -> DataFrame:
+    """One finding for each run whose rule couldn't be evaluated."""
+    text = f"{rule}: {type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"
+    return pages.select("run").distinct().select("run", F.lit("rule.crashed").alias("rule"), F.lit("info").alias("severity"), F.lit(None).cast("string").alias("url"), F.lit(text).alias("evidence"))
+
+
+def merged(results: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Findings and skipped rules of several passes: all findings, each skipped rule once."""
+    findings, gone = results[0]
+    for f, s in results[1:]:
+        findings, gone = findings.unionByName(f), gone.unionByName(s)
+    return findings, gone.groupBy("rule").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("missing")))).alias("missing"))
+
+
 def audit(pages: DataFrame, sitemap: DataFrame | None = None, complete: bool = True, has_diff: bool = False, t: Thresholds = Thresholds()) -> DataFrame:
     """All findings of ``prepared`` pages."""
     caps = capabilities(complete, has_diff, sitemap is not None)

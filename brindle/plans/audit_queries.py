@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.functions.urls import crawl_start, url_key
 from brindle.operators import graph as G
 from brindle.operators import html as H
 from brindle.operators import rules as R
@@ -21,7 +22,7 @@ _F = "title string, metaDescription string, lang string, headings array<struct<l
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record for each run and address (the first), with its parsed facts ``j``, null where they don't parse."""
     c = table(spark, sf_dir, "crawl_page").where("url is not null")
-    one = c.groupBy("run", "url").agg(F.min(F.struct("crawl_id", "depth", "status", "duration_ms", "redirect_chain", "facts")).alias("m")).select("run", "url", "m.*")
+    one = c.groupBy("run", "url").agg(F.min(F.struct("crawl_id", "facts", "depth", "status", "duration_ms", "redirect_chain", "site", "error", "render_diff")).alias("m")).select("run", "url", "m.*")
     ok = F.expr("try_parse_json(facts)").isNotNull()
     return one.withColumn("j", F.when(ok, F.from_json("facts", _F))).drop("facts")
 
@@ -81,17 +82,26 @@ def render_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("crawl_id", (~F.col("r.rawTitle").eqNullSafe(F.col("r.renderedTitle"))).alias("title_changed"), (F.col("r.renderedWordCount") - F.col("r.rawWordCount")).alias("gained"), F.size("r.linksOnlyInRendered").alias("new_links"))
 
 
+_DIFF = "rawWordCount int, renderedWordCount int, contentRequiresJs boolean"
+
+
 def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed pages with their place in the link graph, written once for the rules."""
+    """Parsed pages with their depth, their place in the link graph, whether they are the start of the crawl or blocked, and
+    their render difference; written once for the rules. These tables hold no robots files, so their state is ok."""
     deg = G.degrees(crawl_nodes(spark, sf_dir), crawl_links(spark, sf_dir))
-    p = H.parsed(page_html(spark, sf_dir)).drop("depth").join(deg, ["run", "url"], "left")
-    return cut(R.prepared(p), "audit")
+    p = H.parsed(page_html(spark, sf_dir)).join(deg, ["run", "url"], "left")
+    r = F.from_json("render_diff", _DIFF)
+    gained = F.greatest(r["renderedWordCount"] - r["rawWordCount"], F.lit(0)) / F.nullif(r["renderedWordCount"], F.lit(0))
+    needs_js = F.coalesce(r["contentRequiresJs"], gained >= H.JS_REQUIRED, F.lit(False))
+    ok = F.expr("try_parse_json(render_diff)").isNotNull()
+    p = p.withColumns({"diff": F.when(ok, F.struct(needs_js.alias("content_requires_js"))), "is_root": F.coalesce(url_key(F.col("url")) == url_key(crawl_start(F.col("site"))), F.lit(False)), "blocked": F.coalesce(F.lower("error").contains("robots"), F.lit(False))})
+    return cut(R.prepared(p.drop("render_diff", "site", "error")), "audit")
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = audit_pages(spark, sf_dir)
     listed = table(spark, sf_dir, "crawl_page").where("in_sitemap and url is not null").select("run", F.col("url").alias("loc")).distinct()
-    return R.audit(pages, listed)
+    return R.audit(pages, listed, has_diff=True)
 
 
 @REG.add("rule_findings")
@@ -106,7 +116,8 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REG.add("rules_skipped")
 def rules_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.skipped(spark, R.capabilities(True, False, True))
+    """The rules that a run cut off by its limits, without rendered pages and without a sitemap, can't run."""
+    return R.skipped(spark, R.capabilities(False, False, False)).select("rule", F.array_join("missing", ",").alias("missing"))
 
 
 _DUP = f"""WITH {_ONE}, p AS (SELECT run, url, {{c}} AS t FROM v WHERE j IS NOT NULL AND status = 200) SELECT run, t AS {{n}}, count(*) AS n, min(url) AS example FROM p WHERE t <> '' GROUP BY run, t HAVING count(*) >= 2"""

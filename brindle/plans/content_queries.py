@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import urls as U
-from brindle.functions.text import content_tokens, shingles, slug, word_count, words
+from brindle.functions.text import STOP_WORDS, content_tokens, shingles, slug, word_count, words
 from brindle.operators import content as C
 from brindle.operators import crawl as CR
 from brindle.operators import graph as G
@@ -15,7 +15,7 @@ from brindle.sources import table
 
 REG = Registry()
 
-_STOP = "['" + "','".join("i w na do z ze że o a to nie jak co czy jest sie się po od za przy dla lub albo oraz the of for to and in on a is".split()) + "']"
+_STOP = "['" + "','".join(STOP_WORDS) + "']"
 _TOK = "list_filter(regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+'), lambda x: NOT list_contains(" + _STOP + ", x))"
 
 
@@ -45,7 +45,7 @@ def shingle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("shingle").agg(F.countDistinct("id").alias("documents")).where("documents >= 3")
 
 
-@REG.add("slugs")
+@REG.add("slugs", """SELECT page_id, left(regexp_replace(regexp_replace(replace(lower(strip_accents(coalesce(title, ''))), 'ł', 'l'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60) AS slug FROM (SELECT DISTINCT page_id, title FROM existing_page)""")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "existing_page").select("page_id", "title").distinct().select("page_id", slug(F.col("title")).alias("slug"))
 
@@ -193,9 +193,20 @@ def crawl_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct internal links between known pages of a run. Addresses are resolved against their page and matched by
+    identity (``url_key``), which is computed once for each distinct address."""
     c = table(spark, sf_dir, "crawl_page").where("facts is not null").select("run", "url", F.from_json("facts", _FACTS).alias("f"), F.expr("try_parse_json(facts)").isNotNull().alias("ok")).where("ok")
-    links = c.select("run", F.col("url").alias("src"), F.explode("f.links").alias("l")).where("l.isInternal")
-    return G.clean_edges(links.select("run", "src", F.col("l.href").alias("dst")), crawl_nodes(spark, sf_dir))
+    links = c.select("run", F.col("url").alias("src"), F.explode("f.links").alias("l")).where("l.isInternal").select("run", "src", F.col("l.href").alias("href")).distinct()
+    at = F.regexp_extract("src", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+", 0)
+    links = links.withColumn("dst", F.when(F.col("href").rlike("^(?i)https?://"), F.col("href")).when(F.col("href").startswith("/") & ~F.col("href").startswith("//"), F.concat(at, "href")).otherwise(U.resolve_url("href", "src")))
+    nodes = crawl_nodes(spark, sf_dir)
+    # a page under its own spelling needs no key; the others meet by identity
+    plain = links.join(nodes.select("run", F.col("url").alias("dst")), ["run", "dst"], "left_semi").select("run", "src", "dst")
+    other = links.join(nodes.select("run", F.col("url").alias("dst")), ["run", "dst"], "left_anti").where("dst is not null")
+    keyed = nodes.withColumn("k", U.url_key(F.col("url"))).groupBy("run", "k").agg(F.min("url").alias("page"))
+    keys = other.select("dst").distinct().withColumn("k", U.url_key(F.col("dst")))
+    met = other.join(keys, "dst").join(keyed, ["run", "k"]).select("run", "src", F.col("page").alias("dst"))
+    return G.clean_edges(plain.unionByName(met), nodes)
 
 
 @REG.add("link_graph_degrees", f"WITH {_EDGES} SELECT n.run, n.url, (SELECT count(*) FROM e WHERE e.run = n.run AND e.dst = n.url) AS in_degree, (SELECT count(*) FROM e WHERE e.run = n.run AND e.src = n.url) AS out_degree FROM n")
@@ -227,22 +238,25 @@ def click_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.click_depth(crawl_nodes(spark, sf_dir), crawl_links(spark, sf_dir), _roots(spark, sf_dir))
 
 
-@REG.add("crawl_order")
+@REG.add(
+    "crawl_order",
+    f"""WITH RECURSIVE {_EDGES}, r AS (SELECT run, min(url) AS url FROM n GROUP BY run), b(run, url, depth) AS (SELECT run, url, 0 FROM r UNION SELECT e.run, e.dst, b.depth + 1 FROM b JOIN e ON e.run = b.run AND e.src = b.url WHERE b.depth < 5),
+    m AS (SELECT run, url, min(depth)::INT AS depth FROM b GROUP BY ALL) SELECT run, url, depth, row_number() OVER (PARTITION BY run ORDER BY depth, url)::INT AS nth FROM m QUALIFY nth <= 500""",
+)
 def crawl_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A breadth-first crawl from the first address over all runs' links."""
-    nodes, links = crawl_nodes(spark, sf_dir), crawl_links(spark, sf_dir)
-    seen, _ = CR.crawl(nodes, links.select("src", "dst").distinct(), _roots(spark, sf_dir), 5, 500)
+    """A breadth-first crawl of each run from its first address: depth 5, 500 pages."""
+    seen, _ = CR.crawl(crawl_nodes(spark, sf_dir), crawl_links(spark, sf_dir), _roots(spark, sf_dir), 5, 500, ["run"])
     return seen
 
 
 @REG.add(
     "redirect_problems",
-    """SELECT run, url, len(redirect_chain)::INT AS hops, CASE WHEN len(list_distinct(redirect_chain)) < len(redirect_chain) THEN 'loop' ELSE 'too-long' END AS problem
-    FROM (SELECT DISTINCT run, url, redirect_chain FROM crawl_page) WHERE len(list_distinct(redirect_chain)) < len(redirect_chain) OR len(redirect_chain) > 2""",
+    """SELECT run, url, len(redirect_chain)::INT AS hops, CASE WHEN len(list_distinct(list_append(redirect_chain, url))) <= len(redirect_chain) THEN 'loop' ELSE 'too-long' END AS problem
+    FROM (SELECT DISTINCT run, url, redirect_chain FROM crawl_page WHERE len(redirect_chain) > 0) WHERE len(list_distinct(list_append(redirect_chain, url))) <= len(redirect_chain) OR len(redirect_chain) > 2""",
 )
 def redirect_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "crawl_page").select("run", "url", "redirect_chain").distinct()
-    return c.select("run", "url", F.size("redirect_chain").alias("hops"), G.redirect_problem(F.col("redirect_chain")).alias("problem")).where("problem is not null")
+    return c.select("run", "url", F.size("redirect_chain").alias("hops"), G.redirect_problem(F.col("redirect_chain"), F.col("url")).alias("problem")).where("problem is not null")
 
 
 #: A robots text for the query below.
@@ -260,7 +274,7 @@ def robots_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return CR.robots_decisions(u, {"*": ROBOTS}, "sample-crawler/1.0")
 
 
-@REG.add("sitemap_entries")
+@REG.add("sitemap_entries", "SELECT DISTINCT site, url AS loc FROM existing_page WHERE url IS NOT NULL")
 def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sitemaps written from the pages of each site, parsed again."""
     p = table(spark, sf_dir, "existing_page").where("url is not null").select("site", "url").distinct()

@@ -22,7 +22,7 @@ _F = "title string, metaDescription string, lang string, headings array<struct<l
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record for each run and address (the first), with its parsed facts ``j``, null where they don't parse."""
     c = table(spark, sf_dir, "crawl_page").where("url is not null")
-    one = c.groupBy("run", "url").agg(F.min(F.struct("crawl_id", "facts", "depth", "status", "duration_ms", "redirect_chain", "site", "error", "render_diff")).alias("m")).select("run", "url", "m.*")
+    one = c.groupBy("run", "url").agg(F.min(F.struct("crawl_id", "facts", "depth", "status", "duration_ms", "redirect_chain", "site", "error", "render_diff", "bytes")).alias("m")).select("run", "url", "m.*")
     ok = F.expr("try_parse_json(facts)").isNotNull()
     return one.withColumn("j", F.when(ok, F.from_json("facts", _F))).drop("facts")
 
@@ -95,7 +95,7 @@ def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     needs_js = F.coalesce(r["contentRequiresJs"], gained >= H.JS_REQUIRED, F.lit(False))
     ok = F.expr("try_parse_json(render_diff)").isNotNull()
     p = p.withColumns({"diff": F.when(ok, F.struct(needs_js.alias("content_requires_js"))), "is_root": F.coalesce(url_key(F.col("url")) == url_key(crawl_start(F.col("site"))), F.lit(False)), "blocked": F.coalesce(F.lower("error").contains("robots"), F.lit(False))})
-    return cut(R.prepared(p.drop("render_diff", "site", "error")), "audit")
+    return cut(R.prepared(p.drop("render_diff", "site", "error", "bytes")), "audit")
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from brindle.sources import table
 
 REG = Registry()
 SEED = 20250101
-RESAMPLES = 2000
+RESAMPLES, EFFECT_RESAMPLES = 10_000, 5_000
 
 _ANSWERS = """a AS (SELECT DISTINCT run, prompt, run_index, text, refusal, fetch_error, grounding FROM engine_answer),
 good AS (SELECT * FROM a WHERE text IS NOT NULL AND trim(text) <> '' AND refusal IS NULL AND fetch_error IS NULL)"""
@@ -52,7 +52,11 @@ def answers_with_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(p, "prompt").select("run", "prompt", "run_index", "question", F.length("text").cast("bigint").alias("n_chars"))
 
 
-@REG.add("normalized_answers")
+@REG.add(
+    "normalized_answers",
+    """WITH a AS (SELECT DISTINCT run, prompt, run_index, text, refusal, fetch_error, grounding FROM engine_answer), n AS (SELECT run, prompt, run_index, regexp_replace(regexp_replace(text, '\\r\\n?', '\n', 'g'), '[ \\t\\f\\v\\r]+', ' ', 'g') AS t FROM a)
+    SELECT run, prompt, run_index, regexp_replace(regexp_replace(regexp_replace(t, '(^|\n) +| +(\n|$)', '\\1\\2', 'g'), '\n{3,}', '\n\n', 'g'), '^\\s+|\\s+$', '', 'g') AS text FROM n""",
+)
 def normalized_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(spark, sf_dir).select("run", "prompt", "run_index", normalize_answer(F.col("text")).alias("text"))
 
@@ -159,10 +163,31 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("pairs", *(F.round(c, 9).alias(c) for c in ("mean", "low", "high")))
 
 
-@REG.add("compare_measurements")
+_SAME = f"""WITH {_ANSWERS}, m AS (SELECT prompt, count(*) FILTER (len(grounding) > 0 AND run_index % 2 = 0) AS h0, count(*) FILTER (run_index % 2 = 0) AS n0, count(*) FILTER (len(grounding) > 0 AND run_index % 2 = 1) AS h1, count(*) FILTER (run_index % 2 = 1) AS n1 FROM good GROUP BY prompt),
+joint AS (SELECT * FROM m WHERE n0 > 0 AND n1 > 0), s AS (SELECT row_number() OVER (ORDER BY prompt) - 1 AS i, h1 / n1 - h0 / n0 AS value FROM joint), n AS (SELECT count(*) AS n, (SELECT least(min(n0), min(n1)) FROM joint) AS runs FROM s)"""
+
+
+@REG.add(
+    "compare_measurements",
+    _SAME
+    + f""", d AS (SELECT r, floor({S.draw_sql(str(SEED), 'r * n + k + 1')} * n)::BIGINT AS i FROM n, (SELECT range AS r FROM range({RESAMPLES})), (SELECT unnest(range((SELECT n FROM n))) AS k)),
+    means AS (SELECT r, avg(value) AS mean FROM d JOIN s USING (i) GROUP BY r), l AS (SELECT list_sort(list(mean)) AS m FROM means),
+    x AS (SELECT n AS pairs, (SELECT avg(value) FROM s) AS mean, m[{int(0.025 * (RESAMPLES - 1) + 0.5) + 1}] AS low, m[{int(0.975 * (RESAMPLES - 1) + 0.5) + 1}] AS high, least(1.0, 1.959963984540054 * sqrt(0.25 / runs) / sqrt(n) * sqrt(2)) AS resolution FROM n, l)
+    SELECT 'compared' AS kind, pairs, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high, round(resolution, 9) AS resolution, (low > 0 OR high < 0) AND abs(mean) >= resolution AND pairs > 1 AS significant FROM x""",
+)
 def compare_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two measurements of the prompts that both halves answered."""
+    a, b = _halves(spark, sf_dir)
+    both = a.select("prompt").join(b.select("prompt"), "prompt")
+    c = A.compared(a.join(both, "prompt", "left_semi"), b.join(both, "prompt", "left_semi"), SEED, RESAMPLES)
+    return c.withColumns({x: F.round(x, 9) for x in ("mean", "low", "high", "resolution")})
+
+
+@REG.add("comparison_refusal", f"WITH {_ANSWERS}, m AS (SELECT prompt, count(*) FILTER (run_index % 2 = 0) AS n0, count(*) FILTER (run_index % 2 = 1) AS n1 FROM good GROUP BY prompt) SELECT CASE WHEN count(*) FILTER (n0 > 0) = 0 OR count(*) FILTER (n1 > 0) = 0 THEN 'empty' WHEN count(*) FILTER (n0 = 0 OR n1 = 0) > 0 THEN 'composition' ELSE 'compared' END AS kind FROM m")
+def comparison_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the halves as they are may be compared at all."""
     a, b = _halves(spark, sf_dir)
-    return A.compared(a, b, SEED, RESAMPLES)
+    return A.compared(a, b, SEED, 10).select("kind")
 
 
 _PANEL = f"""WITH {_LATEST}, p AS (SELECT page, coalesce(sum(clicks) FILTER (date BETWEEN DATE '2025-03-01' AND DATE '2025-03-15'), 0)::BIGINT AS clicks_before,
@@ -187,9 +212,45 @@ def did_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.did(_panel(spark, sf_dir), "treated", "clicks").withColumn("effect", F.round("effect", 9))
 
 
-@REG.add("did_interval")
+_DRAWS = f"""u AS (SELECT treated, d, row_number() OVER (PARTITION BY treated ORDER BY page) - 1 AS i FROM panel), n AS (SELECT count(*) FILTER (treated) AS na, count(*) FILTER (NOT treated) AS nb FROM panel),
+  da AS (SELECT r, floor({S.draw_sql(str(SEED), 'r * (na + nb) + k + 1')} * na)::BIGINT AS i FROM n, (SELECT range AS r FROM range({EFFECT_RESAMPLES})), (SELECT unnest(range((SELECT na FROM n))) AS k)),
+  db AS (SELECT r, floor({S.draw_sql(str(SEED), 'r * (na + nb) + na + k + 1')} * nb)::BIGINT AS i FROM n, (SELECT range AS r FROM range({EFFECT_RESAMPLES})), (SELECT unnest(range((SELECT nb FROM n))) AS k)),
+  ma AS (SELECT r, avg(d) AS m FROM da JOIN u ON treated AND da.i = u.i GROUP BY r), mb AS (SELECT r, avg(d) AS m FROM db JOIN u ON NOT treated AND db.i = u.i GROUP BY r), l AS (SELECT list_sort(list(ma.m - mb.m)) AS m FROM ma JOIN mb USING (r))"""
+
+
+@REG.add(
+    "did_interval",
+    _PANEL
+    + ", "
+    + _DRAWS
+    + f""", x AS (SELECT na AS treatment, nb AS control, (SELECT avg(d) FILTER (treated) - avg(d) FILTER (NOT treated) FROM panel) AS effect, m[{int(0.025 * EFFECT_RESAMPLES) + 1}] AS low, m[{int(0.975 * EFFECT_RESAMPLES) + 1}] AS high FROM n, l)
+    SELECT 'effect' AS kind, treatment, control, round(effect, 9) AS effect, round(low, 9) AS low, round(high, 9) AS high, low > 0 OR high < 0 AS significant, CASE WHEN low > 0 OR high < 0 THEN CASE WHEN effect > 0 THEN 'better' ELSE 'worse' END END AS direction FROM x""",
+)
 def did_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.did_interval(_panel(spark, sf_dir), "page", "treated", "clicks", SEED, 500)
+    """The effect on clicks with its interval over 5,000 resamples of pages."""
+    e = E.did_interval(_panel(spark, sf_dir), "page", "treated", "clicks", SEED, EFFECT_RESAMPLES)
+    return e.withColumns({c: F.round(c, 9) for c in ("effect", "low", "high")})
+
+
+@REG.add(
+    "did_windows",
+    f"""WITH {_LATEST}, w AS (SELECT unnest([14, 30, 60]) AS days, DATE '2025-03-15' AS c),
+    p AS (SELECT days, page, substr(md5(page), 1, 1) IN ('0', '1') AS t, coalesce(sum(clicks) FILTER (date <= c), 0)::DOUBLE AS cb, coalesce(sum(clicks) FILTER (date >= c), 0)::DOUBLE AS ca, coalesce(sum(impressions) FILTER (date <= c), 0)::DOUBLE AS ib, coalesce(sum(impressions) FILTER (date >= c), 0)::DOUBLE AS ia,
+      coalesce(sum(coalesce(position, 0) * impressions) FILTER (date <= c), 0)::DOUBLE AS wb, coalesce(sum(coalesce(position, 0) * impressions) FILTER (date >= c), 0)::DOUBLE AS wa FROM latest, w WHERE page IS NOT NULL AND date BETWEEN c - days AND c + days GROUP BY ALL),
+    g AS (SELECT days, t, count(*) AS n, sum(cb) AS cb, sum(ca) AS ca, sum(ib) AS ib, sum(ia) AS ia, sum(wb) AS wb, sum(wa) AS wa FROM p GROUP BY ALL),
+    d AS (SELECT days, t, n, unnest([{{'m': 'clicks', 'd': ca / n - cb / n}}, {{'m': 'impressions', 'd': ia / n - ib / n}}, {{'m': 'ctr', 'd': ca / ia - cb / ib}}, {{'m': 'position', 'd': wa / ia - wb / ib}}]) AS x FROM g)
+    SELECT days::INT AS days, x.m AS metric, 'effect' AS kind, max(n) FILTER (t) AS treatment, max(n) FILTER (NOT t) AS control, round(max(x.d) FILTER (t) - max(x.d) FILTER (NOT t), 9) AS effect FROM d GROUP BY days, x.m""",
+)
+def did_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The effect on each metric in windows of 14, 30 and 60 days."""
+    rows = latest(spark, sf_dir).where("page is not null")
+    out = None
+    for days in E.WINDOWS:
+        p = E.before_after(rows, "page", "2025-03-15", days).withColumn("treated", F.substring(F.md5("page"), 1, 1).isin("0", "1"))
+        for metric in E.METRICS:
+            one = E.did(p, "treated", metric).select(F.lit(days).alias("days"), F.lit(metric).alias("metric"), "kind", "treatment", "control", F.round("effect", 9).alias("effect"))
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 @REG.add(

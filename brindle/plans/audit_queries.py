@@ -47,7 +47,7 @@ def page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     paras = F.array_join(F.transform(F.split(F.coalesce(j["text"], F.lit("")), "\n"), lambda x: F.concat(F.lit("<p>"), esc(x), F.lit("</p>"))), "\n")
     doc = F.concat(
         F.lit("<!doctype html><html"), F.coalesce(F.concat(F.lit(' lang="'), j["lang"], F.lit('"')), F.lit("")), F.lit('><head><meta charset="utf-8"><title>'), esc(j["title"]), F.lit("</title>"),
-        F.coalesce(F.concat(F.lit('<meta name="description" content="'), esc(j["metaDescription"]), F.lit('">')), F.lit("")), F.lit("</head><body><nav>"), links, F.lit("</nav>"), heads, paras, F.lit("</body></html>"),
+        F.when(j["metaDescription"].isNotNull(), F.concat(F.lit('<meta name="description" content="'), esc(j["metaDescription"]), F.lit('">'))).otherwise(""), F.lit("</head><body><nav>"), links, F.lit("</nav>"), heads, paras, F.lit("</body></html>"),
     )
     return records(spark, sf_dir).withColumn("html", F.when(j.isNotNull(), doc)).drop("j")
 
@@ -114,6 +114,44 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.by_rule(findings(spark, sf_dir))
 
 
+#: Rules whose findings on these tables SQL can tell from the facts, as ``id, severity, condition, evidence`` over the pages
+#: ``p`` (``x``: facts parsed; ``ok``: indexable), and rules over groups of pages.
+_BLANKS = "'[ \\t\\n\\r\\f\\v ]+'"
+_BY_FACTS = [
+    ("canonical.missing", "medium", "ok", "NULL"), ("http.status-4xx", "high", "status BETWEEN 400 AND 499", "status::INT"), ("http.status-5xx", "blocker", "status >= 500", "status::INT"), ("http.fetch-failed", "blocker", "status IS NULL", "NULL"),
+    ("redirect.chain-too-long", "medium", "len(redirect_chain) > 2", "len(redirect_chain)"), ("redirect.loop", "high", "len(redirect_chain) > 0 AND len(list_distinct(list_append(redirect_chain, url))) <= len(redirect_chain)", "NULL"),
+    ("title.missing", "high", "ok AND title = ''", "NULL"), ("title.too-long", "low", "x AND length(title) > 60", "length(title)"), ("title.too-short", "low", "x AND length(title) BETWEEN 1 AND 14", "length(title)"),
+    ("description.missing", "medium", "ok AND description IS NULL", "NULL"), ("description.too-long", "low", "x AND length(description) > 160", "length(description)"), ("description.too-short", "low", "x AND length(description) BETWEEN 1 AND 49", "length(description)"),
+    ("h1.missing", "medium", "ok AND h1 = 0", "NULL"), ("h1.multiple", "low", "x AND h1 > 1", "h1"), ("lang.missing", "low", "x AND coalesce(lang, '') = ''", "NULL"), ("page.dead-end", "low", "ok AND outs = 0", "NULL"), ("page.too-deep", "low", "depth > 4", "depth"),
+    ("jsonld.missing", "low", "ok", "NULL"), ("og.missing", "low", "ok", "NULL"), ("twitter.missing", "info", "ok", "NULL"), ("viewport.missing", "medium", "x", "NULL"), ("page.slow-response", "medium", "duration_ms > 1500", "duration_ms"),
+    ("ai.js-required-for-content", "high", "js", "NULL"), ("page.orphan", "medium", "ok AND ins = 0 AND NOT root", "NULL"), ("link.generic-anchor", "info", "x AND generic", "NULL"), ("heading.order-jump", "low", "x AND jumps > 0", "jumps"),
+]
+_GENERIC = "['" + "','".join(R.GENERIC_ANCHORS) + "']"
+_FACTS_SQL = (
+    f"WITH {_EDGES}, one AS (SELECT * FROM crawl_page WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run, url ORDER BY crawl_id, facts) = 1), v AS (SELECT *, CASE WHEN json_valid(facts) THEN facts END AS j, CASE WHEN json_valid(render_diff) THEN render_diff END AS rd FROM one),"
+    f" i AS (SELECT run, dst AS url, count(*) AS ins FROM e GROUP BY ALL), o AS (SELECT run, src AS url, count(*) AS outs FROM e GROUP BY ALL),"
+    f""" h AS (SELECT run, url, (json_extract(j, '$.headings[*].level'))::INT[] AS l, json_extract_string(j, '$.links[*].anchorText') AS a FROM v WHERE j IS NOT NULL),
+    p AS (SELECT v.run, v.url, v.status, v.depth, v.duration_ms, coalesce(v.redirect_chain, []) AS redirect_chain, j IS NOT NULL AS x, j IS NOT NULL AND v.status = 200 AS ok, trim(regexp_replace(coalesce(json_extract_string(j, '$.title'), ''), {_BLANKS}, ' ', 'g')) AS title,
+      trim(json_extract_string(j, '$.metaDescription')) AS description, json_extract_string(j, '$.lang') AS lang, len(list_filter(h.l, lambda z: z = 1)) AS h1, coalesce(ins, 0) AS ins, coalesce(outs, 0) AS outs,
+      len(list_filter(range(1, len(h.l)), lambda z: h.l[z + 1] > h.l[z] + 1)) AS jumps, len(list_filter(h.a, lambda z: list_contains({_GENERIC}, lower(trim(z))))) > 0 AS generic,
+      coalesce((json_extract(rd, '$.contentRequiresJs'))::BOOLEAN, FALSE) AS js, v.url IN (CASE WHEN site LIKE 'sc-domain:%' THEN 'https://' || site[11:] || '/' ELSE site END) AS root
+      FROM v LEFT JOIN h USING (run, url) LEFT JOIN i USING (run, url) LEFT JOIN o USING (run, url))"""
+)
+_FACTS_UNION = " UNION ALL ".join(f"SELECT run, '{r}' AS rule, '{sev}' AS severity, url, ({ev})::VARCHAR AS evidence FROM p WHERE {cond}" for r, sev, cond, ev in _BY_FACTS)
+
+
+@REG.add("rule_findings_facts", f"{_FACTS_SQL} {_FACTS_UNION}")
+def rule_findings_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of the rules that SQL can tell from the facts."""
+    return findings(spark, sf_dir).where(F.col("rule").isin(*(r for r, *_ in _BY_FACTS)))
+
+
+@REG.add("severity_counts", f"{_FACTS_SQL}, ff AS ({_FACTS_UNION}) SELECT run, severity, count(*) AS n FROM ff GROUP BY ALL")
+def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of these rules by severity."""
+    return rule_findings_facts(spark, sf_dir).groupBy("run", "severity").agg(F.count("*").alias("n"))
+
+
 @REG.add("rules_skipped")
 def rules_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules that a run cut off by its limits, without rendered pages and without a sitemap, can't run."""

@@ -259,6 +259,13 @@ def redirect_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("run", "url", F.size("redirect_chain").alias("hops"), G.redirect_problem(F.col("redirect_chain"), F.col("url")).alias("problem")).where("problem is not null")
 
 
+@REG.add("redirect_chains", "SELECT run, url, len(redirect_chain)::INT AS hops, redirect_chain[1] AS first, len(list_distinct(list_append(redirect_chain, url))) <= len(redirect_chain) AS loops FROM (SELECT DISTINCT run, url, redirect_chain FROM crawl_page WHERE len(redirect_chain) > 0)")
+def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chain, with the address it starts at and whether it comes back to itself."""
+    c = table(spark, sf_dir, "crawl_page").where(F.size("redirect_chain") > 0).select("run", "url", "redirect_chain").distinct()
+    return c.select("run", "url", F.size("redirect_chain").alias("hops"), F.col("redirect_chain")[0].alias("first"), G.chain_repeats(F.col("redirect_chain"), F.col("url")).alias("loops"))
+
+
 #: A robots text for the query below.
 ROBOTS = "User-agent: *\nDisallow: /shop\nAllow: /shop/a\nDisallow: /*czy\nDisallow: /news/*-5f5e$\nCrawl-delay: 2\nSitemap: https://example.com/sitemap.xml\n"
 

@@ -236,6 +236,7 @@ def _rules_of() -> dict[str, tuple[int, ...]]:
 
 
 _RULES_OF = _rules_of()
+_RULE_WORDS = frozenset(_RULES_OF)
 
 # --- transducer 1: spelling ----------------------------------------------------------------------------------------
 
@@ -249,6 +250,7 @@ _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 _TAG_INLINE = re.compile(r"</?(?:b|i|em|strong|u|s|span|font|a|mark|small|sup|sub|wbr)(?:\s[^<>]{0,200})?>", re.I)
 _TAG = re.compile(r"<[!/?]?[a-z][^<>]{0,300}>", re.I)
 _WIDTHLESS = re.compile("[\\u00ad\\u034f\\u061c\\u115f\\u1160\\u17b4\\u17b5\\u180e\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u206f\\ufe00-\\ufe0f\\ufeff\\u3164]")
+_FOREIGN = re.compile(r"[^\x00-\x7f]+")
 _MARKS = re.compile("[\\u0300-\\u036f\\u0483-\\u0489\\u20d0-\\u20f0]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*~]{1,2}){2,}[^\W_](?![^\W_])(?:-(?=\W|$))?")
 _TOKEN = re.compile(r"[^\W_]+(?:['*@$!|#%&^.\-_+€£]+[^\W_]+)*\*?")
@@ -283,7 +285,8 @@ def fold(text: str) -> str:
     if text.isascii():
         return text.lower()
     text = unicodedata.normalize("NFKC", _WIDTHLESS.sub("", _BROKEN.sub(_mended, text))).lower()
-    return _MARKS.sub("", unicodedata.normalize("NFD", text)).translate(_LOOKALIKE)
+    plain = _MARKS.sub("", unicodedata.normalize("NFD", text))
+    return plain if plain.isascii() else _FOREIGN.sub(lambda m: m.group(0).translate(_LOOKALIKE), plain)
 
 
 def _known(w: str) -> str | None:
@@ -424,7 +427,8 @@ def denied(clause: str, start: int, end: int) -> bool:
 
 
 def clause_score(clause: str) -> float:
-    ids = {i for w in set(clause.split()) if w in _RULES_OF for i in _RULES_OF[w]}
+    met = _RULE_WORDS.intersection(clause.split())
+    ids = {i for w in met for i in _RULES_OF[w]}
     if not ids:
         return 0.0
     score = 0.0

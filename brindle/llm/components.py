@@ -11,15 +11,13 @@ from pyspark.sql import functions as F
 
 from brindle.session import cut
 
-MAX_ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """``src, cid, comp`` for each node of the edges ``(src, a, b)``; ``comp`` is the smallest id of its component."""
     e = edges.where("a <> b").select("src", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     e = cut(e, "cc")
     before = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = e.unionAll(e.select("src", F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("src", "u").agg(F.min("v").alias("w")).select("src", "u", F.least("u", "w").alias("w"))
         large = both.where("v > u").join(low, ["src", "u"]).select("src", F.col("w").alias("u"), "v")
@@ -33,8 +31,6 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return e.groupBy("src", F.col("v").alias("cid")).agg(F.min("u").alias("comp")).unionByName(
         e.select("src", F.col("u").alias("cid"), F.col("u").alias("comp")).distinct()
     )

@@ -51,7 +51,6 @@ CORE_SIMILARITY, WORD_SIMILARITY = 0.8, 0.66
 TERM_SIMILARITY = (CORE_SIMILARITY, 0.75, 0.85)
 #: Deletion keys of a length from which terms meet by common bigrams instead.
 MAX_KEYS = 3000
-MAX_ROUNDS = 40
 
 #: A label word stands beside at least this many different words, and beside this share of the distinct names; so no more
 #: words than the inverse of the share, times the words of a name, can be label words, however large the table is.
@@ -424,8 +423,10 @@ def core_pairs(cores: DataFrame) -> DataFrame:
     return cand.unionAll(pairs_by_terms(cores)).distinct()
 
 
-def _similar(pairs: DataFrame) -> DataFrame:
-    """Adds ``sim`` to rows with ``core_a, initials_a, core_b, initials_b``."""
+def similar_spellings(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``core_a, initials_a, core_b, initials_b, sim`` of the distinct spellings (cores with their initials) among ``nodes`` whose
+    cores are a pair and that the verification accepts. Every two spellings are compared once, however many labels, legal
+    forms and exclusions they carry; equal cores need no comparison."""
 
     @F.pandas_udf("double")
     def sim(a, ia, b, ib):  # noqa: ANN001, ANN202
@@ -433,7 +434,13 @@ def _similar(pairs: DataFrame) -> DataFrame:
 
         return pd.Series([core_similarity(w, x, y, z) for w, x, y, z in zip(a, b, ia, ib)])
 
-    return pairs.withColumn("sim", sim("core_a", "initials_a", "core_b", "initials_b")).where(F.col("sim") >= CORE_SIMILARITY)
+    v = cut(nodes.select("core", "initials").distinct(), "spellings")
+    a, b = v.select(F.col("core").alias("core_a"), F.col("initials").alias("initials_a")), v.select(F.col("core").alias("core_b"), F.col("initials").alias("initials_b"))
+    one = pairs.join(a, "core_a").join(b, "core_b").withColumn("sim", sim("core_a", "initials_a", "core_b", "initials_b")).where(F.col("sim") >= CORE_SIMILARITY)
+    one = cut(one.select("core_a", "initials_a", "core_b", "initials_b", "sim"), "similar")
+    back = one.select(F.col("core_b").alias("core_a"), F.col("initials_b").alias("initials_a"), F.col("core_a").alias("core_b"), F.col("initials_a").alias("initials_b"), "sim")
+    equal = a.join(b, F.col("core_a") == F.col("core_b")).select("core_a", "initials_a", "core_b", "initials_b", F.lit(1.0).alias("sim"))
+    return one.unionByName(back).unionByName(equal)
 
 
 def _compatible_given(a: str, b: str) -> F.Column:
@@ -457,12 +464,11 @@ def linked(df: DataFrame) -> DataFrame:
     rec = cut(rec.withColumn("node", F.xxhash64("core", "initials", "label", "legal", "apart")), "records")
     nodes = cut(rec.groupBy("node", "core", "initials", "label", "legal", "apart").agg(F.count("*").alias("n")), "nodes")
 
-    # similar cores, each with itself
-    cand = core_pairs(nodes)
-    both = cand.unionAll(cand.select(F.col("core_b").alias("core_a"), F.col("core_a").alias("core_b"))).unionAll(nodes.select(F.col("core").alias("core_a"), F.col("core").alias("core_b")).distinct())
+    # similar spellings, each with itself
+    both = similar_spellings(core_pairs(nodes), nodes)
     a = nodes.select(*(F.col(c).alias(f"{c}_a") for c in nodes.columns))
     b = nodes.select(*(F.col(c).alias(f"{c}_b") for c in nodes.columns))
-    met = both.join(a, "core_a").join(b, "core_b").where(F.col("node_a") != F.col("node_b"))
+    met = both.join(a, ["core_a", "initials_a"]).join(b, ["core_b", "initials_b"]).where(F.col("node_a") != F.col("node_b"))
     kind_ok = (
         ((F.substring("label_a", 1, 2) == F.substring("label_b", 1, 2)) | (F.col("label_a") == "") | (F.col("label_b") == ""))
         & ~((F.col("initials_a") != "") & F.col("label_b").startswith("t:"))
@@ -477,7 +483,7 @@ def linked(df: DataFrame) -> DataFrame:
         .when((F.col("label_b") == "") & F.col("label_a").startswith("g:") & (F.col("initials_b") != ""), F.exists(F.split(F.substring("label_a", 3, 200), " "), lambda g: F.col("initials_b").contains(F.substring(g, 1, 1))))
         .otherwise(F.lit(True))
     )
-    edges = cut(_similar(met.where(kind_ok & (same_trade | same_given | open_label) & not_apart & initial_ok)).select("node_a", "node_b", "label_a", "label_b", "legal_a", "legal_b", "n_b", "sim"), "links")
+    edges = cut(met.where(kind_ok & (same_trade | same_given | open_label) & not_apart & initial_ok).select("node_a", "node_b", "label_a", "label_b", "legal_a", "legal_b", "n_b", "sim"), "links")
 
     # a node without a label takes the one its family carries
     votes = edges.where("label_a = '' and label_b <> ''").groupBy("node_a", "label_b").agg(F.max((F.col("legal_a") == F.col("legal_b")).cast("int")).alias("same"), F.max("sim").alias("sim"), F.sum("n_b").alias("n"))
@@ -504,7 +510,7 @@ def star_clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
     rank = F.struct(F.coalesce("d", F.lit(0)).alias("d"), "n", "node")
     left = cut(nodes.join(degree, "node", "left").select("node", rank.alias("rank")), "open")
     done = left.select("node", F.col("node").alias("star")).limit(0)
-    for _ in range(MAX_ROUNDS):
+    while True:  # each round closes the open node that outranks all others, at least
         n = left.count()
         if not n:
             return done
@@ -520,7 +526,6 @@ def star_clusters(nodes: DataFrame, links: DataFrame) -> DataFrame:
         new = cut(sats.unionByName(hubs.select("node", F.col("node").alias("star"))), "stars")
         done = done.unionByName(new)
         left = cut(left.join(new, "node", "left_anti"), "open")
-    raise RuntimeError(f"star clustering did not end in {MAX_ROUNDS} rounds")
 
 
 def found(df: DataFrame) -> DataFrame:

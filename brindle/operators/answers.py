@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import stats as S
 from brindle.functions.text import normalize_answer
 from brindle.functions.urls import citation_host, trim_url_tail
+from brindle.session import cut
 
 #: Most entity definitions that are matched at once: they are sent to every task.
 MAX_ENTITIES = 10_000
@@ -73,6 +76,57 @@ def mentions(answers: DataFrame, entities: list[dict], text: str = "text") -> Da
     return answers.withColumn("m", F.explode(run(normalize_answer(F.coalesce(text, F.lit("")))))).drop(text).select("*", "m.*").drop("m")
 
 
+_TOKEN = r"([\p{L}\p{N}_]+)"
+_FOUND = "run string, prompt string, run_index int, phrase string, matched string, start int, end int, position_share double, paragraph int"
+
+
+def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All places of a phrase in a text, with word edges."""
+    patterns: dict[str, re.Pattern | None] = {}
+    for b in batches:
+        out = []
+        for run, prompt, index, text, phrase in zip(*(c.to_pylist() for c in b.columns)):
+            if phrase not in patterns:
+                if len(patterns) > 50_000:
+                    patterns.clear()
+                patterns[phrase] = _phrases([phrase])
+            p = patterns[phrase]
+            starts = None
+            for m in p.finditer(text) if p else ():
+                starts = starts or [0, *(x.start() + 2 for x in re.finditer(r"\n\n", text))]
+                out.append((run, prompt, index, phrase, m.group(0), m.start(), m.end(), m.start() / len(text), sum(s <= m.start() for s in starts) - 1))
+        cols = list(zip(*out)) if out else [[]] * 9
+        types = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["run", "prompt", "run_index", "phrase", "matched", "start", "end", "position_share", "paragraph"])
+
+
+def mentions_of(answers: DataFrame, definitions: DataFrame) -> DataFrame:
+    """As ``mentions`` for any number of definitions ``id, name, variants, exclusions`` (a table): answers and phrases meet by a join
+    on the longest word of a phrase, only the texts of answers that hold it are looked at, and each phrase is located once however
+    many definitions share it. ``answers``: ``run, prompt, run_index, text``. Defined cases: null and blank phrases are none; a
+    phrase without a letter or number matches nothing; null texts have no mentions."""
+    a = answers.select("run", "prompt", "run_index", normalize_answer(F.col("text")).alias("text")).where("text <> ''").distinct()
+    a = cut(a.withColumn("aid", F.xxhash64("run", "prompt", "run_index", "text")), "answers")
+    none = F.array().cast("array<string>")
+    all_ = F.concat(F.transform(F.concat(F.array("name"), F.coalesce("variants", none)), lambda x: F.struct(x.alias("phrase"), F.lit(False).alias("apart"))), F.transform(F.coalesce("exclusions", none), lambda x: F.struct(x.alias("phrase"), F.lit(True).alias("apart"))))
+    of = definitions.where(F.col("id").isNotNull()).select(F.col("id").alias("entity"), F.explode(all_).alias("p")).select("entity", F.trim("p.phrase").alias("phrase"), "p.apart").where("phrase is not null and phrase <> ''").distinct()
+    words = F.regexp_extract_all(F.lower("phrase"), F.lit(_TOKEN), 1)
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    of = cut(of, "phrases")
+    anchors = of.select("phrase").distinct().withColumn("tok", longest).where("tok is not null")
+    tokens = a.select("aid", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), 1))).alias("tok"))
+    met = cut(tokens.join(anchors, "tok").select("aid", "phrase").distinct(), "met")
+    places = cut(a.join(met, "aid").select("run", "prompt", "run_index", "text", "phrase").mapInArrow(_located, _FOUND), "places")
+    keys = ["run", "prompt", "run_index"]
+    hits = places.join(of.where("not apart").select("phrase", "entity"), "phrase")
+    apart = places.join(of.where("apart").select("phrase", "entity"), "phrase").select(*keys, "entity", F.col("start").alias("from"), F.col("end").alias("to"))
+    h, x = hits.alias("h"), apart.alias("x")
+    inside = [F.col(f"h.{k}").eqNullSafe(F.col(f"x.{k}")) for k in (*keys, "entity")] + [F.col("x.from") <= F.col("h.start"), F.col("h.end") <= F.col("x.to")]
+    kept = h.join(x, inside, "left_anti")
+    first = kept.groupBy(*keys, "entity", "start").agg(F.min(F.struct("end", "matched", "position_share", "paragraph")).alias("m"))
+    return first.select(*keys, "entity", "m.matched", "start", "m.end", "m.position_share", "m.paragraph")
+
+
 def answered(answers: DataFrame) -> DataFrame:
     """Successful answers: a text, no refusal and no fetch error."""
     return answers.where(F.col("text").isNotNull() & (F.trim("text") != "") & F.col("refusal").isNull() & F.col("fetch_error").isNull())

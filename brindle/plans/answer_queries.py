@@ -94,7 +94,23 @@ def mention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("entity", "answers", F.round("share", 9).alias("share"))
 
 
-@REG.add("median_first_position")
+@REG.add("brand_mentions")
+def brand_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mention of the definitions in ``brand_entity`` (the latest version of each)."""
+    b = table(spark, sf_dir, "brand_entity").groupBy("id").agg(F.max(F.struct("version", "name", "variants", "exclusions")).alias("m")).select("id", "m.name", "m.variants", "m.exclusions")
+    return A.mentions_of(_good(spark, sf_dir).select("run", "prompt", "run_index", "text"), b)
+
+
+@REG.add(
+    "median_first_position",
+    f"""WITH {_ANSWERS}, n AS (SELECT run, prompt, run_index, regexp_replace(regexp_replace(text, '\\r\\n?', '\n', 'g'), '[ \\t\\f\\v\\r]+', ' ', 'g') AS t FROM good),
+    c AS (SELECT run, prompt, run_index, regexp_replace(regexp_replace(regexp_replace(t, '(^|\n) +| +(\n|$)', '\\1\\2', 'g'), '\n{{3,}}', '\n\n', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM n),
+    x AS (SELECT run, prompt, run_index, t, regexp_replace(t, '(?i)el almacén sea barato', repeat('#', 22), 'g') AS clean FROM c),
+    p AS (SELECT 'warehouse' AS entity, ['warehouse', 'magazyn', 'das Lager', 'almacén'] AS names UNION ALL SELECT 'tester', ['second tester', 'druga testerka', 'zweite Prüferin', 'segunda probadora'] UNION ALL SELECT 'neighbour', ['neighbour', 'sąsiad', 'Nachbar', 'vecino']),
+    m AS (SELECT entity, t, length(regexp_extract(lower(clean), '^(?s:(.*?))(?:^|[^\\p{{L}}\\p{{N}}_])(?:' || array_to_string(list_transform(names, lambda z: replace(lower(z), ' ', '\\s+')), '|') || ')(?:$|[^\\p{{L}}\\p{{N}}_])', 1)) AS before, regexp_matches(lower(clean), '(^|[^\\p{{L}}\\p{{N}}_])(' || array_to_string(list_transform(names, lambda z: replace(lower(z), ' ', '\\s+')), '|') || ')($|[^\\p{{L}}\\p{{N}}_])') AS hit,
+      regexp_matches(lower(clean), '^(' || array_to_string(list_transform(names, lambda z: replace(lower(z), ' ', '\\s+')), '|') || ')($|[^\\p{{L}}\\p{{N}}_])') AS at_start FROM x, p)
+    SELECT entity, round(median(CASE WHEN at_start THEN 0.0 ELSE (before + 1) / length(t) END), 9) AS median_first FROM m WHERE hit GROUP BY entity""",
+)
 def median_first_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.share_of_voice(mentions(spark, sf_dir)).select("entity", F.round("median_first", 9).alias("median_first"))
 

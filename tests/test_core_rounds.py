@@ -230,3 +230,23 @@ def test_before_after_windows(spark):
     rows = [("p", dt.date(2025, 3, d), c, i, pos) for d, c, i, pos in ((1, 1, 10, 2.0), (14, 2, 10, None), (15, 4, 20, 3.0), (20, 8, 0, 1.0), (30, 99, 99, 9.0))]
     r = E.before_after(spark.createDataFrame(rows, "page string, date date, clicks bigint, impressions bigint, position double"), "page", "2025-03-15", 5).first()
     assert (r.clicks_before, r.clicks_after, r.impressions_before, r.impressions_after, r.weighted_before, r.weighted_after) == (6, 12, 30, 20, 60.0, 60.0)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mentions_of_a_table_equal_the_detector(spark, seed):
+    rng = random.Random(seed)
+    words = ["Żak", "night", "shift", "oar", "S.A.", "C++", "of", "the", "yard", "Łódź"]
+
+    def phrase():
+        return " ".join(rng.choice(words) for _ in range(rng.randrange(1, 4)))
+
+    defs = [{"id": f"e{i}", "name": phrase(), "variants": [phrase() for _ in range(rng.randrange(3))], "exclusions": [phrase() for _ in range(rng.randrange(2))]} for i in range(25)]
+    texts = [rng.choice(["\n\n", " ", ", "]).join(phrase() for _ in range(rng.randrange(1, 12))) for _ in range(30)] + ["", None]
+    rows = [("r", "p", i, t) for i, t in enumerate(texts)]
+    a = spark.createDataFrame(rows + rows[:3], "run string, prompt string, run_index int, text string")
+    d = spark.createDataFrame([(x["id"], x["name"], x["variants"] or None, x["exclusions"]) for x in defs] + [("null", None, None, None), ("blank", " ", ["..."], [])], "id string, name string, variants array<string>, exclusions array<string>")
+    cols = ("run_index", "entity", "matched", "start", "end", "paragraph")
+    got = sorted(tuple(r[c] for c in cols) for r in A.mentions_of(a, d).collect())
+    want = sorted(tuple(r[c] for c in cols) for r in A.mentions(spark.createDataFrame(rows, "run string, prompt string, run_index int, text string"), defs).collect())
+    # phrases without a word edge of their own ("S.A.", "C++") are matched by both alike
+    assert got == want and want

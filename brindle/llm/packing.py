@@ -14,6 +14,7 @@ most ``capacity`` of them into one; a negative size counts as 0, a null size as
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from brindle.session import cut
 
 #: Share of the capacity from which a bin counts as nearly full; items packed at once; bins of one merging task.
 FULL, BLOCK_ITEMS, MERGE_BINS = 0.985, 50_000, 50_000
-#: Most container kinds (they are parameters, sent to every task) and most merging rounds.
-MAX_KINDS, MAX_ROUNDS = 1000, 8
+#: Most container kinds (they are parameters, sent to every task).
+MAX_KINDS = 1000
 
 BINS = "container string, capacity int, bin_id bigint, used int, full boolean, docs array<bigint>, parts array<int>, tokens array<int>"
 
@@ -184,10 +185,10 @@ def pack(items: DataFrame, kinds: list[tuple[str, int]], full: float = FULL, blo
         raise ValueError("container kinds are 1 to 1000 pairs of a name and a capacity of at least 1")
     state = cut(_pack_local(items, kinds, full, block), "bins")
     done, before = [state.where("full")], None
-    for round_no in range(1, MAX_ROUNDS + 1):
+    for round_no in count(1):
         rest = state.where("not full")
         n = rest.count()
-        if n <= len(kinds) or (before is not None and n > 0.95 * before):
+        if n <= len(kinds) or (before is not None and n >= before):
             break
         tasks = -(-n // merge_bins)
         spread = rest.repartition(tasks, F.xxhash64("bin_id", F.lit(round_no))) if tasks > 1 else rest.coalesce(1)

@@ -27,6 +27,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serp_pairs.found(table(spark, sf_dir, "serp_snapshot"))
 
 
+@REG.add("p5_classes")
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every snapshot with its class of equal url sets and the number of similar classes."""
+    return serp_pairs.classes(table(spark, sf_dir, "serp_snapshot"))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = table(spark, sf_dir, "corpus_document").select(F.lit("corpus_document").alias("src"), "id", "text")
     pages = table(spark, sf_dir, "existing_page").select(F.lit("existing_page").alias("src"), F.col("page_id").cast("string").alias("id"), "text")

@@ -43,6 +43,15 @@ def similar_sets(sets: DataFrame, t: float = THRESHOLD) -> tuple[DataFrame, Data
     return pairs, members
 
 
+def classes(df: DataFrame, t: float = THRESHOLD) -> DataFrame:
+    """``id, class_id, links``: every record with values, its class of equal sets (the smallest id) and the number of similar
+    classes; copies are not expanded into pairs."""
+    pairs, members = similar_sets(url_sets(df), t)
+    p = cut(pairs.select("a", "b"), "edges")
+    links = p.select(F.col("a").alias("cid")).unionAll(p.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count("*").alias("links"))
+    return members.join(links, "cid", "left").select("id", F.col("cid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def found(df: DataFrame, t: float = THRESHOLD) -> DataFrame:
     pairs, members = similar_sets(url_sets(df), t)
     return pairs_of_members(pairs, members).select(F.col("id_a").alias("snapshot_a"), F.col("id_b").alias("snapshot_b"))

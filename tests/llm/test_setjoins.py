@@ -62,6 +62,12 @@ def test_a_third_share_one_list(spark):
     assert pairs.count() == 0 and members.groupBy("cid").count().where("count > 1").count() == 1
 
 
+def test_classes(spark):
+    rows = [(1, "q", ["a", "b"], "", 1), (2, "q", ["b", "a", "a", None], "", 1), (3, "q", ["a", "b", "c"], "", 1), (4, "q", ["z"], "", 1), (5, "q", [], "", 1)]
+    got = {tuple(r) for r in serp_pairs.classes(spark.createDataFrame(rows, SERP)).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 4, 0)}
+
+
 def test_serp_empty(spark):
     assert serp_pairs.found(spark.createDataFrame([], SERP)).count() == 0
     assert serp_pairs.found(spark.createDataFrame([(1, "q", None, "", 1), (2, "q", [], "", 1), (3, "q", [None, ""], "", 1)], SERP)).count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -76,6 +77,7 @@ def group_for(rules: dict, agent: str) -> dict | None:
     return next((g for g in rules["groups"] if "*" in g["agents"]), None)
 
 
+@lru_cache(maxsize=10_000)
 def _pattern(p: str) -> tuple[int, re.Pattern]:
     body, end = (p[:-1], "$") if p.endswith("$") else (p, "")
     return len(body), re.compile(".*".join(map(re.escape, body.split("*"))) + end)

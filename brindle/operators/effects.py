@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.stats import with_draw
+from brindle.session import cut
 
 #: Expected click rate at positions 1 to 10 (fixed values).
 CTR = (0.28, 0.15, 0.11, 0.08, 0.07, 0.05, 0.04, 0.03, 0.03, 0.03)
@@ -19,10 +20,15 @@ CTR = (0.28, 0.15, 0.11, 0.08, 0.07, 0.05, 0.04, 0.03, 0.03, 0.03)
 MAX_ARRAY = 1_000_000
 
 
-def indexed(df: DataFrame, order: str, value: str) -> DataFrame:
-    """``i, value``: a dense index from 0 in the order of an id. The sample (prompts, pages of one test) is the unit of
-    analysis and small next to the rows it was made from; the global order needs one partition of it."""
-    return df.select(F.col(order).alias("_o"), F.col(value).alias("value")).withColumn("i", F.row_number().over(Window.partitionBy().orderBy("_o")) - 1).select("i", "value")
+def indexed(df: DataFrame, order: str, *values: str) -> DataFrame:
+    """``i`` and the values: a dense index from 0 in the order of an id. The sort is distributed; only the number of rows of
+    each partition is summed up in one place."""
+    s = df.select(F.col(order).alias("_o"), *values).orderBy("_o").withColumn("_m", F.monotonically_increasing_id())
+    s = cut(s, "order")  # the numbers must not be drawn twice
+    at = s.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count("*").alias("n"))
+    before = at.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_before"))  # one row for each partition
+    i = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")
+    return s.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(before), "_p").select(i.alias("i"), *values)
 
 
 def resample_means(sample: DataFrame, n: int, seed: int, resamples: int, per_round: int, skip: int) -> DataFrame:
@@ -43,7 +49,7 @@ def resample_means(sample: DataFrame, n: int, seed: int, resamples: int, per_rou
 def paired(df: DataFrame, unit: str, difference: str, seed: int, resamples: int = 10_000) -> DataFrame:
     """One row ``pairs, mean, low, high``: the mean difference with its percentile interval (2.5 % and 97.5 %). No pairs
     give zeros, one pair an interval without width."""
-    s = indexed(df, unit, difference)
+    s = cut(indexed(df, unit, difference).withColumnRenamed(difference, "value"), "sample")
     n = s.count()
     spark = df.sparkSession
     if n == 0:
@@ -110,7 +116,7 @@ def _resampled(side: DataFrame, unit: str, n: int, seed: int, resamples: int, pe
         one = s.agg(F.array_sort(F.collect_list(F.struct("_o", *_SUMS))).alias("a"))
         drawn = d.crossJoin(F.broadcast(one)).select("r", F.get("a", F.col("i")).alias("x")).select("r", *(F.col(f"x.{c}").alias(c) for c in _SUMS))
     else:
-        drawn = d.join(s.withColumn("i", F.row_number().over(Window.partitionBy().orderBy("_o")) - 1), "i")
+        drawn = d.join(indexed(s, "_o", *_SUMS), "i")
     return drawn.groupBy("r").agg(*(F.sum(c).alias(c) for c in _SUMS))
 
 
@@ -177,8 +183,6 @@ def control_group(treatment: DataFrame, candidates: DataFrame, rounds: int = 4,
     one that two want goes to the nearer, then the smaller address, and the other chooses again. Candidates are searched in
     bands of impressions around a page. A page whose best free candidate may not be its nearest, or that has none left,
     is searched again in four times as many bands, until nothing outside can be nearer or no candidate is free."""
-    from brindle.session import cut
-
     no_depth = F.lit(None).cast("int")
     treatment, candidates = (d if "depth" in d.columns else d.withColumn("depth", no_depth) for d in (treatment, candidates))
     band = F.floor(F.log2(F.col("impressions") + 1)).cast("int")

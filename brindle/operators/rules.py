@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.urls import path_problems, url_key, url_keys
 from brindle.operators.graph import chain_repeats
+from brindle.session import cut
 
 SEVERITIES = ("blocker", "high", "medium", "low", "info")
 
@@ -158,15 +159,20 @@ def page_rules(t: Thresholds = Thresholds()) -> list[PageRule]:
 
 def _index(pages: DataFrame) -> DataFrame:
     """Pages by address and by the addresses that redirect to them; the page's own address has precedence."""
+    if hasattr(pages, "_index_table"):
+        return pages._index_table
     own = pages.select("run", F.col("key").alias("k"), F.lit(0).alias("pr"), F.struct("url", "key", "status", "noindex").alias("p"))
     via = pages.where(F.size("redirect_chain") > 0).select("run", F.explode("redirect_chain").alias("u"), F.struct("url", "key", "status", "noindex").alias("p")).select("run", url_key(F.col("u")).alias("k"), F.lit(1).alias("pr"), "p")
     return own.unionByName(via).groupBy("run", "k").agg(F.min(F.struct("pr", "p"))["p"].alias("p"))
 
 
 def _links(pages: DataFrame) -> DataFrame:
-    """Distinct internal links ``run, src, src_key, dst, k``."""
+    """Distinct internal links ``run, src, src_key, dst, k``; identities are computed once for each address."""
+    if hasattr(pages, "_link_table"):
+        return pages._link_table
     e = pages.where("f is not null").select("run", F.col("url").alias("src"), F.col("key").alias("src_key"), F.explode("f.links").alias("l")).where("l.is_internal and l.resolved is not null")
-    return e.select("run", "src", "src_key", F.col("l.resolved").alias("dst")).distinct().withColumn("k", url_key(F.col("dst")))
+    links = e.select("run", "src", "src_key", F.col("l.resolved").alias("dst")).distinct()
+    return links.join(links.select("dst").distinct().withColumn("k", url_key(F.col("dst"))), "dst").select("run", "src", "src_key", "dst", "k")
 
 
 def _found(df: DataFrame, url: str = "url", evidence: Column | None = None) -> DataFrame:
@@ -250,6 +256,9 @@ def page_findings(pages: DataFrame, caps: set[str], t: Thresholds = Thresholds()
 def site_findings(pages: DataFrame, sitemap: DataFrame | None, caps: set[str], t: Thresholds = Thresholds()) -> DataFrame | None:
     """Findings of the site rules. A rule whose plan can't be built is a finding of its own (``rule.crashed``); the others run."""
     out = None
+    pages = pages.select("*")
+    links, index = cut(_links(pages), "links"), cut(_index(pages), "index")
+    pages._link_table, pages._index_table = links, index  # written once, read by several rules
     for r in SITE_RULES:
         if set(r.needs) <= caps and not (SM in r.needs and sitemap is None):
             try:

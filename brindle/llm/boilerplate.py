@@ -3,7 +3,7 @@
 Site style tree. The pages of one host are merged into one tree. Each line of a page is an element. Its presentation
 (list of separated items, labelled line, running text, bullet, short line) and, for short lines, its place on the page
 (above, between or below the running text) choose the branch; its contents are the features below that branch: the items of
-a list, the label of a labelled line, the sentences of running text, the text of a short line, each with numbers masked.
+a list, the label of a labelled line, the sentences of running text, each with numbers masked, and the text of a short line.
 
 A feature that occurs ``c_j`` times on page ``j`` of a host with ``m`` pages has the entropy
 ``H = - sum p_j log_m p_j`` over its pages (``p_j = c_j / K``, ``K`` the sum), less that of one occurrence, which is no
@@ -42,7 +42,7 @@ from brindle.llm.common import chunks, spread
 #: and between running text, bullet. Between running text, headings and items of a subject recur as often as furniture does:
 #: there only what stands on nearly all pages goes.
 LIST, LABEL, RUN, HEAD, TAIL, INNER, ITEM = range(7)
-LIMITS = {LIST: 0.65, LABEL: 0.45, RUN: 0.45, HEAD: 0.5, TAIL: 0.5, INNER: 0.02, ITEM: 0.02}
+LIMITS = {LIST: 0.65, LABEL: 0.45, RUN: 0.45, HEAD: 0.3, TAIL: 0.42, INNER: 0.02, ITEM: 0.02}
 #: The same of a label whose entropy is the mean of that over its host's pages and that over the hosts.
 SLOT = 0.58
 #: A short text that stands so many times as often behind the running text as between is furniture there, too.
@@ -185,8 +185,9 @@ _LABEL_MARK = re.compile(r"\s*[:»›|]\s+(?=\S)")
 _LABEL_WORDS = 6
 
 
-def folded(s: str) -> str:
-    return _NUMBER.sub("0", plain(s).lower().strip(" .:|›»>/·•-–—\"'“”„«»"))
+def folded(s: str, masked: bool = True) -> str:
+    low = plain(s).lower().strip(" .:|›»>/·•-–—\"'“”„«»")
+    return _NUMBER.sub("0", low) if masked else low
 
 
 def presented(line: str) -> tuple[str, list[str], str | None]:
@@ -202,7 +203,7 @@ def presented(line: str) -> tuple[str, list[str], str | None]:
         if len(items) >= 2:
             return "list", items, label
         if len(sentences) == 1:
-            return "short", [folded(line)], label
+            return "short", [folded(line, masked=False)], label  # titles that differ in a number are different titles
     return "run", [x for x in map(folded, sentences) if x] or [folded(line)], label
 
 

@@ -109,7 +109,7 @@ CLASSES: dict[str, str] = {
     "moved": "removed moved deleted taken$ usunięt przenies skasowan verschoben gelöscht entfernt movid eliminad retirad borrad supprim rimoss",
     "sorry": "sorry$ please$ apolog unfortunately$ regret something$ somewhat$ przepraszam przykro niestety coś$ proszę$ leider$ bitte$ entschuldig etwas$ verzeihung lamentamos sentimos$ disculp por$ favor$ algo$ désolé malheureusement spiacenti helaas excuseer",
     "advice": "try$ retry again$ later$ reload refresh back$ return$ home$ homepage start$ startpage contact administrator admin$ owner webmaster helpdesk support$ reference$ incident number$ code$ codes$ check$ persist few$ minutes$ minute$ moment moments$ soon$ shortly$ ticket$ go$ meanwhile write$ mistyped spelling temporarily$ temporary scheduled currently$ right$ now$ here$ e$ requested$ looking$ occurred$ looks$ may$ might$ have$ has$ be$"
-    " spróbuj ponownie później odśwież wróć wstecz startow główn administrator właściciel kontakt numer kod$ kod minut chwil sprawdź tymczasow chwilowo$ zaplanowan wkrótce$ mógł$ mogła$ razie$ być$ może$"
+    " spróbuj ponownie później odśwież wróć wstecz startow główn administrator właściciel kontakt numer kod$ kod minut kilka$ chwil sprawdź tymczasow chwilowo$ zaplanowan wkrótce$ mógł$ mogła$ razie$ być$ może$"
     " versuchen versuch erneut später neu$ zurück startseite administrator betreiber kontakt referenznummer vorgangsnummer nummer code$ minuten moment augenblick prüfen vorübergehend geplant derzeit momentan hat$ sich$ vielleicht$ möglicherweise einigen$ wegen$"
     " inténtelo inténtalo intente intentar nuevo$ más$ tarde$ recargue recargar actualice volver vuelva inicio$ administrador propietario contacte número referencia código minutos unos$ momento compruebe temporalmente programad actualmente haya$ pued puede$"
     " réessay veuillez plus tard riprova ripeti",
@@ -123,12 +123,12 @@ CLASSES: dict[str, str] = {
     "fill": "insert add$ enter$ type$ click replace paste edit$ goes$ put$ fill$ customi describe$ wpisz wstaw kliknij edytow uzupełni podmian podmień dodaj zastąp wklej einfügen eingeben klicken bearbeiten ersetzen steht$ hinzufügen ausfüllen auszufüllen tippen inserte insertar inserta escriba añad haga$ haz$ clic$ editar$ va$ cámbi sustitu rellen reemplac redactar complet insérez saisissez cliquez modifier inserisci",
     "part": "text$ title$ headline heading paragraph content$ copy$ description caption$ subtitle body$ name$ here$ your$ launch$ before$ company$ image$ tekst treś tytuł nagłów akapit opis tu$ tutaj$ swój$ twój$ nazwa nazwę text titel überschrift absatz inhalt$ beschreibung hier$ ihr$ ihre$ ihren$ diesen texto título titular párrafo contenido descripción aquí$ su$ tu$ este$ texte titre votre ici$ testo titolo qui$",
     "unwritten": "placeholder dummy$ sample$ todo$ tbd$ tba$ untitled lorem$ ipsum$ construction$ coming$ soon$ follow$ follows$ written$ unwritten draft$ zastępcz przykładow przygotowani budowie$ budow wkrótce$ szkic bez$ platzhalter beispieltext mustertext folgt$ aufbau$ ohne$ entwurf vorbereitung muestra$ provisional próximamente preparación construcción ejemplo$ pendiente$ borrador sin$ desarrollo$ segnaposto",
-    "you": "tego$ tym$ tych$ dem$ dieses$ you$ your$ this$ if$ twoja$ twoje$ twój$ ta$ tej$ ten$ ihr$ ihre$ diese dieser dieses sie$ su$ sus$ tu$ esta$ este$ esto$ votre cette",
+    "you": "twoją$ twojej$ twoim$ państwa$ tego$ tym$ tych$ dem$ dieses$ you$ your$ this$ if$ twoja$ twoje$ twój$ ta$ tej$ ten$ ihr$ ihre$ diese dieser dieses sie$ su$ sus$ tu$ esta$ este$ esto$ votre cette",
     "we": "we$ our$ us$ it$ that$ wir$ uns$ nos$ nosotros$ nas$ nous$",
 }
 #: Words that carry nothing here.
 _EMPTY = frozenset(
-    "a an the of to in on at by for from with and or as is are was were be been so but have has had do does did will would there which when while until after its i w z na do się sie to że o po lub albo oraz jest są był zostało została został masz mam mamy od dla ze der die das den dem des ein eine einen und oder zu zum zur im auf an von mit ist sind war es wurde wird worden auch haben habe hat el la los las un una de del en y o que se al es son lo le ha han le les du un une et ou il lo la gli di che e è een het de van".split()
+    "a an the of to in on at by for from with and or as is are was were be been so but have has had do does did will would there which when while until after its i w z na do się sie to że o po lub albo oraz jest są był zostało została został masz mam mamy za od dla ze der die das den dem des ein eine einen und oder zu zum zur im auf an von mit ist sind war es wurde wird worden auch haben habe hat el la los las un una de del en y o que se al es son lo le ha han le les du un une et ou il lo la gli di che e è een het de van".split()
 )
 _STEMS: dict[str, dict[str, list[str]]] = {}
 _WHOLES: dict[str, frozenset[str]] = {}
@@ -260,8 +260,8 @@ def phrase_kind(line: str) -> tuple[str | None, bool]:
     kind, cover, addressed = sentence_kind(words, bool(_STATUS.search(first)))
     if kind is None or cover < LIKELY:
         return None, False
-    if kind == "script" and not addressed:  # or a real sentence on the technique
-        return (kind, True) if cover >= SCRIPTS else (None, False)
+    if kind == "script":  # or a real sentence on the technique
+        return (kind, True) if cover >= (CERTAIN if addressed else SCRIPTS) else (None, False)
     return kind, cover >= CERTAIN
 
 

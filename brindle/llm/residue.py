@@ -99,11 +99,11 @@ CLASSES: dict[str, str] = {
     " interner$ seite dienst server ressource inhalt anfrage sitzung verbindung datenbank zugriff adresse datei dokument anwendung konto$ berechtigung webseite website vorgang"
     " interno$ página sitio servicio servidor recurso contenido solicitud petición peticiones solicitudes sesión conexión acceso dirección enlace archivo documento aplicación cuenta$ permiso web$ datos$ base$"
     " site$ demande ressource accès serveur pagina sito pagine risorsa",
-    "deny": "not$ no$ cannot$ cant$ couldn$ couldnt$ can$ isn$ isnt$ doesn$ doesnt$ don$ won$ wasn$ unable$ without$ never$ longer$ many$ unexpected bad$ t$"
+    "deny": "too$ not$ no$ cannot$ cant$ couldn$ couldnt$ can$ isn$ isnt$ doesn$ doesnt$ don$ won$ wasn$ unable$ without$ never$ longer$ many$ unexpected bad$ t$"
     " nie$ brak$ nieoczekiwan już$ zbyt$ wiele$ nicht$ kein keine mehr$ nichts$ viele$ unerwartet no$ sin$ demasiad inesperad ya$ ne$ pas$ plus$ non$ niet$ geen$",
-    "state": "found$ available exist reach$ reached reachable load$ loaded display open$ opened authori permitted allowed shown$ show$ connect$ connected establish work$ working process complete handle displayed located removed moved deleted changed going$ missing view$ viewing accessible supported access$ retriev serve$ respond"
+    "state": "found$ find$ available exist reach$ reached reachable load$ loaded display open$ opened authori permitted allowed shown$ show$ connect$ connected establish work$ working process complete handle displayed located removed moved deleted changed going$ missing view$ viewing accessible supported access$ retriev serve$ respond"
     " znale odnale istniej dostępn masz$ wyświetl otworzy połączy załadow działa przenies usunięt zmieni możn moż udało uda$ jest$ poszło$"
-    " gefunden finden existiert verfügbar erreichbar geladen laden$ angezeigt anzuzeigen berechtigt erlaubt verbinden hergestellt verschoben gelöscht geändert gibt$ vorhanden aufgetreten werden$"
+    " gefunden finden existiert verfügbar erreichbar geladen angezeigt anzuzeigen berechtigt erlaubt verbinden hergestellt verschoben gelöscht geändert gibt$ vorhanden aufgetreten werden$"
     " encontr existe disponible accesible carg mostr abrir$ autorizad permitid conectar establec movid eliminad cambiad salió$ ido$ ocurrid producid pudo$ puede$ busca$ acced"
     " trouvée trouvé existe disponible peut$ trovata disponibile esiste gevonden beschikbaar bestaat",
     "moved": "removed moved deleted taken$ usunięt przenies skasowan verschoben gelöscht entfernt movid eliminad retirad borrad supprim rimoss",
@@ -119,16 +119,16 @@ CLASSES: dict[str, str] = {
     " aktivier deaktiviert ausgeschaltet einschalten eingeschaltet schalten benötigt braucht blockiert unterstützt aktualisier muss$ müssen um$ sehen$ sehen"
     " active$ activ actív actívelos desactivad habilit deshabilit necesita requiere bloquea admite soporta actualic debe$ para$ ver$ ejecut nada$"
     " activez activer désactivé attiva abilita",
-    "wait": "loading$ wait$ redirecting preparing$ fetching$ buffering ładowani ładuje wczytyw czekać czekaj przekierow lädt$ geladen$ laden$ warten$ weiterleitung cargando$ espere$ redirigiendo chargement patientez caricamento attendere human$ człowiek mensch humano trwa$",
+    "wait": "loading$ wait$ redirecting preparing$ fetching$ buffering ładowani ładuje wczytyw czekać czekaj przekierow lädt$ geladen$ warten$ weiterleitung cargando$ espere$ redirigiendo chargement patientez caricamento attendere human$ człowiek mensch humano trwa$",
     "fill": "insert add$ enter$ type$ click replace paste edit$ goes$ put$ fill$ customi describe$ wpisz wstaw kliknij edytow uzupełni podmian podmień dodaj zastąp wklej einfügen eingeben klicken bearbeiten ersetzen steht$ hinzufügen ausfüllen auszufüllen tippen inserte insertar inserta escriba añad haga$ haz$ clic$ editar$ va$ cámbi sustitu rellen reemplac redactar complet insérez saisissez cliquez modifier inserisci",
     "part": "text$ title$ headline heading paragraph content$ copy$ description caption$ subtitle body$ name$ here$ your$ launch$ before$ company$ image$ tekst treś tytuł nagłów akapit opis tu$ tutaj$ swój$ twój$ nazwa nazwę text titel überschrift absatz inhalt$ beschreibung hier$ ihr$ ihre$ ihren$ diesen texto título titular párrafo contenido descripción aquí$ su$ tu$ este$ texte titre votre ici$ testo titolo qui$",
-    "unwritten": "placeholder dummy$ sample$ todo$ tbd$ tba$ untitled lorem$ ipsum$ construction$ coming$ soon$ follow$ follows$ written$ unwritten draft$ zastępcz przykładow przygotowani budowie$ budow wkrótce$ szkic bez$ platzhalter beispieltext mustertext folgt$ aufbau$ ohne$ entwurf vorbereitung muestra$ provisional próximamente preparación construcción ejemplo$ pendiente$ borrador sin$ desarrollo$ segnaposto",
+    "unwritten": "uzupełnieni placeholder dummy$ sample$ todo$ tbd$ tba$ untitled lorem$ ipsum$ construction$ coming$ soon$ follow$ follows$ written$ unwritten draft$ zastępcz przykładow przygotowani budowie$ budow wkrótce$ szkic bez$ platzhalter beispieltext mustertext folgt$ aufbau$ ohne$ entwurf vorbereitung muestra$ provisional próximamente preparación construcción ejemplo$ pendiente$ borrador sin$ desarrollo$ segnaposto",
     "you": "twoją$ twojej$ twoim$ państwa$ tego$ tym$ tych$ dem$ dieses$ you$ your$ this$ if$ twoja$ twoje$ twój$ ta$ tej$ ten$ ihr$ ihre$ diese dieser dieses sie$ su$ sus$ tu$ esta$ este$ esto$ votre cette",
     "we": "we$ our$ us$ it$ that$ wir$ uns$ nos$ nosotros$ nas$ nous$",
 }
 #: Words that carry nothing here.
 _EMPTY = frozenset(
-    "a an the of to in on at by for from with and or as is are was were be been so but have has had do does did will would there which when while until after its i w z na do się sie to że o po lub albo oraz jest są był zostało została został masz mam mamy za od dla ze der die das den dem des ein eine einen und oder zu zum zur im auf an von mit ist sind war es wurde wird worden auch haben habe hat el la los las un una de del en y o que se al es son lo le ha han le les du un une et ou il lo la gli di che e è een het de van".split()
+    "a an the of to in on at by for from with and or as is are was were be been so but have has had do does did will would there which when while until after its what i w z na do się sie to że o po lub albo oraz jest są był zostało została został masz mam mamy za od dla ze der die das den dem des ein eine einen und oder zu zum zur im auf an von mit ist sind war es wurde wird worden auch haben habe hat el la los las un una de del en y o que se al es son lo le ha han le les du un une et ou il lo la gli di che e è een het de van".split()
 )
 _STEMS: dict[str, dict[str, list[str]]] = {}
 _WHOLES: dict[str, frozenset[str]] = {}
@@ -208,6 +208,12 @@ def field_kind(line: str) -> str | None:
     return None
 
 
+#: Words that are also headings of real content, alone.
+_HEADINGS = frozenset("error errors fehler errores błąd błędy errore errori erreurs fallos wartung maintenance mantenimiento konserwacja".split())
+#: What parts the items of a menu: "Home | Contact" advises nothing.
+_PARTED = re.compile(r"\s[|›»>/·•–—-]\s|[|›»·•]")
+
+
 def sentence_kind(words: list[str], status: bool = False) -> tuple[str | None, float, bool]:
     """The kind of message that the classes of a sentence's words combine to, the share of its content words that they cover,
     and whether it addresses the reader. ``status``: the sentence holds a number that is a status code."""
@@ -232,6 +238,8 @@ def sentence_kind(words: list[str], status: bool = False) -> tuple[str | None, f
         kind = "filler"
     elif status and have & {"object", "fail", "state"}:
         kind = "error"
+    elif whole and not status and len(words) == 1 and words[0] in _HEADINGS:
+        kind = None
     elif "fail" in have and (have & {"object", "deny", "sorry", "advice", "you", "we", "state"} or whole):
         kind = "error"
     elif "deny" in have and (("state" in have and have & {"object", "sorry", "you", "we"}) or ("object" in have and whole)):
@@ -239,7 +247,7 @@ def sentence_kind(words: list[str], status: bool = False) -> tuple[str | None, f
     elif "moved" in have and "object" in have and have & {"you", "sorry", "deny"}:
         kind = "error"
     elif whole and count("advice") >= 2:
-        kind = "error"
+        kind = "advice"
     return kind, told / content, bool(have & {"you", "sorry"})
 
 
@@ -258,6 +266,8 @@ def phrase_kind(line: str) -> tuple[str | None, bool]:
     if not words:
         return None, False
     kind, cover, addressed = sentence_kind(words, bool(_STATUS.search(first)))
+    if kind == "advice":
+        kind = None if _PARTED.search(first) else "error"
     if kind is None or cover < LIKELY:
         return None, False
     if kind == "script":  # or a real sentence on the technique

@@ -19,6 +19,13 @@ REAL = [
 ]
 
 
+MENUS = ["Laden", "Startseite · Kontakt · Laden", "Home | Contact | Support", "Home / Help / Contact", "Errores", "Fehler", "Kontakt", "Start > Kontakt", "Maintenance"]
+
+
+def test_menus_and_headings_are_no_messages():
+    assert not [x for x in MENUS if _flagged(x)] and _flagged("Error 404") and _flagged("Too many requests") and _flagged("DO UZUPEŁNIENIA") and _flagged("Sorry, we could not find what you were looking for")
+
+
 def _flagged(text):
     return any(certain for *_, certain in residue.text_messages(text))
 

@@ -83,7 +83,7 @@ _BEASTS = r"(?:ratt|maus|wesp|muck|schneck|taub|insekt|kafer|unkr|lause|hund|kat
 
 #: Names of peoples by their endings (plural), and people by place or faith.
 _PEOPLES = (
-    r"|(?:those |these |the |all )?\w+(?:ians|eans|ites|erners|landers|comers|ishmen|immigrants)|(?:all |the |those )?(?:belgians|germans|russians|americans|mexicans|asians|turks|danes|swedes|greeks|serbs|croats|kurds|chinese|japanese|french|portuguese)|(?:\w+ )?people (?:of|from) (?:\w+ )?\w+|(?:the |those |these |that )(?:\w+ )?(?:people|lot|kind|folk)"
+    r"|(?:those |these |the |all )?\w+(?:ians|eans|ites|erners|landers|comers|ishmen|immigrants)|(?:all |the |those )?(?:belgians|germans|russians|americans|mexicans|asians|turks|danes|swedes|greeks|serbs|croats|kurds|chinese|japanese|french|portuguese)|(?:(?!sorry|not)\w+ )?people (?:of|from) (?:\w+ )?\w+|(?:the |those |these |that )(?:\w+ )?(?:people|lot|kind|folk)"
     r"|\w{3,}(?:anie|ianie|ici|owie|czycy|niacy)|ci (?:z|ze) \w+|ludzie (?:z|ze|tej|tamtej) \w+|ci ludzie"
     r"|\w{3,}(?:ier|iten|aner|esen|landern?)|(?:die )?(?:aus|von) (?:dem |der )?\w+|leute (?:dieses|jenes|aus|von) (?:dem )?\w+|diese leute|die (?!{BEAST})\w{4,}"
     r"|(?:los|las) (?!{BEAST})\w{4,}|(?:los|las) (?:de|del) (?:esa |esta )?\w+|(?:la )?gente (?:de|del) (?:esa |esta )?\w+|esa gente|recien llegados"

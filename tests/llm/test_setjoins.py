@@ -44,7 +44,7 @@ def test_serp_threshold(spark, t):
 
 
 def test_radius_follows_the_threshold():
-    assert setjoin.radius_for(0.5) == 112 and setjoin.radius_for(1.0) == 0
+    assert setjoin.radius_for(0.5) == 111 and setjoin.radius_for(1.0) == 0
     assert all(setjoin.radius_for(t) > setjoin.radius_for(t + 0.1) for t in (0.1, 0.3, 0.5, 0.7))
 
 

@@ -423,10 +423,10 @@ def core_pairs(cores: DataFrame) -> DataFrame:
     return cand.unionAll(pairs_by_terms(cores)).distinct()
 
 
-def similar_spellings(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``core_a, initials_a, core_b, initials_b, sim`` of the distinct spellings (cores with their initials) among ``nodes`` whose
-    cores are a pair and that the verification accepts. Every two spellings are compared once, however many labels, legal
-    forms and exclusions they carry; equal cores need no comparison."""
+def similar(met: DataFrame) -> DataFrame:
+    """``met`` (rows with ``core_a, initials_a, core_b, initials_b``) with ``sim``, where the verification accepts the two spellings.
+    Every two different spellings are compared once, in one direction, however many nodes carry them; equal cores need no
+    comparison."""
 
     @F.pandas_udf("double")
     def sim(a, ia, b, ib):  # noqa: ANN001, ANN202
@@ -434,13 +434,12 @@ def similar_spellings(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
         return pd.Series([core_similarity(w, x, y, z) for w, x, y, z in zip(a, b, ia, ib)])
 
-    v = cut(nodes.select("core", "initials").distinct(), "spellings")
-    a, b = v.select(F.col("core").alias("core_a"), F.col("initials").alias("initials_a")), v.select(F.col("core").alias("core_b"), F.col("initials").alias("initials_b"))
-    one = pairs.join(a, "core_a").join(b, "core_b").withColumn("sim", sim("core_a", "initials_a", "core_b", "initials_b")).where(F.col("sim") >= CORE_SIMILARITY)
-    one = cut(one.select("core_a", "initials_a", "core_b", "initials_b", "sim"), "similar")
-    back = one.select(F.col("core_b").alias("core_a"), F.col("initials_b").alias("initials_a"), F.col("core_a").alias("core_b"), F.col("initials_a").alias("initials_b"), "sim")
-    equal = a.join(b, F.col("core_a") == F.col("core_b")).select("core_a", "initials_a", "core_b", "initials_b", F.lit(1.0).alias("sim"))
-    return one.unionByName(back).unionByName(equal)
+    x, y = F.struct(F.col("core_a").alias("c"), F.col("initials_a").alias("i")), F.struct(F.col("core_b").alias("c"), F.col("initials_b").alias("i"))
+    m = cut(met.withColumns({"p": F.least(x, y), "q": F.greatest(x, y)}), "met")
+    d = m.where("core_a <> core_b").select("p", "q").distinct()
+    told = d.withColumn("sim", sim("p.c", "p.i", "q.c", "q.i")).where(F.col("sim") >= CORE_SIMILARITY)
+    other = m.where("core_a <> core_b").join(told, ["p", "q"])
+    return other.unionByName(m.where("core_a = core_b").withColumn("sim", F.lit(1.0))).drop("p", "q")
 
 
 def _compatible_given(a: str, b: str) -> F.Column:
@@ -464,11 +463,12 @@ def linked(df: DataFrame) -> DataFrame:
     rec = cut(rec.withColumn("node", F.xxhash64("core", "initials", "label", "legal", "apart")), "records")
     nodes = cut(rec.groupBy("node", "core", "initials", "label", "legal", "apart").agg(F.count("*").alias("n")), "nodes")
 
-    # similar spellings, each with itself
-    both = similar_spellings(core_pairs(nodes), nodes)
+    # similar cores, each with itself
+    cand = core_pairs(nodes)
+    both = cand.unionAll(cand.select(F.col("core_b").alias("core_a"), F.col("core_a").alias("core_b"))).unionAll(nodes.select(F.col("core").alias("core_a"), F.col("core").alias("core_b")).distinct())
     a = nodes.select(*(F.col(c).alias(f"{c}_a") for c in nodes.columns))
     b = nodes.select(*(F.col(c).alias(f"{c}_b") for c in nodes.columns))
-    met = both.join(a, ["core_a", "initials_a"]).join(b, ["core_b", "initials_b"]).where(F.col("node_a") != F.col("node_b"))
+    met = both.join(a, "core_a").join(b, "core_b").where(F.col("node_a") != F.col("node_b"))
     kind_ok = (
         ((F.substring("label_a", 1, 2) == F.substring("label_b", 1, 2)) | (F.col("label_a") == "") | (F.col("label_b") == ""))
         & ~((F.col("initials_a") != "") & F.col("label_b").startswith("t:"))
@@ -483,7 +483,7 @@ def linked(df: DataFrame) -> DataFrame:
         .when((F.col("label_b") == "") & F.col("label_a").startswith("g:") & (F.col("initials_b") != ""), F.exists(F.split(F.substring("label_a", 3, 200), " "), lambda g: F.col("initials_b").contains(F.substring(g, 1, 1))))
         .otherwise(F.lit(True))
     )
-    edges = cut(met.where(kind_ok & (same_trade | same_given | open_label) & not_apart & initial_ok).select("node_a", "node_b", "label_a", "label_b", "legal_a", "legal_b", "n_b", "sim"), "links")
+    edges = cut(similar(met.where(kind_ok & (same_trade | same_given | open_label) & not_apart & initial_ok).select("core_a", "initials_a", "core_b", "initials_b", "node_a", "node_b", "label_a", "label_b", "legal_a", "legal_b", "n_b")).drop("core_a", "initials_a", "core_b", "initials_b"), "links")
 
     # a node without a label takes the one its family carries
     votes = edges.where("label_a = '' and label_b <> ''").groupBy("node_a", "label_b").agg(F.max((F.col("legal_a") == F.col("legal_b")).cast("int")).alias("same"), F.max("sim").alias("sim"), F.sum("n_b").alias("n"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from brindle.llm import near_copies, serp_pairs, setjoin
@@ -56,6 +57,23 @@ def test_a_tiny_count_table_loses_nothing(spark, monkeypatch):
     assert {tuple(r) for r in serp_pairs.similar_sets(df)[0].select("a", "b").collect()} == want
 
 
+def test_a_full_count_table_makes_nothing_hot(spark):
+    rng = random.Random(5)
+    sets = spark.createDataFrame([("s", i, rng.sample(range(10**9), 200)) for i in range(40)], "src string, cid bigint, items array<bigint>")
+    full = np.full(1 << 10, 5000, dtype=np.int32)
+    assert setjoin._postings(sets, ["cid"], full, 0.6, 6, True).count() == 40 * (80 + 6)
+
+
+@pytest.mark.parametrize("most", [1, 7])
+def test_postings_in_small_chunks_lose_nothing(spark, monkeypatch, most):
+    rows = _serp_rows(6, 120)
+    monkeypatch.setattr(setjoin, "HOT", 1)
+    monkeypatch.setattr(setjoin, "CHUNK_ITEMS", most)
+    sets = {r[0]: {u for u in r[2] or [] if u} for r in rows}
+    got = serp_pairs.found(spark.createDataFrame(rows, SERP)).collect()
+    assert {(r.snapshot_a, r.snapshot_b) for r in got} == _pairs(sets, 0.5)
+
+
 def test_a_third_share_one_list(spark):
     rows = [(i, "q", ["https://a.example/", f"https://b.example/{i if i % 3 else 0}"], "x", 1) for i in range(300)]
     pairs, members = serp_pairs.similar_sets(serp_pairs.url_sets(spark.createDataFrame(rows, SERP)))

@@ -6,6 +6,11 @@ averaged. Nothing is sequential, so the same seed gives the same interval under
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,68 +157,140 @@ def verdict_sentence(days: Column, metric: Column) -> Column:
     return F.when(F.col("kind") == "effect", measured).otherwise(F.concat(start, F.lit(" can't be measured: "), "kind", F.lit(".")))
 
 
-def page_distance(a: str, b: str) -> Column:
-    """How far two pages are apart: orders of magnitude of impressions and clicks, position and click depth (0.5 where either
-    depth is unknown)."""
-    def gap(c: str) -> Column:
-        return F.abs(F.log10(F.col(f"{a}.{c}") + 1) - F.log10(F.col(f"{b}.{c}") + 1))
-
-    depth = F.coalesce(F.abs(F.col(f"{a}.depth") - F.col(f"{b}.depth")) / 5, F.lit(0.5))
-    return gap("impressions") + gap("clicks") + F.abs(F.col(f"{a}.position") - F.col(f"{b}.position")) / 20 + depth
-
-
-#: Bands of impressions that hold all pages.
-_ALL_BANDS = 128
-
-
-def _near_candidates(who: DataFrame, free: DataFrame, most: int) -> DataFrame:
-    """``treated, control, distance, radius`` of the ``most`` nearest free candidates within ``reach`` bands; nothing else
-    is nearer than ``radius``."""
-    t = who.withColumn("at", F.explode(F.sequence(F.col("band") - F.col("reach"), F.col("band") + F.col("reach")))).alias("t")
-    pairs = t.join(free.alias("c"), F.col("t.at") == F.col("c.band")).select(F.col("t.page").alias("treated"), F.col("t.reach").alias("reach"), F.col("c.page").alias("control"), page_distance("t", "c").alias("distance"))
+#: Candidates of a cell of the search for near pages, and about how many cells there are at most.
+CELL, MOST_CELLS = 512, 4096
+#: Distances that a worker holds at once.
+_BLOCK = 1 << 20
+_POINT = "page string, x double, y double, z double, depth double"
+
+
+def _points(df: DataFrame) -> DataFrame:
+    """``page, x, y, z, depth``: orders of magnitude of impressions and clicks, position, click depth. Pages that lack one of
+    the first three have no distance to others."""
+    depth = F.col("depth") if "depth" in df.columns else F.lit(None)
+    p = df.select("page", F.log10(F.col("impressions") + 1).alias("x"), F.log10(F.col("clicks") + 1).alias("y"), F.col("position").cast("double").alias("z"), depth.cast("double").alias("depth"))
+    return p.where("page is not null and x is not null and y is not null and z is not null")
+
+
+def _floats(t: pa.Table | pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [t.column(n).to_numpy(zero_copy_only=False).astype(np.float64) for n in names]
+
+
+def page_distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How far each page of ``a`` is from each of ``b`` (both ``x, y, z, depth``): orders of magnitude of impressions and
+    clicks, position and click depth (0.5 where either depth is unknown)."""
+    x, y, z, depth = (np.abs(u[:, None] - v[None, :]) for u, v in zip(a, b, strict=True))
+    return x + y + z / 20 + np.where(np.isnan(depth), 0.5, depth / 5)
+
+
+def _celled(points: DataFrame) -> tuple[DataFrame, dict[str, np.ndarray]]:
+    """``points`` with a ``cell``, about ``CELL`` to each, cut at quantiles of x, then y, then z; and the box of each cell."""
+    n = points.count()
+    m = max(1, round((n / max(CELL, n / MOST_CELLS)) ** (1 / 3)))
+    d = points.withColumn("cell", F.lit(0))
+    for c in ("x", "y", "z") if m > 1 else ():
+        # an index among quantiles; there are fewer than m * m rows of them
+        value = F.col(c)
+        at = d.groupBy("cell").agg(F.percentile_approx(c, [i / m for i in range(1, m)]).alias("q"))
+        d = d.join(F.broadcast(at), "cell").withColumn("cell", F.col("cell") * m + F.size(F.filter("q", lambda v: v < value))).drop("q")
+    d = cut(d, "cells")
+    sides = [f(c).alias(f"{c}_{n}") for c in "xyz" for n, f in (("low", F.min), ("high", F.max))]
+    box = d.groupBy("cell").agg(*sides, F.count("*").alias("n"), (F.count("depth") > 0).alias("deep")).toPandas()
+    return d, {c: box[c].to_numpy().astype({"deep": bool, "n": np.int64, "cell": np.int32}.get(c, np.float64)) for c in box.columns}
+
+
+def _routed(points: DataFrame, boxes: dict[str, np.ndarray], most: int) -> DataFrame:
+    """``page, x, y, z, depth, cell``. Without a column ``radius``: the cells that may be nearest, with more than ``most``
+    candidates together. With it: the other cells that may hold something within the radius."""
+    again = "radius" in points.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, _BLOCK // max(1, len(boxes["n"])))
+        for whole in batches:
+            for b in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                x, y, z, depth = _floats(b, "x", "y", "z", "depth")
+                out = [np.maximum(0, np.maximum(boxes[f"{c}_low"][None, :] - v[:, None], v[:, None] - boxes[f"{c}_high"][None, :])) for c, v in (("x", x), ("y", y), ("z", z))]
+                least = out[0] + out[1] + out[2] / 20 + np.where(np.isnan(depth)[:, None] | ~boxes["deep"][None, :], 0.5, 0.0)
+                order = np.argsort(least, axis=1, kind="stable")
+                counts = boxes["n"][order]
+                home = np.zeros(least.shape, dtype=bool)
+                np.put_along_axis(home, order, np.cumsum(counts, axis=1) - counts <= most, axis=1)
+                use = ~home & (least <= _floats(b, "radius")[0][:, None] + 1e-9) if again else home
+                row, cell = np.nonzero(use)
+                t = b.select(["page", "x", "y", "z", "depth"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*t.columns, pa.array(boxes["cell"][cell], pa.int32())], names=[*t.schema.names, "cell"])
+
+    return points.mapInArrow(run, f"{_POINT}, cell int")
+
+
+def _near_in_cells(who: DataFrame, celled: DataFrame, most: int) -> DataFrame:
+    """``treated, control, distance``: of each cell that a page is sent to, the ``most + 1`` nearest."""
+
+    def near(a: pa.Table, b: pa.Table) -> pa.Table:
+        got: dict[str, list[np.ndarray]] = {"treated": [], "control": [], "distance": []}
+        if a.num_rows and b.num_rows:
+            b = b.take(pc.sort_indices(b.column("page")))  # so that a stable sort leaves ties in order of the address
+            left, right, k = _floats(a, "x", "y", "z", "depth"), _floats(b, "x", "y", "z", "depth"), min(most + 1, b.num_rows)
+            step = max(1, _BLOCK // b.num_rows)
+            for i in range(0, a.num_rows, step):
+                d = page_distances([v[i : i + step] for v in left], right)
+                order = np.argsort(d, axis=1, kind="stable")[:, :k]
+                got["treated"].append(np.repeat(np.arange(i, i + len(d)), k))
+                got["control"].append(order.ravel())
+                got["distance"].append(np.take_along_axis(d, order, axis=1).ravel())
+        t, c, d = (np.concatenate(v) if v else np.empty(0, dtype=kind) for v, kind in zip(got.values(), (np.int64, np.int64, np.float64), strict=True))
+        return pa.table({"treated": a.column("page").take(pa.array(t)), "control": b.column("page").take(pa.array(c)), "distance": d})
+
+    return who.groupBy("cell").cogroup(celled.select("page", "x", "y", "z", "depth", "cell").groupBy("cell")).applyInArrow(near, "treated string, control string, distance double")
+
+
+def _nearest(who: DataFrame, free: DataFrame, most: int) -> DataFrame:
+    """``treated, control, distance, more``: the ``most`` nearest candidates, by distance, then address, and whether there are
+    others. Cells around a page give a radius that holds enough; then only cells that it touches are searched."""
+    celled, boxes = _celled(free)
+    first = cut(_near_in_cells(_routed(who, boxes, most), celled, most), "near")
+    radius = first.groupBy(F.col("treated").alias("page")).agg(F.coalesce(F.get(F.sort_array(F.collect_list("distance")), F.lit(most)), F.lit(float("inf"))).alias("radius"))
+    around = who.join(radius, "page")
+    second = _near_in_cells(_routed(around, boxes, most), celled, most).join(radius.withColumnRenamed("page", "treated"), "treated").where("distance <= radius").drop("radius")
     by = Window.partitionBy("treated")
-    ranked = pairs.withColumn("n", F.row_number().over(by.orderBy("distance", "control"))).where(F.col("n") <= most + 1)
-    ranked = ranked.withColumn("cut", F.max(F.when(F.col("n") == most, F.col("distance"))).over(by)).withColumn("more", F.max("n").over(by) > most)
-    bound = F.when(F.col("reach") >= _ALL_BANDS, F.lit(float("inf"))).otherwise(F.col("reach") * F.log10(F.lit(2.0)))
-    return ranked.where(F.col("n") <= most).select("treated", "control", "distance", F.when(F.col("more"), F.least("cut", bound)).otherwise(bound).alias("radius"))
+    ranked = first.unionByName(second).withColumn("n", F.row_number().over(by.orderBy("distance", "control"))).where(F.col("n") <= most + 1)
+    return ranked.withColumn("more", F.max("n").over(by) > most).where(F.col("n") <= most).select("treated", "control", "distance", "more")
 
 
 def control_group(treatment: DataFrame, candidates: DataFrame, rounds: int = 4, nearest: int = 16) -> DataFrame:
     """``treated, control, distance, round``: in each round every treated page takes its nearest candidate that is free;
-    one that two want goes to the nearer, then the smaller address, and the other chooses again. Candidates are searched in
-    bands of impressions around a page. A page whose best free candidate may not be its nearest, or that has none left,
-    is searched again in four times as many bands, until nothing outside can be nearer or no candidate is free."""
-    no_depth = F.lit(None).cast("int")
-    treatment, candidates = (d if "depth" in d.columns else d.withColumn("depth", no_depth) for d in (treatment, candidates))
-    band = F.floor(F.log2(F.col("impressions") + 1)).cast("int")
-    treated = cut(treatment.withColumn("band", band), "treated")
-    free = cut(candidates.withColumn("band", band), "free")
+    one that two want goes to the nearer, then the smaller address, and the other chooses again. The nearest candidates of a
+    page are found first; a page that finds them all taken is searched again among what is free."""
+    treated, free = cut(_points(treatment), "treated"), cut(_points(candidates), "free")
     most = nearest * rounds
-    reach = cut(treated.select("page", F.lit(1).alias("reach")), "reach")
-    pairs = cut(_near_candidates(treated.join(reach, "page"), free, most), "control")
+    pairs = cut(_nearest(treated, free, most), "control")
     out = None
     for r in range(1, rounds + 1):
         left = treated.select(F.col("page").alias("treated"))
         while True:
-            want = pairs.join(left, "treated", "left_semi").groupBy("treated").agg(F.min(F.struct("distance", "control", "radius")).alias("m")).select("treated", "m.*")
-            unsure = cut(left.join(want.where("distance <= radius"), "treated", "left_anti").join(reach.withColumnRenamed("page", "treated"), "treated"), "unsure")
-            rest = free if out is None else free.join(out.select(F.col("control").alias("page")), "page", "left_anti")
-            if not unsure.isEmpty() and not rest.isEmpty():
-                # one that found nothing over all bands, has nothing left
-                wider = unsure.select(F.col("treated").alias("page"), F.least(F.col("reach") * 4, F.lit(_ALL_BANDS)).alias("reach"))
-                found = cut(_near_candidates(treated.join(wider, "page"), rest, most), "control")
-                none = unsure.where(F.col("reach") >= _ALL_BANDS).join(found, "treated", "left_anti")
+            open_ = pairs.join(left, "treated", "left_semi")
+            gone = F.lit(False)
+            if out is not None:
+                open_, gone = open_.join(out.select("control", F.lit(True).alias("gone")), "control", "left"), F.coalesce("gone", F.lit(False))
+            best = open_.groupBy("treated").agg(F.min(F.when(~gone, F.struct("distance", "control"))).alias("m"), F.max("more").alias("more"))
+            # one that has nothing free among its nearest, and no others, has nothing left
+            best = best.where("m is not null or more").select("treated", "m.distance", "m.control")
+            first = F.row_number().over(Window.partitionBy("control").orderBy("distance", "treated")) == 1
+            want = cut(best.withColumn("won", F.col("control").isNotNull() & first), "want")
+            n = want.agg(F.count("*").alias("all"), F.count_if("won").alias("won"), F.count_if(F.col("control").isNull()).alias("unsure")).first()
+            if n["unsure"]:
+                unsure = want.where("control is null").select("treated")
+                rest = free.join(out.select(F.col("control").alias("page")), "page", "left_anti")
+                found = _nearest(treated.join(unsure.withColumnRenamed("treated", "page"), "page", "left_semi"), rest, most)
                 pairs = cut(pairs.join(unsure, "treated", "left_anti").unionByName(found), "control")
-                reach = cut(reach.join(wider, "page", "left_anti").unionByName(wider), "reach")
-                left = cut(left.join(none, "treated", "left_anti"), "left")
+                left = want.select("treated")
                 continue
-            won = want.groupBy("control").agg(F.min(F.struct("distance", "treated")).alias("m")).select("m.treated", "control", "m.distance", F.lit(r).alias("round"))
-            won = cut(won, "matched")
-            if won.isEmpty():
+            if n["won"]:
+                won = want.where("won").select("treated", "control", "distance", F.lit(r).alias("round"))
+                out = won if out is None else out.unionByName(won)
+            if n["won"] == n["all"]:
                 break
-            out = won if out is None else out.unionByName(won)
-            pairs = cut(pairs.join(won.select("control"), "control", "left_anti"), "control")
-            left = cut(left.join(won.select("treated"), "treated", "left_anti"), "left")
+            left = want.where("not won").select("treated")
     return out if out is not None else pairs.limit(0).select("treated", "control", "distance", F.lit(1).alias("round"))
 
 

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from brindle import session
 from brindle.functions import stats as S
 from brindle.operators import answers as A
 from brindle.operators import content as C
@@ -146,6 +147,48 @@ def test_control_group_counts_depth_and_shortfall(spark):
     assert E.shortfall(t, m).first().missing == 1
 
 
+def _greedy_controls(treated, free, rounds):
+    def far(a, b):
+        depth = 0.5 if a[4] is None or b[4] is None else abs(a[4] - b[4]) / 5
+        return sum(abs(math.log10(a[i] + 1) - math.log10(b[i] + 1)) for i in (2, 1)) + abs(a[3] - b[3]) / 20 + depth
+
+    near = {t[0]: sorted((round(far(t, c), 12), c[0]) for c in free) for t in treated}
+    taken, out = set(), set()
+    for r in range(1, rounds + 1):
+        left = set(near)
+        while left:
+            want = {}
+            for t in left:
+                if best := next((x for x in near[t] if x[1] not in taken), None):
+                    want.setdefault(best[1], []).append((best[0], t))
+            if not want:
+                break
+            for c, who in want.items():
+                t = min(who)[1]
+                out.add((t, c, r))
+                left.discard(t)
+            taken |= set(want)
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_control_group_searches_few_cells(spark, monkeypatch, most):
+    monkeypatch.setattr(E, "CELL", 8, raising=False)
+    rng = random.Random(most)
+    rows = [(f"p{i:03}", rng.randrange(30) * rng.randrange(2), rng.randrange(5000), rng.random() * 50, rng.choice([None, 1, 2, 5])) for i in range(260)]
+    df = spark.createDataFrame(rows, "page string, clicks bigint, impressions bigint, position double, depth int")
+    written = len(session._WRITTEN.get(spark.sparkContext.applicationId, []))
+    got = E.control_group(df.where("page < 'p040'"), df.where("page >= 'p040'"), 2, most)
+    assert {(r.treated, r.control, r.round) for r in got.collect()} == _greedy_controls(rows[:40], rows[40:], 2)
+    tables = len(session._WRITTEN[spark.sparkContext.applicationId]) - written
+    assert tables <= 40 and got.count() == 80
+
+
+def test_control_group_without_candidates(spark):
+    df = spark.createDataFrame([("t", 1, 1, 1.0)], "page string, clicks bigint, impressions bigint, position double")
+    assert E.control_group(df, df.limit(0)).count() == E.control_group(df.limit(0), df).count() == 0
+
+
 def test_comparison_needs_one_context(spark):
     m = spark.createDataFrame([("x", 1, 3), ("y", 2, 3)], "prompt string, hits bigint, trials bigint")
     base = {"engine": "e", "model": "1", "access": "api", "entity_version": 1, "prompt_set": "s"}

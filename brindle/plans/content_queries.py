@@ -147,7 +147,7 @@ def last_in_degrees(degrees: DataFrame, crawls: DataFrame) -> DataFrame:
 @REG.add("coverage_decision_whole")
 def coverage_decision_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``coverage_decision`` over titles and whole texts; its SQL fixes titles."""
-    d = C.decide_coverage(C.coverage(_prompt_sets(spark, sf_dir), whole_pages(table(spark, sf_dir, "existing_page"))))
+    d = C.decided(C.best_coverage(_prompt_sets(spark, sf_dir), whole_pages(table(spark, sf_dir, "existing_page"))))
     return d.withColumn("coverage", F.round("coverage", 9))
 
 

@@ -189,6 +189,27 @@ def test_control_group_without_candidates(spark):
     assert E.control_group(df, df.limit(0)).count() == E.control_group(df.limit(0), df).count() == 0
 
 
+def _word_tables(spark, seed):
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(40)] + ["Łódka", "the"]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    queries = {(f"c{rng.randrange(9)}" if i else None, text(rng.randrange(0, 5)), rng.randrange(0, 4)) for i in range(60)} | {("only", "w0 nowhere", 2), ("none", "nowhere", 1)}
+    queries = {(c, q): (c, q, n) for c, q, n in queries}.values()
+    pages = [(f"u{i:02}", text(rng.randrange(1, 12)) if i % 9 else None, rng.randrange(3)) for i in range(50)]
+    return spark.createDataFrame(list(queries), "cluster string, query string, impressions int"), spark.createDataFrame(pages, "url string, text string, in_degree int")
+
+
+@pytest.mark.parametrize("seed,block", [(1, 200_000), (2, 9)])
+def test_best_coverage_equals_that_of_all_pairs(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(C, "BLOCK_QUERIES", block, raising=False)
+    monkeypatch.setattr(C, "BLOCK_PAGES", 7, raising=False)
+    q, p = _word_tables(spark, seed)
+    want = {tuple(r) for r in C.decide_coverage(C.coverage(q, p)).collect()}
+    got = C.decided(C.best_coverage(q, p))
+    assert {tuple(r) for r in got.collect()} == want and any(r[2] == 0 for r in want) and any(r[2] > 0 for r in want)
+    assert C.best_coverage(q.limit(0), p).count() == C.best_coverage(q, p.limit(0)).count() == 0
+
+
 def test_comparison_needs_one_context(spark):
     m = spark.createDataFrame([("x", 1, 3), ("y", 2, 3)], "prompt string, hits bigint, trials bigint")
     base = {"engine": "e", "model": "1", "access": "api", "entity_version": 1, "prompt_set": "s"}

@@ -157,7 +157,7 @@ def internal_link_topk_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "engine_prompt").groupBy(F.col("prompt").alias("cluster")).agg(F.min("text").alias("text"))
     links = last_in_degrees(link_graph_degrees(spark, sf_dir), table(spark, sf_dir, "crawl_page"))
     pages = whole_pages(table(spark, sf_dir, "existing_page")).join(links, "url", "left").na.fill(0, ["in_degree"])
-    return C.suggest_links(c, pages).withColumn("relevance", F.round("relevance", 9))
+    return C.suggest_links_whole(c, pages).withColumn("relevance", F.round("relevance", 9))
 
 
 @REG.add("url_hash", "SELECT DISTINCT url, left(sha256(url), 32) AS hash, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, split_part(regexp_replace(url, '^[a-z]+://[^/?#]+', ''), '/', 2) AS section FROM existing_page WHERE url IS NOT NULL")

@@ -210,6 +210,17 @@ def test_best_coverage_equals_that_of_all_pairs(spark, monkeypatch, seed, block)
     assert C.best_coverage(q.limit(0), p).count() == C.best_coverage(q, p.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed,block,least", [(1, 200_000, 0.15), (2, 9, 0.5)])
+def test_links_of_whole_texts_equal_those_of_all_pairs(spark, monkeypatch, seed, block, least):
+    monkeypatch.setattr(C, "BLOCK_QUERIES", block, raising=False)
+    monkeypatch.setattr(C, "BLOCK_PAGES", 7, raising=False)
+    q, p = _word_tables(spark, seed + 5)
+    c = q.groupBy("cluster").agg(F.max("query").alias("text"))
+    want = {tuple(r) for r in C.suggest_links(c, p, least).collect()}
+    assert {tuple(r) for r in C.suggest_links_whole(c, p, least).collect()} == want and len(want) > 9
+    assert C.suggest_links_whole(c.limit(0), p).count() == C.suggest_links_whole(c, p.limit(0)).count() == 0
+
+
 def test_comparison_needs_one_context(spark):
     m = spark.createDataFrame([("x", 1, 3), ("y", 2, 3)], "prompt string, hits bigint, trials bigint")
     base = {"engine": "e", "model": "1", "access": "api", "entity_version": 1, "prompt_set": "s"}
